@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+import numpy as np
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenfield.functions.numeric import Num, c, dot, mat_inverse, mat_mul, mat_vec
@@ -98,27 +99,36 @@ def primaries_to_weights(p: Sequence[Num]) -> list[Column]:
     return [F.when(usable, v) for v in w]
 
 
-def camera_to_target(xyz_cam: Sequence[Num], target: str, cscale: Sequence[Num] = (1.0, 1.0, 1.0)) -> dict[str, list[Column]]:
-    """Camera → target matrix with luminance row and white-saturation hint.
+def _fixed_primaries(p: Sequence[float]) -> np.ndarray:
+    m = np.array([[p[0], p[2], p[4]], [p[1], p[3], p[5]], [1 - p[0] - p[1], 1 - p[2] - p[3], 1 - p[4] - p[5]]])
+    return m * np.linalg.solve(m, np.array([p[6] / p[7], 1.0, (1 - p[6] - p[7]) / p[7]]))
 
-    ``xyz_cam`` maps XYZ to camera channels (row-major). ``raw`` keeps camera channels.
+
+def with_camera_matrices(
+    profiles: DataFrame, xyz_cam: Sequence[Num], target: str, cscale: Sequence[Num] = (1.0, 1.0, 1.0)
+) -> DataFrame:
+    """Add the camera → target matrix ``k0…k8``, luminance row ``l0…l2`` and white-saturation hint ``w0…w2`` per profile row.
+
+    ``xyz_cam`` maps XYZ to camera channels (row-major). ``raw`` keeps camera channels and has no luminance row.
     """
     one, zero = F.lit(1.0), F.lit(0.0)
+    df = profiles.withColumns({f"_c{i}": c(v) for i, v in enumerate(xyz_cam)})
     if target == "raw":
-        return {"matrix": [one, zero, zero, zero, one, zero, zero, zero, one]}
-    if target == "xyz":
-        m = mat_inverse(xyz_cam)
-        lum, white = [zero, one, zero], [one, one, one]
+        m, lum, white = [F.lit(v) for v in (1.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 1.0)], [F.lit(None).cast("double")] * 3, [one] * 3
+    elif target == "xyz":
+        m, lum, white = mat_inverse([f"_c{i}" for i in range(9)]), [zero, one, zero], [one] * 3
     else:
-        rgb_xyz = primaries_to_xyz(RAD_PRIMARIES if target == "rad" else SRGB_PRIMARIES)
-        rgb_cam = mat_mul(xyz_cam, rgb_xyz)
-        m = mat_inverse(rgb_cam)
-        lum = rgb_xyz[3:6]
-        sums = [rgb_cam[3 * i] + rgb_cam[3 * i + 1] + rgb_cam[3 * i + 2] for i in range(3)]
+        to = _fixed_primaries(RAD_PRIMARIES if target == "rad" else SRGB_PRIMARIES)
+        cam = mat_mul([f"_c{i}" for i in range(9)], [float(v) for v in to.ravel()])
+        df = df.withColumns({f"_d{i}": v for i, v in enumerate(cam)})
+        m, lum = mat_inverse([f"_d{i}" for i in range(9)]), [F.lit(float(v)) for v in to[1]]
+        sums = [c(f"_d{3 * i}") + c(f"_d{3 * i + 1}") + c(f"_d{3 * i + 2}") for i in range(3)]
         top = F.greatest(*sums)
         white = [F.when(top > 0, s / top).otherwise(one) for s in sums]
-    m = [c(cscale[i // 3]) * m[i] for i in range(9)]
-    return {"matrix": m, "luminance": lum, "white": white}
+    out = {f"k{i}": c(cscale[i // 3]) * v for i, v in enumerate(m)}
+    out.update({f"l{i}": v for i, v in enumerate(lum)})
+    out.update({f"w{i}": v for i, v in enumerate(white)})
+    return df.withColumns(out).drop(*[f"_{p}{i}" for p in "cd" for i in range(9)])
 
 
 def scotopic_from_xyz(xyz: Sequence[Num]) -> Column:

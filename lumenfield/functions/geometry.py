@@ -10,7 +10,7 @@ import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenfield.functions.numeric import Num, c, clamp, cross, dot, unit
@@ -87,9 +87,8 @@ def equisolid(x: Num, y: Num, width: Num, height: Num, vh: Num = 180.0, vv: Num
     }
 
 
-def _sizes(view: View) -> tuple[Column, Column]:
+def _plane(letter: str, h: Column, v: Column) -> tuple[Column, Column]:
     """Width and height of the projection plane for the requested angles."""
-    h, v = c(view.vh), c(view.vv)
 
     def tan2(a: Column) -> Column:
         return F.lit(2.0) * F.tan(a * (RAD / 2.0))
@@ -100,57 +99,73 @@ def _sizes(view: View) -> tuple[Column, Column]:
     def plan(a: Column) -> Column:
         return sin2(a) / (F.lit(1.0) + F.cos(a * (RAD / 2.0)))
 
-    hs = (
-        F.when(view.type_is("v"), tan2(h)).when(view.type_is("h"), sin2(h)).when(view.type_is("s"), plan(h))
-        .when(view.type_is("l"), h).otherwise(h * RAD)
-    )
-    vs = (
-        F.when(view.type_is("v") | view.type_is("c"), tan2(v)).when(view.type_is("h"), sin2(v))
-        .when(view.type_is("s"), plan(v)).when(view.type_is("l"), v).otherwise(v * RAD)
-    )
-    return hs, vs
-
-
-def direction(fx: Num, fy: Num, view: View) -> list[Column]:
-    """Unit direction at picture fractions (right, **up**, both from the lower left) for any view type; NULL outside."""
-    x = c(fx) + c(view.hoff) - 0.5
-    y = c(fy) + c(view.voff) - 0.5
-    hs, vs = _sizes(view)
-    px, py = x * hs, y * vs
-    one, zero = F.lit(1.0), F.lit(0.0)
-    r2 = px * px + py * py
-    # hemispherical
-    hz = F.when(r2 <= 1.0, F.sqrt(F.greatest(one - r2, zero)))
-    # perspective and cylindrical need normalising
-    vn = F.sqrt(one + r2)
-    cn = F.sqrt(one + py * py)
-    # angular: fractions of pi
-    ax, ay = x * c(view.vh) / 180.0, y * c(view.vv) / 180.0
-    ad = F.sqrt(ax * ax + ay * ay)
-    ar = F.when(ad <= 1e-6, F.lit(PI)).otherwise(F.sin(F.lit(PI) * ad) / ad)
-    a_ok = ad <= 1.0
-    # planisphere
-    sz = (one - r2) / (one + r2)
-    out = []
-    for par, per, hem, cyl, ang, pls in (
-        (zero, px / vn, px, F.sin(px) / cn, ax * ar, px * (one + sz)),
-        (one, one / vn, hz, F.cos(px) / cn, F.cos(F.lit(PI) * ad), sz),
-        (zero, py / vn, py, py / cn, ay * ar, py * (one + sz)),
-    ):
-        out.append(
-            F.when(view.type_is("l"), par)
-            .when(view.type_is("v"), per)
-            .when(view.type_is("h"), F.when(hz.isNotNull(), hem))
-            .when(view.type_is("c"), cyl)
-            .when(view.type_is("a"), F.when(a_ok, ang))
-            .when(view.type_is("s"), pls)
-        )
-    return out
+    return {
+        "v": (tan2(h), tan2(v)), "h": (sin2(h), sin2(v)), "c": (h * RAD, tan2(v)),
+        "a": (h / 180.0, v / 180.0), "s": (plan(h), plan(v)), "l": (h, v),
+    }[letter]
+
+
+def _ray(letter: str, p: Column, q: Column, k: Column) -> list[Column]:
+    """Direction from plane coordinates; ``k`` is the staged radial factor of the type."""
+    one = F.lit(1.0)
+    return {
+        "l": [F.lit(0.0), one, F.lit(0.0)],
+        "v": [p / k, one / k, q / k],
+        "h": [F.when(k.isNotNull(), p), k, F.when(k.isNotNull(), q)],
+        "c": [F.sin(p) / k, F.cos(p) / k, q / k],
+        "a": [p * k, F.cos(F.lit(PI) * F.sqrt(p * p + q * q)), q * k],
+        "s": [p * (one + k), k, q * (one + k)],
+    }[letter]
+
+
+def _radial(letter: str, p: Column, q: Column) -> Column:
+    one, r2 = F.lit(1.0), p * p + q * q
+    d = F.sqrt(r2)
+    return {
+        "l": one,
+        "v": F.sqrt(one + r2),
+        "h": F.when(r2 <= 1.0, F.sqrt(F.greatest(one - r2, F.lit(0.0)))),
+        "c": F.sqrt(one + q * q),
+        "a": F.when(d <= 1e-6, F.lit(PI)).when(d <= 1.0, F.sin(F.lit(PI) * d) / d),
+        "s": (one - r2) / (one + r2),
+    }[letter]
+
+
+TYPES = ("l", "v", "h", "c", "a", "s")
+
+
+def with_direction(
+    df: DataFrame, fx: Num, fy: Num, view: View, names: Sequence[str] = ("dx", "dy", "dz")
+) -> DataFrame:
+    """Add the unit direction at picture fractions (right, **up**, both from the lower left); NULL outside the view.
+
+    A literal view type plans only its own formula; a column type plans all six. Steps are separate projections, so no
+    sub-expression is repeated in the plan.
+    """
+    letters = [view.type] if view.literal_type and isinstance(view.type, str) else list(TYPES)
+
+    def pick(values: list[Column]) -> Column:
+        if len(values) == 1:
+            return values[0]
+        e = F.when(view.type_is(letters[0]), values[0])
+        for t, v in zip(letters[1:], values[1:]):
+            e = e.when(view.type_is(t), v)
+        return e
+
+    p, q, k = (f"_{names[0]}_{s}" for s in "pqk")
+    planes = [_plane(t, c(view.vh), c(view.vv)) for t in letters]
+    df = df.withColumns({
+        p: (c(fx) + c(view.hoff) - 0.5) * pick([a for a, _ in planes]),
+        q: (c(fy) + c(view.voff) - 0.5) * pick([b for _, b in planes]),
+    })
+    df = df.withColumn(k, pick([_radial(t, c(p), c(q)) for t in letters]))
+    rays = [_ray(t, c(p), c(q), c(k)) for t in letters]
+    return df.withColumns({n: pick([r[i] for r in rays]) for i, n in enumerate(names)}).drop(p, q, k)
 
 
-def pixel_direction(x: Num, y: Num, width: Num, height: Num, view: View) -> list[Column]:
-    """Direction of a pixel centre, rows counted from the top."""
-    return direction((c(x) + 0.5) / c(width), F.lit(1.0) - (c(y) + 0.5) / c(height), view)
+def with_pixel_direction(df: DataFrame, view: View, names: Sequence[str] = ("dx", "dy", "dz")) -> DataFrame:
+    """Direction of pixel centres, rows counted from the top."""
+    return with_direction(df, (c("x") + 0.5) / c("width"), F.lit(1.0) - (c("y") + 0.5) / c("height"), view, names)
 
 
 def to_world(d: Sequence[Column], vdir: Sequence[Num], vup: Sequence[Num]) -> list[Column]:
@@ -173,20 +188,32 @@ def angular_pixel(d: Sequence[Num], width: Num, height: Num) -> tuple[Column, Co
     return F.when(ok, F.floor(fx + 0.5).cast("int")), F.when(ok, F.floor(fy + 0.5).cast("int"))
 
 
-def quad_solid_angle(x: Num, y: Num, width: Num, height: Num, view: View) -> Column:
-    """Exact solid angle of the spherical quadrilateral spanned by the four corner rays; 0 when a corner has no ray."""
-    w, h = c(width), c(height)
-    x0, x1 = c(x) / w, (c(x) + 1.0) / w
-    top, bottom = F.lit(1.0) - c(y) / h, F.lit(1.0) - (c(y) + 1.0) / h
-    corners = [direction(p, q, view) for p, q in ((x0, bottom), (x0, top), (x1, top), (x1, bottom))]
-    normals = []
+def with_quad_solid_angle(df: DataFrame, view: View, name: str = "omega") -> DataFrame:
+    """Add the exact solid angle of the spherical quadrilateral between the four corner rays; 0 when a corner has no ray."""
+    w, h = c("width"), c("height")
+    x0, x1 = c("x") / w, (c("x") + 1.0) / w
+    top, bottom = F.lit(1.0) - c("y") / h, F.lit(1.0) - (c("y") + 1.0) / h
+    drop = []
+    for i, (px, py) in enumerate(((x0, bottom), (x0, top), (x1, top), (x1, bottom))):
+        names = [f"_q{i}{j}" for j in range(3)]
+        df = with_direction(df, px, py, view, names)
+        drop += names
+    normals = {}
     for i in range(4):
-        a, b = corners[i], corners[(i + 1) % 4]
-        normals.append(unit(cross(a, [q - p for p, q in zip(a, b)])))
+        a, b = ([c(f"_q{k}{j}") for j in range(3)] for k in (i, (i + 1) % 4))
+        normals.update({f"_n{i}{j}": v for j, v in enumerate(cross(a, [q - p for p, q in zip(a, b)]))})
+    df = df.withColumns(normals)
+    lengths = {f"_l{i}": F.sqrt(dot([f"_n{i}{j}" for j in range(3)], [f"_n{i}{j}" for j in range(3)])) for i in range(4)}
+    df = df.withColumns(lengths)
     total = F.lit(-2.0 * PI)
     for i in range(4):
-        total = total + PI - F.acos(clamp(dot(normals[i], normals[(i + 1) % 4]), -1.0, 1.0))
-    return F.coalesce(F.when((total >= 0) & (total <= 2 * PI), total), F.lit(0.0))
+        k = (i + 1) % 4
+        d = dot([f"_n{i}{j}" for j in range(3)], [f"_n{k}{j}" for j in range(3)]) / F.nullif(c(f"_l{i}") * c(f"_l{k}"), F.lit(0.0))
+        total = total + PI - F.acos(clamp(d, -1.0, 1.0))
+    df = df.withColumn("_excess", total)
+    ok = (F.col("_excess") >= 0) & (F.col("_excess") <= 2 * PI)
+    df = df.withColumn(name, F.coalesce(F.when(ok, F.col("_excess")), F.lit(0.0)))
+    return df.drop("_excess", *drop, *normals, *lengths)
 
 
 def perspective_solid_angle(x: Num, y: Num, width: Num, height: Num, vh: Num, vv: Num) -> Column:

@@ -131,17 +131,19 @@ def rotate(pixels: DataFrame, degrees: float, channels: Sequence[str] = CHANNELS
     return _on_full_grid(pixels, gather(pixels, t, channels, keys), channels, keys)
 
 
-def newton_inverse(coefficients: Sequence[float], target: Column, steps: int = 4) -> Column:
-    """u in [0, 1] with Σ kᵢ·uⁱ⁺¹ = target by unrolled Newton steps."""
-    u = F.greatest(F.lit(0.0), F.least(F.lit(1.0), target))
+def with_newton_inverse(df: DataFrame, coefficients: Sequence[float], target: str, name: str, steps: int = 4) -> DataFrame:
+    """Add u in [0, 1] with Σ kᵢ·uⁱ⁺¹ = target: unrolled Newton steps, each its own projection."""
+    df = df.withColumn(name, F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col(target))))
+    u = F.col(name)
     for _ in range(steps):
         value, slope = F.lit(0.0), F.lit(0.0)
         for i, k in reversed(list(enumerate(coefficients))):
             value = (value + F.lit(k)) * u
             slope = slope * u + F.lit((i + 1) * k)
-        u = F.when(F.abs(slope) > 1e-14, u - (value - target) / slope).otherwise(u)
-        u = F.greatest(F.lit(0.0), F.least(F.lit(1.0), u))
-    return u
+        df = df.withColumns({"_value": value, "_slope": slope})
+        step = F.when(F.abs("_slope") > 1e-14, (F.col("_value") - F.col(target)) / F.col("_slope")).otherwise(F.lit(0.0))
+        df = df.withColumn(name, F.greatest(F.lit(0.0), F.least(F.lit(1.0), u - step)))
+    return df.drop("_value", "_slope")
 
 
 def reproject(
@@ -163,7 +165,8 @@ def reproject(
         dx, dy = c("x") + 0.5 - w * 0.5, c("y") + 0.5 - h * 0.5
         radius = F.sqrt(dx * dx + dy * dy)
         if kind == "calibrated":
-            u = newton_inverse(coefficients, radius / target_radius)
+            grid = with_newton_inverse(grid.withColumn("_t", radius / target_radius), coefficients, "_t", "_u")
+            u = F.col("_u")
             valid = radius <= target_radius
         elif kind == "angle_polynomial":
             angle = radius / target_radius * (PI / 2)

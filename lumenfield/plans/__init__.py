@@ -1,6 +1,12 @@
 """Registered queries; importing the package fills the registry."""
 
-from lumenfield.plans import pixel_queries  # noqa: F401
-from lumenfield.plans.registry import ORACLE, QUERIES
+from lumenfield.plans import (  # noqa: F401
+    bracket_queries,
+    pixel_queries,
+    region_queries,
+)
+from lumenfield.plans.registry import ORACLE, QUERIES, build_oracle
+
+build_oracle()
 
 __all__ = ["ORACLE", "QUERIES"]

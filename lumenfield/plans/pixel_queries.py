@@ -6,10 +6,8 @@ from pyspark.sql import functions as F
 
 from lumenfield.functions import colour as C
 from lumenfield.functions import geometry as G
-from lumenfield.functions.numeric import c, weighted_mean
+from lumenfield.functions.numeric import c
 from lumenfield.operators import geometry as OG
-from lumenfield.operators import ranking as R
-from lumenfield.operators import regions as RG
 from lumenfield.operators import stats as S
 from lumenfield.plans import fixtures as X
 from lumenfield.plans.registry import query
@@ -125,11 +123,7 @@ def co2(spark, sf):
     m = [c(0.8) + F.lit(0.01) * (F.col("image_id") % 5)] + [c(v) for v in CAM[1:]]
     out = None
     for t in ("rad", "srgb", "xyz"):
-        k = C.camera_to_target(m, t)
-        part = prof.select(
-            "image_id", F.lit(t).alias("target"), *[v.alias(f"k{i}") for i, v in enumerate(k["matrix"])],
-            *[v.alias(f"l{i}") for i, v in enumerate(k["luminance"])], *[v.alias(f"w{i}") for i, v in enumerate(k["white"])],
-        )
+        part = C.with_camera_matrices(prof.withColumn("target", F.lit(t)), m, t)
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -263,11 +257,6 @@ def co9(spark, sf):
     )
 
 
-_D = {
-    "l": ("0e0", "1e0", "0e0"),
-}
-
-
 # --- geometry ---
 
 
@@ -363,8 +352,7 @@ def _typed(df):
 def ge2(spark, sf):
     df = _typed(X.px(spark, sf))
     v = G.View(F.col("vtype"), "vh", "vv", literal_type=False)
-    d = G.pixel_direction("x", "y", "width", "height", v)
-    return df.select("image_id", "y", "x", *[e.alias(n) for e, n in zip(d, ("dx", "dy", "dz"))])
+    return G.with_pixel_direction(df, v).select("image_id", "y", "x", "dx", "dy", "dz")
 
 
 @query(
@@ -420,7 +408,7 @@ def _ge6_sql():
 @query("ge6_quad_solid_angle", _ge6_sql(), "px", "omega")
 def ge6(spark, sf):
     v = G.View("v", 60.0, 45.0)
-    return X.px(spark, sf).select("image_id", "y", "x", G.quad_solid_angle("x", "y", "width", "height", v).alias("omega"))
+    return G.with_quad_solid_angle(X.px(spark, sf), v).select("image_id", "y", "x", "omega")
 
 
 def _corner(x, y):
@@ -685,16 +673,16 @@ view("lan96", _resample_sql(96, "lanczos"))
 
 @query(
     "ge20_resample",
-    """SELECT image_id, 'tent' filter, tb.t y, ta.t x, sum(g*ta.wt*tb.wt) g FROM px JOIN tent40 ta ON ta.s=x JOIN tent40 tb ON tb.s=y GROUP BY ALL
+    """SELECT image_id, 'tent' kind, tb.t y, ta.t x, sum(g*ta.wt*tb.wt) g FROM px JOIN tent40 ta ON ta.s=x JOIN tent40 tb ON tb.s=y GROUP BY ALL
        UNION ALL SELECT image_id, 'lanczos', tb.t y, ta.t x, sum(g*ta.wt*tb.wt) g FROM px JOIN lan96 ta ON ta.s=x JOIN lan96 tb ON tb.s=y GROUP BY ALL""",
     "px tent40 lan96",
     "g",
 )
 def ge20(spark, sf):
     px = X.px(spark, sf)
-    a = OG.resample(px, (64, 64), (40, 40), "tent", ("g",)).withColumn("filter", F.lit("tent"))
-    b = OG.resample(px, (64, 64), (96, 96), "lanczos", ("g",)).withColumn("filter", F.lit("lanczos"))
-    return a.unionByName(b).select("image_id", "filter", "y", "x", "g")
+    a = OG.resample(px, (64, 64), (40, 40), "tent", ("g",)).withColumn("kind", F.lit("tent"))
+    b = OG.resample(px, (64, 64), (96, 96), "lanczos", ("g",)).withColumn("kind", F.lit("lanczos"))
+    return a.unionByName(b).select("image_id", "kind", "y", "x", "g")
 
 
 # ten breakpoints that leave both ends to extrapolation

@@ -18,6 +18,7 @@ Run = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Run] = {}
 ORACLE: dict[str, str] = {}
+_TEXT: dict[str, tuple[str, str]] = {}
 
 
 def _digits(spec: str | dict[str, int] | None) -> dict[str, int]:
@@ -58,7 +59,13 @@ def query(name: str, sql: str | None = None, views: str = "", dbl: str | dict[st
             if digits:
                 rep = ", ".join(f"round({k}, {n}) + 0e0 AS {k}" for k, n in digits.items())
                 text = f"SELECT * REPLACE ({rep}) FROM ({sql})"
-            ORACLE[name] = with_clause(views) + text
+            _TEXT[name] = (views, text)
         return fn
 
     return register
+
+
+def build_oracle() -> None:
+    """Fill ``ORACLE`` once every module has declared its views."""
+    for name, (views, text) in _TEXT.items():
+        ORACLE[name] = with_clause(views) + text
