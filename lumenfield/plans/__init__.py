@@ -4,6 +4,7 @@ from lumenfield.plans import (  # noqa: F401
     bracket_queries,
     pixel_queries,
     region_queries,
+    source_queries,
 )
 from lumenfield.plans.registry import ORACLE, QUERIES, build_oracle
 
