@@ -248,11 +248,19 @@ def sight_angles(d: Sequence[Num]) -> dict[str, Column]:
 DEG = 180.0 / 3.1415927
 
 
-def position_index(d: Sequence[Num], model: str = "guth") -> Column:
-    """Guth position index with the Iwata form below the line of sight, capped at 16; ``kim`` for the other model."""
-    a = sight_angles(d)
-    tau, sigma = a["tau"] * DEG, a["sigma"] * DEG
-    phi = F.when(a["phi"] == 0, F.lit(1e-5)).otherwise(a["phi"])
+def with_position_index(df: DataFrame, name: str = "pos", model: str = "guth", d: Sequence[Num] = ("dx", "dy", "dz")) -> DataFrame:
+    """Add the Guth position index with the Iwata form below the line of sight, capped at 16; ``kim`` for the other model.
+
+    Angles are a projection of their own, so the formula stays small in the plan.
+    """
+    df = df.withColumns({f"_{name}_{k}": v for k, v in sight_angles(d).items()})
+    out = df.withColumn(name, _position_index(*[F.col(f"_{name}_{k}") for k in ("sigma", "tau", "phi")], model))
+    return out.drop(*[f"_{name}_{k}" for k in ("sigma", "tau", "phi")])
+
+
+def _position_index(sigma_rad: Column, tau_rad: Column, phi: Column, model: str) -> Column:
+    tau, sigma = tau_rad * DEG, sigma_rad * DEG
+    phi = F.when(phi == 0, F.lit(1e-5)).otherwise(phi)
     t2, t3 = tau * tau, tau * tau * tau
     if model == "kim":
         # Coefficients of the published formula.
@@ -263,16 +271,16 @@ def position_index(d: Sequence[Num], model: str = "guth") -> Column:
         (F.lit(35.2) - F.lit(0.31889) * tau - F.lit(1.22) * F.exp(F.lit(-2.0) * tau / 9.0)) / 1000.0 * sigma
         + (F.lit(21.0) + F.lit(0.26667) * tau - F.lit(0.002963) * t2) / 100000.0 * sigma * sigma
     )
-    ct = F.cos(a["tau"])
-    beta = F.atan(F.tan(a["sigma"]) * F.sqrt(F.lit(1.0) + F.lit(0.3225) * ct * ct)) * DEG
+    ct = F.cos(tau_rad)
+    beta = F.atan(F.tan(sigma_rad) * F.sqrt(F.lit(1.0) + F.lit(0.3225) * ct * ct)) * DEG
     below = F.exp(F.lit(6.49) / 1000.0 * beta + F.lit(21.0) / 100000.0 * beta * beta)
     return F.least(F.lit(16.0), F.when(phi < 0, below).otherwise(above))
 
 
-def field_cut(d: Sequence[Num], mode: str = "both_eyes") -> Column:
-    """True where a pixel lies outside the field of view: ``both_eyes`` or ``central``."""
-    a = sight_angles(d)
-    sigma, tau, phi = a["sigma"] * DEG, a["tau"] * DEG, a["phi"] * DEG
+def with_field_cut(df: DataFrame, name: str = "cut", mode: str = "both_eyes", d: Sequence[Num] = ("dx", "dy", "dz")) -> DataFrame:
+    """Add True where a pixel lies outside the field of view: ``both_eyes`` or ``central``."""
+    df = df.withColumns({f"_{name}_{k}": v * DEG for k, v in sight_angles(d).items()})
+    sigma, tau, phi = (F.col(f"_{name}_{k}") for k in ("sigma", "tau", "phi"))
     t = F.lit(180.0) - tau
     # Fitted border curves of the human field of view.
     if mode == "both_eyes":
@@ -280,8 +288,10 @@ def field_cut(d: Sequence[Num], mode: str = "both_eyes") -> Column:
         low = F.lit(1.0) / (
             F.lit(-0.014699242) - F.lit(1.5541106e-5) * t + F.lit(4.6898068e-6) * t * t - F.lit(5.1539687e-8) * t * t * t
         )
-        return F.when(phi > 0, sigma > up * up).otherwise((-sigma < low) & (tau > 135.0))
-    low = (F.lit(68.227109) - F.lit(2.9524084) * t + F.lit(0.046674262) * t * t) / (
-        F.lit(1.0) - F.lit(0.042317294) * t + F.lit(0.00075698419) * t * t - F.lit(6.5364285e-7) * t * t * t
-    )
-    return F.when(phi > 0, sigma > 60.0).otherwise(sigma > F.when(t > 73.0, F.lit(60.0)).otherwise(low))
+        cut = F.when(phi > 0, sigma > up * up).otherwise((-sigma < low) & (tau > 135.0))
+    else:
+        low = (F.lit(68.227109) - F.lit(2.9524084) * t + F.lit(0.046674262) * t * t) / (
+            F.lit(1.0) - F.lit(0.042317294) * t + F.lit(0.00075698419) * t * t - F.lit(6.5364285e-7) * t * t * t
+        )
+        cut = F.when(phi > 0, sigma > 60.0).otherwise(sigma > F.when(t > 73.0, F.lit(60.0)).otherwise(low))
+    return df.withColumn(name, cut).drop(*[f"_{name}_{k}" for k in ("sigma", "tau", "phi")])

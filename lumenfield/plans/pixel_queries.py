@@ -464,10 +464,8 @@ view(
     "guth kim",
 )
 def ge9(spark, sf):
-    d = ("dx", "dy", "dz")
-    return X.geo_valid(spark, sf).select(
-        "image_id", "y", "x", G.position_index(d).alias("guth"), G.position_index(d, "kim").alias("kim")
-    )
+    g = G.with_position_index(X.geo_valid(spark, sf), "guth")
+    return G.with_position_index(g, "kim", "kim").select("image_id", "y", "x", "guth", "kim")
 
 
 _UP = "(7.7458218e0+0.00057407915e0*tau-0.00021746318e0*tau*tau+8.5572726e-6*tau*tau*tau)"
@@ -485,10 +483,8 @@ _LOC = "(CASE WHEN t>73 THEN 60e0 ELSE (68.227109e0-2.9524084e0*t+0.046674262e0*
     "weighted:4",
 )
 def ge10(spark, sf):
-    d = ("dx", "dy", "dz")
-    df = X.geo_valid(spark, sf).withColumns({
-        "b": G.field_cut(d), "cen": G.field_cut(d, "central"), "p": G.position_index(d)
-    })
+    df = G.with_position_index(X.geo_valid(spark, sf), "p")
+    df = G.with_field_cut(G.with_field_cut(df, "b"), "cen", "central")
     return df.groupBy("image_id").agg(
         F.count("*").alias("n_px"), F.count_if("b").alias("cut_both"), F.count_if("cen").alias("cut_central"),
         F.sum(F.col("lum") / F.col("p") * F.col("omega")).alias("weighted"),

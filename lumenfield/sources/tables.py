@@ -118,9 +118,9 @@ DETAIL = (
 )
 
 
-def summary_line(columns: Sequence[str] = SUMMARY) -> Column:
-    """``name,name,…: value value …`` with six decimals; undefined values print −99."""
-    fmt = ",".join(columns) + ": " + " ".join(["%.6f"] * len(columns))
+def summary_line(columns: Sequence[str] = SUMMARY, decimals: int = 6) -> Column:
+    """``name,name,…: value value …`` with fixed decimals; undefined values print −99."""
+    fmt = ",".join(columns) + ": " + " ".join([f"%.{decimals}f"] * len(columns))
     return F.format_string(fmt, *[F.coalesce(F.col(k), F.lit(-99.0)) for k in columns])
 
 
