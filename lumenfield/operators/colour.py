@@ -48,9 +48,13 @@ def display_range(pixels: DataFrame, value: str = "lum", keys: Sequence[str] = (
     return p.withColumn("lo", F.greatest("lo", F.col("hi") / 1e4))
 
 
-def tone_preview(pixels: DataFrame, value: str = "lum", percent: float = 0.99, keys: Sequence[str] = ("image_id",)) -> DataFrame:
-    """8-bit preview: values over the given percentile saturate, then display encoding."""
+def tone_preview(pixels: DataFrame, keys: Sequence[str] = ("image_id",)) -> DataFrame:
+    """8-bit preview: the 90th percentile of positive luminance goes to 0.8, then x/(1+x) and display encoding."""
     keys = list(keys)
-    p = R.percentiles(pixels, keys, value, {"_top": ("linear", percent)}).select(*keys, "_top")
-    v = F.col(value) / F.greatest("_top", F.lit(1e-12))
-    return pixels.join(p, keys).withColumn("display", F.floor(C.srgb_encode(v) * 255.0 + 0.5).cast("int")).drop("_top")
+    # Luminance row of the preview.
+    lum = F.lit(0.2126) * F.col("r") + F.lit(0.7152) * F.col("g") + F.lit(0.0722) * F.col("b")
+    p = R.percentiles(pixels.withColumn("_l", lum).filter("_l > 1e-8"), keys, "_l", {"_ref": ("linear", 0.9)}).select(*keys, "_ref")
+    d = pixels.join(p, keys, "left").withColumns({f"_s{ch}": F.greatest(F.col(ch), F.lit(0.0)) * 0.8 / F.greatest("_ref", F.lit(1e-8)) for ch in C.RGB})
+    d = d.withColumns({f"_m{ch}": F.col(f"_s{ch}") / (F.col(f"_s{ch}") + 1.0) for ch in C.RGB})
+    out = {f"{ch}8": F.coalesce(F.rint(C.srgb_encode(F.col(f"_m{ch}")) * 255.0).cast("int"), F.lit(0)) for ch in C.RGB}
+    return d.withColumns(out).drop("_ref", *[f"_{k}{ch}" for k in "sm" for ch in C.RGB])

@@ -121,7 +121,7 @@ def local_mean(df: DataFrame, value: str, radius: int, name: str = "local", keys
 
 def contrast_proxy(df: DataFrame, ppd: float, sensitivity: float, value: str = "lum", keys: Sequence[str] = KEYS) -> DataFrame:
     """max(0, |log10 L − log10 local mean| − 10^(s−2)); the box follows the pixels per degree."""
-    radius = max(1, min(12, math.floor(ppd / 24.0 + 0.5)))
+    radius = max(1, min(12, math.floor(max(1.0, ppd) / 24.0 + 0.5)))
     floor = 1e-6
     d = local_mean(df, value, radius, "_local", keys)
     diff = F.abs(F.log10(F.greatest(F.col(value), F.lit(floor))) - F.log10(F.greatest(F.col("_local"), F.lit(floor))))
@@ -133,10 +133,13 @@ def box_sum3(df: DataFrame, value: str, name: str = "mean3", keys: Sequence[str]
     return separable(df, {"_s": F.sum(value)}, {"_s2": F.sum("_s")}, (1, 1), keys).withColumn(name, F.col("_s2") / 9.0).drop("_s2")
 
 
-def power_pool(df: DataFrame, value: str, size: int, power: float, name: str = "pooled", keys: Sequence[str] = KEYS) -> DataFrame:
-    """(mean |v|^p)^(1/p) over size × size, frame-clipped."""
-    d = df.withColumn("_p", F.pow(F.abs(value), F.lit(float(power))))
-    return box_mean(d, "_p", size, "_m", "clip", keys).withColumn(name, F.pow("_m", F.lit(1.0 / power))).drop("_p", "_m")
+def power_pool(df: DataFrame, value: str, size: int, norm: float, name: str = "pooled", keys: Sequence[str] = KEYS) -> DataFrame:
+    """(Σ max(v, 0)^p / size²)^(1/p) with p = 10^norm; pixels outside the frame count as zero."""
+    p = 10.0**norm
+    r = size // 2
+    d = df.withColumn("_p", F.pow(F.greatest(F.col(value), F.lit(0.0)), F.lit(p)))
+    d = separable(d, {"_s": F.sum("_p")}, {"_s2": F.sum("_s")}, (r, r), keys)
+    return d.withColumn(name, F.pow(F.col("_s2") / float(size * size), F.lit(1.0 / p))).drop("_p", "_s2")
 
 
 def gaussian_kernel(sigma: float, radius: int) -> np.ndarray:
@@ -187,31 +190,54 @@ def moving_average(df: DataFrame, by: Sequence[str], order: str, value: str, rad
     return df.withColumn(name, F.avg(value).over(W.partitionBy(*by).orderBy(order).rowsBetween(-radius, radius)))
 
 
-def relax(df: DataFrame, channels: Sequence[str], hole: Column, sweeps: int = 160, keys: Sequence[str] = KEYS, save_every: int = 20) -> DataFrame:
-    """Fill pixels where ``hole`` holds by repeated weighted means of the eight neighbours (diagonals 1/√2).
+def relax(df: DataFrame, channels: Sequence[str], hole: Column, sweeps: int = 160, keys: Sequence[str] = KEYS, per_round: int = 20) -> DataFrame:
+    """Fill pixels where ``hole`` holds by repeated weighted means of the eight neighbours (diagonals 1/√2), all from the previous sweep.
 
-    Only hole pixels and their rim take part in a sweep; state is saved reliably every ``save_every`` sweeps.
+    A tile with a halo of ``per_round`` pixels can run that many sweeps on its own, so 160 sweeps need eight exchanges instead of 160.
+    Only tiles that hold holes take part; state is saved reliably after every round.
     """
-    keys = list(keys)
+    keys, channels = list(keys), list(channels)
     state = df.withColumn("_hole", hole)
-    offs = [(dy, dx, 1.0 if dy == 0 or dx == 0 else math.sqrt(0.5)) for dy in (-1, 0, 1) for dx in (-1, 0, 1) if (dy, dx) != (0, 0)]
-    sends = F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx"), F.lit(wt).alias("wt")) for dy, dx, wt in offs])
-    holes = state.filter("_hole").select(*keys, "y", "x")
-    rim = (
-        holes.select(*keys, F.col("y").alias("_y"), F.col("x").alias("_x"), F.inline(sends))
-        .select(*keys, (F.col("_y") + F.col("dy")).alias("y"), (F.col("_x") + F.col("dx")).alias("x")).distinct()
-    )
-    work = cut_lineage(state.join(rim.unionByName(holes).distinct(), [*keys, "y", "x"], "left_semi").select(*keys, "y", "x", "_hole", *channels))
-    targets = cut_lineage(holes)
-    for i in range(1, sweeps + 1):
-        sent = work.select(*keys, F.col("y").alias("_y"), F.col("x").alias("_x"), *channels, F.inline(sends))
-        sent = sent.select(*keys, (F.col("_y") + F.col("dy")).alias("y"), (F.col("_x") + F.col("dx")).alias("x"), "wt", *channels)
-        new = sent.join(targets, [*keys, "y", "x"], "left_semi").groupBy(*keys, "y", "x").agg(
-            *[(F.sum(F.col(ch) * F.col("wt")) / F.sum("wt")).alias(ch) for ch in channels]
-        )
-        work = work.filter("not _hole").unionByName(new.withColumn("_hole", F.lit(True)))
-        if i % save_every == 0 or i == sweeps:
-            work = cut_lineage(work)
+    tile = max(TILE, 4 * per_round)
+    at = {"_ty": F.floor(F.col("y") / tile).cast("int"), "_tx": F.floor(F.col("x") / tile).cast("int")}
+    where = [*keys, "_ty", "_tx"]
+    # distinct tiles with holes: at most one row per tile of the archive
+    busy = cut_lineage(state.filter("_hole").withColumns(at).select(*where).distinct())
+    cols = [*keys, "y", "x", "width", "height", "_hole", *channels]
+    small = state.select(*cols)
+    rest = small.withColumns(at).join(busy, where, "left_anti").drop("_ty", "_tx")
+    work = small.withColumns(at).join(busy, where, "left_semi").drop("_ty", "_tx")
+    schema = T.StructType([small.schema[k] for k in cols])
+    steps = [(dy, dx, 1.0 if dy == 0 or dx == 0 else math.sqrt(0.5)) for dy in (-1, 0, 1) for dx in (-1, 0, 1) if (dy, dx) != (0, 0)]
+
+    def run(count: int):
+        def fill(pdf: pd.DataFrame) -> pd.DataFrame:
+            ty, tx, size = int(pdf["_ty"].iloc[0]), int(pdf["_tx"].iloc[0]), int(pdf["_tile"].iloc[0])
+            n = size + 2 * per_round + 2
+            iy, ix = (pdf["y"] - ty * size + per_round + 1).to_numpy(), (pdf["x"] - tx * size + per_round + 1).to_numpy()
+            has, hol = np.zeros((n, n)), np.zeros((n, n), bool)
+            has[iy, ix], hol[iy, ix] = 1.0, pdf["_hole"].to_numpy()
+            shift = lambda m, dy, dx: np.roll(m, (-dy, -dx), (0, 1))
+            weight = sum(shift(has, dy, dx) * w for dy, dx, w in steps)
+            out = pdf.copy()
+            for ch in channels:
+                m = np.zeros((n, n))
+                m[iy, ix] = pdf[ch].to_numpy()
+                ok = hol & (weight > 0)
+                for _ in range(count):
+                    m = np.where(ok, sum(shift(m, dy, dx) * w for dy, dx, w in steps) / np.where(weight > 0, weight, 1.0), m)
+                out[ch] = m[iy, ix]
+            own = (pdf["y"] // size == ty) & (pdf["x"] // size == tx)
+            return out.loc[own, cols]
+
+        return fill
+
+    done = 0
+    while done < sweeps:
+        count = min(per_round, sweeps - done)
+        t = tiles(work.unionByName(rest), (per_round, per_round), keys, tile=tile).join(busy, where, "left_semi")
+        work = cut_lineage(t.groupBy(*where).applyInPandas(run(count), schema))
+        done += count
     filled = work.filter("_hole").select(*keys, "y", "x", *[F.col(ch).alias(f"_f_{ch}") for ch in channels])
     out = state.join(filled, [*keys, "y", "x"], "left")
     return out.withColumns({ch: F.coalesce(f"_f_{ch}", ch) for ch in channels}).select(*df.columns)

@@ -2,6 +2,7 @@
 
 from lumenfield.plans import (  # noqa: F401
     bracket_queries,
+    compare_queries,
     glare_queries,
     pixel_queries,
     region_queries,

@@ -478,12 +478,14 @@ def hd8(spark, sf):
 
 @query(
     "co12_tone_preview",
-    """SELECT image_id, y, x, floor(CASE WHEN q<=0.0031308e0 THEN q*12.92e0 ELSE 1.055e0*pow(q,1e0/2.4e0)-0.055e0 END*255e0+0.5e0)::INT display FROM
-        (SELECT *, greatest(0e0,least(1e0,lum/greatest(top,1e-12))) q FROM lum JOIN (SELECT image_id, quantile_cont(lum,0.99) top FROM lum GROUP BY image_id) USING (image_id))""",
-    "lum",
+    "SELECT image_id, y, x, "
+    + ", ".join(f"round_even((CASE WHEN q{ch}<=0.0031308e0 THEN q{ch}*12.92e0 ELSE 1.055e0*pow(q{ch},1e0/2.4e0)-0.055e0 END)*255e0,0)::INT {ch}8" for ch in "rgb")
+    + " FROM (SELECT *, " + ", ".join(f"{ch}*0.8e0/ref/(1e0+{ch}*0.8e0/ref) q{ch}" for ch in "rgb")
+    + " FROM px JOIN (SELECT image_id, quantile_cont(0.2126e0*r+0.7152e0*g+0.0722e0*b, 0.9) ref FROM px GROUP BY image_id) USING (image_id))",
+    "px",
 )
 def co12(spark, sf):
-    return OC.tone_preview(X.lum(spark, sf)).select(*PXK, "display")
+    return OC.tone_preview(X.px(spark, sf)).select(*PXK, "r8", "g8", "b8")
 
 
 @query(
