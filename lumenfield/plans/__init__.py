@@ -1,6 +1,7 @@
 """Registered queries; importing the package fills the registry."""
 
 from lumenfield.plans import (  # noqa: F401
+    analysis_queries,
     bracket_queries,
     compare_queries,
     glare_queries,
