@@ -185,12 +185,14 @@ def fill_near_source(pixels: DataFrame, band_px: float, keys: Sequence[str] = KE
     where = [*keys, "_ty", "_tx"]
     ring = ok.filter((F.col("near") > low) & (F.col("near") < 0.5)).select(*keys, *D, *channels)
     sent = ring.join(targets.select(*where).distinct(), keys)
+    # fresh column identities, as both sides stem from the same pixels
+    sent = sent.select(*[F.col(k).alias(f"_s_{k}") for k in sent.columns])
     schema = T.StructType([*[pixels.schema[k] for k in keys], T.StructField("y", T.IntegerType()), T.StructField("x", T.IntegerType()), *[T.StructField(f"_f{ch}", T.DoubleType()) for ch in channels]])
 
     def fill(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
             return pd.DataFrame({f.name: [] for f in schema.fields})
-        seeds, vals = right[list(D)].to_numpy(), right[channels].to_numpy()
+        seeds, vals = right[[f"_s_{d}" for d in D]].to_numpy(), right[[f"_s_{ch}" for ch in channels]].to_numpy()
         k = min(most, max(1, int(len(seeds) * 0.2)))
         out = np.empty((len(left), len(channels)))
         goal = left[list(D)].to_numpy()
@@ -206,7 +208,7 @@ def fill_near_source(pixels: DataFrame, band_px: float, keys: Sequence[str] = KE
             res[f"_f{ch}"] = out[:, i]
         return res
 
-    f = targets.groupBy(*where).cogroup(sent.groupBy(*where)).applyInPandas(fill, schema)
+    f = targets.groupBy(*where).cogroup(sent.groupBy(*[f"_s_{k}" for k in where])).applyInPandas(fill, schema)
     d = pixels.join(f, [*keys, "y", "x"], "left")
     m = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("near")))
     out = {ch: F.when(F.col(f"_f{ch}").isNotNull(), F.col(ch) * (F.lit(1.0) - m) + F.col(f"_f{ch}") * m).otherwise(F.col(ch)) for ch in channels}

@@ -8,6 +8,7 @@ from lumenfield.plans import (  # noqa: F401
     pixel_queries,
     region_queries,
     source_queries,
+    stream_queries,
     sun_queries,
 )
 from lumenfield.plans.registry import ORACLE, QUERIES, build_oracle
