@@ -19,7 +19,7 @@ PLAIN_WEIGHTS = (0.265074126, 0.670114631, 0.064811243)
 
 
 def _strip(v: Column) -> Column:
-    return F.regexp_replace(v, r"^\s+|\s+$", "")
+    return F.trim(v, F.lit(" \t\r\n"))
 
 
 def describe(images: DataFrame, lines: str = "header_lines", name: str = "header") -> DataFrame:
@@ -29,28 +29,37 @@ def describe(images: DataFrame, lines: str = "header_lines", name: str = "header
     copied header are taken. Works inside each row, without a shuffle.
     """
 
-    def parse(line: Column, pos: Column) -> Column:
-        body = F.regexp_replace(line, r"^[ \t]+", "")
+    def indent(line: Column, pos: Column) -> Column:
+        body = F.ltrim(line, F.lit(" \t"))
+        return F.struct(pos.alias("pos"), (F.length(line) - F.length(body)).alias("depth"), body.alias("body"))
+
+    def parse(e: Column) -> Column:
+        at = F.instr(e["body"], F.lit("="))
         return F.struct(
-            pos.alias("pos"), (F.length(line) - F.length(body)).alias("depth"), body.alias("body"),
-            _strip(F.substring_index(body, "=", 1)).alias("key"), _strip(F.regexp_replace(body, r"^[^=]*=", "")).alias("value"),
+            _strip(F.substr(e["body"], F.lit(1), at - 1)).alias("key"), e["pos"].alias("pos"), e["depth"].alias("depth"), _strip(F.substr(e["body"], at + 1)).alias("value")
         )
 
-    d = images.withColumn("_all", F.filter(
-        F.transform(lines, parse), lambda e: e["body"].contains("=") & ~e["body"].startswith("#") & (F.length(e["key"]) > 0)
-    ))
+    d = images.withColumn("_b", F.transform(lines, indent))
+    d = d.withColumn("_b", F.filter("_b", lambda e: e["body"].contains("=") & ~e["body"].startswith("#")))
+    d = d.withColumn("_all", F.transform("_b", parse))
     d = d.withColumns({
-        "_top": F.filter("_all", lambda e: e["depth"] == 0),
+        "_top": F.filter("_all", lambda e: (e["depth"] == 0) & (e["key"] != "")),
         "_copied": F.filter("_all", lambda e: (e["depth"] > 0) & e["key"].isin(*COLOUR_KEYS)),
     })
     d = d.withColumn("_near", F.array_min(F.transform("_copied", lambda e: e["depth"])))
     d = d.withColumn("_take", F.when(
         F.exists("_top", lambda e: e["key"].isin(*COLOUR_KEYS)), F.col("_top")
     ).otherwise(F.concat("_top", F.filter("_copied", lambda e: e["depth"] == F.col("_near")))))
-    last = F.filter("_take", lambda e: ~F.exists("_take", lambda o: (o["key"] == e["key"]) & (o["pos"] > e["pos"])))
-    d = d.withColumn("_last", last)
-    entries = F.transform("_last", lambda e: F.struct(e["key"], e["value"]))
-    return d.withColumn(name, F.map_from_entries(entries)).drop("_all", "_top", "_copied", "_near", "_take", "_last")
+    # sorted by (key, position): the last of each run of equal keys counts
+    d = d.withColumn("_take", F.array_sort("_take")).withColumn("_n", F.size("_take"))
+    last = F.filter("_take", lambda e, i: (i == F.col("_n") - 1) | (F.get("_take", i + 1)["key"] != e["key"]))
+    d = d.withColumn(name, F.map_from_entries(F.transform(last, lambda e: F.struct(e["key"], e["value"]))))
+    return d.drop("_b", "_all", "_top", "_copied", "_near", "_take", "_n")
+
+
+def header_rows(images: DataFrame, keys: Sequence[str] = ("image_id",), name: str = "header") -> DataFrame:
+    """(keys, key, value) rows. The outer form of explode keeps Spark from testing the map in a filter first, which would build it twice."""
+    return images.select(*keys, F.explode_outer(name)).filter("key is not null")
 
 
 def number(text: Column) -> Column:

@@ -93,7 +93,7 @@ def luminance_distribution(df: DataFrame, keys: Sequence[str] = ("image_id",), v
     even = F.transform(F.sequence(first, last), lambda i: F.floor(i.cast("double") / (m - 1).cast("double") * n1 + 0.5))
     extra = F.transform(F.array(*[F.lit(q) for q in EXTRA_POINTS]), lambda q: F.floor(q * n1 + 0.5))
     idx = F.array_distinct(F.filter(F.concat(even, extra), lambda i: (i >= F.col("lo")) & (i <= hi)))
-    out = ranks.withColumn("idx", F.explode(idx))
+    out = ranks.withColumn("idx", F.explode_outer(idx)).filter("idx is not null")
     return out.select(*keys, "idx", (F.col("idx") / F.nullif(n1, F.lit(0.0))).alias("q"), F.col(value).alias("v"))
 
 

@@ -52,8 +52,8 @@ def tiles(df: DataFrame, halo: tuple[int, int], keys: Sequence[str] = KEYS, edge
     tile = max(tile, 2 * (a + b))
     d = df
     if edge != "clip":
-        d = d.withColumn("_py", F.explode(_axis_copies("y", "height", b, a, edge)))
-        d = d.withColumn("_px", F.explode(_axis_copies("x", "width", b, a, edge)))
+        d = d.withColumn("_py", F.explode_outer(_axis_copies("y", "height", b, a, edge)))
+        d = d.withColumn("_px", F.explode_outer(_axis_copies("x", "width", b, a, edge)))
     else:
         d = d.withColumns({"_py": F.col("y"), "_px": F.col("x")})
 
@@ -63,7 +63,8 @@ def tiles(df: DataFrame, halo: tuple[int, int], keys: Sequence[str] = KEYS, edge
         hi = F.least(F.floor((F.col(size) - 1) / F.lit(float(tile))).cast("int"), F.floor((F.col(p) + b) / F.lit(float(tile))).cast("int"))
         return F.sequence(lo, hi)
 
-    d = d.withColumn("_ty", F.explode(reach("_py", "height"))).withColumn("_tx", F.explode(reach("_px", "width")))
+    # the lists are never empty; the outer form saves Spark from building them once more to test that
+    d = d.withColumn("_ty", F.explode_outer(reach("_py", "height"))).withColumn("_tx", F.explode_outer(reach("_px", "width")))
     return d.withColumn("_tile", F.lit(tile)).repartition(*[F.col(k) for k in keys], F.col("_ty"), F.col("_tx"))
 
 

@@ -78,7 +78,7 @@ view(
 
 @query("hd1_describing_values", "SELECT capture_id, k AS key, v AS value FROM hvals", "hvals")
 def hd1(spark, sf):
-    return H.describe(headers(spark, sf)).select("capture_id", F.explode("header"))
+    return H.header_rows(H.describe(headers(spark, sf)), ["capture_id"])
 
 
 @query(

@@ -1,6 +1,7 @@
 """Known answers, brute force on small fixtures and invariants."""
 
 import math
+import os
 
 import numpy as np
 import pandas as pd
@@ -438,6 +439,7 @@ def test_late_frames_are_dropped_and_counted(spark, tmp_path):
         spark.createDataFrame(pdf, schema).coalesce(1).write.parquet(str(tmp_path / f"p{n}"))
         for f in (tmp_path / f"p{n}").glob("part-*.parquet"):
             f.rename(src / f"{n}.parquet")
+            os.utime(src / f"{n}.parquet", (1.7e9 + 60 * n, 1.7e9 + 60 * n))
     stream = ST.read_captures(spark, str(src), spark.read.schema(schema).parquet(str(src)).schema, files_per_batch=1)
     table, q = ST.run_available(ST.window_stats(ST.observed(stream, "1 day"), "1 day", late=None))
     got = sorted(r["v_max"] for r in table.collect())
