@@ -62,6 +62,12 @@ def header_rows(images: DataFrame, keys: Sequence[str] = ("image_id",), name: st
     return images.select(*keys, F.explode_outer(name)).filter("key is not null")
 
 
+def values_of(images: DataFrame, key: str, keys: Sequence[str] = ("image_id",), name: str = "value", header: str = "header") -> DataFrame:
+    """(keys, value) of the pictures that declare ``key``. The generator keeps the test for NULL above the parsing steps; a plain
+    filter would be pushed through all of them and repeat their expressions."""
+    return images.select(*keys, F.explode_outer(F.array(F.col(header)[key])).alias(name)).filter(F.col(name).isNotNull())
+
+
 def number(text: Column) -> Column:
     """Leading number of a text, NULL when there is none."""
     return F.nullif(F.regexp_extract(text, r"^\s*([-+]?(\d+\.?\d*|\.\d+)([eE][-+]?\d+)?)", 1), F.lit("")).cast("double")

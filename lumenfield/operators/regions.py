@@ -8,6 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lumenfield.functions.geometry import View, equidistant
 from lumenfield.functions.numeric import c, dot, weighted_mean
 
 PX = ("image_id", "y", "x")
@@ -18,15 +19,17 @@ def rect(df: DataFrame, x0: int, y0: int, w: int, h: int) -> DataFrame:
     return df.filter(F.col("x").between(x0, x0 + w - 1) & F.col("y").between(y0, y0 + h - 1))
 
 
-def circle(df: DataFrame, centres: DataFrame, degrees: float, keys: Sequence[str] = ("image_id",)) -> DataFrame:
+def circle(df: DataFrame, centres: DataFrame, degrees: float, keys: Sequence[str] = ("image_id",), view: View = View()) -> DataFrame:
     """Pixels within ``degrees`` of the direction of each picture's centre pixel ``centres(keys, cy, cx)``.
 
-    Centres are one row per picture; the angle test compares cosines so no acos is evaluated per pixel.
+    Only the centres (one row per picture) are joined: their direction is a formula of the frame size. The angle test compares
+    cosines, so no acos is evaluated per pixel. Centres outside the view give no rows.
     """
-    mid = df.join(centres, [F.col("y") == F.col("cy"), F.col("x") == F.col("cx"), *[df[k] == centres[k] for k in keys]])
-    mid = mid.filter("valid").select(*[df[k] for k in keys], F.col("dx").alias("_mx"), F.col("dy").alias("_my"), F.col("dz").alias("_mz"))
+    j = df.filter("valid").join(centres.select(*keys, "cy", "cx"), list(keys))
+    g = equidistant("cx", "cy", "width", "height", view)
+    j = j.withColumns({"_mx": g["dx"], "_my": g["dy"], "_mz": g["dz"], "_in": g["valid"]})
     near = dot(("dx", "dy", "dz"), ("_mx", "_my", "_mz")) >= math.cos(math.radians(degrees))
-    return df.filter("valid").join(mid, list(keys)).filter(near).drop("_mx", "_my", "_mz")
+    return j.filter(F.col("_in") & near).drop("_mx", "_my", "_mz", "_in", "cy", "cx")
 
 
 def circle_at(df: DataFrame, direction: tuple[float, float, float], degrees: float) -> DataFrame:
@@ -54,16 +57,15 @@ def left_eye(df: DataFrame, drop_corners: bool = True) -> DataFrame:
     return out
 
 
-def band(df: DataFrame, radians: float, keys: Sequence[str] = ("image_id",)) -> DataFrame:
+def band(df: DataFrame, radians: float, view: View = View()) -> DataFrame:
     """Horizontal band: pixels within ``radians`` of the middle row's direction in the same column.
 
-    The angle is compared as a cosine. The middle row is one row per column and picture.
+    The middle row's direction is a formula of the column, so nothing is joined; the angle is compared as a cosine.
     """
-    mid = df.filter((F.col("y") == F.floor(c("height") / 2.0)) & F.col("valid")).select(
-        *keys, "x", F.col("dx").alias("_mx"), F.col("dy").alias("_my"), F.col("dz").alias("_mz")
-    )
-    j = df.filter("valid").join(mid, [*keys, "x"])
-    near = (dot(("dx", "dy", "dz"), ("_mx", "_my", "_mz")) >= math.cos(radians)) | (F.col("y") == F.floor(c("height") / 2.0))
+    mid = F.floor(F.col("height") / 2).cast("int")
+    g = equidistant("x", mid, "width", "height", view)
+    j = df.filter("valid").withColumns({"_mx": g["dx"], "_my": g["dy"], "_mz": g["dz"]})
+    near = (dot(("dx", "dy", "dz"), ("_mx", "_my", "_mz")) >= math.cos(radians)) | (F.col("y") == mid)
     return j.filter(near).drop("_mx", "_my", "_mz")
 
 

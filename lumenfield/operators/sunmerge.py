@@ -21,6 +21,7 @@ from lumenfield.functions.geometry import equidistant
 from lumenfield.functions.numeric import Num, c, dot
 from lumenfield.operators.stats import regression
 from lumenfield.operators.stencil import box_max, box_mean, gaussian
+from lumenfield.session import cut_lineage
 
 KEYS = ("image_id",)
 D = ("dx", "dy", "dz")
@@ -106,7 +107,8 @@ def sun_from_peak(
     stop = F.when(stop == 0, F.col("_n")).otherwise(stop)
     s = j.filter(F.col("_i") < stop).groupBy(*keys).agg(*[F.sum(F.col(d) * e).alias(f"_{d}") for d in D])
     n = F.sqrt(dot(("_dx", "_dy", "_dz"), ("_dx", "_dy", "_dz")))
-    return s.select(*keys, *[(F.col(f"_{d}") / n).alias(k) for d, k in zip(D, S)])
+    # one row per picture that several later steps read: saved once
+    return cut_lineage(s.select(*keys, *[(F.col(f"_{d}") / n).alias(k) for d, k in zip(D, S)]))
 
 
 # --- masks ---
@@ -180,7 +182,8 @@ def fill_near_source(pixels: DataFrame, band_px: float, keys: Sequence[str] = KE
     keys, channels = list(keys), list(channels)
     low = max(0.0, (band_px - 4.0) / (2.0 * max(1.0, band_px)))
     at = {"_ty": F.floor(F.col("y") / tile).cast("int"), "_tx": F.floor(F.col("x") / tile).cast("int")}
-    ok = pixels.filter("valid")
+    # the source region is a small part of a picture and read twice
+    ok = cut_lineage(pixels.filter(F.col("valid") & (F.col("near") > 0)))
     targets = ok.filter(F.col("near") > 0.01).withColumns(at)
     where = [*keys, "_ty", "_tx"]
     ring = ok.filter((F.col("near") > low) & (F.col("near") < 0.5)).select(*keys, *D, *channels)
@@ -302,8 +305,10 @@ def add_source(pixels: DataFrame, sun: DataFrame, rgb: DataFrame, solid_angle: f
     raw = F.when(F.col("valid") & (F.col("omega") > 0), F.coalesce(F.col("samples"), F.lit(0)) * F.col("_sl") * each / F.nullif("omega", F.lit(0.0))).otherwise(F.lit(0.0))
     d = d.withColumn("_raw", F.coalesce(raw, F.lit(0.0))).drop("samples")
     d = gaussian(d, "_raw", sigma, "_soft", "reflect", keys)
-    e = d.filter("valid").groupBy(*keys).agg((F.sum(F.col("_raw") * F.col("omega")) / F.nullif(F.sum(F.col("_soft") * F.col("omega")), F.lit(0.0))).alias("_k"))
-    d = d.join(e, keys).withColumn("_v", F.col("_soft") * F.coalesce("_k", F.lit(1.0)) / F.col("_sl"))
+    w = W.partitionBy(*keys)  # only the pixels around the disc
+    part = lambda v: F.sum(F.when(F.col("valid"), F.col(v) * F.col("omega"))).over(w)
+    d = d.withColumn("_k", part("_raw") / F.nullif(part("_soft"), F.lit(0.0)))
+    d = d.withColumn("_v", F.col("_soft") * F.coalesce("_k", F.lit(1.0)) / F.col("_sl"))
     d = d.select(*keys, "y", "x", "_v", *[f"_s{ch}" for ch in RGB])
     out = pixels.join(d, [*keys, "y", "x"], "left")
     return out.withColumns({ch: F.greatest(F.col(ch), F.coalesce(F.col("_v") * F.col(f"_s{ch}"), F.col(ch))) for ch in RGB}).drop("_v", *[f"_s{ch}" for ch in RGB])

@@ -227,7 +227,7 @@ def ag1(spark, sf):
     "ag1_wide",
     "SELECT k, line, count(v) n_px, min(v) v_min, max(v) v_max, avg(v) v_mean, stddev_pop(v) v_std FROM wide GROUP BY k, line",
     "wide",
-    "v_min v_max v_mean:9 v_std",
+    "v_min v_max v_mean:6 v_std:5",
 )
 def ag1w(spark, sf):
     return S.region_stats(X.wide(spark, sf), ["k", "line"], "v", None)
@@ -322,7 +322,7 @@ def ag8(spark, sf):
     """SELECT k, o, line, v, row_number() OVER q rank, sum(w) OVER q omega_cum, sum(v*w) OVER q/sum(w) OVER q running_mean FROM wide
        WINDOW q AS (PARTITION BY k ORDER BY v DESC, o, line, w ROWS UNBOUNDED PRECEDING)""",
     "wide",
-    "v omega_cum running_mean:4",
+    "v omega_cum running_mean:6",
 )
 def ag8b(spark, sf):
     df = X.wide(spark, sf).withColumnRenamed("w", "omega")
@@ -433,7 +433,7 @@ def captures(spark, sf):
     """SELECT day::VARCHAR AS day, kind, coalesce(camera,-1) camera, count(val) n_px, min(val) v_min, max(val) v_max, avg(val) v_mean, stddev_pop(val) v_std, grouping(day, kind, camera)::INT AS level
        FROM (SELECT day, kind, camera%10 camera, val FROM captures) GROUP BY ROLLUP (day, kind, camera)""",
     "captures",
-    "v_min v_max v_mean:9 v_std",
+    "v_min v_max v_mean:9 v_std:5",
 )
 def ag17(spark, sf):
     return S.rollup_stats(captures(spark, sf).withColumn("camera", F.col("camera") % 10), ["day", "kind", "camera"], "val").withColumn("camera", F.coalesce("camera", F.lit(-1).cast("bigint")))
@@ -444,7 +444,7 @@ def ag17(spark, sf):
     """SELECT kind, coalesce(camera,-1) camera, count(val) n_px, min(val) v_min, max(val) v_max, avg(val) v_mean, stddev_pop(val) v_std, grouping(kind, camera)::INT AS level
        FROM (SELECT kind, camera%10 camera, val FROM captures) GROUP BY CUBE (kind, camera)""",
     "captures",
-    "v_min v_max v_mean:9 v_std",
+    "v_min v_max v_mean:9 v_std:5",
 )
 def ag17b(spark, sf):
     return S.cube_stats(captures(spark, sf).withColumn("camera", F.col("camera") % 10), ["kind", "camera"], "val").withColumn("camera", F.coalesce("camera", F.lit(-1).cast("bigint")))

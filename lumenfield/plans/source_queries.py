@@ -112,8 +112,8 @@ view(
 
 @query("hd4_parse_view", "SELECT * FROM views", "views")
 def hd4(spark, sf):
-    d = H.describe(headers(spark, sf)).filter(F.col("header")["VIEW"].isNotNull())
-    return d.select("capture_id", *[v.alias(k) for k, v in H.parse_view(F.col("header")["VIEW"]).items()])
+    d = H.values_of(H.describe(headers(spark, sf)), "VIEW", ["capture_id"], "view")
+    return d.select("capture_id", *[v.alias(k) for k, v in H.parse_view(F.col("view")).items()])
 
 
 @query(

@@ -61,5 +61,5 @@ view("images", "SELECT DISTINCT image_id, CAST(64 AS INT) width, CAST(64 AS INT)
 view(
     "wide",
     """SELECT CAST(l_suppkey AS BIGINT) k, CAST(l_partkey AS BIGINT) p, CAST(l_linenumber AS INT) line, CAST(l_orderkey AS BIGINT) o,
-       CAST(l_extendedprice AS DOUBLE) v, CAST(l_quantity AS DOUBLE) w FROM lineitem""",
+       CAST(l_extendedprice AS DOUBLE)*1.0001234567e0 v, CAST(l_quantity AS DOUBLE) w FROM lineitem""",
 )
