@@ -433,7 +433,8 @@ def test_late_frames_are_dropped_and_counted(spark, tmp_path):
     src = tmp_path / "in"
     src.mkdir()
     schema = "camera long, kind string, ts timestamp, value double"
-    days = (("2024-01-05", 1.0), ("2024-01-06", 2.0)), (("2024-01-01", 3.0), ("2024-01-07", 4.0)), (("2024-01-09", 5.0),)
+    # a frame is late against the watermark the previous trigger worked with
+    days = (("2024-01-05", 1.0), ("2024-01-06", 2.0)), (("2024-01-07", 4.0),), (("2024-01-01", 3.0), ("2024-01-09", 5.0))
     for n, rows in enumerate(days):
         pdf = pd.DataFrame([(1, "k", pd.Timestamp(d), v) for d, v in rows], columns=["camera", "kind", "ts", "value"])
         spark.createDataFrame(pdf, schema).coalesce(1).write.parquet(str(tmp_path / f"p{n}"))
@@ -445,3 +446,16 @@ def test_late_frames_are_dropped_and_counted(spark, tmp_path):
     got = sorted(r["v_max"] for r in table.collect())
     assert 3.0 not in got and 1.0 in got
     assert ST.late_rows(q.recentProgress) == 1
+
+
+def test_sql_functions_agree_with_columns(spark):
+    from lumenfield.functions import geometry as G
+    from lumenfield.functions.numeric import erf
+    from lumenfield.functions.sql import register
+
+    register(spark)
+    d = G.with_position_index(frame(spark, 24, F.lit(1.0)).filter("valid"), "p")
+    d = d.withColumn("a", F.expr("lf_position_angles(dx, dy, dz)")).withColumn("q", F.expr("lf_guth(a.sigma, a.tau, a.phi)"))
+    assert d.agg(F.max(F.abs(F.col("p") - F.col("q")))).first()[0] < 1e-5
+    e = spark.range(-30, 31).select((F.col("id") / 10.0).alias("v")).select("v", erf("v").alias("a"), F.expr("lf_erf(v)").alias("b")).collect()
+    assert all(abs(r["a"] - math.erf(r["v"])) < 2e-7 and abs(r["a"] - r["b"]) < 1e-12 for r in e)
