@@ -13,8 +13,10 @@ from lumenfield.functions.numeric import Num, c, mat_inverse
 # Keys that describe colour, and the weights assumed for plain Radiance RGB.
 COLOUR_KEYS = (
     "LuminanceRGB", "PRIMARIES", "TargetPrimaries", "TargetWhitePoint", "SENSOR2XYZ", "XYZCAM", "CAM_PREMULTIPLIERS",
-    "Camera2RGB", "HDRSPACE_COLOR",
+    "Camera2RGB",
 )
+# writing programs put their own name before these endings
+COLOUR_MARK, PROJECTION_MARK = "_COLOR", "_PROJECTION"
 PLAIN_WEIGHTS = (0.265074126, 0.670114631, 0.064811243)
 
 
@@ -22,6 +24,15 @@ def _strip(v: Column) -> Column:
     return F.trim(v, F.lit(" \t\r\n"))
 
 
+def _is_colour(key: Column) -> Column:
+    return key.isin(*COLOUR_KEYS) | key.endswith(COLOUR_MARK)
+
+
+def _marked(header: Column, ending: str) -> Column:
+    """Values of the keys with this ending, joined."""
+    return F.array_join(F.map_values(F.map_filter(header, lambda k, _: k.endswith(ending))), " ")
+
+
 def describe(images: DataFrame, lines: str = "header_lines", name: str = "header") -> DataFrame:
     """Add the MAP of values that describe a picture.
 
@@ -44,11 +55,11 @@ def describe(images: DataFrame, lines: str = "header_lines", name: str = "header
     d = d.withColumn("_all", F.transform("_b", parse))
     d = d.withColumns({
         "_top": F.filter("_all", lambda e: (e["depth"] == 0) & (e["key"] != "")),
-        "_copied": F.filter("_all", lambda e: (e["depth"] > 0) & e["key"].isin(*COLOUR_KEYS)),
+        "_copied": F.filter("_all", lambda e: (e["depth"] > 0) & _is_colour(e["key"])),
     })
     d = d.withColumn("_near", F.array_min(F.transform("_copied", lambda e: e["depth"])))
     d = d.withColumn("_take", F.when(
-        F.exists("_top", lambda e: e["key"].isin(*COLOUR_KEYS)), F.col("_top")
+        F.exists("_top", lambda e: _is_colour(e["key"])), F.col("_top")
     ).otherwise(F.concat("_top", F.filter("_copied", lambda e: e["depth"] == F.col("_near")))))
     # sorted by (key, position): the last of each run of equal keys counts
     d = d.withColumn("_take", F.array_sort("_take")).withColumn("_n", F.size("_take"))
@@ -87,7 +98,7 @@ def exposure_product(lines: Column) -> Column:
 
 
 def in_cdm2(header: Column) -> Column:
-    return F.coalesce(F.lower(header["HDRSPACE_COLOR"]).contains("cd/m2"), F.lit(False))
+    return F.lower(_marked(header, COLOUR_MARK)).contains("cd/m2")
 
 
 def parse_view(text: Column) -> dict[str, Column]:
@@ -109,7 +120,7 @@ def projection(header: Column, override: str | None = None) -> Column:
     """View letter from VIEW, else the declared projection name, else perspective; ``override`` wins."""
     if override:
         return F.lit(override)
-    name = F.lower(header["MERGEHDR_PROJECTION"])
+    name = F.lower(_marked(header, PROJECTION_MARK))
     declared = (
         F.when(name.rlike("equidistant|equiangular|angular"), "a").when(name.contains("equisolid"), "e")
         .when(name.rlike("hemispherical|orthographic") | (name == "vth"), "h")
@@ -167,8 +178,8 @@ def with_weights(images: DataFrame, lines: str = "header_lines", header: str = "
 
 
 def next_step(lines: Column) -> Column:
-    """Number of the next processing step: one above the highest MERGEHDR_STEP_n, at least 2."""
-    n = F.transform(lines, lambda s: F.nullif(F.regexp_extract(s, r"^\s*MERGEHDR_STEP_(\d+)\s*=", 1), F.lit("")).cast("int"))
+    """Number of the next processing step: one above the highest ``…_STEP_n``, at least 2."""
+    n = F.transform(lines, lambda s: F.nullif(F.regexp_extract(s, r"^\s*\w+_STEP_(\d+)\s*=", 1), F.lit("")).cast("int"))
     return F.greatest(F.lit(1), F.coalesce(F.array_max(n), F.lit(1))) + 1
 
 

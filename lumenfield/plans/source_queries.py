@@ -24,7 +24,7 @@ _LINES = [
     ("'SOFTWARE= rig ' || (i%4)", None),
     ("'VIEW= -vtv -vh 20 -vv 20'", "i%7=0"),
     (f"'VIEW= -vt' || {_T}[1+i%6] || ' -vp 0 0 0 -vd 0 1 0.' || (i%5) || ' -vu 0 0 1 -vh ' || (40+i%100) || ' -vv ' || (30+i%90) || ' -vs 0.1 -vl -0.' || (i%4)", "i%4<>3"),
-    ("'MERGEHDR_PROJECTION= ' || ['Equidistant','equisolid','vth','other'][1+i%4]", "i%4=3 OR i%2=0"),
+    ("'RIG_PROJECTION= ' || ['Equidistant','equisolid','vth','other'][1+i%4]", "i%4=3 OR i%2=0"),
     ("chr(9) || chr(9) || 'PRIMARIES= 0.64 0.33 0.30 0.60 0.15 0.06 0.3127 0.3290'", "i%6=1"),
     ("chr(9) || 'LuminanceRGB= 0 1 0'", "i%6=1"),
     ("'LuminanceRGB= 0.26507413 0.67011463 0.06481124'", "i%6=0"),
@@ -34,9 +34,9 @@ _LINES = [
     ("'TargetWhitePoint= 0.3333 0.3333'", "i%6=4"),
     ("'PRIMARIES= 0.64 0.33 0.30 0.60 0.15 0.06 0.3127 0.3290'", "i%12=5"),
     ("'CAMERA= LMK 98-4'", "i%12=11"),
-    ("'HDRSPACE_COLOR= XYZ CD/m2'", "i%5=0 AND i%6=0"),
-    ("'MERGEHDR_STEP_' || (2+i%3) || '= crop'", "i%3=0"),
-    ("'MERGEHDR_STEP_1= merge'", None),
+    ("'RIG_COLOR= XYZ CD/m2'", "i%5=0 AND i%6=0"),
+    ("'RIG_STEP_' || (2+i%3) || '= crop'", "i%3=0"),
+    ("'RIG_STEP_1= merge'", None),
     ("'SOFTWARE= rig ' || (i%4) || ' '", "i%3=1"),
     ("'FORMAT=32-bit_rle_rgbe'", None),
 ]
@@ -61,7 +61,7 @@ def headers(spark, sf):
     )
 
 
-_CK = "(" + ",".join(f"'{k}'" for k in H.COLOUR_KEYS) + ")"
+_CK = "(" + ",".join(f"'{k}'" for k in (*H.COLOUR_KEYS, "RIG_COLOR")) + ")"
 view(
     "hlines",
     """SELECT capture_id, pos, length(line)-length(ltrim(line, chr(9)||' ')) depth, trim(split_part(line,'=',1), ' '||chr(9)) k, trim(substr(line, instr(line,'=')+1), ' '||chr(9)) v
@@ -93,7 +93,7 @@ def hd2(spark, sf):
 
 @query(
     "hd3_cdm2_mark",
-    "SELECT capture_id, coalesce(bool_or(k='HDRSPACE_COLOR' AND lower(v) LIKE '%cd/m2%'), false) cdm2 FROM hvals GROUP BY capture_id",
+    "SELECT capture_id, coalesce(bool_or(k='RIG_COLOR' AND lower(v) LIKE '%cd/m2%'), false) cdm2 FROM hvals GROUP BY capture_id",
     "hvals",
 )
 def hd3(spark, sf):
@@ -118,7 +118,7 @@ def hd4(spark, sf):
 
 @query(
     "hd5_projection",
-    """SELECT capture_id, coalesce(max(regexp_extract(v,'-vt(.)',1)) FILTER (k='VIEW'), max(CASE WHEN lower(v) LIKE '%equidistant%' THEN 'a' WHEN lower(v) LIKE '%equisolid%' THEN 'e' WHEN lower(v)='vth' THEN 'h' END) FILTER (k='MERGEHDR_PROJECTION'), 'v') projection
+    """SELECT capture_id, coalesce(max(regexp_extract(v,'-vt(.)',1)) FILTER (k='VIEW'), max(CASE WHEN lower(v) LIKE '%equidistant%' THEN 'a' WHEN lower(v) LIKE '%equisolid%' THEN 'e' WHEN lower(v)='vth' THEN 'h' END) FILTER (k='RIG_PROJECTION'), 'v') projection
        FROM hvals GROUP BY capture_id""",
     "hvals",
 )
@@ -176,7 +176,7 @@ def hd7(spark, sf):
 
 @query(
     "hd9_provenance",
-    """SELECT capture_id, greatest(1, max(TRY_CAST(nullif(regexp_extract(line,'^\\s*MERGEHDR_STEP_([0-9]+)\\s*=',1),'') AS INT)))+1 AS next_step,
+    """SELECT capture_id, greatest(1, max(TRY_CAST(nullif(regexp_extract(line,'^\\s*RIG_STEP_([0-9]+)\\s*=',1),'') AS INT)))+1 AS next_step,
         count(DISTINCT trim(line, ' '||chr(9)))::INT n_unique, count(*) FILTER (lower(trim(split_part(line,'=',1),' '||chr(9))) NOT IN ('view','exposure','format'))::INT n_kept
        FROM (SELECT capture_id, unnest(lines) line FROM hdrs) GROUP BY capture_id""",
     "hdrs",

@@ -292,9 +292,9 @@ def test_header_rules(spark):
     h, _, _ = header(spark, ["#?RADIANCE", "\t\tLuminanceRGB= 0.2 0.7 0.1", "\t\tPRIMARIES= 0.64 0.33 0.30 0.60 0.15 0.06 0.3127 0.3290", "\tLuminanceRGB= 0 1 0"])
     assert h["LuminanceRGB"] == "0 1 0" and "PRIMARIES" not in h
     assert header(spark, ["#?RADIANCE", "EXPOSURE=2", "\tEXPOSURE=4", "EXPOSURE= 0.25"])[1] == 0.5
-    h, _, cd = header(spark, ["#?RADIANCE", "VIEW= -vta -vh 180 -vv 180", "VIEW= -vtv -vh 60 -vv 45", "HDRSPACE_COLOR= XYZ cd/m2"])
+    h, _, cd = header(spark, ["#?RADIANCE", "VIEW= -vta -vh 180 -vv 180", "VIEW= -vtv -vh 60 -vv 45", "RIG_COLOR= XYZ cd/m2"])
     assert h["VIEW"] == "-vtv -vh 60 -vv 45" and cd
-    assert not header(spark, ["#?RADIANCE", "HDRSPACE_COLOR= xyz"])[2]
+    assert not header(spark, ["#?RADIANCE", "RIG_COLOR= xyz"])[2]
 
 
 def encode(img, rle, res="-Y {h} +X {w}"):
