@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenfield.llm import byte_bpe, language, near_duplicates
+from lumenfield.llm import byte_bpe, language, near_duplicates, personal_data
 from lumenfield.llm.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -36,3 +36,9 @@ def op6_language_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     prototypes = language.learn(docs.where(~language.held_out()))
     return language.predict(docs, prototypes).select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return personal_data.find(docs, personal_data.learn(docs)).drop("masked")
