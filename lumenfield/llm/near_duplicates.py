@@ -8,7 +8,7 @@
    component are compared by signature with all members of other components, in blocks of ``BLOCK`` x ``BLOCK`` spread over tasks, and pairs
    that pass are confirmed on the full sets as before. So each pair of classes that shares a band is joined or was compared.
 
-Probabilities at a similarity of exactly 0.75: a pair shares no band with 5e-6, fails the signature cut with 1e-6.
+Probabilities at a similarity of exactly 0.75: a pair shares no band with 5e-6, fails the signature cut with 6e-6.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from lumenfield.llm.tables import Workspace
 
 HASHES, ROWS = 128, 4
 BANDS = HASHES // ROWS
-SIGNATURE_CUT = 0.56
+SIGNATURE_CUT = 0.58
 BLOCK = 256
 _rng = np.random.Generator(np.random.PCG64(11))
 _A = _rng.integers(1, 2**63, HASHES, dtype=np.uint64) | np.uint64(1)
@@ -153,7 +153,8 @@ def _set_table(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, k
                     names=["rep", "set_key", "shingles"],
                 )
 
-    texts = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).cast("string").alias("text")).join(wanted.select("rep").distinct(), "rep", "left_semi")
+    # wanted grows with the documents: never broadcast
+    texts = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).cast("string").alias("text")).join(wanted.select("rep").hint("merge"), "rep", "left_semi")
     made = texts.mapInArrow(run, "rep long, set_key binary, shingles binary")
     # an id that stands on several rows names the row whose set is the class's own
     return made.join(wanted.select("rep", "set_key"), ["rep", "set_key"], "left_semi").dropDuplicates(["rep", "set_key"])
@@ -175,15 +176,20 @@ class _Linker:
     def __init__(self, work: Workspace, sets: DataFrame, percent: int):
         self.work, self.sets, self.percent = work, sets, percent
         self.labels: DataFrame | None = None
+        self.tested: DataFrame | None = None
         self.step = 0
 
     def take(self, pairs: DataFrame, *, best: bool) -> None:
-        """Confirms the pairs (u, v, est) that still join two components; best: only the most similar one of each u."""
+        """Confirms the pairs (u, v, est) that still join two components and were not tried; best: only the most similar one of each u."""
         todo = _label(pairs, self.labels, "u", "v").where("l_u <> l_v")
+        if self.tested is not None:
+            todo = todo.join(self.tested, ["u", "v"], "left_anti")
         if best:
             todo = todo.groupBy("u").agg(F.max_by("v", F.struct("est", -F.col("v"))).alias("v"))
         self.step += 1
-        found = self.work.save(_confirm(todo.select("u", "v"), self.sets, self.percent), f"links{self.step}")
+        todo = self.work.save(todo.select("u", "v"), f"tried{self.step}")
+        found = self.work.save(_confirm(todo, self.sets, self.percent), f"links{self.step}")
+        self.tested = todo if self.tested is None else self.tested.union(todo)
         if found.isEmpty():
             return
         # components of components: only links between different ones go on
@@ -200,36 +206,38 @@ def _rest(buckets: DataFrame, sigs: DataFrame, labels: DataFrame | None) -> Data
     open_ = _label(buckets, labels, "rep")
     per = open_.groupBy("band", "l_rep").agg(F.count("*").alias("n"))
     mixed = per.groupBy("band").agg(F.count("*").alias("labels"), F.max_by("l_rep", "n").alias("main"), F.sum("n").alias("size")).where("labels > 1").drop("labels")
-    open_ = open_.join(mixed, "band").join(sigs.select("rep", "sig"), "rep")
+    open_ = open_.join(mixed, "band").join(sigs.select("rep", "sig", "bands"), "rep")
 
     def pack(df: DataFrame) -> DataFrame:
         part = F.pmod(F.xxhash64("rep"), F.greatest(F.lit(1), F.ceil(F.col("size") / BLOCK)))
-        return df.groupBy("band", part.alias("part")).agg(F.collect_list(F.struct("rep", "l_rep", "sig")).alias("rows"))
+        return df.groupBy("band", part.alias("part")).agg(F.collect_list(F.struct("rep", "l_rep", "sig", "bands")).alias("rows"))
 
     every, odd = pack(open_), pack(open_.where("l_rep <> main"))
-    crossed = odd.select("band", F.col("rows").alias("one")).join(every.select("band", F.col("rows").alias("two")), "band").select("one", "two")
+    crossed = odd.select("band", F.col("rows").alias("one")).join(every.select("band", F.col("rows").alias("two")), "band").select("one", "two", "band")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def parts(rows: pa.ListScalar) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        def parts(rows: pa.ListScalar) -> tuple[np.ndarray, ...]:
             s = rows.values
             sig = np.frombuffer(b"".join(s.field("sig").to_pylist()), np.uint8).reshape(-1, HASHES)
-            return s.field("rep").to_numpy(), s.field("l_rep").to_numpy(), sig
+            return s.field("rep").to_numpy(), s.field("l_rep").to_numpy(), sig, s.field("bands").flatten().to_numpy().reshape(-1, BANDS)
 
         for batch in batches:
             us, vs, ests = [], [], []
-            for one, two in zip(batch.column(0), batch.column(1), strict=True):
-                (ri, li, si), (rj, lj, sj) = parts(one), parts(two)
+            for one, two, band in zip(batch.column(0), batch.column(1), batch.column(2).to_pylist(), strict=True):
+                (ri, li, si, bi), (rj, lj, sj, bj) = parts(one), parts(two)
                 for i in range(len(ri)):
                     est = _agreement(si[i], sj)
                     hit = np.flatnonzero((est >= SIGNATURE_CUT) & (lj != li[i]))
+                    # a pair that shares several buckets is reported in the one of its first common band
+                    common = bi[i] == bj[hit]
+                    hit = hit[bi[i][common.argmax(1)] == band]
                     us.append(np.full(len(hit), ri[i]))
                     vs.append(rj[hit])
                     ests.append(est[hit])
             if us:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (us, vs, ests)], names=["u", "v", "est"])
 
-    found = crossed.mapInArrow(run, "u long, v long, est double")
-    return found.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), "est").distinct()
+    return crossed.mapInArrow(run, "u long, v long, est double")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 75) -> DataFrame:
@@ -250,12 +258,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = classes.select("rep", F.explode("bands").alias("band"))
     shared = members.groupBy("band").agg(F.count("*").alias("n"), F.min_by("rep", F.xxhash64("rep", "band")).alias("pivot")).where("n > 1")
     buckets = work.save(members.join(shared.select("band", "pivot"), "band"), "buckets")
-    pairs = buckets.where("rep <> pivot").select(F.least("rep", "pivot").alias("u"), F.greatest("rep", "pivot").alias("v")).distinct()
-    sigs = classes.select("rep", "set_key", "sig").join(buckets.select("rep").distinct(), "rep", "left_semi")
+    pairs = buckets.where("rep <> pivot").select(F.col("rep").alias("u"), F.col("pivot").alias("v")).distinct()
+    sigs = classes.select("rep", "set_key", "sig", "bands").join(buckets.select("rep").distinct(), "rep", "left_semi")
     sigs = work.save(sigs.dropDuplicates(["rep"]), "candidates")
     sets = work.save(_set_table(docs, sigs, id_col, text_col, k), "sets")
     linker = _Linker(work, sets, percent)
-    linker.take(_estimate(pairs, sigs), best=True)
+    pairs = work.save(_estimate(pairs, sigs), "pivot_pairs")
+    linker.take(pairs, best=True)
+    linker.take(pairs, best=True)
     rest = work.save(_rest(buckets.select("band", "rep"), sigs, linker.labels), "rest_pairs")
     linker.take(rest, best=True)
     linker.take(rest, best=False)
