@@ -19,9 +19,9 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from lumenfield.llm import words
+from lumenfield.llm.tables import picked, with_schema
 
 BLOCK = 32 << 20
 MAX_CACHED = 500_000
@@ -260,9 +260,9 @@ class Encoder:
         return self.vocab.decode(ids)
 
 
-def encode(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", *, keep_ids: bool = True) -> DataFrame:
+def encode(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", *, keep_ids: bool = True, carry: bool = False) -> DataFrame:
     """One row per row of ``docs``: doc_id, tokens (array of ids, null unless ``keep_ids``), n_tokens, ids_sha256, decoded (binary, null unless
-    ``keep_ids``), decoded_sha256, exact (the decoded bytes are those of the text).
+    ``keep_ids``), decoded_sha256, exact (the decoded bytes are those of the text). carry: and the input row as ``row``.
 
     Null texts count as empty: no tokens, the digests of no bytes. Repeated rows come back as often as they are given, ids may be null; an empty
     table gives an empty result; other columns are not looked at. Any length is encoded whole.
@@ -293,13 +293,13 @@ def encode(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id"
                         cell.append(value)
                 kinds = (pa.list_(pa.int32()), pa.int64(), pa.string(), pa.binary(), pa.string(), pa.bool_())
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a), *(pa.array(r, k) for r, k in zip(rows, kinds, strict=True))],
-                    names=["doc_id", "tokens", "n_tokens", "ids_sha256", "decoded", "decoded_sha256", "exact"],
+                    [batch.column(0).slice(a, b - a), *(pa.array(r, k) for r, k in zip(rows, kinds, strict=True)), *(c.slice(a, b - a) for c in batch.columns[2:])],
+                    names=["doc_id", "tokens", "n_tokens", "ids_sha256", "decoded", "decoded_sha256", "exact", *(["row"] if carry else [])],
                 )
 
     docs.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(32 << 20))
-    picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return picked.mapInArrow(run, "doc_id long, tokens array<int>, n_tokens long, ids_sha256 string, decoded binary, decoded_sha256 string, exact boolean")
+    ddl = "doc_id long, tokens array<int>, n_tokens long, ids_sha256 string, decoded binary, decoded_sha256 string, exact boolean"
+    return picked(docs, id_col, text_col, carry=carry).mapInArrow(run, with_schema(docs, ddl, carry=carry))
 
 
 def decode(encoded: DataFrame, rank_file: str, pattern: str, tokens_col: str = "tokens") -> DataFrame:

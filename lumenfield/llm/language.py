@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenfield.llm import words
+from lumenfield.llm.tables import picked, with_schema
 
 DIM, N = 1024, 3
 GROUP = 128  # documents bundled together
@@ -151,8 +152,8 @@ def learn(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") -
     return {r.lang: np.array([x.x for x in r.v], np.float64) for r in sorted(found, key=lambda r: r.lang)}
 
 
-def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, lang_pred, score (cosine with that language's prototype, 0 at least), n_letters: one row per row of ``docs``.
+def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], id_col: str = "doc_id", text_col: str = "text", *, carry: bool = False) -> DataFrame:
+    """doc_id, lang_pred, score (cosine with that language's prototype, 0 at least), n_letters: one row per row of ``docs``. carry: and that row as ``row``.
 
     Null texts and texts without letters are ``und`` with score 0, as is everything when there are no prototypes. Equal cosines go to the language that
     sorts first. Repeated rows and null ids come back as given; other columns are not looked at. Texts are read whole.
@@ -171,10 +172,9 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], id_col: str = "d
                 best = cosine.argmax(1)
                 score = np.where(letters > 0, np.clip(cosine[np.arange(len(texts)), best], 0, 1), 0)
                 lang = [names[i] if n else "und" for i, n in zip(best.tolist(), letters.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(lang, pa.string()), pa.array(score), pa.array(letters.astype(np.int64))], names=["doc_id", "lang_pred", "score", "n_letters"])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(lang, pa.string()), pa.array(score), pa.array(letters.astype(np.int64)), *part.columns[2:]], names=["doc_id", "lang_pred", "score", "n_letters", *(["row"] if carry else [])])
 
-    picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return picked.mapInArrow(run, "doc_id long, lang_pred string, score double, n_letters long")
+    return picked(docs, id_col, text_col, carry=carry).mapInArrow(run, with_schema(docs, "doc_id long, lang_pred string, score double, n_letters long", carry=carry))
 
 
 def held_out(id_col: str = "doc_id"):

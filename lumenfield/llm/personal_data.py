@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenfield.llm import words
+from lumenfield.llm.tables import picked, with_schema
 
 KINDS = ("email", "ip", "card", "phone")
 MAX_TOKENS, MAX_CHARS = 20, 48
@@ -304,9 +305,9 @@ def masked(text: str, spans: list[tuple[int, int, int]]) -> str:
     return "".join([*out, text[end:]])
 
 
-def find(docs: DataFrame, weights: np.ndarray, id_col: str = "doc_id", text_col: str = "text", *, keep_text: bool = False) -> DataFrame:
+def find(docs: DataFrame, weights: np.ndarray, id_col: str = "doc_id", text_col: str = "text", *, keep_text: bool = False, carry: bool = False) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_email, n_ip, n_card, n_phone (pattern matches), base_sha256, spans (all, as kind:start:end by code points),
-    masked (the text with all spans replaced; null unless ``keep_text``, and for null texts).
+    masked (the text with all spans replaced; null unless ``keep_text``, and for null texts). carry: and the input row as ``row``.
 
     Null texts count as empty: no spans. Ids may be null and rows repeat; an empty table gives an empty result; other columns are not looked at.
     """
@@ -327,10 +328,10 @@ def find(docs: DataFrame, weights: np.ndarray, id_col: str = "doc_id", text_col:
                     rows.append((*counts, hashlib.sha256(_as_text(base).encode()).hexdigest(), _as_text(spans), new))
                 kinds = [pa.int64()] * 4 + [pa.string()] * 3
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a), *(pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True))],
-                    names=["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "masked"],
+                    [batch.column(0).slice(a, b - a), *(pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)), *(c.slice(a, b - a) for c in batch.columns[2:])],
+                    names=["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "masked", *(["row"] if carry else [])],
                 )
 
     docs.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(32 << 20))
-    picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return picked.mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, masked string")
+    ddl = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, masked string"
+    return picked(docs, id_col, text_col, carry=carry).mapInArrow(run, with_schema(docs, ddl, carry=carry))

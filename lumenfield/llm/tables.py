@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lumenfield.session import work_folder
 
@@ -37,3 +38,15 @@ def unit_draw(*parts: Column) -> Column:
     """A number in (0, 1) that the texts of ``parts`` decide: the first 52 bits of their MD5."""
     digest = F.md5(F.concat_ws("/", *[p.cast("string") for p in parts]))
     return (F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") + 0.5) / float(2**52)
+
+
+def with_schema(docs: DataFrame, ddl: str, *, carry: bool) -> T.StructType:
+    """Output schema of an operator; carry: with the whole input row as the struct ``row``."""
+    out = T.StructType.fromDDL(ddl)
+    return out.add("row", docs.schema) if carry else out
+
+
+def picked(docs: DataFrame, id_col: str, text_col: str, *, carry: bool) -> DataFrame:
+    """doc_id, text, and the whole row where it is carried along; names of other columns never clash with these."""
+    columns = [F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")]
+    return docs.select(*columns, *([F.struct("*").alias("row")] if carry else []))
