@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenfield.llm import byte_bpe, language, mixing, near_duplicates, personal_data, sharding, top_k
+from lumenfield.llm import byte_bpe, language, mixing, near_duplicates, neighbours, personal_data, sharding, top_k
 from lumenfield.llm.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -61,3 +61,8 @@ MIXTURE = {"good": 0.9, "low": 0.1, "toxic": 0.0}
 @query
 def op4_domain_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), MIXTURE, max_rate=1.0)
+
+
+@query
+def op3_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.near_duplicates(table(spark, sf_dir, "embeddings"))[0]
