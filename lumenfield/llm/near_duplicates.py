@@ -2,11 +2,11 @@
 
 1. Every text becomes the set of its word shingles (hashed to 64 bits). Equal sets form one class; only classes go on.
 2. A class has ``HASHES`` minima of universal hash functions, cut into bands. A class that shares no band with another one is finished.
-3. Inside a bucket of equal band every class is paired with one pivot drawn for that bucket, not with all others. A pair whose
-   signatures agree well enough is confirmed on the full sets; confirmed links give components.
+3. Inside a bucket of equal band every class is paired with one pivot drawn for that bucket, not with all others. The pair of each class whose
+   signatures agree best is confirmed on the full sets; confirmed links give components.
 4. What the pivots did not join is not given up: in every bucket that still holds several components, the members outside its largest
-   component are compared by signature with all members of other components, in blocks of ``BLOCK`` x ``BLOCK`` spread over tasks, and pairs
-   that pass are confirmed on the full sets as before. So each pair of classes that shares a band is joined or was compared.
+   component are compared by signature, then on the full sets, with all members of other components, in blocks of ``BLOCK`` x ``BLOCK`` spread over
+   tasks. So each pair of classes that shares a band is joined or was compared.
 
 Probabilities at a similarity of exactly 0.75: a pair shares no band with 5e-6, fails the signature cut with 6e-6.
 """
@@ -117,23 +117,20 @@ def _estimate(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
     return pairs.join(one, "u").join(two, "v").select("u", "v", "sig_u", "sig_v").mapInArrow(run, "u long, v long, est double")
 
 
+def _similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether 100 * intersection >= percent * union of two sorted sets."""
+    both = np.sort(np.concatenate((x, y)), kind="stable")
+    shared = int((both[1:] == both[:-1]).sum())
+    return 100 * shared >= percent * (len(x) + len(y) - shared)
+
+
 def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (u, v) with 100 * intersection >= percent * union on their full sets."""
+    """The pairs (u, v) that are similar on their full sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keep = []
-            last: tuple[bytes, np.ndarray] = (b"", np.zeros(0, np.uint64))
-            for i, (x, y) in enumerate(zip(b.column(2), b.column(3), strict=True)):
-                x, y = x.as_py(), y.as_py()
-                if y != last[0]:
-                    last = (y, np.frombuffer(y, np.uint64))
-                xs, ys = np.frombuffer(x, np.uint64), last[1]
-                both = np.sort(np.concatenate((xs, ys)), kind="stable")
-                shared = int((both[1:] == both[:-1]).sum())
-                if 100 * shared >= percent * (len(xs) + len(ys) - shared):
-                    keep.append(i)
-            at = pa.array(keep, pa.int64())
+            x, y = ([np.frombuffer(s, np.uint64) for s in b.column(i).to_pylist()] for i in (2, 3))
+            at = pa.array([i for i in range(b.num_rows) if _similar(x[i], y[i], percent)], pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at)], names=["u", "v"])
 
     one, two = (sets.select(F.col("rep").alias(c), F.col("shingles").alias(f"set_{c}")) for c in "uv")
@@ -170,74 +167,60 @@ def _label(ids: DataFrame, labels: DataFrame | None, *cols: str) -> DataFrame:
     return ids
 
 
-class _Linker:
-    """Confirms candidate pairs, most similar first, and keeps the components that the confirmed links give."""
-
-    def __init__(self, work: Workspace, sets: DataFrame, percent: int):
-        self.work, self.sets, self.percent = work, sets, percent
-        self.labels: DataFrame | None = None
-        self.tested: DataFrame | None = None
-        self.step = 0
-
-    def take(self, pairs: DataFrame, *, best: bool) -> None:
-        """Confirms the pairs (u, v, est) that still join two components and were not tried; best: only the most similar one of each u."""
-        todo = _label(pairs, self.labels, "u", "v").where("l_u <> l_v")
-        if self.tested is not None:
-            todo = todo.join(self.tested, ["u", "v"], "left_anti")
-        if best:
-            todo = todo.groupBy("u").agg(F.max_by("v", F.struct("est", -F.col("v"))).alias("v"))
-        self.step += 1
-        todo = self.work.save(todo.select("u", "v"), f"tried{self.step}")
-        found = self.work.save(_confirm(todo, self.sets, self.percent), f"links{self.step}")
-        self.tested = todo if self.tested is None else self.tested.union(todo)
-        if found.isEmpty():
-            return
-        # components of components: only links between different ones go on
-        joined = components(_label(found, self.labels, "u", "v"), "l_u", "l_v")
-        if self.labels is not None:
-            old = self.labels.join(joined.select(F.col("id").alias("component"), F.col("component").alias("now")), "component", "left")
-            fresh = joined.join(self.labels.select("id"), "id", "left_anti")
-            joined = old.select("id", F.coalesce("now", "component").alias("component")).union(fresh)
-        self.labels = self.work.save(joined, f"labels{self.step}")
-
-
-def _rest(buckets: DataFrame, sigs: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """(u, v, est) of pairs from different components that share a bucket, found by comparing signatures in blocks."""
+def _join_labels(work: Workspace, labels: DataFrame | None, found: DataFrame, name: str) -> DataFrame | None:
+    """Components after the confirmed links (u, v): components of components, so that only links between different ones go on."""
+    if found.isEmpty():
+        return labels
+    joined = components(_label(found, labels, "u", "v"), "l_u", "l_v")
+    if labels is not None:
+        old = labels.join(joined.select(F.col("id").alias("component"), F.col("component").alias("now")), "component", "left")
+        fresh = joined.join(labels.select("id"), "id", "left_anti")
+        joined = old.select("id", F.coalesce("now", "component").alias("component")).union(fresh)
+    return work.save(joined, name)
+
+
+def _rest(buckets: DataFrame, sigs: DataFrame, sets: DataFrame, labels: DataFrame | None, percent: int) -> DataFrame:
+    """(u, v): links between different components that share a bucket, one for each u, component and pair of blocks.
+
+    Members of mixed buckets meet in blocks; signatures say which pairs to try, most alike first, and the full sets decide, until one holds or all have failed.
+    """
     open_ = _label(buckets, labels, "rep")
     per = open_.groupBy("band", "l_rep").agg(F.count("*").alias("n"))
     mixed = per.groupBy("band").agg(F.count("*").alias("labels"), F.max_by("l_rep", "n").alias("main"), F.sum("n").alias("size")).where("labels > 1").drop("labels")
-    open_ = open_.join(mixed, "band").join(sigs.select("rep", "sig", "bands"), "rep")
+    open_ = open_.join(mixed, "band").join(sigs.select("rep", "sig", "bands"), "rep").join(sets.select("rep", "shingles"), "rep")
 
     def pack(df: DataFrame) -> DataFrame:
         part = F.pmod(F.xxhash64("rep"), F.greatest(F.lit(1), F.ceil(F.col("size") / BLOCK)))
-        return df.groupBy("band", part.alias("part")).agg(F.collect_list(F.struct("rep", "l_rep", "sig", "bands")).alias("rows"))
+        return df.groupBy("band", part.alias("part")).agg(F.collect_list(F.struct("rep", "l_rep", "sig", "bands", "shingles")).alias("rows"))
 
     every, odd = pack(open_), pack(open_.where("l_rep <> main"))
     crossed = odd.select("band", F.col("rows").alias("one")).join(every.select("band", F.col("rows").alias("two")), "band").select("one", "two", "band")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def parts(rows: pa.ListScalar) -> tuple[np.ndarray, ...]:
+        def parts(rows: pa.ListScalar) -> tuple:
             s = rows.values
             sig = np.frombuffer(b"".join(s.field("sig").to_pylist()), np.uint8).reshape(-1, HASHES)
-            return s.field("rep").to_numpy(), s.field("l_rep").to_numpy(), sig, s.field("bands").flatten().to_numpy().reshape(-1, BANDS)
+            return s.field("rep").to_numpy(), s.field("l_rep").to_numpy(), sig, s.field("bands").flatten().to_numpy().reshape(-1, BANDS), s.field("shingles")
 
         for batch in batches:
-            us, vs, ests = [], [], []
+            us, vs = [], []
             for one, two, band in zip(batch.column(0), batch.column(1), batch.column(2).to_pylist(), strict=True):
-                (ri, li, si, bi), (rj, lj, sj, bj) = parts(one), parts(two)
+                (ri, li, si, bi, xi), (rj, lj, sj, bj, xj) = parts(one), parts(two)
+                full = [np.frombuffer(x, np.uint64) for x in xj.to_pylist()]
                 for i in range(len(ri)):
                     est = _agreement(si[i], sj)
                     hit = np.flatnonzero((est >= SIGNATURE_CUT) & (lj != li[i]))
-                    # a pair that shares several buckets is reported in the one of its first common band
-                    common = bi[i] == bj[hit]
-                    hit = hit[bi[i][common.argmax(1)] == band]
-                    us.append(np.full(len(hit), ri[i]))
-                    vs.append(rj[hit])
-                    ests.append(est[hit])
-            if us:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (us, vs, ests)], names=["u", "v", "est"])
+                    # a pair that shares several buckets is tried in the one of its first common band
+                    hit = hit[bi[i][(bi[i] == bj[hit]).argmax(1)] == band]
+                    mine, done = np.frombuffer(xi[i].as_py(), np.uint64), set()
+                    for j in hit[np.argsort(-est[hit], kind="stable")].tolist():
+                        if lj[j] not in done and _similar(mine, full[j], percent):
+                            done.add(lj[j])
+                            us.append(ri[i])
+                            vs.append(rj[j])
+            yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
 
-    return crossed.mapInArrow(run, "u long, v long, est double")
+    return crossed.mapInArrow(run, "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 75) -> DataFrame:
@@ -262,15 +245,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sigs = classes.select("rep", "set_key", "sig", "bands").join(buckets.select("rep").distinct(), "rep", "left_semi")
     sigs = work.save(sigs.dropDuplicates(["rep"]), "candidates")
     sets = work.save(_set_table(docs, sigs, id_col, text_col, k), "sets")
-    linker = _Linker(work, sets, percent)
-    pairs = work.save(_estimate(pairs, sigs), "pivot_pairs")
-    linker.take(pairs, best=True)
-    linker.take(pairs, best=True)
-    rest = work.save(_rest(buckets.select("band", "rep"), sigs, linker.labels), "rest_pairs")
-    linker.take(rest, best=True)
-    linker.take(rest, best=False)
+    best = _estimate(pairs, sigs).groupBy("u").agg(F.max_by("v", F.struct("est", -F.col("v"))).alias("v"))
+    labels = _join_labels(work, None, work.save(_confirm(best, sets, percent), "pivot_links"), "pivot_labels")
+    rest = _rest(buckets.select("band", "rep"), sigs, sets, labels, percent)
+    labels = _join_labels(work, labels, work.save(rest, "rest_links"), "labels")
     named = classes.select("set_key", "rep")
-    named = _label(named, linker.labels, "rep").select("set_key", F.col("l_rep").alias("component"))
+    named = _label(named, labels, "rep").select("set_key", F.col("l_rep").alias("component"))
     out = base.select("id", "n_shingles", "set_key").join(named, "set_key", "left")
     own = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
     return out.select(F.col("id").alias("doc_id"), "n_shingles", own.alias("component_id"), F.coalesce(F.col("id") == own, F.lit(True)).alias("kept"))
