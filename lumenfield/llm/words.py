@@ -48,6 +48,15 @@ def text_bytes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarr
     return whole[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def text_bytes_of_binary(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """As ``text_bytes``, of a binary column without nulls."""
+    column = column.cast(pa.large_binary())
+    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    data = column.buffers()[2]
+    whole = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
+    return whole[offsets[0] : offsets[-1]], offsets - offsets[0]
+
+
 def slices(offsets: np.ndarray, size: int = SLICE) -> Iterator[tuple[int, int]]:
     """Ranges of documents of about ``size`` bytes each; a longer text stands alone."""
     n, at = len(offsets) - 1, 0
