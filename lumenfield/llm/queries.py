@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenfield.llm import byte_bpe, language, mixing, near_duplicates, neighbours, personal_data, pitman_yor, sharding, top_k
+from lumenfield.llm import byte_bpe, language, licences, mixing, near_duplicates, neighbours, personal_data, pitman_yor, sharding, top_k
 from lumenfield.llm.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -72,3 +72,11 @@ def op3_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
     train = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 5 != 1
     return pitman_yor.score(table(spark, sf_dir, "documents"), train)
+
+
+@query
+def op2_licence_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(table(spark, sf_dir, "documents"))
+
+
+ORACLE["op2_licence_digests"] = licences.oracle()
