@@ -2,8 +2,8 @@
 
 1. Every text becomes the set of its word shingles (hashed to 64 bits). Equal sets form one class; only classes go on.
 2. A class has ``HASHES`` minima of universal hash functions, cut into bands. A class that shares no band with another one is finished.
-3. Inside a bucket of equal band every class is paired with one pivot drawn for that bucket, not with all others. The pair of each class whose
-   signatures agree best is confirmed on the full sets; confirmed links give components.
+3. Inside a bucket of equal band every class is paired with one pivot drawn for that bucket, not with all others. The pivot with which a class shares
+   most bands is held against it on the full sets; confirmed links give components.
 4. What the pivots did not join is not given up: in every bucket that still holds several components, the members outside its largest
    component are compared by signature, then on the full sets, with all members of other components, in blocks of ``BLOCK`` x ``BLOCK`` spread over
    tasks. So each pair of classes that shares a band is joined or was compared.
@@ -101,22 +101,6 @@ def _agreement(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return ((x == y).mean(axis=-1) * 256 - 1) / 255
 
 
-def _estimate(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
-    """(u, v, est) of the pairs whose signatures reach the cut."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not b.num_rows:
-                continue
-            x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint8).reshape(-1, HASHES) for i in (2, 3))
-            est = _agreement(x, y)
-            keep = np.flatnonzero(est >= SIGNATURE_CUT)
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(keep)), b.column(1).take(pa.array(keep)), pa.array(est[keep])], names=["u", "v", "est"])
-
-    one, two = (sigs.select(F.col("rep").alias(c), F.col("sig").alias(f"sig_{c}")) for c in "uv")
-    return pairs.join(one, "u").join(two, "v").select("u", "v", "sig_u", "sig_v").mapInArrow(run, "u long, v long, est double")
-
-
 def _similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     """Whether 100 * intersection >= percent * union of two sorted sets."""
     both = np.sort(np.concatenate((x, y)), kind="stable")
@@ -189,12 +173,11 @@ def _rest(buckets: DataFrame, sigs: DataFrame, sets: DataFrame, labels: DataFram
     mixed = per.groupBy("band").agg(F.count("*").alias("labels"), F.max_by("l_rep", "n").alias("main"), F.sum("n").alias("size")).where("labels > 1").drop("labels")
     open_ = open_.join(mixed, "band").join(sigs.select("rep", "sig", "bands"), "rep").join(sets.select("rep", "shingles"), "rep")
 
-    def pack(df: DataFrame) -> DataFrame:
-        part = F.pmod(F.xxhash64("rep"), F.greatest(F.lit(1), F.ceil(F.col("size") / BLOCK)))
-        return df.groupBy("band", part.alias("part")).agg(F.collect_list(F.struct("rep", "l_rep", "sig", "bands", "shingles")).alias("rows"))
-
-    every, odd = pack(open_), pack(open_.where("l_rep <> main"))
-    crossed = odd.select("band", F.col("rows").alias("one")).join(every.select("band", F.col("rows").alias("two")), "band").select("one", "two", "band")
+    part = F.pmod(F.xxhash64("rep"), F.greatest(F.lit(1), F.ceil(F.col("size") / BLOCK)))
+    member = F.struct("rep", "l_rep", "sig", "bands", "shingles", (F.col("l_rep") != F.col("main")).alias("odd"))
+    blocks = open_.groupBy("band", part.alias("part")).agg(F.collect_list(member).alias("rows"))
+    odd = blocks.where(F.exists("rows", lambda r: r["odd"])).select("band", F.col("rows").alias("one"))
+    crossed = odd.join(blocks.select("band", F.col("rows").alias("two")), "band").select("one", "two", "band")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def parts(rows: pa.ListScalar) -> tuple:
@@ -207,7 +190,7 @@ def _rest(buckets: DataFrame, sigs: DataFrame, sets: DataFrame, labels: DataFram
             for one, two, band in zip(batch.column(0), batch.column(1), batch.column(2).to_pylist(), strict=True):
                 (ri, li, si, bi, xi), (rj, lj, sj, bj, xj) = parts(one), parts(two)
                 full = [np.frombuffer(x, np.uint64) for x in xj.to_pylist()]
-                for i in range(len(ri)):
+                for i in np.flatnonzero(one.values.field("odd").to_numpy(zero_copy_only=False)).tolist():
                     est = _agreement(si[i], sj)
                     hit = np.flatnonzero((est >= SIGNATURE_CUT) & (lj != li[i]))
                     # a pair that shares several buckets is tried in the one of its first common band
@@ -241,11 +224,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = classes.select("rep", F.explode("bands").alias("band"))
     shared = members.groupBy("band").agg(F.count("*").alias("n"), F.min_by("rep", F.xxhash64("rep", "band")).alias("pivot")).where("n > 1")
     buckets = work.save(members.join(shared.select("band", "pivot"), "band"), "buckets")
-    pairs = buckets.where("rep <> pivot").select(F.col("rep").alias("u"), F.col("pivot").alias("v")).distinct()
+    pairs = buckets.where("rep <> pivot").groupBy(F.col("rep").alias("u"), F.col("pivot").alias("v")).agg(F.count("*").alias("n"))
     sigs = classes.select("rep", "set_key", "sig", "bands").join(buckets.select("rep").distinct(), "rep", "left_semi")
     sigs = work.save(sigs.dropDuplicates(["rep"]), "candidates")
     sets = work.save(_set_table(docs, sigs, id_col, text_col, k), "sets")
-    best = _estimate(pairs, sigs).groupBy("u").agg(F.max_by("v", F.struct("est", -F.col("v"))).alias("v"))
+    best = pairs.groupBy("u").agg(F.max_by("v", F.struct("n", -F.col("v"))).alias("v"))
     labels = _join_labels(work, None, work.save(_confirm(best, sets, percent), "pivot_links"), "pivot_labels")
     rest = _rest(buckets.select("band", "rep"), sigs, sets, labels, percent)
     labels = _join_labels(work, labels, work.save(rest, "rest_links"), "labels")
