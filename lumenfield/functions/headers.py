@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,25 +17,37 @@ COLOUR_KEYS = (
     "LuminanceRGB", "PRIMARIES", "TargetPrimaries", "TargetWhitePoint", "SENSOR2XYZ", "XYZCAM", "CAM_PREMULTIPLIERS",
     "Camera2RGB",
 )
-# writing programs put their own name before these endings
-COLOUR_MARK, PROJECTION_MARK = "_COLOR", "_PROJECTION"
 PLAIN_WEIGHTS = (0.265074126, 0.670114631, 0.064811243)
 
 
-def _strip(v: Column) -> Column:
-    return F.trim(v, F.lit(" \t\r\n"))
+@dataclass(frozen=True)
+class Marks:
+    """Keys that a writing program marks its pictures with: its own name, an underscore and a fixed word. Only these exact keys count."""
+
+    program: str = "RIG"
+
+    @property
+    def colour(self) -> str:
+        return f"{self.program}_COLOR"
 
+    @property
+    def projection(self) -> str:
+        return f"{self.program}_PROJECTION"
 
-def _is_colour(key: Column) -> Column:
-    return key.isin(*COLOUR_KEYS) | key.endswith(COLOUR_MARK)
+    @property
+    def step(self) -> str:
+        return f"{self.program}_STEP_"
+
+
+def _strip(v: Column) -> Column:
+    return F.trim(v, F.lit(" \t\r\n"))
 
 
-def _marked(header: Column, ending: str) -> Column:
-    """Values of the keys with this ending, joined."""
-    return F.array_join(F.map_values(F.map_filter(header, lambda k, _: k.endswith(ending))), " ")
+def _is_colour(key: Column, marks: Marks) -> Column:
+    return key.isin(*COLOUR_KEYS, marks.colour)
 
 
-def describe(images: DataFrame, lines: str = "header_lines", name: str = "header") -> DataFrame:
+def describe(images: DataFrame, lines: str = "header_lines", name: str = "header", marks: Marks = Marks()) -> DataFrame:
     """Add the MAP of values that describe a picture.
 
     Left-justified keys count, the last line of a key wins. Without any colour key there, all colour keys of the least-indented
@@ -55,11 +69,11 @@ def describe(images: DataFrame, lines: str = "header_lines", name: str = "header
     d = d.withColumn("_all", F.transform("_b", parse))
     d = d.withColumns({
         "_top": F.filter("_all", lambda e: (e["depth"] == 0) & (e["key"] != "")),
-        "_copied": F.filter("_all", lambda e: (e["depth"] > 0) & _is_colour(e["key"])),
+        "_copied": F.filter("_all", lambda e: (e["depth"] > 0) & _is_colour(e["key"], marks)),
     })
     d = d.withColumn("_near", F.array_min(F.transform("_copied", lambda e: e["depth"])))
     d = d.withColumn("_take", F.when(
-        F.exists("_top", lambda e: _is_colour(e["key"])), F.col("_top")
+        F.exists("_top", lambda e: _is_colour(e["key"], marks)), F.col("_top")
     ).otherwise(F.concat("_top", F.filter("_copied", lambda e: e["depth"] == F.col("_near")))))
     # sorted by (key, position): the last of each run of equal keys counts
     d = d.withColumn("_take", F.array_sort("_take")).withColumn("_n", F.size("_take"))
@@ -93,12 +107,12 @@ def numbers(text: Column, n: int) -> list[Column]:
 
 def exposure_product(lines: Column) -> Column:
     """Product of the positive values of left-justified EXPOSURE lines."""
-    v = F.transform(F.filter(lines, lambda s: s.startswith("EXPOSURE=")), lambda s: number(F.substring(s, 10, 1000)))
+    v = F.transform(F.filter(lines, lambda s: s.startswith("EXPOSURE=")), lambda s: number(F.substr(s, F.lit(len("EXPOSURE=") + 1))))
     return F.aggregate(F.filter(v, lambda e: e > 0), F.lit(1.0), lambda a, e: a * e)
 
 
-def in_cdm2(header: Column) -> Column:
-    return F.lower(_marked(header, COLOUR_MARK)).contains("cd/m2")
+def in_cdm2(header: Column, marks: Marks = Marks()) -> Column:
+    return F.coalesce(F.lower(header[marks.colour]).contains("cd/m2"), F.lit(False))
 
 
 def parse_view(text: Column) -> dict[str, Column]:
@@ -116,11 +130,11 @@ def parse_view(text: Column) -> dict[str, Column]:
     return out
 
 
-def projection(header: Column, override: str | None = None) -> Column:
+def projection(header: Column, override: str | None = None, marks: Marks = Marks()) -> Column:
     """View letter from VIEW, else the declared projection name, else perspective; ``override`` wins."""
     if override:
         return F.lit(override)
-    name = F.lower(_marked(header, PROJECTION_MARK))
+    name = F.lower(header[marks.projection])
     declared = (
         F.when(name.rlike("equidistant|equiangular|angular"), "a").when(name.contains("equisolid"), "e")
         .when(name.rlike("hemispherical|orthographic") | (name == "vth"), "h")
@@ -132,7 +146,7 @@ def _usable(w: Sequence[Column]) -> Column:
     return (w[0] > 0) | (w[1] > 0) | (w[2] > 0)
 
 
-def with_weights(images: DataFrame, lines: str = "header_lines", header: str = "header", monochrome: Column | None = None) -> DataFrame:
+def with_weights(images: DataFrame, lines: str = "header_lines", header: str = "header", monochrome: Column | None = None, marks: Marks = Marks()) -> DataFrame:
     """Add ``wr, wg, wb``, ``weight_source`` and ``efficacy`` by priority: monochrome, LuminanceRGB, sensor matrix, target
     primaries, PRIMARIES, vendor files, plain Radiance RGB; ``unavailable`` otherwise."""
     h = F.col(header)
@@ -172,14 +186,14 @@ def with_weights(images: DataFrame, lines: str = "header_lines", header: str = "
     value = [e.when(vendor | plain, F.lit(k)) for e, k in zip(value, PLAIN_WEIGHTS)]
     d = d.withColumns({
         "weight_source": src, "wr": value[0], "wg": value[1], "wb": value[2],
-        "efficacy": F.when(in_cdm2(h), F.lit(1.0)).otherwise(F.lit(179.0)),
+        "efficacy": F.when(in_cdm2(h, marks), F.lit(1.0)).otherwise(F.lit(179.0)),
     })
     return d.drop(*[f"_c{i}" for i in range(9)], *[f"_t{i}" for i in range(8)], *[f"_p{i}" for i in range(8)], *[f"_{n}{i}" for n, _ in stages for i in range(3)])
 
 
-def next_step(lines: Column) -> Column:
-    """Number of the next processing step: one above the highest ``…_STEP_n``, at least 2."""
-    n = F.transform(lines, lambda s: F.nullif(F.regexp_extract(s, r"^\s*\w+_STEP_(\d+)\s*=", 1), F.lit("")).cast("int"))
+def next_step(lines: Column, marks: Marks = Marks()) -> Column:
+    """Number of the next processing step: one above the highest step key, at least 2."""
+    n = F.transform(lines, lambda s: F.nullif(F.regexp_extract(s, rf"^\s*{re.escape(marks.step)}(\d+)\s*=", 1), F.lit("")).cast("int"))
     return F.greatest(F.lit(1), F.coalesce(F.array_max(n), F.lit(1))) + 1
 
 

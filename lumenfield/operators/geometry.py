@@ -207,52 +207,46 @@ def stereo_split(pixels: DataFrame, left: tuple[int, int, int, int], right: tupl
     return reproject(eyes[0].unionByName(eyes[1]), "calibrated", keys=("image_id", "eye"), **lens)
 
 
-def resample_taps(source: int, target: int, kind: str = "tent") -> list[tuple[int, int, float]]:
-    """(target, source, weight) of one axis; filter widened when shrinking, weights normalised, edges clamped."""
-    radius = 1.0 if kind == "tent" else 3.0
-    scale = max(1.0, source / target)
-    count = math.floor(radius * scale * 2)
-    out = []
-    for t in range(target):
-        centre = (t + 0.5) / target * source
-        start = math.floor(centre - radius * scale + 0.5)
-        ws = []
-        for j in range(count):
-            p = abs((start + j + 0.5 - centre) / scale)
-            if kind == "tent":
-                ws.append(max(0.0, 1.0 - p / radius))
-            elif p < 1e-4:
-                ws.append(1.0)
-            elif p > radius:
-                ws.append(0.0)
-            else:
-                a = PI * p
-                ws.append(math.sin(a) * math.sin(a / radius) / (a * a / radius))
-        total = sum(ws)
-        out += [(t, min(max(start + j, 0), source - 1), v / total) for j, v in enumerate(ws) if v != 0.0]
-    return out
+def _sinc(x: Column) -> Column:
+    return F.when(F.abs(x) < 1e-4, F.lit(1.0)).otherwise(F.sin(x * PI) / (x * PI))
 
 
-def resample(
-    pixels: DataFrame, source: tuple[int, int], target: tuple[int, int], kind: str = "tent",
-    channels: Sequence[str] = CHANNELS, keys: Sequence[str] = ("image_id",),
-) -> DataFrame:
-    """Separable resampling of frames of size ``source`` (w, h) to ``target``, along x then y.
+# kernel of a distance in filter steps, and its radius
+KERNELS = {
+    "tent": (lambda d: F.greatest(F.lit(0.0), F.lit(1.0) - F.abs(d)), 1.0),
+    "lanczos": (lambda d: F.when(F.abs(d) > 3.0, F.lit(0.0)).otherwise(_sinc(d) * _sinc(d / 3.0)), 3.0),
+}
+
 
-    Each axis table has (filter width × target length) rows, a bound that does not grow with the data.
+def resample_taps(lengths: DataFrame, target: int, kind: str = "tent") -> DataFrame:
+    """(n, t, s, wt) for each axis length ``n``: weights of the source positions under the kernel about each target position.
+
+    The kernel is widened by n / target when shrinking, weights add up to 1, and positions beyond an end count for the end.
     """
-    spark = pixels.sparkSession
-    out = pixels
-    for axis, src, dst in (("x", source[0], target[0]), ("y", source[1], target[1])):
-        if src == dst:
-            continue
-        other = "y" if axis == "x" else "x"
-        table = spark.createDataFrame(resample_taps(src, dst, kind), "t int, s int, wt double")
-        table = table.groupBy("t", "s").agg(F.sum("wt").alias("wt")).withColumnRenamed("s", axis)
-        out = out.join(F.broadcast(table), axis).groupBy(*keys, other, F.col("t").alias(axis)).agg(
-            *[F.sum(F.col("wt") * F.col(ch)).alias(ch) for ch in channels]
-        )
-    return out.withColumns({"width": F.lit(target[0]), "height": F.lit(target[1])})
+    kernel, radius = KERNELS[kind]
+    d = lengths.select("n").distinct().withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(target - 1))))
+    d = d.withColumns({"stretch": F.greatest(F.lit(1.0), F.col("n") / target), "centre": (F.col("t") + 0.5) / target * F.col("n")})
+    d = d.withColumns({"first": F.floor(F.col("centre") - radius * F.col("stretch") + 0.5), "many": F.floor(2.0 * radius * F.col("stretch"))})
+    d = d.withColumn("at", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("many") - 1)))
+    d = d.withColumn("w", kernel((F.col("at") + 0.5 - F.col("centre")) / F.col("stretch"))).filter("w <> 0")
+    d = d.withColumn("s", F.greatest(F.lit(0), F.least(F.col("n") - 1, F.col("at"))).cast("int"))
+    merged = d.groupBy("n", "t", "s").agg(F.sum("w").alias("w"))
+    return merged.withColumn("wt", F.col("w") / F.sum("w").over(W.partitionBy("n", "t"))).drop("w")
+
+
+def resample(pixels: DataFrame, target: tuple[int, int], kind: str = "tent", channels: Sequence[str] = CHANNELS, keys: Sequence[str] = ("image_id",)) -> DataFrame:
+    """Separable resampling of frames of any sizes (their rows' ``width``, ``height``) to ``target`` (w, h), along x then y.
+
+    An axis table has (filter width × target length) rows for each distinct length; whether it is broadcast is left to its size.
+    """
+    out = pixels.select(*keys, "y", "x", "width", "height", *channels)
+    for axis, size, other, rest in (("x", "width", "y", "height"), ("y", "height", "x", "width")):
+        length = target[0] if axis == "x" else target[1]
+        table = resample_taps(pixels.select(F.col(size).alias("n")), length, kind)
+        table = table.select(F.col("n").alias(size), F.col("s").alias(axis), "t", "wt")
+        summed = out.join(table, [size, axis]).groupBy(*keys, other, rest, "t").agg(*[F.sum(F.col("wt") * F.col(ch)).alias(ch) for ch in channels])
+        out = summed.select(*keys, F.col("t").alias(axis), other, F.lit(length).alias(size), rest, *channels)
+    return out
 
 
 # --- vignetting --------------------------------------------------------------------------------------------------

@@ -180,10 +180,10 @@ def gaussian(
 
 
 def local_adaptation(df: DataFrame, ppd: float, value: str = "lum", name: str = "adapt", keys: Sequence[str] = KEYS) -> DataFrame:
-    """exp of the blurred ln L; σ = 10^-0.781367 · ppd, at least 0.6, replicated edges."""
+    """exp of the blurred ln L; σ = 10^-0.781367 · ppd, at least 0.6, replicated edges, summed out to 8σ at every σ."""
     sigma = max(0.6, 10.0**-0.781367 * ppd)
     d = df.withColumn("_ln", F.log(F.greatest(F.col(value), F.lit(1e-6))))
-    return gaussian(d, "_ln", sigma, "_g", "replicate", keys, radius=math.ceil(4.0 * sigma)).withColumn(name, F.exp("_g")).drop("_ln", "_g")
+    return gaussian(d, "_ln", sigma, "_g", "replicate", keys, radius=math.ceil(8.0 * sigma)).withColumn(name, F.exp("_g")).drop("_ln", "_g")
 
 
 def moving_average(df: DataFrame, by: Sequence[str], order: str, value: str, radius: int, name: str = "smooth") -> DataFrame:

@@ -54,7 +54,8 @@ def align(pixels: DataFrame, dx: Num, dy: Num, margin: int) -> DataFrame:
 def estimate_shift(ref: DataFrame, moved: DataFrame, margin: int = 4, value: str = "lum", keys: Sequence[str] = KEYS) -> DataFrame:
     """Shift (dx, dy) of ``moved`` against ``ref`` by the best normalised cross-correlation of log values in the lower half.
 
-    Every candidate shift within ``margin`` is one group of six sums with map-side combine; no pixel list is gathered.
+    Every candidate shift within ``margin`` is one group of six sums with map-side combine; no pixel list is gathered. ``inside`` is false
+    where the best shift lies on the edge of the search: the true one may be farther away, so search again with a larger margin.
     """
     keys = list(keys)
     low = F.col("y") >= F.floor(F.col("height") / 2)
@@ -64,7 +65,8 @@ def estimate_shift(ref: DataFrame, moved: DataFrame, margin: int = 4, value: str
     b = b.select(*keys, (F.col("_y") - F.col("dy")).alias("y"), (F.col("_x") - F.col("dx")).alias("x"), "dy", "dx", "_b")
     s = b.join(a, [*keys, "y", "x"]).groupBy(*keys, "dy", "dx").agg(F.corr("_a", "_b").alias("corr"))
     best = s.groupBy(*keys).agg(F.max_by(F.struct("dx", "dy", "corr"), F.struct("corr", (-F.abs("dy") - F.abs("dx")).alias("near"))).alias("m"))
-    return best.select(*keys, "m.dx", "m.dy", "m.corr")
+    inside = (F.abs("m.dx") < margin) & (F.abs("m.dy") < margin)
+    return best.select(*keys, "m.dx", "m.dy", "m.corr", inside.alias("inside"))
 
 
 # --- sun position ---

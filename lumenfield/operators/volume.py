@@ -47,8 +47,10 @@ def stitch_faces(faces: DataFrame, targets: DataFrame, face_size: int, fov: floa
     size = t.select(F.lit(face_size).alias("width"), F.lit(face_size).alias("height"), F.struct("y", "x", "width", "height", "face").alias("y"), F.struct("den", "blend").alias("x"), "tx", "ty")
     tap = taps(size, F.col("tx"), F.col("ty"), F.lit(True), clamped=True)
     tap = tap.select("y.*", F.col("x.den").alias("den"), F.col("x.blend").alias("blend"), "sy", "sx", "wt")
-    src = faces.select(*keys, "face", F.col("y").alias("sy"), F.col("x").alias("sx"), "depth_m")
-    j = src.join(tap, ["face", "sy", "sx"]).groupBy(*keys, "y", "x", "face", "den", "blend").agg(F.sum(F.col("wt") * F.col("depth_m")).alias("z"))
+    # each picture reads the taps of its own target size
+    src = faces.join(targets.select(*keys, "width", "height").distinct(), keys)
+    src = src.select(*keys, "width", "height", "face", F.col("y").alias("sy"), F.col("x").alias("sx"), "depth_m")
+    j = src.join(tap, ["width", "height", "face", "sy", "sx"]).groupBy(*keys, "y", "x", "face", "den", "blend").agg(F.sum(F.col("wt") * F.col("depth_m")).alias("z"))
     j = j.withColumn("radial", F.col("z") / F.col("den")).filter("radial > 0")
     s = j.groupBy(*keys, "y", "x").agg(F.sum(F.col("radial") * F.col("blend")).alias("_s"), F.sum("blend").alias("_w"))
     best = s.groupBy(*keys).agg(F.max("_w").alias("_best"))

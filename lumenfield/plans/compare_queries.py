@@ -80,9 +80,9 @@ _S6 = f"{10.0**-0.781367 * 8.52!r}e0"
 
 @query(
     "nb6_local_adaptation",
-    f"SELECT image_id, y, x, exp(m) adapt FROM ({_box('lum', 6, 6, 'sum(ln(greatest(q.lum,1e-6))*' + _G.format(s=_S6) + ')/sum(' + _G.format(s=_S6) + ') m', 'replicate')})",
+    f"SELECT image_id, y, x, exp(m) adapt FROM ({_box('lum', 12, 12, 'sum(ln(greatest(q.lum,1e-6))*' + _G.format(s=_S6) + ')/sum(' + _G.format(s=_S6) + ') m', 'replicate')})",
     "lum",
-    "adapt:5",
+    "adapt",
 )
 def nb6(spark, sf):
     return N.local_adaptation(X.lum(spark, sf), 8.52).select(*PXK, "adapt")

@@ -649,35 +649,43 @@ def ge19(spark, sf):
     return _rgb(df, ("image_id", "eye"))
 
 
-def _resample_sql(dst, kind):
+def _resample_sql(dst, kind, n=64):
     """Taps by position: weight from the distance to every candidate sample, normalised per target."""
-    s = f"(64e0/{dst}e0)" if dst < 64 else "1e0"
+    s = f"({n}e0/{dst}e0)" if dst < n else "1e0"
     rad = "1e0" if kind == "tent" else "3e0"
     w = (
         "greatest(0e0,1e0-p)"
         if kind == "tent"
         else "CASE WHEN p<1e-4 THEN 1e0 WHEN p>3e0 THEN 0e0 ELSE sin(pi()*p)*sin(pi()*p/3e0)/(pi()*p*pi()*p/3e0) END"
     )
-    return f"""SELECT t, s, sum(w)/any_value(tot) wt FROM (SELECT *, sum(w) OVER (PARTITION BY t) tot FROM (SELECT t, greatest(0,least(63,st+j)) s, {w} w
+    return f"""SELECT {n} n, t, s, sum(w)/any_value(tot) wt FROM (SELECT *, sum(w) OVER (PARTITION BY t) tot FROM (SELECT t, greatest(0,least({n - 1},st+j)) s, {w} w
       FROM (SELECT t, st, j, abs((st+j+0.5e0-c)/{s}) p FROM (SELECT *, floor(c-{rad}*{s}+0.5e0)::INT st FROM
-        (SELECT range::INT t, (range+0.5e0)/{dst}e0*64e0 c FROM range({dst}))), (SELECT range::INT j FROM range(floor({rad}*{s}*2e0)::INT))))) GROUP BY t, s"""
+        (SELECT range::INT t, (range+0.5e0)/{dst}e0*{n}e0 c FROM range({dst}))), (SELECT range::INT j FROM range(floor({rad}*{s}*2e0)::INT))))) GROUP BY t, s"""
 
 
-view("tent40", _resample_sql(40, "tent"))
+view("tent40", _resample_sql(40, "tent") + " UNION ALL " + _resample_sql(40, "tent", 32))
 view("lan96", _resample_sql(96, "lanczos"))
+# every second picture is cut to its upper left quarter
+view("px_sizes", "SELECT *, CASE WHEN image_id%2=1 THEN 32 ELSE 64 END n FROM px WHERE image_id%2=0 OR (y<32 AND x<32)", "px")
+
+
+def mixed_sizes(px):
+    small = F.col("image_id") % 2 == 1
+    size = F.when(small, F.lit(32)).otherwise(F.lit(64))
+    return px.filter(~small | ((F.col("y") < 32) & (F.col("x") < 32))).withColumns({"width": size, "height": size})
 
 
 @query(
     "ge20_resample",
-    """SELECT image_id, 'tent' kind, tb.t y, ta.t x, sum(g*ta.wt*tb.wt) g FROM px JOIN tent40 ta ON ta.s=x JOIN tent40 tb ON tb.s=y GROUP BY ALL
+    """SELECT image_id, 'tent' kind, tb.t y, ta.t x, sum(g*ta.wt*tb.wt) g FROM px_sizes p JOIN tent40 ta ON ta.s=x AND ta.n=p.n JOIN tent40 tb ON tb.s=y AND tb.n=p.n GROUP BY ALL
        UNION ALL SELECT image_id, 'lanczos', tb.t y, ta.t x, sum(g*ta.wt*tb.wt) g FROM px JOIN lan96 ta ON ta.s=x JOIN lan96 tb ON tb.s=y GROUP BY ALL""",
-    "px tent40 lan96",
+    "px px_sizes tent40 lan96",
     "g",
 )
 def ge20(spark, sf):
     px = X.px(spark, sf)
-    a = OG.resample(px, (64, 64), (40, 40), "tent", ("g",)).withColumn("kind", F.lit("tent"))
-    b = OG.resample(px, (64, 64), (96, 96), "lanczos", ("g",)).withColumn("kind", F.lit("lanczos"))
+    a = OG.resample(mixed_sizes(px), (40, 40), "tent", ("g",)).withColumn("kind", F.lit("tent"))
+    b = OG.resample(px, (96, 96), "lanczos", ("g",)).withColumn("kind", F.lit("lanczos"))
     return a.unionByName(b).select("image_id", "kind", "y", "x", "g")
 
 

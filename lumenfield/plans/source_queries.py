@@ -37,6 +37,10 @@ _LINES = [
     ("'RIG_COLOR= XYZ CD/m2'", "i%5=0 AND i%6=0"),
     ("'RIG_STEP_' || (2+i%3) || '= crop'", "i%3=0"),
     ("'RIG_STEP_1= merge'", None),
+    # keys of other programs that only look alike
+    ("'BACKGROUND_COLOR= grey, 100 cd/m2'", "i%7=0"),
+    ("'MAP_PROJECTION= equisolid'", "i%5=1"),
+    ("'OTHER_STEP_9= crop'", "i%4=1"),
     ("'SOFTWARE= rig ' || (i%4) || ' '", "i%3=1"),
     ("'FORMAT=32-bit_rle_rgbe'", None),
 ]
@@ -351,8 +355,16 @@ def io2(spark, sf):
 
 @query(
     "io3_header_scan",
-    "SELECT DISTINCT image_id || '/' || y AS path, 3::INT n_lines, 64::INT width, 1::INT height FROM px",
+    """SELECT DISTINCT image_id || '/' || y AS path, CASE WHEN y=0 THEN 3003 ELSE 3 END::INT n_lines, CASE WHEN y<>1 THEN 64 END::INT width, CASE WHEN y<>1 THEN 1 END::INT height,
+              CASE WHEN y=1 THEN 'no blank line after the header' END problem FROM px""",
     "px",
 )
 def io3(spark, sf):
-    return P.header_scan(encoded_rows(spark, sf)).select("path", F.size("header_lines").alias("n_lines"), "width", "height")
+    """One picture of each archive part has a header of more than 100 kB, one has no end of its header."""
+    rows = encoded_rows(spark, sf)
+    y = F.split_part("path", F.lit("/"), F.lit(2))
+    text = F.decode("content", "ISO-8859-1")
+    long = F.encode(F.concat(F.lit("#?RADIANCE\n"), F.repeat(F.lit("COMMENT= " + "x" * 40 + "\n"), 3000), F.substr(text, F.lit(12))), "ISO-8859-1")
+    broken = F.encode(F.lit("#?RADIANCE\nEXPOSURE=1\nFORMAT=32-bit_rle_rgbe"), "ISO-8859-1")
+    rows = rows.withColumn("content", F.when(y == "0", long).when(y == "1", broken).otherwise(F.col("content")))
+    return P.header_scan(rows).select("path", F.size("header_lines").alias("n_lines"), "width", "height", "problem")

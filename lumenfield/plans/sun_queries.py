@@ -36,7 +36,7 @@ def su2(spark, sf):
 
 @query(
     "su3_estimate_shift",
-    """SELECT image_id, arg_max(dx, corr)::INT dx, arg_max(dy, corr)::INT dy, max(corr) corr FROM (SELECT a.image_id, dx, dy, corr(ln(greatest(a.lum,1e-6)), ln(greatest(b.lum,1e-6))) corr FROM lum a,
+    """SELECT image_id, arg_max(dx, corr)::INT dx, arg_max(dy, corr)::INT dy, max(corr) corr, abs(arg_max(dx, corr))<4 AND abs(arg_max(dy, corr))<4 inside FROM (SELECT a.image_id, dx, dy, corr(ln(greatest(a.lum,1e-6)), ln(greatest(b.lum,1e-6))) corr FROM lum a,
         (SELECT unnest(range(-4,5)) dx), (SELECT unnest(range(-4,5)) dy), (SELECT image_id, y-2 y, x+3 x, lum*1.5e0 lum FROM lum WHERE y>=2 AND x<=60) b
         WHERE a.y>=32 AND b.image_id=a.image_id AND b.y=a.y+dy AND b.x=a.x+dx GROUP BY ALL) GROUP BY image_id""",
     "lum",

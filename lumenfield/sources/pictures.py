@@ -38,61 +38,97 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(glob_of(path)).select("path", "content")
 
 
+_SIZE = re.compile(rb"[-+][XY]\s*\d+\s+[-+][XY]\s*\d+")
+
+
 def header_scan(files: DataFrame) -> DataFrame:
-    """(path, header_lines, width, height) without decoding pixels: only the first 64 KiB of the bytes are looked at."""
-    head = F.decode(F.substring(F.col("content"), 1, 65536), "ISO-8859-1")
-    d = files.select("path", head.alias("_h"))
-    body = F.substring_index("_h", "\n\n", 1)
-    # the resolution line follows the blank line
-    rest = F.expr("substring(_h, length(substring_index(_h, '\n\n', 1)) + 3, 200)")
-    d = d.select("path", F.split(body, "\n").alias("header_lines"), F.substring_index(rest, "\n", 1).alias("_res"))
-    x, y = F.regexp_extract("_res", r"X\s*(\d+)", 1).cast("int"), F.regexp_extract("_res", r"Y\s*(\d+)", 1).cast("int")
-    return d.select("path", "header_lines", x.alias("width"), y.alias("height"))
+    """(path, header_lines, width, height, problem) without decoding pixels: everything up to the first blank line, however long.
+
+    A file without that line or without a size line behind it keeps its row: the size is NULL and ``problem`` says why.
+    """
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lines, sizes, problems = [], [], []
+            for cell in batch.column(1):
+                content = memoryview(cell.as_buffer()) if cell.is_valid else memoryview(b"")
+                blank = re.search(rb"\n\n", content)
+                head = bytes(content[: blank.start()] if blank else content)
+                found = _SIZE.match(content, blank.end()) if blank else None
+                size = {m[1]: int(m[2]) for m in re.finditer(rb"([XY])\s*(\d+)", found.group())} if found else {}
+                lines.append(head.decode("ISO-8859-1").split("\n"))
+                sizes.append((size.get(b"X"), size.get(b"Y")))
+                problems.append(None if len(size) == 2 else "no size line" if blank else "no blank line after the header")
+            width, height = zip(*sizes, strict=True) if sizes else ((), ())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(lines, pa.list_(pa.string())), pa.array(width, pa.int32()), pa.array(height, pa.int32()), pa.array(problems, pa.string())],
+                names=["path", "header_lines", "width", "height", "problem"],
+            )
+
+    return files.select("path", "content").mapInArrow(run, "path string, header_lines array<string>, width int, height int, problem string")
+
+
+def _plane(data: memoryview, at: int, width: int) -> tuple[bytes, int]:
+    """One channel of a run-length scanline: a code above 128 repeats the next byte code - 128 times, any other is followed by that many bytes."""
+    pieces, filled = [], 0
+    while filled < width:
+        code = data[at]
+        repeat = code > 128
+        size = code - 128 if repeat else code
+        piece = bytes(data[at + 1 : at + 2]) * size if repeat else bytes(data[at + 1 : at + 1 + size])
+        if not size or len(piece) != size:
+            raise ValueError("run or literal without content")
+        pieces.append(piece)
+        filled += size
+        at += 2 if repeat else 1 + size
+    if filled != width:
+        raise ValueError("run or literal leaves the scanline")
+    return b"".join(pieces), at
+
+
+def _quads(data: memoryview, at: int, width: int) -> tuple[np.ndarray, int]:
+    """A scanline of four-byte pixels. 1, 1, 1, n repeats the pixel before it n times; the k-th such mark in a row counts n * 256 ** (k - 1).
+
+    All pixels are taken from the buffer at once; repeats are expanded only where a mark is among them.
+    """
+    take = width
+    while True:
+        quads = np.frombuffer(data[at : at + 4 * take], np.uint8)
+        quads = quads[: len(quads) // 4 * 4].reshape(-1, 4)
+        mark = (quads[:, :3] == 1).all(axis=1)
+        mark[:1] = False
+        if not mark.any():
+            times = np.ones(len(quads), np.int64)
+        else:
+            place = np.arange(len(quads))
+            since = place - np.maximum.accumulate(np.where(mark, -1, place))
+            times = np.where(mark, quads[:, 3].astype(np.int64) << np.minimum(8 * (since - 1).clip(0), 40), 1)
+        filled = np.cumsum(times)
+        end = int(np.searchsorted(filled, width))
+        if end < len(quads):
+            break
+        if len(quads) < take:
+            raise ValueError("picture data ends early")
+        take *= 2  # marks of no repeats
+    if filled[end] != width:
+        raise ValueError("run leaves the scanline")
+    used = end + 1
+    source = np.maximum.accumulate(np.where(mark[:used], 0, np.arange(used)))
+    return np.repeat(quads[source], times[:used], axis=0), at + 4 * used
 
 
 def _scanline(data: memoryview, at: int, width: int) -> tuple[np.ndarray, int]:
     """One scanline as (width, 4) bytes and the position behind it."""
-    row = np.empty((width, 4), np.uint8)
     head = bytes(data[at : at + 4])
-    if len(head) < 4:
-        raise ValueError("picture data ends early")
-    if head[0] == 2 and head[1] == 2 and head[2] < 128:
-        if (head[2] << 8 | head[3]) != width:
-            raise ValueError("scanline length differs from the picture width")
-        at += 4
-        for ch in range(4):
-            x = 0
-            while x < width:
-                n = data[at]
-                if n > 128:
-                    n -= 128
-                    if x + n > width:
-                        raise ValueError("run leaves the scanline")
-                    row[x : x + n, ch] = data[at + 1]
-                    at += 2
-                else:
-                    if n == 0 or x + n > width:
-                        raise ValueError("literal leaves the scanline")
-                    row[x : x + n, ch] = np.frombuffer(data[at + 1 : at + 1 + n], np.uint8)
-                    at += 1 + n
-                x += n
-        return row, at
-    x, shift = 0, 0
-    while x < width:
-        px = bytes(data[at : at + 4])
-        if len(px) < 4:
-            raise ValueError("picture data ends early")
-        at += 4
-        if x and px[:3] == b"\x01\x01\x01":
-            n = px[3] << shift
-            if x + n > width:
-                raise ValueError("run leaves the scanline")
-            row[x : x + n] = row[x - 1]
-            x, shift = x + n, shift + 8
-        else:
-            row[x] = list(px)
-            x, shift = x + 1, 0
-    return row, at
+    if head[:2] != b"\x02\x02" or len(head) < 4 or head[2] > 127:
+        return _quads(data, at, width)
+    if int.from_bytes(head[2:], "big") != width:
+        raise ValueError("scanline length differs from the picture width")
+    at, planes = at + 4, []
+    for _ in range(4):
+        plane, at = _plane(data, at, width)
+        planes.append(np.frombuffer(plane, np.uint8))
+    return np.stack(planes, axis=1), at
 
 
 def scanlines(content: bytes, half_step: bool = True) -> Iterator[tuple[int, int, int, bool, np.ndarray]]:
