@@ -23,8 +23,8 @@ from pyspark.sql import DataFrame
 from lumenfield.llm import words
 from lumenfield.llm.tables import picked, with_schema
 
-BLOCK = 32 << 20
-MAX_CACHED = 500_000
+BLOCK, FLUSH = 16 << 20, 2 << 20
+MAX_CACHED = 250_000
 
 
 class Vocabulary:
@@ -260,9 +260,9 @@ class Encoder:
         return self.vocab.decode(ids)
 
 
-def encode(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", *, keep_ids: bool = True, carry: bool = False) -> DataFrame:
+def encode(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", *, keep_ids: bool = True, keep_bytes: bool = False, carry: bool = False) -> DataFrame:
     """One row per row of ``docs``: doc_id, tokens (array of ids, null unless ``keep_ids``), n_tokens, ids_sha256, decoded (binary, null unless
-    ``keep_ids``), decoded_sha256, exact (the decoded bytes are those of the text). carry: and the input row as ``row``.
+    ``keep_bytes``), decoded_sha256, exact (the decoded bytes are those of the text). carry: and the input row as ``row``.
 
     Null texts count as empty: no tokens, the digests of no bytes. Repeated rows come back as often as they are given, ids may be null; an empty
     table gives an empty result; other columns are not looked at. Any length is encoded whole.
@@ -274,30 +274,23 @@ def encode(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id"
             column = batch.column(1).fill_null("")
             _, offsets = words.text_bytes(column)
             for a, b in words.slices(offsets, BLOCK):
-                texts = column.slice(a, b - a).to_pylist()
-                rows: tuple[list, ...] = ([], [], [], [], [], [])
-                for text, ids in zip(texts, coder.encode(texts), strict=True):
-                    back = coder.decode(ids)
-                    for cell, value in zip(
-                        rows,
-                        (
-                            ids if keep_ids else None,
-                            len(ids),
-                            hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest(),
-                            back if keep_ids else None,
-                            hashlib.sha256(back).hexdigest(),
-                            back == text.encode("utf-8", "surrogatepass"),
-                        ),
-                        strict=True,
-                    ):
-                        cell.append(value)
-                kinds = (pa.list_(pa.int32()), pa.int64(), pa.string(), pa.binary(), pa.string(), pa.bool_())
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a), *(pa.array(r, k) for r, k in zip(rows, kinds, strict=True)), *(c.slice(a, b - a) for c in batch.columns[2:])],
-                    names=["doc_id", "tokens", "n_tokens", "ids_sha256", "decoded", "decoded_sha256", "exact", *(["row"] if carry else [])],
-                )
-
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(32 << 20))
+                coded = coder.encode(column.slice(a, b - a).to_pylist())
+                # a block is learned as a whole; its rows leave in small batches
+                for c, d in words.slices(offsets[a : b + 1] - offsets[a], FLUSH):
+                    part = batch.slice(a + c, d - c)
+                    rows: tuple[list, ...] = ([], [], [], [], [], [])
+                    for text, ids in zip(part.column(1), itertools.islice(coded, d - c), strict=True):
+                        back = coder.decode(ids)
+                        same = back == (text.as_py() or "").encode("utf-8", "surrogatepass")
+                        digest = hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest()
+                        for cell, value in zip(rows, (ids if keep_ids else None, len(ids), digest, back if keep_bytes else None, hashlib.sha256(back).hexdigest(), same), strict=True):
+                            cell.append(value)
+                    kinds = (pa.list_(pa.int32()), pa.int64(), pa.string(), pa.binary(), pa.string(), pa.bool_())
+                    yield pa.RecordBatch.from_arrays(
+                        [part.column(0), *(pa.array(r, k) for r, k in zip(rows, kinds, strict=True)), *part.columns[2:]],
+                        names=["doc_id", "tokens", "n_tokens", "ids_sha256", "decoded", "decoded_sha256", "exact", *(["row"] if carry else [])],
+                    )
+
     ddl = "doc_id long, tokens array<int>, n_tokens long, ids_sha256 string, decoded binary, decoded_sha256 string, exact boolean"
     return picked(docs, id_col, text_col, carry=carry).mapInArrow(run, with_schema(docs, ddl, carry=carry))
 
