@@ -78,9 +78,14 @@ def nb5(spark, sf):
 _S6 = f"{10.0**-0.781367 * 8.52!r}e0"
 
 
+_TAPS6 = f"(SELECT range::INT d, exp(-0.5e0*pow(range::DOUBLE/{_S6},2e0)) w FROM range(-12,13))"
+
+
 @query(
     "nb6_local_adaptation",
-    f"SELECT image_id, y, x, exp(m) adapt FROM ({_box('lum', 12, 12, 'sum(ln(greatest(q.lum,1e-6))*' + _G.format(s=_S6) + ')/sum(' + _G.format(s=_S6) + ') m', 'replicate')})",
+    f"""SELECT a.image_id, a.y, a.x, exp(sum(b.m*k.w)/sum(k.w)) adapt FROM lum a CROSS JOIN {_TAPS6} k JOIN
+        (SELECT a.image_id, a.y, a.x, sum(ln(greatest(q.lum,1e-6))*k.w)/sum(k.w) m FROM lum a CROSS JOIN {_TAPS6} k JOIN lum q ON q.image_id=a.image_id AND q.y=a.y AND q.x=greatest(0,least(63,a.x+k.d)) GROUP BY ALL) b
+        ON b.image_id=a.image_id AND b.x=a.x AND b.y=greatest(0,least(63,a.y+k.d)) GROUP BY a.image_id, a.y, a.x""",
     "lum",
     "adapt",
 )

@@ -355,7 +355,7 @@ def io2(spark, sf):
 
 @query(
     "io3_header_scan",
-    """SELECT DISTINCT image_id || '/' || y AS path, CASE WHEN y=0 THEN 3003 ELSE 3 END::INT n_lines, CASE WHEN y<>1 THEN 64 END::INT width, CASE WHEN y<>1 THEN 1 END::INT height,
+    """SELECT DISTINCT image_id || '/' || y AS path, CASE WHEN y=0 THEN 3003 ELSE 3 END::INT n_lines, CASE WHEN y<>1 THEN 64 ELSE -1 END::INT width, CASE WHEN y<>1 THEN 1 ELSE -1 END::INT height,
               CASE WHEN y=1 THEN 'no blank line after the header' END problem FROM px""",
     "px",
 )
@@ -367,4 +367,5 @@ def io3(spark, sf):
     long = F.encode(F.concat(F.lit("#?RADIANCE\n"), F.repeat(F.lit("COMMENT= " + "x" * 40 + "\n"), 3000), F.substr(text, F.lit(12))), "ISO-8859-1")
     broken = F.encode(F.lit("#?RADIANCE\nEXPOSURE=1\nFORMAT=32-bit_rle_rgbe"), "ISO-8859-1")
     rows = rows.withColumn("content", F.when(y == "0", long).when(y == "1", broken).otherwise(F.col("content")))
-    return P.header_scan(rows).select("path", F.size("header_lines").alias("n_lines"), "width", "height", "problem")
+    size = [F.coalesce(k, F.lit(-1)).alias(k) for k in ("width", "height")]
+    return P.header_scan(rows).select("path", F.size("header_lines").alias("n_lines"), *size, "problem")
