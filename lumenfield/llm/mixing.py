@@ -150,7 +150,7 @@ def _p(column: pa.ListArray) -> np.ndarray:
 def fit_rates(table: DataFrame, weights: dict[str, float], budget: float | None = None, max_rate: float = np.inf) -> tuple[Plan, dict[str, float]]:
     """Plan whose rates bring the domains' expected tokens to ``weights`` of ``budget`` tokens, and the expected tokens it reaches.
 
-    budget None: the most tokens for which no domain has to be repeated. An empty table, or one without tokens, leaves all rates at 1.
+    budget None: as many tokens as take the domain with the largest target once; a scarcer one is repeated as far as ``max_rate`` allows. An empty table, or one without tokens, leaves all rates at 1.
     """
     goal = np.array([weights.get(d, 0.0) for d in DOMAINS])
     goal = goal / max(goal.sum(), 1e-300)
@@ -173,7 +173,8 @@ def fit_rates(table: DataFrame, weights: dict[str, float], budget: float | None
     if total <= 0:
         return plan, dict(zip(DOMAINS, start.tolist(), strict=True))
     if budget is None:
-        budget = min((start[d] / goal[d] for d in range(len(DOMAINS)) if goal[d] > 0), default=total)
+        main = int(goal.argmax())
+        budget = start[main] / goal[main] if goal[main] > 0 else total
     target = goal * budget / total
     last = now = sums(plan) / total
     for k in range(STEPS):
