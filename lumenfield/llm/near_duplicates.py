@@ -221,6 +221,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         base.where("set_key is not null and id is not null").groupBy("set_key").agg(F.min_by(F.struct("sig", "bands"), "id").alias("s"), F.min("id").alias("rep")).select("set_key", "rep", "s.sig", "s.bands"),
         "classes",
     )
+    # only the classes need signatures from here on
+    base = work.save(base.select("id", "n_shingles", "set_key"), "members")
+    work.drop("signatures")
     members = classes.select("rep", F.explode("bands").alias("band"))
     shared = members.groupBy("band").agg(F.count("*").alias("n"), F.min_by("rep", F.xxhash64("rep", "band")).alias("pivot")).where("n > 1")
     buckets = work.save(members.join(shared.select("band", "pivot"), "band"), "buckets")
