@@ -19,48 +19,59 @@ from pyspark.sql import functions as F
 
 from lumenfield.llm.tables import Workspace
 
-BLOCK, CHUNK, STEPS = 4096, 128, 8
+BLOCK, CHUNK = 4096, 128
+#: Shares of the lists read before the bounds are looked at again.
+DEPTHS = (1 / 8, 1 / 4, 1 / 2)
+#: Reading also ends when no more than this share of the candidates is open: resolving them costs less than reading on.
+FEW = 1 / 20
 
 
-def search_block(values: np.ndarray, order: np.ndarray, ids: np.ndarray, query: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Ids and scores of the k best candidates of one block. values: (n, d) whole numbers; order: (d, n), places by falling component."""
+def search_block(values: np.ndarray, order: np.ndarray, ids: np.ndarray, queries: np.ndarray, own: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Ids and scores of the k best candidates of one block for each query. values: (n, d) whole numbers; order: (d, n), places by falling component.
+
+    All queries of a chunk read their lists to the same depth. What a query has seen of a list depends only on the end it reads from, so the bounds of all
+    queries are products of the seen components, and of the marks of unseen ones, with the queries' positive and negative parts.
+    """
     n, d = values.shape
-    used = np.flatnonzero(query)
-    if not len(used):
-        scores = np.zeros(n, np.int64)
-    else:
-        # weight-sorted reading: the contribution of list i falls (weakly) with the position read
-        seen = np.zeros((n, len(used)), bool)
-        lower_part = np.zeros(n, np.int64)
-        missing = np.zeros(n, np.int64)
-        tops, floors = np.empty(len(used), np.int64), np.empty(len(used), np.int64)
-        for c, i in enumerate(used.tolist()):
-            ends = values[order[i, [0, -1]], i] * query[i]
-            tops[c], floors[c] = ends.max(), ends.min()
-        step = max(1, -(-n // STEPS))
-        alive = np.ones(n, bool)
-        alive[ids == own] = False
-        for depth in range(0, n, step):
-            for c, i in enumerate(used.tolist()):
-                at = order[i, depth : depth + step] if query[i] > 0 else order[i, n - depth - step if depth + step < n else 0 : n - depth]
-                got = values[at, i] * query[i]
-                seen[at, c] = True
-                lower_part[at] += got
-                tops[c] = got.min()
-            missing = ~seen
-            lower, upper = lower_part + missing @ floors, lower_part + missing @ tops
-            bounded = np.where(alive, lower, np.iinfo(np.int64).min)
-            if alive.sum() > k:
-                kth = np.partition(bounded, n - k)[n - k]
-                alive &= upper >= kth
-            if alive.sum() <= k or alive.sum() * 20 <= n:
-                break
-        left = np.flatnonzero(alive)
-        scores = np.full(n, np.iinfo(np.int64).min)
-        scores[left] = values[left] @ query
-    keep = np.flatnonzero(ids != own) if not len(used) else left
-    best = keep[np.lexsort((ids[keep], -scores[keep]))[:k]]
-    return ids[best], scores[best]
+    # whole numbers below 2^53 are exact in double precision, which is faster
+    largest = float(np.abs(values).max(initial=0)) * float(np.abs(queries).max(initial=0)) * d
+    kind = np.float64 if largest < 2**53 else np.int64
+    v, q = values.astype(kind), queries.astype(kind)
+    up, down = np.maximum(q, 0), np.minimum(q, 0)
+    dims = np.arange(d)
+    top, bottom = v[order[:, 0], dims], v[order[:, -1], dims]
+    alive = ids[None] != own[:, None]
+    reading = np.arange(len(q))
+    for depth in (max(1, int(n * share)) for share in DEPTHS):
+        if n <= k or not len(reading):
+            break
+        high, low = np.zeros((n, d), bool), np.zeros((n, d), bool)
+        high[order[:, :depth], dims[:, None]] = True
+        low[order[:, n - depth :], dims[:, None]] = True
+        last_high, last_low = v[order[:, depth - 1], dims], v[order[:, n - depth], dims]
+        u, w = up[reading], down[reading]
+        # an unseen component lies between the last one read and the other end of its list
+        upper = u @ np.where(high, v, last_high).T + w @ np.where(low, v, last_low).T
+        lower = u @ np.where(high, v, bottom).T + w @ np.where(low, v, top).T
+        open_ = alive[reading]
+        lower[~open_] = np.iinfo(np.int64).min if kind is np.int64 else -np.inf
+        kth = np.partition(lower, n - k, axis=1)[:, n - k]
+        open_ &= upper >= kth[:, None]
+        alive[reading] = open_
+        left = open_.sum(1)
+        reading = reading[(left > k) & (left > n * FEW)]
+    # lists with many open candidates are read to the end together
+    whole = dict(zip(reading.tolist(), q[reading] @ v.T, strict=True))
+    out = []
+    for i in range(len(q)):
+        keep = np.flatnonzero(alive[i])
+        scores = whole[i][keep] if i in whole else v[keep] @ q[i]
+        if len(keep) > k:
+            good = scores >= np.partition(scores, len(keep) - k)[len(keep) - k]
+            keep, scores = keep[good], scores[good]
+        best = np.lexsort((ids[keep], -scores))[:k]
+        out.append((ids[keep[best]], scores[best].astype(np.int64)))
+    return out
 
 
 def whole_vectors(vectors: DataFrame, id_col: str, vector_col: str, scale: int) -> DataFrame:
@@ -70,10 +81,6 @@ def whole_vectors(vectors: DataFrame, id_col: str, vector_col: str, scale: int)
     return vectors.where(ok).select(F.col(id_col).cast("long").alias("vec_id"), F.transform(x, lambda c: F.floor(c.cast("double") * scale).cast("long")).alias("v"))
 
 
-def _matrix(column: pa.ListArray) -> np.ndarray:
-    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
-
-
 def top_k(vectors: DataFrame, k: int = 10, every: int = 100, scale: int = 1024, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, rank from 1, vec_id, score): for each row whose id is divisible by ``every`` the k greatest inner products with all other rows.
 
@@ -81,26 +88,29 @@ def top_k(vectors: DataFrame, k: int = 10, every: int = 100, scale: int = 1024,
     row is a candidate as often as it stands there, but rows with the query's own id are not; a repeated query is answered once. Vectors that are null, empty or hold null or
     non-finite components take no part. An empty table gives an empty result; other columns are not looked at.
     """
-    spark = vectors.sparkSession
-    work = Workspace(spark)
+    work = Workspace(vectors.sparkSession)
     rows = work.save(whole_vectors(vectors, id_col, vector_col, scale).withColumn("d", F.size("v")).where("d > 0"), "whole")
-    sizes = rows.groupBy("d").agg(F.count("*").alias("n"), F.count_if(F.col("vec_id") % every == 0).alias("q"))
-    spread = lambda n, size: F.pmod(F.xxhash64("vec_id"), F.greatest(F.lit(1), F.ceil(F.col(n) / size)))
+    n, n_queries = rows.agg(F.count("*"), F.count_if(F.col("vec_id") % every == 0)).first()
+    n_blocks, n_chunks = max(1, -(-n // BLOCK)), max(1, -(-n_queries // CHUNK))
+    spread = lambda parts: F.pmod(F.xxhash64("vec_id"), F.lit(parts)).cast("int")
+
+    def matrix(rows: list[dict]) -> tuple[np.ndarray, np.ndarray]:
+        return np.array([x["vec_id"] for x in rows], np.int64), np.array([x["v"] for x in rows], np.int64)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for row in b.to_pylist():
-                ids = np.array([x["vec_id"] for x in row["rows"]], np.int64)
-                values = np.array([x["v"] for x in row["rows"]], np.int64)
+                ids, values = matrix(row["rows"])
                 order = np.ascontiguousarray(np.argsort(-values, axis=0, kind="stable").T.astype(np.int32))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([row["d"]], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in (ids, values, order))], names=["d", "ids", "v", "lists"]
-                )
+                cells = [pa.array([x.tobytes()], pa.binary()) for x in (ids, values, order)]
+                yield pa.RecordBatch.from_arrays([pa.array([row["d"]], pa.int32()), pa.array([row["block"]], pa.int32()), *cells], names=["d", "block", "ids", "v", "lists"])
 
-    blocks = rows.join(sizes, "d").groupBy("d", spread("n", BLOCK).alias("block")).agg(F.collect_list(F.struct("vec_id", "v")).alias("rows"))
-    blocks = work.save(blocks.select("d", "rows").mapInArrow(pack, "d int, ids binary, v binary, lists binary"), "lists")
-    asked = rows.where(F.col("vec_id") % every == 0).dropDuplicates(["vec_id"]).join(sizes, "d")
-    chunks = asked.groupBy("d", spread("q", CHUNK).alias("chunk")).agg(F.collect_list(F.struct("vec_id", "v")).alias("asked"))
+    blocks = rows.groupBy("d", spread(n_blocks).alias("block")).agg(F.collect_list(F.struct("vec_id", "v")).alias("rows"))
+    blocks = work.save(blocks.mapInArrow(pack, "d int, block int, ids binary, v binary, lists binary"), "lists")
+    asked = rows.where(F.col("vec_id") % every == 0).dropDuplicates(["vec_id"])
+    chunks = asked.groupBy("d", spread(n_chunks).alias("chunk")).agg(F.collect_list(F.struct("vec_id", "v")).alias("asked"))
+    # the queries, a hundredth of the rows, go to the blocks; a block itself moves once
+    chunks = chunks.select("d", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("block"), "asked")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -108,15 +118,13 @@ def top_k(vectors: DataFrame, k: int = 10, every: int = 100, scale: int = 1024,
                 ids = np.frombuffer(b.column(0)[r].as_py(), np.int64)
                 values = np.frombuffer(b.column(1)[r].as_py(), np.int64).reshape(len(ids), -1)
                 order = np.frombuffer(b.column(2)[r].as_py(), np.int32).reshape(-1, len(ids))
-                out: tuple[list, ...] = ([], [], [])
-                for q in b.column(3)[r].as_py():
-                    got, scores = search_block(values, order, ids, np.array(q["v"], np.int64), q["vec_id"], k)
-                    for cell, x in zip(out, (np.full(len(got), q["vec_id"]), got, scores), strict=True):
-                        cell.append(x)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], names=["query_id", "vec_id", "score"])
-
-    # a task for each pair of a block of candidates and a chunk of queries
-    tasks = max(1, blocks.count())
-    found = blocks.join(chunks, "d").repartition(tasks, F.xxhash64("ids", "asked")).select("ids", "v", "lists", "asked").mapInArrow(run, "query_id long, vec_id long, score long")
+                own, queries = matrix(b.column(3)[r].as_py())
+                got = search_block(values, order, ids, queries, own, k)
+                columns = np.repeat(own, [len(x) for x, _ in got]), np.concatenate([x for x, _ in got]), np.concatenate([x for _, x in got])
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["query_id", "vec_id", "score"])
+
+    tasks = 4 * n_blocks
+    met = blocks.repartition(tasks, "d", "block").join(chunks.repartition(tasks, "d", "block"), ["d", "block"])
+    found = met.select("ids", "v", "lists", "asked").mapInArrow(run, "query_id long, vec_id long, score long")
     best = found.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id"))), 1, k).alias("best"))
     return best.select("query_id", F.posexplode("best").alias("at", "b")).select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("b.vec_id").alias("vec_id"), (-F.col("b.s")).alias("score"))

@@ -94,6 +94,10 @@ def test_blocks_stop_before_the_end():
     values[:5] += 4000
     order = np.argsort(-values, axis=0, kind="stable").T.astype(np.int32)
     query = np.array([3, 1, 2, 5, 1, 1, 2, 9])
-    ids, scores = top_k.search_block(values, order, np.arange(3000), query, 7, 3)
-    want = np.lexsort((np.arange(3000), -(values @ query)))[:3]
-    assert ids.tolist() == want.tolist() and scores.tolist() == (values @ query)[want].tolist()
+    mixed = rng.integers(-9, 9, size=(20, 8))
+    huge = np.array([[1 << 48, -(1 << 48), 1, 0, 0, 0, 0, 3]])
+    for queries in (query[None], mixed, huge):
+        found = top_k.search_block(values, order, np.arange(3000), queries, np.arange(len(queries)) + 7, 3)
+        for (ids, scores), q, own in zip(found, queries, range(7, 7 + len(queries)), strict=True):
+            want = [i for i in np.lexsort((np.arange(3000), -(values @ q))) if i != own][:3]
+            assert ids.tolist() == want and scores.tolist() == (values @ q)[want].tolist()
