@@ -122,23 +122,31 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _set_table(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
-    """(rep, shingles): full sets of the wanted classes, from one row of each."""
+    """(rep, set_key, shingles): full sets of the wanted classes, from one row of each.
+
+    The join brings the rows of an id together, in order, so its first row that has the class's set is taken and the sets are not shuffled to find it.
+    Should adaptive execution split a very common id, its set comes once from each split; equal rows only repeat links.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
         for batch in batches:
-            data, offsets = words.text_bytes(batch.column(1))
+            data, offsets = words.text_bytes(batch.column(2))
             for a, b in words.slices(offsets):
                 sets = words.shingle_sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], k)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a), pa.array([_set_key(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())],
-                    names=["rep", "set_key", "shingles"],
-                )
-
+                reps, keys = (batch.column(i).slice(a, b - a).to_pylist() for i in (0, 1))
+                at = []
+                for i, (rep, key) in enumerate(zip(reps, keys, strict=True)):
+                    if rep != last and _set_key(sets[i]) == key:
+                        at.append(i)
+                        last = rep
+                cells = [pa.array([reps[i] for i in at], pa.int64()), pa.array([keys[i] for i in at], pa.binary()), pa.array([sets[i].tobytes() for i in at], pa.binary())]
+                yield pa.RecordBatch.from_arrays(cells, names=["rep", "set_key", "shingles"])
+
+    texts = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).cast("string").alias("text"))
     # wanted grows with the documents: never broadcast
-    texts = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).cast("string").alias("text")).join(wanted.select("rep").hint("merge"), "rep", "left_semi")
-    made = texts.mapInArrow(run, "rep long, set_key binary, shingles binary")
-    # an id that stands on several rows names the row whose set is the class's own
-    return made.join(wanted.select("rep", "set_key"), ["rep", "set_key"], "left_semi").dropDuplicates(["rep", "set_key"])
+    met = texts.join(wanted.select("rep", "set_key").hint("merge"), "rep").select("rep", "set_key", "text")
+    return met.mapInArrow(run, "rep long, set_key binary, shingles binary")
 
 
 def _label(ids: DataFrame, labels: DataFrame | None, *cols: str) -> DataFrame:
