@@ -40,7 +40,8 @@ def near_duplicate_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def personal_data_masking(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces personal data by its kind in brackets; ``n_chars`` follows the text. Every document stays."""
-    found = personal_data.find(docs, personal_data.learn(docs), keep_text=True, carry=True)
+    rest = [c for c in docs.columns if c not in ("text", "n_chars")]
+    found = personal_data.find(docs, personal_data.learn(docs), keep_text=True, carry=rest)
     new = {"text": F.col("masked"), "n_chars": F.length("masked").cast("long")}
     return found.select(*[new.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
 
@@ -53,8 +54,8 @@ def domain_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def tokenisation(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, with the proof that they decode to its text."""
-    coded = byte_bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, carry=True)
-    return coded.select("doc_id", *[F.col("row")[c].alias(c) for c in ("lang", "source", "n_chars")], "n_tokens", "tokens", "ids_sha256", "decoded_sha256", "exact")
+    coded = byte_bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, carry=["lang", "source", "n_chars"])
+    return coded.select("doc_id", "row.lang", "row.source", "row.n_chars", "n_tokens", "tokens", "ids_sha256", "decoded_sha256", "exact")
 
 
 STAGES: list[tuple[str, Stage]] = [

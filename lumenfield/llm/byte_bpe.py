@@ -260,9 +260,9 @@ class Encoder:
         return self.vocab.decode(ids)
 
 
-def encode(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", *, keep_ids: bool = True, keep_bytes: bool = False, carry: bool = False) -> DataFrame:
+def encode(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", *, keep_ids: bool = True, keep_bytes: bool = False, carry: bool | list[str] = False) -> DataFrame:
     """One row per row of ``docs``: doc_id, tokens (array of ids, null unless ``keep_ids``), n_tokens, ids_sha256, decoded (binary, null unless
-    ``keep_bytes``), decoded_sha256, exact (the decoded bytes are those of the text). carry: and the input row as ``row``.
+    ``keep_bytes``), decoded_sha256, exact (the decoded bytes are those of the text). carry: and the input row, or the named columns of it, as ``row``.
 
     Null texts count as empty: no tokens, the digests of no bytes. Repeated rows come back as often as they are given, ids may be null; an empty
     table gives an empty result; other columns are not looked at. Any length is encoded whole.

@@ -308,9 +308,9 @@ def masked(text: str, spans: list[tuple[int, int, int]]) -> str:
     return "".join([*out, text[end:]])
 
 
-def find(docs: DataFrame, weights: np.ndarray, id_col: str = "doc_id", text_col: str = "text", *, keep_text: bool = False, carry: bool = False) -> DataFrame:
+def find(docs: DataFrame, weights: np.ndarray, id_col: str = "doc_id", text_col: str = "text", *, keep_text: bool = False, carry: bool | list[str] = False) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_email, n_ip, n_card, n_phone (pattern matches), base_sha256, spans (all, as kind:start:end by code points),
-    masked (the text with all spans replaced; null unless ``keep_text``, and for null texts). carry: and the input row as ``row``.
+    masked (the text with all spans replaced; null unless ``keep_text``, and for null texts). carry: and the input row, or the named columns of it, as ``row``.
 
     Null texts count as empty: no spans. Ids may be null and rows repeat; an empty table gives an empty result; other columns are not looked at.
     """

@@ -40,13 +40,13 @@ def unit_draw(*parts: Column) -> Column:
     return (F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") + 0.5) / float(2**52)
 
 
-def with_schema(docs: DataFrame, ddl: str, *, carry: bool) -> T.StructType:
-    """Output schema of an operator; carry: with the whole input row as the struct ``row``."""
+def with_schema(docs: DataFrame, ddl: str, *, carry: bool | list[str]) -> T.StructType:
+    """Output schema of an operator; carry: with the whole input row, or the named columns of it, as the struct ``row``."""
     out = T.StructType.fromDDL(ddl)
-    return out.add("row", docs.schema) if carry else out
+    return out.add("row", (docs if carry is True else docs.select(*carry)).schema) if carry else out
 
 
-def picked(docs: DataFrame, id_col: str, text_col: str, *, carry: bool) -> DataFrame:
-    """doc_id, text, and the whole row where it is carried along; names of other columns never clash with these."""
+def picked(docs: DataFrame, id_col: str, text_col: str, *, carry: bool | list[str]) -> DataFrame:
+    """doc_id, text, and the row, or the named columns of it, where it is carried along; names of other columns never clash with these."""
     columns = [F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")]
-    return docs.select(*columns, *([F.struct("*").alias("row")] if carry else []))
+    return docs.select(*columns, *([F.struct(*(["*"] if carry is True else carry)).alias("row")] if carry else []))
