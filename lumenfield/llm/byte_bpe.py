@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from lumenfield.llm import words
 from lumenfield.llm.tables import picked, with_schema
 
-BLOCK, FLUSH = 16 << 20, 2 << 20
+BLOCK, FLUSH = 4 << 20, 2 << 20
 MAX_CACHED = 250_000
 
 

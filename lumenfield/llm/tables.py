@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from lumenfield.session import work_folder
 
-ARROW_BYTES = str(32 << 20)
+ARROW_BYTES = str(8 << 20)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
