@@ -4,9 +4,10 @@
 2. Every node starts with neighbours from random hyperplane buckets (bits follow the number of nodes; a large bucket is dealt into parts).
 3. Descent: each node's neighbours and reverse neighbours are compared with one another, and every better neighbour found enters the lists of both. Rounds go on until
    hardly any list changes and an audit holds: for ``AUDIT`` nodes all true links, found by comparing them with all vectors, must be in the graph to ``RECALL``.
-4. A list all of whose ``K`` neighbours reach the threshold is saturated: it may hide more. Such lists are enlarged to everything that links reach from them: the members
-   of their component are compared block by block, so links in dense groups are counted exactly, without a row for each pair.
-5. Links are confirmed in double precision; components come from the confirmed links.
+4. A list all of whose ``K`` neighbours reach the threshold is saturated: it may hide more. A link that no list holds has saturated lists at both ends, so all members of
+   components with a saturated list are compared with one another, within components and across, block by block without a row for each pair. Parts whose centres and radii
+   keep them farther apart than the threshold are passed over. So links of dense groups are counted exactly, and groups that hidden links join become one.
+5. Links are confirmed in double precision; components come from the confirmed links and the joined groups.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ from lumenfield.llm.components import components
 from lumenfield.llm.tables import Workspace
 
 K, REVERSE, TABLES, PART = 12, 12, 16, 256
+BLOCK = 1024  # members of dense components that are read together
 ROUNDS, CHANGE, AUDIT, RECALL = 6, 0.02, 64, 0.99
 SLACK = 1e-4  # search runs in single precision
 
@@ -159,25 +161,64 @@ def _confirm(links: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
     return links.join(one, "u").join(two, "v").select("u", "v", "v_u", "v_v").mapInArrow(run, "u long, v long")
 
 
-def _dense_counts(members: DataFrame, threshold: float) -> DataFrame:
-    """members: rep, component, v, m. (rep, n): links of each member inside its component, counted by multiplicity, in blocks of PART x PART."""
+def _blocks(members: DataFrame, size: int) -> DataFrame:
+    """members: rep, component, v, m. (d, block, rows): cells are parts of a component with at most about PART members; a block holds whole cells, about BLOCK members."""
     sizes = members.groupBy("component").agg(F.count("*").alias("size"))
     dealt = members.join(sizes, "component").withColumn("part", F.pmod(F.xxhash64("rep"), F.ceil(F.col("size") / PART)))
-    parts = dealt.groupBy("component", "part").agg(F.collect_list(F.struct("rep", "v", "m")).alias("rows"))
-    pairs = parts.select("component", F.col("rows").alias("one")).join(parts.select("component", F.col("rows").alias("two")), "component").select("one", "two")
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("component", "part"), F.lit(-(-size // BLOCK)))).withColumn("d", F.length("v"))
+    return dealt.groupBy("d", "block").agg(F.sort_array(F.collect_list(F.struct("component", "part", "rep", "v", "m"))).alias("rows"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def block(rows: pa.ListScalar) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-            s = rows.values
-            return s.field("rep").to_numpy(), np.frombuffer(b"".join(s.field("v").to_pylist()), np.float64).reshape(len(s), -1), s.field("m").to_numpy()
 
-        for b in batches:
-            for one, two in zip(b.column(0), b.column(1), strict=True):
-                (ri, xi, _), (rj, xj, mj) = block(one), block(two)
-                hit = (xi @ xj.T >= threshold) & (ri[:, None] != rj[None])
-                yield pa.RecordBatch.from_arrays([pa.array(ri), pa.array(hit @ mj)], names=["rep", "n"])
+def _cells(rows: pa.ListScalar) -> tuple[np.ndarray, ...]:
+    """Component of each member, its name, vector and multiplicity, first members of the cells, and the cells' centres and radii (greatest angle to a member)."""
+    s = rows.values
+    component, part, rep, m = (s.field(c).to_numpy() for c in ("component", "part", "rep", "m"))
+    x = np.frombuffer(b"".join(s.field("v").to_pylist()), np.float64).reshape(len(s), -1)
+    first = np.flatnonzero(np.concatenate(([True], (component[1:] != component[:-1]) | (part[1:] != part[:-1]))))
+    centre = np.add.reduceat(x, first)
+    norm = np.sqrt((centre * centre).sum(1))
+    centre = np.where(norm[:, None] > 1e-6, centre / np.maximum(norm, 1e-6)[:, None], x[first])
+    angle = np.arccos(np.clip((x * np.repeat(centre, np.diff(np.append(first, len(x))), axis=0)).sum(1), -1, 1))
+    return component, rep, x, m, np.append(first, len(x)), centre, np.maximum.reduceat(angle, first)
+
+
+def _dense_counts(members: DataFrame, size: int, threshold: float, work: Workspace) -> tuple[DataFrame, DataFrame]:
+    """(rep, n): links of each member to all members, of its own component or another, counted by multiplicity; (u, v): components that a link joins.
 
-    return pairs.mapInArrow(run, "rep long, n long").groupBy("rep").agg(F.sum("n").alias("n"))
+    Cells of different blocks meet where their centres are within their radii and the threshold's angle of one another: by the triangle inequality no link is passed over.
+    """
+    blocks = work.save(_blocks(members, size), "blocks")
+    tasks = max(2, round((size / BLOCK) ** 0.5))
+    one = blocks.select("d", "block", F.col("rows").alias("one")).repartition(tasks)
+    two = blocks.select(F.col("d").alias("d2"), F.col("block").alias("block2"), F.col("rows").alias("two")).repartition(tasks)
+    pairs = one.hint("shuffle_replicate_nl").join(two, F.expr("d = d2 and block <= block2")).select("one", "two", (F.col("block") == F.col("block2")).alias("same"))
+    reach = float(np.arccos(np.clip(threshold, -1, 1))) + 1e-6
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for rows, others, same in zip(b.column(0), b.column(1), b.column(2).to_pylist(), strict=True):
+                ci, ri, xi, mi, fi, centre_i, radius_i = _cells(rows)
+                cj, rj, xj, mj, fj, centre_j, radius_j = _cells(others)
+                ni, nj = np.zeros(len(ri), np.int64), np.zeros(len(rj), np.int64)
+                bridges = set()
+                angle = np.arccos(np.clip(centre_i @ centre_j.T, -1, 1))
+                for i, j in zip(*np.nonzero(angle <= radius_i[:, None] + radius_j[None] + reach), strict=True):
+                    at, to = slice(fi[i], fi[i + 1]), slice(fj[j], fj[j + 1])
+                    hit = (xi[at] @ xj[to].T >= threshold) & (ri[at, None] != rj[None, to])
+                    ni[at] += hit @ mj[to]
+                    if not same:
+                        nj[to] += mi[at] @ hit
+                    if ci[fi[i]] != cj[fj[j]] and hit.any():
+                        bridges.add((ci[fi[i]], cj[fj[j]]))
+                for rep, n in ((ri, ni), (rj, nj)):
+                    some = np.flatnonzero(n)
+                    yield pa.RecordBatch.from_arrays([pa.array(rep[some]), pa.array(n[some]), pa.nulls(len(some), pa.int64())], names=["rep", "n", "other"])
+                joined = np.array(sorted(bridges), np.int64).reshape(-1, 2)
+                yield pa.RecordBatch.from_arrays([pa.array(joined[:, 0]), pa.array(np.zeros(len(joined), np.int64)), pa.array(joined[:, 1])], names=["rep", "n", "other"])
+
+    found = work.save(pairs.mapInArrow(run, "rep long, n long, other long"), "dense")
+    counts = found.where("other is null").groupBy("rep").agg(F.sum("n").alias("n"))
+    return counts, found.where("other is not null").select(F.col("rep").alias("u"), F.col("other").alias("v"))
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = 0.9, id_col: str = "vec_id", vector_col: str = "embedding") -> tuple[DataFrame, dict]:
@@ -221,8 +262,10 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, id_col: str = "v
     saturated = close.groupBy("u").agg(F.count("*").alias("n")).where(F.col("n") >= K).select(F.col("u").alias("id"))
     dense = parts.join(saturated, "id", "left_semi").select("component").distinct()
     inside = parts.join(dense, "component", "left_semi")
-    members = nodes.select("rep", "v", "m").join(inside.select(F.col("id").alias("rep"), "component"), "rep")
-    counted = _dense_counts(members, threshold)
+    members = work.save(nodes.select("rep", "v", "m").join(inside.select(F.col("id").alias("rep"), "component"), "rep"), "members")
+    counted, bridges = _dense_counts(members, members.count(), threshold, work)
+    joined = components(bridges).select(F.col("id").alias("component"), F.col("component").alias("whole"))
+    parts = parts.join(joined, "component", "left").select("id", F.coalesce("whole", "component").alias("component"))
     both = links.select("u", "v").union(links.select("v", "u"))
     sparse = both.join(nodes.select(F.col("rep").alias("v"), "m"), "v").groupBy(F.col("u").alias("rep")).agg(F.sum("m").alias("n"))
     n_links = sparse.join(counted.select("rep", F.col("n").alias("all")), "rep", "left").select("rep", F.coalesce("all", "n").alias("n"))

@@ -55,6 +55,20 @@ def test_links_as_brute_force(vectors):
     assert sum(got[i] == want[i] for i in want) >= 0.97 * len(want)
 
 
+def test_links_between_dense_groups(vectors):
+    """Groups so dense that every list is full of own members, with links across: only a search beyond the lists sees them."""
+    rng = np.random.default_rng(7)
+    out = []
+    for _ in range(6):
+        a, b, c = np.linalg.qr(rng.normal(size=(24, 3)))[0].T
+        other = 0.92 * a + np.sqrt(1 - 0.92**2) * b
+        for centre, size in ((a, 40), (other, 300), (c, 20)):
+            out += list(centre + rng.normal(size=(size, 24)) * 0.01)
+    rows = [(i * 2 + 1, np.float32(out[k]).tolist()) for i, k in enumerate(rng.permutation(len(out)))]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in neighbours.near_duplicates(vectors(rows))[0].collect()}
+    assert got == brute_links(rows)
+
+
 def test_links_edges(vectors):
     rows = [(1, None), (2, []), (3, [0.0, 0.0]), (4, [1.0, None]), (5, [1.0, float("nan")]), (6, [float("inf"), 1.0]), (7, [1.0, 0.0]), (8, [2.0, 0.0]), (8, [2.0, 0.0]), (9, [1.0, 0.0, 0.0]), (None, [1.0, 0.0]), (10, [0.0, 1.0])]
     got = sorted(((r.vec_id, r.n_links, r.component_id, r.kept) for r in neighbours.near_duplicates(vectors(rows))[0].collect()), key=str)
