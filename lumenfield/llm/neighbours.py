@@ -1,13 +1,16 @@
 """Embedding near-duplicates by NN-descent.
 
 1. Equal vectors are one node with a multiplicity. Nodes of equal length and finite, non-zero direction take part.
-2. Every node starts with neighbours from random hyperplane buckets (bits follow the number of nodes; a large bucket is dealt into parts).
+2. Every node starts with neighbours from random hyperplane buckets of ``BUCKET`` nodes on average. The number of tables follows the bits, so that a pair at the threshold
+   shares no bucket with probability ``MISS`` at most, whatever the number of nodes; only buckets of more than ``LARGE`` nodes are dealt into parts.
 3. Descent: each node's neighbours and reverse neighbours are compared with one another, and every better neighbour found enters the lists of both. Rounds go on until
-   hardly any list changes and an audit holds: for ``AUDIT`` nodes all true links, found by comparing them with all vectors, must be in the graph to ``RECALL``.
+   hardly any list changes.
 4. A list all of whose ``K`` neighbours reach the threshold is saturated: it may hide more. A link that no list holds has saturated lists at both ends, so all members of
    components with a saturated list are compared with one another, within components and across, block by block without a row for each pair. Parts whose centres and radii
    keep them farther apart than the threshold are passed over. So links of dense groups are counted exactly, and groups that hidden links join become one.
 5. Links are confirmed in double precision; components come from the confirmed links and the joined groups.
+6. Audit: for nodes drawn at random, and for nodes drawn from those with links, the final counts are held against a comparison with all vectors. While less than ``RECALL`` of
+   the links is found, or less than that on average over the nodes with links, the search goes on with fresh tables; after ``ATTEMPTS`` it raises.
 """
 
 from __future__ import annotations
@@ -22,9 +25,11 @@ from pyspark.sql import functions as F
 from lumenfield.llm.components import components
 from lumenfield.llm.tables import Workspace
 
-K, REVERSE, TABLES, PART = 12, 12, 16, 256
+K, REVERSE, PART = 12, 12, 256
+BUCKET, LARGE, MISS, AT_ONCE = 512, 2048, 0.002, 8
 BLOCK = 1024  # members of dense components that are read together
-ROUNDS, CHANGE, AUDIT, RECALL = 6, 0.02, 64, 0.99
+ROUNDS, CHANGE, RECALL, ATTEMPTS = 6, 0.02, 0.99, 4
+AUDIT, AUDIT_MORE, AUDIT_LINKED = 1024, 8192, 64  # nodes asked at random; so many where fewer than AUDIT_LINKED of them have links
 SLACK = 1e-4  # search runs in single precision
 
 
@@ -59,8 +64,15 @@ def _lists(u: np.ndarray, v: np.ndarray, sim: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), pa.array(sim.astype(np.float32))], names=["u", "v", "sim"])
 
 
-def _buckets(nodes: DataFrame, bits: int) -> DataFrame:
-    """(rep, d, f, table, bucket): each node once per table."""
+def plan(n: int, threshold: float) -> tuple[int, int]:
+    """Bits of a table's buckets, and the number of tables with which a pair at the threshold shares none of its buckets with probability MISS at most."""
+    bits = max(0, min(40, int(np.log2(max(n, 1) / BUCKET))))
+    alike = max(0.5, 1 - np.arccos(np.clip(threshold, -1, 1)) / np.pi) ** bits
+    return bits, 1 if alike >= 1 else max(1, int(np.ceil(np.log(MISS) / np.log1p(-alike))))
+
+
+def _buckets(nodes: DataFrame, bits: int, first: int, tables: int) -> DataFrame:
+    """(rep, d, f, table, bucket): each node once per table; first: number of the first table, which decides the planes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -68,11 +80,10 @@ def _buckets(nodes: DataFrame, bits: int) -> DataFrame:
             for d in np.unique(dims).tolist():
                 part = b.filter(pa.array(dims == d))
                 x = _floats(part.column(2))
-                planes = np.random.Generator(np.random.PCG64([5, d])).standard_normal((d, TABLES * bits)).astype(np.float32)
-                signs = (x @ planes > 0).reshape(len(x), TABLES, bits)
-                code = (signs * (1 << np.arange(bits))).sum(2)
-                for t in range(TABLES):
-                    yield pa.RecordBatch.from_arrays([*part.columns, pa.array(np.full(len(x), t, np.int32)), pa.array(code[:, t].astype(np.int64))], names=["rep", "d", "f", "table", "bucket"])
+                for t in range(first, first + tables):
+                    planes = np.random.Generator(np.random.PCG64([5, d, t])).standard_normal((d, bits)).astype(np.float32)
+                    code = ((x @ planes > 0) * (1 << np.arange(bits))).sum(1)
+                    yield pa.RecordBatch.from_arrays([*part.columns, pa.array(np.full(len(x), t, np.int32)), pa.array(code.astype(np.int64))], names=["rep", "d", "f", "table", "bucket"])
 
     return nodes.select("rep", "d", "f").mapInArrow(run, "rep long, d int, f binary, table int, bucket long")
 
@@ -123,31 +134,44 @@ def _descend(graph: DataFrame, nodes: DataFrame) -> DataFrame:
     return carried.groupBy("w", "d").applyInArrow(local, "u long, v long, sim float")
 
 
-def _audit(graph: DataFrame, nodes: DataFrame, least: float) -> tuple[int, int]:
-    """True links of the audited nodes, and how many of them the graph has in either direction. Nodes of saturated lists are counted up to K."""
-    asked = nodes.orderBy(F.xxhash64("rep"), "rep").limit(AUDIT).select("rep", "d", "f").collect()
-    ids = np.array([r.rep for r in asked], np.int64)
-    dims = np.array([r.d for r in asked])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            d_ = b.column(1).to_numpy()
-            for d in np.unique(d_).tolist():
-                mine = np.flatnonzero(dims == d)
-                if not len(mine):
-                    continue
-                part = b.filter(pa.array(d_ == d))
-                q = np.stack([np.frombuffer(asked[i].f, np.float32) for i in mine])
-                rep = part.column(0).to_numpy()
-                i, j = np.nonzero((q @ _floats(part.column(2)).T >= least) & (ids[mine][:, None] != rep[None]))
-                yield pa.RecordBatch.from_arrays([pa.array(ids[mine][i]), pa.array(rep[j])], names=["u", "v"])
-
-    true = nodes.select("rep", "d", "f").mapInArrow(run, "u long, v long")
-    linked = graph.where(F.col("sim") >= least)
-    have = linked.select("u", "v").union(linked.select("v", "u")).where(F.col("u").isin(ids.tolist())).distinct().withColumn("have", F.lit(1))
-    per = true.join(have, ["u", "v"], "left").groupBy("u").agg(F.count("*").alias("n"), F.count("have").alias("k"))
-    row = per.agg(F.sum(F.least("n", F.lit(K))), F.sum(F.least("k", F.lit(K)))).first()
-    return int(row[0] or 0), int(row[1] or 0)
+def _audit(n_links: DataFrame, nodes: DataFrame, threshold: float) -> tuple[int, int, int, float]:
+    """n_links: rep, n. For the nodes asked: true links by multiplicity, how many of them were counted, nodes that have links, and the mean share counted of these nodes."""
+    drawn = nodes.select("rep", "v").orderBy(F.xxhash64("rep"), "rep")
+    linked = nodes.select("rep", "v").join(n_links, "rep", "left_semi").orderBy(F.xxhash64("rep", F.lit(1)), "rep").limit(AUDIT).collect()
+    counted = n_links.select("rep", F.col("n").alias("found"))
+    for size in (AUDIT, AUDIT_MORE):
+        some = drawn.limit(size).collect()
+        random = {r.rep for r in some}
+        asked = {r.rep: r.v for r in [*linked, *some]}
+        ids = np.array(list(asked), np.int64)
+        vectors = list(asked.values())
+        lengths = np.array([len(v) // 8 for v in vectors])
+
+        def run(batches: Iterator[pa.RecordBatch], ids: np.ndarray = ids, vectors: list = vectors, lengths: np.ndarray = lengths) -> Iterator[pa.RecordBatch]:
+            total = np.zeros(len(ids), np.int64)
+            for b in batches:
+                v, rep, m = b.column(1), b.column(0).to_numpy(), b.column(2).to_numpy()
+                dims = b.column(3).to_numpy()
+                for d in np.unique(dims).tolist():
+                    mine = np.flatnonzero(lengths == d)
+                    if not len(mine):
+                        continue
+                    q = np.frombuffer(b"".join(vectors[i] for i in mine), np.float64).reshape(-1, d)
+                    at = np.flatnonzero(dims == d)
+                    x = np.frombuffer(b"".join(v.take(pa.array(at)).to_pylist()), np.float64).reshape(-1, d)
+                    for k in range(0, len(mine), 1024):
+                        hit = (q[k : k + 1024] @ x.T >= threshold) & (ids[mine[k : k + 1024], None] != rep[None, at])
+                        total[mine[k : k + 1024]] += hit @ m[at]
+            at = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(total[at])], names=["rep", "n"])
+
+        true = nodes.select("rep", "v", "m", "d").mapInArrow(run, "rep long, n long").groupBy("rep").agg(F.sum("n").alias("n"))
+        rows = true.join(counted, "rep", "left").select("rep", "n", F.coalesce("found", F.lit(0)).alias("found")).collect()
+        if sum(r.rep in random for r in rows) >= AUDIT_LINKED or len(random) < size:
+            break
+    at_random = [r for r in rows if r.rep in random]
+    shares = [np.mean([min(r.found, r.n) / r.n for r in part]) for part in (rows, at_random) if part]
+    return sum(r.n for r in rows), sum(min(r.found, r.n) for r in rows), len(rows), float(min(shares, default=1.0))
 
 
 def _confirm(links: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
@@ -221,12 +245,49 @@ def _dense_counts(members: DataFrame, size: int, threshold: float, work: Workspa
     return counts, found.where("other is not null").select(F.col("rep").alias("u"), F.col("other").alias("v"))
 
 
+def _search(graph: DataFrame | None, nodes: DataFrame, n: int, bits: int, tables: int, attempt: int, figures: dict, work: Workspace) -> DataFrame:
+    """The lists (u, v, sim) after fresh bucket tables and descent, starting from those of the attempt before."""
+    for first in range((attempt - 1) * tables, attempt * tables, AT_ONCE):
+        codes = _buckets(nodes, bits, first, min(AT_ONCE, attempt * tables - first))
+        large = codes.groupBy("table", "d", "bucket").agg(F.ceil(F.count("*") / LARGE).alias("parts")).where("parts > 1")
+        dealt = codes.join(large, ["table", "d", "bucket"], "left").withColumn("part", F.pmod(F.xxhash64("rep", "table"), F.coalesce("parts", F.lit(1))))
+        near = dealt.groupBy("table", "d", "bucket", "part").applyInArrow(_within, "u long, v long, sim float")
+        graph = work.save(_best(near if graph is None else graph.union(near)), f"graph{attempt}_{first}")
+    figures["tables"] += tables
+    for step in range(1, ROUNDS + 1):
+        after = work.save(_best(graph.union(_descend(graph, nodes))), f"graph{attempt}_round{step}")
+        changed = after.join(graph, ["u", "v"], "left_anti").count()
+        graph = after
+        figures |= {"rounds": figures["rounds"] + 1, "changed": changed}
+        if changed <= CHANGE * n * K:
+            break
+    return graph
+
+
+def _links(graph: DataFrame, nodes: DataFrame, threshold: float, work: Workspace) -> tuple[DataFrame, DataFrame]:
+    """(rep, n): links of each node that has any, by multiplicity; (id, component)."""
+    close = graph.where(F.col("sim") >= threshold - SLACK)
+    pairs = close.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    links = work.save(_confirm(pairs, nodes, threshold), "links")
+    parts = work.save(components(links), "components")
+    saturated = close.groupBy("u").agg(F.count("*").alias("n")).where(F.col("n") >= K).select(F.col("u").alias("id"))
+    dense = parts.join(saturated, "id", "left_semi").select("component").distinct()
+    inside = parts.join(dense, "component", "left_semi")
+    members = work.save(nodes.select("rep", "v", "m").join(inside.select(F.col("id").alias("rep"), "component"), "rep"), "members")
+    counted, bridges = _dense_counts(members, members.count(), threshold, work)
+    joined = components(bridges).select(F.col("id").alias("component"), F.col("component").alias("whole"))
+    parts = parts.join(joined, "component", "left").select("id", F.coalesce("whole", "component").alias("component"))
+    both = links.select("u", "v").union(links.select("v", "u"))
+    sparse = both.join(nodes.select(F.col("rep").alias("v"), "m"), "v").groupBy(F.col("u").alias("rep")).agg(F.sum("m").alias("n"))
+    return sparse.join(counted.select("rep", F.col("n").alias("all")), "rep", "left").select("rep", F.coalesce("all", "n").alias("n")), parts
+
+
 def near_duplicates(vectors: DataFrame, threshold: float = 0.9, id_col: str = "vec_id", vector_col: str = "embedding") -> tuple[DataFrame, dict]:
     """One row per row of ``vectors``: vec_id, n_links (other vectors with cosine >= threshold), component_id (smallest id reachable), kept (is that id); and figures of the run.
 
     Vectors that are null, empty, zero or hold null or non-finite components, and rows without id, link with nothing; a null id has a null component and is kept.
     Only vectors of equal length are compared. Repeated rows are equal vectors: they link with one another and with everything their vector links with.
-    An empty table gives an empty result; other columns are not looked at.
+    An empty table gives an empty result; other columns are not looked at. Raises where the audit finds too few links after ``ATTEMPTS`` searches.
     """
     work = Workspace(vectors.sparkSession)
     rows = work.save(_nodes(vectors, id_col, vector_col), "rows")
@@ -239,36 +300,18 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, id_col: str = "v
 
     nodes = work.save(nodes.mapInArrow(single, "v binary, rep long, m long, d int, f binary"), "nodes")
     n = nodes.count()
-    bits = max(1, min(40, int(np.log2(max(n, 2) / 16))))
-    codes = _buckets(nodes, bits)
-    large = codes.groupBy("table", "d", "bucket").agg(F.ceil(F.count("*") / PART).alias("parts")).where("parts > 1")
-    dealt = codes.join(large, ["table", "d", "bucket"], "left").withColumn("part", F.pmod(F.xxhash64("rep", "table"), F.coalesce("parts", F.lit(1))))
-    graph = work.save(_best(dealt.groupBy("table", "d", "bucket", "part").applyInArrow(_within, "u long, v long, sim float")), "graph0")
-    least = threshold - SLACK
-    figures = {"nodes": n, "rounds": 0}
-    for step in range(1, ROUNDS + 1):
-        found = _descend(graph, nodes)
-        after = work.save(_best(graph.union(found)), f"graph{step}")
-        changed = after.join(graph, ["u", "v"], "left_anti").count()
-        graph = after
-        true, have = _audit(graph, nodes, least)
-        figures |= {"rounds": step, "changed": changed, "audit_links": true, "audit_found": have}
-        if changed <= CHANGE * n * K and have >= RECALL * true:
+    bits, tables = plan(n, threshold)
+    graph, figures = None, {"nodes": n, "tables": 0, "rounds": 0}
+    for attempt in range(1, ATTEMPTS + 1):
+        graph = _search(graph, nodes, n, bits, tables, attempt, figures, work)
+        n_links, parts = _links(graph, nodes, threshold, work)
+        n_links = work.save(n_links, f"counts{attempt}")
+        true, have, linked, share = _audit(n_links, nodes, threshold)
+        figures |= {"attempts": attempt, "audit_links": true, "audit_found": have, "audit_nodes": linked, "audit_share": share}
+        if have >= RECALL * true and share >= RECALL:
             break
-    close = graph.where(F.col("sim") >= least)
-    pairs = close.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-    links = work.save(_confirm(pairs, nodes, threshold), "links")
-    parts = work.save(components(links), "components")
-    saturated = close.groupBy("u").agg(F.count("*").alias("n")).where(F.col("n") >= K).select(F.col("u").alias("id"))
-    dense = parts.join(saturated, "id", "left_semi").select("component").distinct()
-    inside = parts.join(dense, "component", "left_semi")
-    members = work.save(nodes.select("rep", "v", "m").join(inside.select(F.col("id").alias("rep"), "component"), "rep"), "members")
-    counted, bridges = _dense_counts(members, members.count(), threshold, work)
-    joined = components(bridges).select(F.col("id").alias("component"), F.col("component").alias("whole"))
-    parts = parts.join(joined, "component", "left").select("id", F.coalesce("whole", "component").alias("component"))
-    both = links.select("u", "v").union(links.select("v", "u"))
-    sparse = both.join(nodes.select(F.col("rep").alias("v"), "m"), "v").groupBy(F.col("u").alias("rep")).agg(F.sum("m").alias("n"))
-    n_links = sparse.join(counted.select("rep", F.col("n").alias("all")), "rep", "left").select("rep", F.coalesce("all", "n").alias("n"))
+    else:
+        raise RuntimeError(f"near-duplicate vectors: recall below {RECALL} after {ATTEMPTS} searches: {figures}")
     named = nodes.select("v", "rep", "m").join(n_links, "rep", "left").join(parts.select(F.col("id").alias("rep"), "component"), "rep", "left")
     named = named.select("v", (F.coalesce("n", F.lit(0)) + F.col("m") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
     joined = narrow.join(named, "v").select("vec_id", "n_links", "component_id")

@@ -69,6 +69,32 @@ def test_links_between_dense_groups(vectors):
     assert got == brute_links(rows)
 
 
+def test_isolated_pairs_are_found(vectors):
+    """300 pairs just above the threshold among single vectors: nothing near them leads a descent to them."""
+    rng = np.random.default_rng(11)
+    out = list(rng.normal(size=(20000, 32)))
+    for _ in range(300):
+        a, b = np.linalg.qr(rng.normal(size=(32, 2)))[0].T
+        out += [a, 0.901 * a + np.sqrt(1 - 0.901**2) * b]
+    found, figures = neighbours.near_duplicates(vectors([(i, np.float32(v).tolist()) for i, v in enumerate(out)]))
+    got = {r.vec_id: r.n_links for r in found.where("vec_id >= 20000").collect()}
+    assert sum(n > 0 for n in got.values()) >= 0.995 * 600
+    assert figures["audit_found"] >= 0.99 * figures["audit_links"] > 0
+
+
+def test_a_failed_audit_raises(vectors, monkeypatch):
+    """Lists too short for what is asked of them: the search must say so."""
+    monkeypatch.setattr(neighbours, "_best", lambda pairs: pairs.where("u % 2 = 1 and v % 2 = 1 and u % 3 = 0").dropDuplicates(["u"]))
+    with pytest.raises(RuntimeError, match="recall"):
+        neighbours.near_duplicates(vectors([(i, v) for i, (_, v) in enumerate(cloud(4, 20, 6, 5))]))
+
+
+def test_tables_follow_bits():
+    for n in (10, 10**4, 10**5, 10**6, 10**7, 10**8):
+        bits, tables = neighbours.plan(n, 0.9)
+        assert (1 - (1 - np.arccos(0.9) / np.pi) ** bits) ** tables <= 0.002
+
+
 def test_links_edges(vectors):
     rows = [(1, None), (2, []), (3, [0.0, 0.0]), (4, [1.0, None]), (5, [1.0, float("nan")]), (6, [float("inf"), 1.0]), (7, [1.0, 0.0]), (8, [2.0, 0.0]), (8, [2.0, 0.0]), (9, [1.0, 0.0, 0.0]), (None, [1.0, 0.0]), (10, [0.0, 1.0])]
     got = sorted(((r.vec_id, r.n_links, r.component_id, r.kept) for r in neighbours.near_duplicates(vectors(rows))[0].collect()), key=str)
