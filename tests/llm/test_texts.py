@@ -322,6 +322,17 @@ def test_outcomes_sum_to_one(spark, make):
     assert sum(10 ** (got[100 + i] - end) for i in range(7)) + 10**end == pytest.approx(1, abs=1e-9)
 
 
+def test_unknown_words_are_scored_by_spelling(make):
+    """Unknown words differ by their letters, and rank below known words; the known ones are scored alike in both columns."""
+    train = [(i, t) for i, t in enumerate(["banana bandana", "banana cabana", "bandana banana ban"])]
+    asked = [(100, "banana"), (101, "banan"), (102, "qxzjkwvq"), (103, "")]
+    got = {r.doc_id: r for r in pitman_yor.score(make(train + asked), F.col("doc_id") < 100).collect()}
+    assert got[100].spelled_score == pytest.approx(got[100].score) and got[100].spelled_unknown == got[103].spelled_unknown == 0
+    assert got[101].score == pytest.approx(got[102].score)
+    assert got[100].spelled_score > got[101].spelled_score > got[102].spelled_score
+    assert got[102].spelled_unknown == pytest.approx(got[102].spelled_score - got[103].spelled_score)
+
+
 def test_tables_follow_the_exact_conditional():
     """Three customers, one other table: the share of each number of tables against the closed form."""
     import numpy as np
