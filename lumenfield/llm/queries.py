@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenfield.llm import byte_bpe, language, licences, mixing, near_duplicates, neighbours, personal_data, pitman_yor, sharding, top_k
+from lumenfield.llm import byte_bpe, filter_audit, hard_negatives, language, licences, mixing, near_duplicates, neighbours, personal_data, pitman_yor, sharding, top_k, url_cascade
 from lumenfield.llm.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -80,3 +80,28 @@ def op2_licence_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE["op2_licence_digests"] = licences.oracle()
+
+
+@query
+def op11_bloom_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return url_cascade.judge(pages, url_cascade.listed_hosts(pages), url_cascade.RULES)
+
+
+ORACLE["op11_bloom_cascade"] = url_cascade.oracle()
+
+
+@query
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(filter_audit.document_masks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")), "ABCDE")
+
+
+ORACLE["op12_filter_audit"] = filter_audit.oracle()
+
+
+@query
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.mine(hard_negatives.relabelled(table(spark, sf_dir, "embeddings")))
+
+
+ORACLE["op13_hard_negatives"] = hard_negatives.oracle()
