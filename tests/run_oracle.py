@@ -8,11 +8,14 @@ import traceback
 
 sys.path.insert(0, str(pathlib.Path(__file__).resolve().parents[1]))
 
-from lumenfield.plans import ORACLE, QUERIES  # noqa: E402
+import __spark_entry__ as registered  # noqa: E402
 from lumenfield.session import builder  # noqa: E402
 from tests.oracle_check import compare, connect  # noqa: E402
 
 
+ORACLE, QUERIES = registered.oracle_sql(), registered.queries()
+
+
 def main() -> None:
     sf = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.001"
     pick = sys.argv[2:]
