@@ -18,6 +18,7 @@ from pyspark.sql import Window as W
 from lumenfield.functions import geometry as G
 from lumenfield.functions.numeric import c, dot, erf, weighted_mean
 from lumenfield.operators import ranking as R
+from lumenfield.operators.graph import components
 from lumenfield.operators.regions import zone
 from lumenfield.operators.stencil import tiles
 from lumenfield.session import cut_lineage
@@ -119,62 +120,26 @@ def source_pixels(pixels: DataFrame, limits: DataFrame | float = THRESHOLD, keys
     return p.filter(F.col("lum") > float(limits))
 
 
-def _find(parent: np.ndarray, i: int) -> int:
-    while parent[i] != i:
-        parent[i] = parent[parent[i]]
-        i = parent[i]
-    return i
-
-
-def _components(edges: DataFrame, keys: list[str], schema: str) -> DataFrame:
-    """Component (smallest member) of every node that has an edge.
-
-    Nodes are blocks a quarter of the search angle wide, so one picture has at most some ten thousand whatever its pixel
-    count; the union of one picture's blocks is a small task.
-    """
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids = np.unique(np.concatenate([pdf["a"].to_numpy(), pdf["b"].to_numpy()]))
-        ia, ib = np.searchsorted(ids, pdf["a"].to_numpy()), np.searchsorted(ids, pdf["b"].to_numpy())
-        parent = np.arange(len(ids))
-        for p, q in zip(ia, ib):
-            p, q = _find(parent, p), _find(parent, q)
-            if p != q:
-                parent[max(p, q)] = min(p, q)
-        root = np.array([_find(parent, i) for i in range(len(ids))])
-        out = {k: [pdf[k].iloc[0]] * len(ids) for k in keys}
-        return pd.DataFrame({**out, "node": ids, "comp": ids[root]})
-
-    return edges.groupBy(*keys).applyInPandas(run, schema)
-
+def _blocks(source: DataFrame, search: float, pitch: float | None) -> DataFrame:
+    """Source pixels with ``_node``, the number of their block: square, and narrow enough for all its pixels to belong together."""
+    t = 2.0 * math.sin(min(search / 2.0, math.pi) / 2.0)  # chord
+    step = c(pitch) if pitch is not None else F.lit(math.pi) / F.least("width", "height")
+    size = F.greatest(F.lit(1), F.floor(F.lit(t / 4.0) / step).cast("int"))
+    return source.withColumn("_node", F.floor(F.col("y") / size).cast("bigint") * 1000000 + F.floor(F.col("x") / size).cast("bigint"))
 
-def group_sources(source: DataFrame, search: float = SEARCH, keys: Sequence[str] = KEYS, pitch: float | None = None) -> DataFrame:
-    """Add ``label``: source pixels within the search angle of one another (2·acos(d) ≤ search), directly or through others.
 
-    The label is the smallest pixel number (y·width + x) of the source, so it depends on neither order nor partitioning. Steps:
-    pixels → blocks small enough to be one source in any case; blocks → pairs through a direction grid (27 neighbour cells, an
-    equi-join); pairs whose boxes are near enough for certain are united; remaining doubtful pairs of still different sources
-    are compared pixel by pixel. ``pitch`` is the largest angle between neighbouring pixels, radians; by default that of a 180° picture.
-    """
-    keys = list(keys)
+def _block_labels(pixels: DataFrame, search: float, keys: list[str]) -> DataFrame:
+    """(keys, _node, label) of pixels with ``_node``. Only blocks, pairs of blocks and components are saved, never pixels."""
     a = search / 2.0
-    t = 2.0 * math.sin(min(a, math.pi) / 2.0)  # chord
-    step = c(pitch) if pitch is not None else F.lit(math.pi) / F.least("width", "height")
-    size = F.greatest(F.lit(1), F.floor(F.lit(t / 4.0) / step).cast("int"))
-    # the source pixels are read several times below: saved once instead of computed again
-    s = cut_lineage(source.drop("label")).withColumn("_b", size)
-    s = s.withColumns({"_by": F.floor(F.col("y") / F.col("_b")).cast("bigint"), "_bx": F.floor(F.col("x") / F.col("_b")).cast("bigint")})
-    s = s.withColumn("_node", F.col("_by") * 1000000 + F.col("_bx"))
-    box = s.groupBy(*keys, F.col("_node").alias("node")).agg(
+    t = 2.0 * math.sin(min(a, math.pi) / 2.0)
+    box = pixels.groupBy(*keys, F.col("_node").alias("node")).agg(
         *[F.min(d).alias(f"{d}0") for d in D], *[F.max(d).alias(f"{d}1") for d in D], F.min(F.col("y") * F.col("width") + F.col("x")).alias("first")
     )
-    box = box.withColumns({f"m{i}": (F.col(f"{d}0") + F.col(f"{d}1")) * 0.5 for i, d in enumerate(D)})
     half = F.sqrt(sum(((F.col(f"{d}1") - F.col(f"{d}0")) * 0.5) * ((F.col(f"{d}1") - F.col(f"{d}0")) * 0.5) for d in D))
-    box = box.select(*keys, "node", "first", "m0", "m1", "m2", half.alias("rho"))
+    box = cut_lineage(box.select(*keys, "node", "first", *[((F.col(f"{d}0") + F.col(f"{d}1")) * 0.5).alias(f"m{i}") for i, d in enumerate(D)], half.alias("rho")))
     g = 2.0 * t
     cell = [F.floor(F.col(f"m{i}") / g).cast("int") for i in range(3)]
-    left = box.select(*keys, F.col("node").alias("a"), *[F.col(f"m{i}").alias(f"p{i}") for i in range(3)], F.col("rho").alias("ra"),
-                      *[cell[i].alias(f"c{i}") for i in range(3)])
+    left = box.select(*keys, F.col("node").alias("a"), *[F.col(f"m{i}").alias(f"p{i}") for i in range(3)], F.col("rho").alias("ra"), *[cell[i].alias(f"c{i}") for i in range(3)])
     right = box.select(*keys, F.col("node").alias("b"), "m0", "m1", "m2", F.col("rho").alias("rb"), *[cell[i].alias(f"k{i}") for i in range(3)])
     for i in range(3):
         right = right.withColumn(f"c{i}", F.explode(F.array(F.col(f"k{i}") - 1, F.col(f"k{i}"), F.col(f"k{i}") + 1)))
@@ -185,35 +150,41 @@ def group_sources(source: DataFrame, search: float = SEARCH, keys: Sequence[str]
     single = (F.col("ra") == 0) & (F.col("rb") == 0)
     exact = F.col("p0") * F.col("m0") + F.col("p1") * F.col("m1") + F.col("p2") * F.col("m2") >= math.cos(a)
     pairs = pairs.withColumn("sure", (F.col("a") == F.col("b")) | F.when(single, exact).otherwise(gap + slack <= t))
-    pairs = pairs.filter(F.col("sure") | (~single & (gap - slack <= t))).select(*keys, "a", "b", "sure")
-    key_ddl = ", ".join(f"{k} {source.schema[k].dataType.simpleString()}" for k in keys)
-    ddl = f"{key_ddl}, node bigint, comp bigint"
-    pairs = cut_lineage(pairs)
-    first = cut_lineage(_components(pairs.filter("sure"), keys, ddl))
+    pairs = cut_lineage(pairs.filter(F.col("sure") | (~single & (gap - slack <= t))).select(*keys, "a", "b", "sure"))
+    comp = components(pairs.filter("sure"), keys)
     doubtful = (
         pairs.filter("not sure")
-        .join(first.select(*keys, F.col("node").alias("a"), F.col("comp").alias("ca")), [*keys, "a"])
-        .join(first.select(*keys, F.col("node").alias("b"), F.col("comp").alias("cb")), [*keys, "b"])
+        .join(comp.select(*keys, F.col("node").alias("a"), F.col("comp").alias("ca")), [*keys, "a"])
+        .join(comp.select(*keys, F.col("node").alias("b"), F.col("comp").alias("cb")), [*keys, "b"])
         .filter("ca <> cb")
     )
-    # a block holds at most (t/4 ÷ pitch)² pixels, so its direction list is bounded
-    dirs = s.groupBy(*keys, F.col("_node").alias("node")).agg(F.collect_list(F.array(*D)).alias("v"))
-    limit = math.cos(a)
-
-    @F.pandas_udf("boolean")
-    def near(p: pd.Series, q: pd.Series) -> pd.Series:
-        return pd.Series([bool((np.stack(u) @ np.stack(v).T >= limit).any()) for u, v in zip(p, q)], dtype=bool)
-
-    checked = (
-        doubtful.join(dirs.select(*keys, F.col("node").alias("a"), F.col("v").alias("va")), [*keys, "a"])
-        .join(dirs.select(*keys, F.col("node").alias("b"), F.col("v").alias("vb")), [*keys, "b"])
-        .filter(near("va", "vb")).select(*keys, F.col("ca").alias("a"), F.col("cb").alias("b"))
-    )
-    second = _components(first.select(*keys, F.col("comp").alias("a"), F.col("comp").alias("b")).distinct().unionByName(checked), keys, ddl)
-    comp = first.join(second.select(*keys, F.col("node").alias("comp"), F.col("comp").alias("_c")), [*keys, "comp"]).select(*keys, "node", "_c")
-    lab = comp.join(box.select(*keys, "node", "first"), [*keys, "node"])
-    lab = lab.join(lab.groupBy(*keys, "_c").agg(F.min("first").cast("int").alias("label")), [*keys, "_c"]).select(*keys, F.col("node").alias("_node"), "label")
-    return s.join(lab, [*keys, "_node"]).drop("_b", "_by", "_bx", "_node")
+    doubtful = cut_lineage(doubtful)
+    if not doubtful.isEmpty():
+        # a block holds at most (t/4 ÷ pitch)² pixels, so its direction list is bounded; lists are made for doubtful blocks only
+        ends = doubtful.select(*keys, F.col("a").alias("_node")).unionByName(doubtful.select(*keys, F.col("b").alias("_node"))).distinct()
+        dirs = pixels.join(ends, [*keys, "_node"], "left_semi").groupBy(*keys, "_node").agg(F.collect_list(F.struct(*D)).alias("v"))
+        met = doubtful.join(dirs.select(*keys, F.col("_node").alias("a"), F.col("v").alias("va")), [*keys, "a"]).join(dirs.select(*keys, F.col("_node").alias("b"), F.col("v").alias("vb")), [*keys, "b"])
+        near = F.exists("va", lambda u: F.exists("vb", lambda v: u["dx"] * v["dx"] + u["dy"] * v["dy"] + u["dz"] * v["dz"] >= math.cos(a)))
+        bridges = cut_lineage(met.filter(near).select(*keys, F.col("ca").alias("a"), F.col("cb").alias("b")).distinct())
+        if not bridges.isEmpty():
+            wider = components(bridges, keys).select(*keys, F.col("node").alias("comp"), F.col("comp").alias("_wider"))
+            comp = comp.join(wider, [*keys, "comp"], "left").select(*keys, "node", F.coalesce("_wider", "comp").alias("comp"))
+    first = box.select(*keys, "node", "first").join(comp, [*keys, "node"])
+    label = first.groupBy(*keys, "comp").agg(F.min("first").cast("int").alias("label"))
+    return comp.join(label, [*keys, "comp"]).select(*keys, F.col("node").alias("_node"), "label")
+
+
+def group_sources(source: DataFrame, search: float = SEARCH, keys: Sequence[str] = KEYS, pitch: float | None = None) -> DataFrame:
+    """Add ``label``: source pixels within the search angle of one another (2·acos(d) ≤ search), directly or through others.
+
+    The label is the smallest pixel number (y·width + x) of the source, so it depends on neither order nor partitioning. Steps:
+    pixels → blocks small enough to be one source in any case; blocks → pairs through a direction grid (27 neighbour cells, an
+    equi-join); pairs whose boxes are near enough for certain are united; remaining doubtful pairs of still different sources
+    are compared pixel by pixel. ``pitch`` is the largest angle between neighbouring pixels, radians; by default that of a 180° picture.
+    """
+    keys = list(keys)
+    s = _blocks(source.drop("label"), search, pitch)
+    return s.join(_block_labels(s, search, keys), [*keys, "_node"]).drop("_node")
 
 
 def patch_label(patch_degrees: float, view: tuple[float, float] = (180.0, 180.0)) -> Column:
@@ -308,7 +279,6 @@ def split_peaks(labelled: DataFrame, limit: float = SPLIT, search: float = SEARC
     ``label`` of a peak is its smallest pixel number + 1 negated, so it cannot meet that of its parent; ``parent`` keeps the old label.
     """
     keys = list(keys)
-    labelled = cut_lineage(labelled)
     low = labelled.filter(F.col("lum") < limit).withColumn("parent", F.lit(None).cast("int"))
     high = labelled.filter(F.col("lum") >= limit).withColumnRenamed("label", "parent")
     peaks = group_sources(high, search, [*keys, "parent"]).withColumn("label", -(F.col("label") + 1))
@@ -332,9 +302,11 @@ def source_table(labelled: DataFrame, keys: Sequence[str] = KEYS, by: Sequence[s
 def locate(sources: DataFrame, view: G.View = G.View(), model: str = "guth") -> DataFrame:
     """Direction, angle from the line of sight and position index at the truncated centroid.
 
-    Truncation counts rows from the bottom; directions are formulas of the pixel, so nothing is joined.
+    Truncation counts rows from the bottom and follows rounding to 9 digits, so that a centroid on a pixel stays there whatever the order of its sums.
+    Directions are formulas of the pixel, so nothing is joined.
     """
-    d = sources.withColumns({"px": F.floor("cx").cast("int"), "py": (F.col("height") - 1 - F.floor(F.col("height") - 1 - F.col("cy"))).cast("int")})
+    px, up = F.floor(F.round("cx", 9)).cast("int"), F.floor(F.round(F.col("height") - 1 - F.col("cy"), 9))
+    d = sources.withColumns({"px": px, "py": (F.col("height") - 1 - up).cast("int")})
     g = G.equidistant("px", "py", "width", "height", view)
     d = d.withColumns({k: g[k] for k in D})
     d = d.withColumn("sigma", F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("dy")))))
@@ -484,11 +456,18 @@ def pgsv(stats: DataFrame) -> DataFrame:
 
 def evaluate(pixels: DataFrame, level: float = THRESHOLD, search: float = SEARCH, split: float | None = SPLIT, keys: Sequence[str] = KEYS, **kw) -> DataFrame:
     """Pixels → indices: totals, threshold, grouping, peak split, source table, indices."""
+    keys = list(keys)
     tot = totals(pixels, keys)
-    src = source_pixels(pixels, threshold(tot, level) if level <= 100 else level, keys)
-    lab = group_sources(src, search, keys)
-    if split is not None:
-        lab = split_peaks(lab, split, search, keys)
+    src = source_pixels(pixels, threshold(tot, level) if level <= 100 else level, keys).drop("label")
+    if split is None:
+        lab = group_sources(src, search, keys)
+    else:
+        # pixels above the split limit that lie within the search angle of one another share their source anyway: both groupings are one, on two layers
+        s = _blocks(src, search, None)
+        peak = (F.col("lum") >= split).cast("int")
+        layers = s.withColumn("_layer", F.explode(F.sequence(F.lit(0), peak)))
+        lab = s.withColumn("_layer", peak).join(_block_labels(layers, search, [*keys, "_layer"]), [*keys, "_layer", "_node"])
+        lab = lab.withColumn("label", F.when(F.col("_layer") == 1, -(F.col("label") + 1)).otherwise(F.col("label"))).drop("_layer", "_node")
     return glare_indices(locate(source_table(lab, keys)), tot, keys, **kw)
 
 

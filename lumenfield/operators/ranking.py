@@ -1,8 +1,9 @@
 """Exact order statistics and running sums for groups of any size.
 
-A window over a whole group would put one picture (or one hot key) into one task. Instead values fall into fixed monotone
-buckets (1/256 of an octave). Bucket totals are small (at most a few ten thousand rows per group) and give every bucket its offset; the
-remaining work runs per (group, bucket). Equal values are counted before they are shuffled, so repeated values do not pile up.
+Groups of at most ``ROWS`` rows are sorted whole, by one exchange. Larger ones, which one count finds beforehand, are cut into ranges of their own values: one
+pass of mergeable quantile sketches gives each group its split points, totals by range give every range its offset, and the sorting runs by (group,
+range). A value that fills several ranges has a range for itself; its rows are all equal, so they are counted where only counts matter, and cut further by their
+tie columns where every row has a rank. Sketches differ from run to run and results do not, as long as all uses see the same points: these are saved once.
 """
 
 from __future__ import annotations
@@ -12,40 +13,92 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql.types import NumericType
 
-STEPS = 256
+from lumenfield.session import cut_lineage
 
+#: Rows of one group that a task may sort; ranges of larger groups aim at half of it.
+ROWS = 1 << 18
+#: Most ranges of a group, and the size of its sketch (a rank error of about 0.1 %).
+RANGES, SKETCH = 1024, 4096
 
-def value_bucket(value: Column) -> Column:
-    """Monotone BIGINT bucket of a double: 256 steps per factor of two, both signs, zero in the middle."""
-    span = F.lit(1100 * STEPS).cast("bigint")
-    mag = F.floor(F.log2(F.abs(value)) * F.lit(float(STEPS))) + span
-    return F.when(value > 0, mag).when(value < 0, -mag).otherwise(F.lit(0).cast("bigint"))
 
+def split_points(df: DataFrame, keys: Sequence[str], value: str, rows: int, tie: str | None = None) -> DataFrame | None:
+    """(keys, _points, _tie0, _tie1, _cuts) of the groups with more than ``rows`` rows; None when there are none.
 
-def value_ranks(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """Distinct values with their rank range: (keys, value, cnt, lo, n); the value occupies 0-based ranks lo … lo+cnt-1 of n."""
+    ``_points`` are sorted; ``_cuts`` is the number of parts that rows of one value are cut into, evenly over the range of the column ``tie``.
+    """
     keys = list(keys)
-    counts = (
-        df.filter(F.col(value).isNotNull())
-        .groupBy(*keys, value)
-        .agg(F.count("*").alias("cnt"))
-        .withColumn("_b", value_bucket(F.col(value)))
-    )
+    large = df.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > rows)
+    large = cut_lineage(large)
+    if large.isEmpty():
+        return None
+    # null keys are groups too
+    same = [df[k].eqNullSafe(large[k]) for k in keys]
+    members = df.join(large, same, "left_semi") if keys else df
+    ties = [F.min(tie).cast("double").alias("_tie0"), F.max(tie).cast("double").alias("_tie1")] if tie else [F.lit(None).cast("double").alias("_tie0"), F.lit(None).cast("double").alias("_tie1")]
+    s = members.groupBy(*keys).agg(F.count("*").alias("_n"), F.count(value).alias("_v"), F.kll_sketch_agg_double(F.col(value).cast("double"), F.lit(SKETCH)).alias("_s"), *ties)
+    # every step-th of the finest points gives ranges of a quarter to a half of ``rows``
+    step = F.greatest(F.lit(1.0), F.pow(F.lit(2.0), F.floor(F.log2(F.lit(RANGES * rows / 2.0) / F.col("_n"))))).cast("int")
+    finest = F.kll_sketch_get_quantile_double("_s", F.lit([i / RANGES for i in range(1, RANGES)]))
+    points = F.array_sort(F.array_distinct(F.filter(finest, lambda p, i: (i + 1) % step == 0)))
+    points = F.when(F.col("_v") > 0, points).otherwise(F.array().cast("array<double>"))
+    return cut_lineage(s.select(*keys, points.alias("_points"), "_tie0", "_tie1", (F.lit(RANGES) / step).cast("int").alias("_cuts")))
+
+
+def _range(value: Column) -> Column:
+    """Number of the range a value lies in: 2i + 1 for the i-th split point itself, 2i between the points, the last for NaN. A row without points is in range 0.
+
+    The points are searched in two steps, so a row compares with about twice the root of their number.
+    """
+    n = F.size("_points")
+    step = F.ceil(F.sqrt(n)).cast("int")
+    heads = F.transform(F.sequence(F.lit(0), F.floor((n - 1) / step).cast("int")), lambda i: F.element_at("_points", i * step + 1))
+    block = F.greatest(F.lit(0), F.size(F.filter(heads, lambda p: p < value)) - 1)
+    inside = F.slice(F.col("_points"), block * step + 1, step)
+    below = block * step + F.size(F.filter(inside, lambda p: p < value))
+    hit = F.coalesce(F.try_element_at("_points", below + 1) == value, F.lit(False))
+    return F.when(F.col("_points").isNull(), F.lit(0)).when(F.isnan(value), 2 * n + 1).otherwise(2 * below + hit.cast("int"))
+
+
+def _ranged(df: DataFrame, keys: Sequence[str], value: str, points: DataFrame) -> DataFrame:
+    """Adds ``_b``, the range of each row, and the columns of the split points, which stay null in groups that are not split."""
+    names = {k: f"_k{i}" for i, k in enumerate(keys)}
+    p = points.withColumnsRenamed(names)
+    # by size Spark sends the points to the rows, or splits a group that is too large for one task
+    joined = df.join(p, [df[k].eqNullSafe(p[v]) for k, v in names.items()], "left") if keys else df.crossJoin(F.broadcast(p))
+    return joined.drop(*names.values()).withColumn("_b", _range(F.col(value).cast("double")))
+
+
+def value_ranks(df: DataFrame, keys: Sequence[str], value: str, wanted: Sequence[Column] | None = None, rows: int | None = None) -> DataFrame:
+    """Distinct values with their rank range: (keys, value, cnt, lo, n); the value occupies 0-based ranks lo … lo+cnt-1 of n.
+
+    wanted: ranks, as expressions of ``n``, of which only the values are needed; ranges of split groups without any of them are left out.
+    """
+    keys = list(keys)
+    df = df.filter(F.col(value).isNotNull()).select(*keys, value)
+    points = split_points(df, keys, value, rows or ROWS)
+    if points is None:
+        by = [F.col(k) for k in keys]
+        counts = (df.repartition(*by) if by else df.repartition(1)).groupBy(*keys, value).agg(F.count("*").alias("cnt"))
+        w = W.partitionBy(*keys)
+        lo = F.sum("cnt").over(w.orderBy(value).rowsBetween(W.unboundedPreceding, -1))
+        return counts.select(*keys, value, "cnt", F.coalesce(lo, F.lit(0)).alias("lo"), F.sum("cnt").over(w).alias("n"))
+    counts = _ranged(df.groupBy(*keys, value).agg(F.count("*").alias("cnt")), keys, value, points).select(*keys, value, "cnt", "_b")
     w = W.partitionBy(*keys).orderBy("_b")
-    totals = (
-        counts.groupBy(*keys, "_b")
-        .agg(F.sum("cnt").alias("_c"))
-        .withColumns({
-            "_off": F.sum("_c").over(w.rowsBetween(W.unboundedPreceding, -1)),
-            "n": F.sum("_c").over(W.partitionBy(*keys)),
-        })
-        .select(*keys, "_b", F.coalesce("_off", F.lit(0)).alias("_off"), "n")
-    )
+    totals = counts.groupBy(*keys, "_b").agg(F.sum("cnt").alias("_c")).withColumns({
+        "_off": F.coalesce(F.sum("_c").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)), "n": F.sum("_c").over(W.partitionBy(*keys)),
+    })
+    if wanted is not None:
+        inside = F.lit(False)
+        for k in wanted:
+            inside = inside | ((k >= F.col("_off")) & (k < F.col("_off") + F.col("_c")))
+        # the group's first range stays, so that the group does even if it has none of the ranks
+        totals = totals.where(inside | (F.col("_off") == 0))
+    totals = totals.select(*[F.col(k).alias(f"_t{i}") for i, k in enumerate(keys)], F.col("_b").alias("_tb"), "_off", "n")
+    joined = counts.join(totals, [*[counts[k].eqNullSafe(totals[f"_t{i}"]) for i, k in enumerate(keys)], counts["_b"] == totals["_tb"]])
     inner = W.partitionBy(*keys, "_b").orderBy(value).rowsBetween(W.unboundedPreceding, -1)
-    rows = counts.repartition(*[F.col(k) for k in keys], F.col("_b")).join(totals, [*keys, "_b"])
-    lo = F.col("_off") + F.coalesce(F.sum("cnt").over(inner), F.lit(0))
-    return rows.withColumn("lo", lo).select(*keys, value, "cnt", "lo", "n")
+    return joined.withColumn("lo", F.col("_off") + F.coalesce(F.sum("cnt").over(inner), F.lit(0))).select(*keys, value, "cnt", "lo", "n")
 
 
 def at_rank(value: str, k: Column, lo: str = "lo", cnt: str = "cnt") -> Column:
@@ -80,7 +133,7 @@ def percentiles(df: DataFrame, keys: Sequence[str], value: str, wanted: dict[str
     the neighbours of p(n−1); ``nth`` sorted[⌊np⌋]. They differ, so each is named.
     """
     keys = list(keys)
-    ranks = value_ranks(df, keys, value)
+    ranks = value_ranks(df, keys, value, [k for kind, p in wanted.values() for k in _index(kind, p)])
     aggs, outs = [F.max("n").alias("n")], {}
     for name, (kind, p) in wanted.items():
         cols = []
@@ -100,30 +153,47 @@ def percentiles(df: DataFrame, keys: Sequence[str], value: str, wanted: dict[str
     return ranks.groupBy(*keys).agg(*aggs).withColumns(outs).select(*keys, "n", *wanted)
 
 
+def ranges(df: DataFrame, keys: Sequence[str], value: str, tie: str | None, rows: int) -> DataFrame | None:
+    """Adds ``_b`` and ``_c``, which number the ranges of each group by falling value and, in ranges of one value, rising tie; None when no group has more than ``rows`` rows."""
+    tie = tie if tie and isinstance(df.schema[tie].dataType, NumericType) else None
+    points = split_points(df, keys, value, rows, tie)
+    if points is None:
+        return None
+    span = F.col("_tie1") - F.col("_tie0") + 1.0
+    cut = F.floor((F.col(tie).cast("double") - F.col("_tie0")) / span * F.col("_cuts")).cast("int") if tie else F.lit(0)
+    # ranges of one value are odd; nulls, which stand last, are alike too. Rows without a tie value come first, as in the order
+    one, none = F.col("_b") % 2 == 1, F.col(value).isNull()
+    out = _ranged(df, keys, value, points).withColumn("_c", F.when(F.col("_points").isNotNull() & (one | none), F.coalesce(cut, F.lit(-1))).otherwise(F.lit(0)))
+    return out.withColumn("_b", F.when(none, F.lit(1)).otherwise(-F.col("_b"))).drop("_points", "_tie0", "_tie1", "_cuts")
+
+
 def ranked(
     df: DataFrame,
     keys: Sequence[str],
     value: str,
     running: dict[str, Column],
     ties: Sequence[str] = ("y", "x"),
+    rows: int | None = None,
 ) -> DataFrame:
     """Rows in descending order of ``value`` (ties by ``ties``) with ``rank`` and running sums.
 
-    ``running`` maps an output column to the expression summed from the first row to the current one.
+    ``running`` maps an output column to the expression summed from the first row to the current one. Rows of equal value that fill more than a range are cut
+    by the first tie column if that is numeric; rows that share it too stay together.
     """
     keys = list(keys)
-    rows = df.withColumn("_b", -value_bucket(F.col(value))).withColumns({f"_r_{k}": e for k, e in running.items()})
+    at = df.withColumns({f"_r_{k}": e for k, e in running.items()}).withColumn("_one", F.lit(1).cast("bigint"))
     sums = ["_one", *[f"_r_{k}" for k in running]]
-    rows = rows.withColumn("_one", F.lit(1).cast("bigint"))
-    w = W.partitionBy(*keys).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
-    totals = rows.groupBy(*keys, "_b").agg(*[F.sum(s).alias(s) for s in sums])
-    totals = totals.select(*keys, "_b", *[F.coalesce(F.sum(s).over(w), F.lit(0)).alias(f"_o{s}") for s in sums])
-    inner = (
-        W.partitionBy(*keys, "_b")
-        .orderBy(F.desc(value), *[F.asc(t) for t in ties])
-        .rowsBetween(W.unboundedPreceding, W.currentRow)
-    )
-    out = rows.repartition(*[F.col(k) for k in keys], F.col("_b")).join(totals, [*keys, "_b"])
+    order = [F.desc(value), *[F.asc(t) for t in ties]]
+    split = ranges(at, keys, value, ties[0] if ties else None, rows or ROWS)
+    if split is None:
+        inner = W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
+        cols = {s: F.sum(s).over(inner) for s in sums}
+        return at.select(*df.columns, cols["_one"].alias("rank"), *[cols[f"_r_{k}"].alias(k) for k in running])
+    w = W.partitionBy(*keys).orderBy("_b", "_c").rowsBetween(W.unboundedPreceding, -1)
+    totals = split.groupBy(*keys, "_b", "_c").agg(*[F.sum(s).alias(s) for s in sums])
+    same = {k: f"_t{i}" for i, k in enumerate([*keys, "_b", "_c"])}
+    totals = totals.select(*[F.col(k).alias(t) for k, t in same.items()], *[F.coalesce(F.sum(s).over(w), F.lit(0)).alias(f"_o{s}") for s in sums])
+    inner = W.partitionBy(*keys, "_b", "_c").orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
+    out = split.join(totals, [split[k].eqNullSafe(totals[t]) for k, t in same.items()])
     cols = {s: F.col(f"_o{s}") + F.sum(s).over(inner) for s in sums}
-    out = out.select(*df.columns, cols["_one"].alias("rank"), *[cols[f"_r_{k}"].alias(k) for k in running])
-    return out
+    return out.select(*[split[c] for c in df.columns], cols["_one"].alias("rank"), *[cols[f"_r_{k}"].alias(k) for k in running])

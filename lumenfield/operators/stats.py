@@ -62,15 +62,16 @@ def profile(
 
 
 def angle_axis(lines: DataFrame, axis: str, centre: int, size: tuple[int, int], keys: Sequence[str] = ("image_id",)) -> DataFrame:
-    """Add ``axis_deg``: angle of each line's middle pixel from that of the first line."""
+    """Add ``axis_deg``: angle of each line's middle pixel from that of the first line in view; NULL where the middle pixel is out of view."""
     from lumenfield.functions.geometry import angle_between, equidistant
 
     x, y = (c(float(centre)), c(axis)) if axis == "y" else (c(axis), c(float(centre)))
     g = equidistant(x, y, float(size[0]), float(size[1]))
     w = W.partitionBy(*keys).orderBy(axis)
     out = lines.withColumns({f"_{k}": F.when(g["radius"] <= 0.5, g[k]) for k in ("dx", "dy", "dz")})
-    first = [F.first(f"_{k}").over(w) for k in ("dx", "dy", "dz")]
-    return out.withColumn("axis_deg", F.degrees(angle_between(["_dx", "_dy", "_dz"], first))).drop("_dx", "_dy", "_dz")
+    first = [F.first(f"_{k}", ignorenulls=True).over(w) for k in ("dx", "dy", "dz")]
+    angle = F.degrees(angle_between(["_dx", "_dy", "_dz"], first))
+    return out.withColumn("axis_deg", F.when(F.col("_dx").isNotNull(), angle)).drop("_dx", "_dy", "_dz")
 
 
 def ranked(df: DataFrame, keys: Sequence[str] = ("image_id",), value: str = "lum", weighted: bool = False, ties: Sequence[str] = ("y", "x")) -> DataFrame:

@@ -194,21 +194,27 @@ def moving_average(df: DataFrame, by: Sequence[str], order: str, value: str, rad
 def relax(df: DataFrame, channels: Sequence[str], hole: Column, sweeps: int = 160, keys: Sequence[str] = KEYS, per_round: int = 20) -> DataFrame:
     """Fill pixels where ``hole`` holds by repeated weighted means of the eight neighbours (diagonals 1/√2), all from the previous sweep.
 
-    A tile with a halo of ``per_round`` pixels can run that many sweeps on its own, so 160 sweeps need eight exchanges instead of 160.
-    Only tiles that hold holes take part; state is saved reliably after every round.
+    A tile with a halo of ``per_round`` pixels can run that many sweeps on its own, so 160 sweeps need eight exchanges instead of 160. Only tiles with holes
+    take part, and of the rest of the archive only their neighbours, picked before any exchange. From the second round on, only tiles go on in which, or next to
+    which, the last round changed a pixel. State is saved reliably after every round.
     """
     keys, channels = list(keys), list(channels)
     state = df.withColumn("_hole", hole)
     tile = max(TILE, 4 * per_round)
     at = {"_ty": F.floor(F.col("y") / tile).cast("int"), "_tx": F.floor(F.col("x") / tile).cast("int")}
     where = [*keys, "_ty", "_tx"]
+
+    def around(t: DataFrame) -> DataFrame:
+        near = lambda c: F.explode(F.array(F.col(c) - 1, F.col(c), F.col(c) + 1))
+        return t.withColumn("_ty", near("_ty")).withColumn("_tx", near("_tx")).distinct()
+
     # distinct tiles with holes: at most one row per tile of the archive
     busy = cut_lineage(state.filter("_hole").withColumns(at).select(*where).distinct())
     cols = [*keys, "y", "x", "width", "height", "_hole", *channels]
     small = state.select(*cols)
-    rest = small.withColumns(at).join(busy, where, "left_anti").drop("_ty", "_tx")
-    work = small.withColumns(at).join(busy, where, "left_semi").drop("_ty", "_tx")
-    schema = T.StructType([small.schema[k] for k in cols])
+    reached = cut_lineage(small.withColumns(at).join(around(busy), where, "left_semi"))
+    rest, work = (reached.join(busy, where, how).drop("_ty", "_tx") for how in ("left_anti", "left_semi"))
+    schema = T.StructType([small.schema[k] for k in cols]).add("_moved", "boolean")
     steps = [(dy, dx, 1.0 if dy == 0 or dx == 0 else math.sqrt(0.5)) for dy in (-1, 0, 1) for dx in (-1, 0, 1) if (dy, dx) != (0, 0)]
 
     def run(count: int):
@@ -221,24 +227,36 @@ def relax(df: DataFrame, channels: Sequence[str], hole: Column, sweeps: int = 16
             shift = lambda m, dy, dx: np.roll(m, (-dy, -dx), (0, 1))
             weight = sum(shift(has, dy, dx) * w for dy, dx, w in steps)
             out = pdf.copy()
+            moved = np.zeros((n, n), bool)
             for ch in channels:
                 m = np.zeros((n, n))
                 m[iy, ix] = pdf[ch].to_numpy()
                 ok = hol & (weight > 0)
                 for _ in range(count):
                     m = np.where(ok, sum(shift(m, dy, dx) * w for dy, dx, w in steps) / np.where(weight > 0, weight, 1.0), m)
+                moved[iy, ix] |= m[iy, ix] != out[ch].to_numpy()
                 out[ch] = m[iy, ix]
+            out["_moved"] = moved[iy, ix]
             own = (pdf["y"] // size == ty) & (pdf["x"] // size == tx)
-            return out.loc[own, cols]
+            return out.loc[own, [*cols, "_moved"]]
 
         return fill
 
-    done = 0
+    done, active = 0, busy
     while done < sweeps:
         count = min(per_round, sweeps - done)
-        t = tiles(work.unionByName(rest), (per_round, per_round), keys, tile=tile).join(busy, where, "left_semi")
-        work = cut_lineage(t.groupBy(*where).applyInPandas(run(count), schema))
+        halo = work.unionByName(rest).withColumns(at).join(around(active), where, "left_semi").drop("_ty", "_tx")
+        swept = tiles(halo, (per_round, per_round), keys, tile=tile).join(active, where, "left_semi").groupBy(*where).applyInPandas(run(count), schema)
+        if done:
+            still = work.withColumns(at).join(active, where, "left_anti").drop("_ty", "_tx").withColumn("_moved", F.lit(False))
+            swept = swept.unionByName(still)
+        swept = cut_lineage(swept)
+        work = swept.drop("_moved")
         done += count
+        moved = swept.filter("_moved").withColumns(at).select(*where).distinct()
+        active = cut_lineage(around(moved).join(busy, where, "left_semi"))
+        if active.isEmpty():
+            break
     filled = work.filter("_hole").select(*keys, "y", "x", *[F.col(ch).alias(f"_f_{ch}") for ch in channels])
     out = state.join(filled, [*keys, "y", "x"], "left")
     return out.withColumns({ch: F.coalesce(f"_f_{ch}", ch) for ch in channels}).select(*df.columns)

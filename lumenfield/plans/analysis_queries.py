@@ -319,12 +319,12 @@ def vv2(spark, sf):
 
 @query(
     "vv3_glazing_distance",
-    """SELECT image_id, y, x, gm glazing_m, 1.5e0*sqrt(1e0+pow((x+0.5e0-32e0)*tan(radians(30e0))/32e0,2e0)+pow((y+0.5e0-32e0)*tan(radians(22.5e0))/32e0,2e0)) perspective_m FROM vol WHERE NOT isinf(gm)""",
+    """SELECT image_id, y, x, gm glazing_m, 1.5e0*sqrt(1e0+pow((x+0.5e0-32e0)*tan(radians(30e0))/32e0,2e0)+pow((y+0.5e0-32e0)*tan(radians(22.5e0))/32e0,2e0)) perspective_m FROM vol""",
     "vol",
     "glazing_m:5 perspective_m",
 )
 def vv3(spark, sf):
-    return depth(spark, sf).filter("glazing_m < 1e300").select(*PXK, "glazing_m", VV.perspective_glazing(1.5, 60.0, 45.0).alias("perspective_m"))
+    return depth(spark, sf).select(*PXK, "glazing_m", VV.perspective_glazing(1.5, 60.0, 45.0).alias("perspective_m"))
 
 
 @query("vv4_volume", "SELECT image_id, y, x, category, volume_m3 FROM volpx", "volpx", "volume_m3")

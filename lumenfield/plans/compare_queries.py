@@ -102,7 +102,7 @@ def nb7(spark, sf):
 def nb8(spark, sf):
     """Bright pixels filled from their surroundings."""
     d = X.lum(spark, sf)
-    return N.relax(d, ["lum"], F.col("lum") > 4000.0, sweeps=20).select(*PXK, "lum")
+    return N.relax(d, ["lum"], F.col("lum") > 4000.0).select(*PXK, "lum")
 
 
 @query(

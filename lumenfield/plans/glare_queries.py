@@ -115,17 +115,28 @@ def gl7(spark, sf):
     return L.source_pixels(X.geo(spark, sf)).select(*PXK, L.patch_label(30.0).alias("patch"))
 
 
+#: The radius that a search angle of 0.8 rad gives in pictures of 64 pixels.
+_R = L.smoothing_radius(64, 0.8)
+_DISC = f"BETWEEN {{0}}-{int(_R)} AND {{0}}+{int(_R)}"
+
+
+view("srcpx_w", "SELECT image_id, y, x, lum, omega, dx, dy, dz FROM gv WHERE lum>700e0", "gv")
+_closure("lab_w", "srcpx_w", ["image_id"], "cos(0.1e0)")
+
+
 @query(
     "gl8_secondary_pixels",
-    """SELECT image_id, y, x, label FROM (SELECT p.image_id, p.y, p.x, l.label, sum(l.omega) part, any_value(w.total) total FROM gv p
-         JOIN (SELECT a.image_id, a.y, a.x, sum(b.omega) total FROM g a JOIN g b ON a.image_id=b.image_id AND b.y BETWEEN a.y-3 AND a.y+3 AND b.x BETWEEN a.x-3 AND a.x+3 AND (a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)<=9 GROUP BY ALL) w
+    f"""SELECT image_id, y, x, label FROM (SELECT p.image_id, p.y, p.x, l.label, sum(l.omega) part, any_value(w.total) total FROM gv p
+         JOIN (SELECT a.image_id, a.y, a.x, sum(b.omega) total FROM g a JOIN g b ON a.image_id=b.image_id AND b.y {_DISC.format('a.y')} AND b.x {_DISC.format('a.x')} AND (a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)<={_R * _R!r}e0 GROUP BY ALL) w
            ON w.image_id=p.image_id AND w.y=p.y AND w.x=p.x
-         JOIN lab l ON l.image_id=p.image_id AND l.y BETWEEN p.y-3 AND p.y+3 AND l.x BETWEEN p.x-3 AND p.x+3 AND (l.x-p.x)*(l.x-p.x)+(l.y-p.y)*(l.y-p.y)<=9
-         WHERE p.lum<=2000e0 GROUP BY ALL) WHERE part>0.05e0*total""",
-    "g gv lab",
+         JOIN lab_w l ON l.image_id=p.image_id AND l.y {_DISC.format('p.y')} AND l.x {_DISC.format('p.x')} AND (l.x-p.x)*(l.x-p.x)+(l.y-p.y)*(l.y-p.y)<={_R * _R!r}e0
+         WHERE p.lum<=700e0 GROUP BY ALL) WHERE part>0.2e0*total""",
+    "g gv lab_w",
 )
 def gl8(spark, sf):
-    return L.secondary_pixels(X.geo(spark, sf), labelled(spark, sf), 3.0, 0.05)
+    """Sources above 700 cd/m², so that neighbourhoods hold several of their pixels."""
+    g = X.geo(spark, sf)
+    return L.secondary_pixels(g, L.group_sources(L.source_pixels(g, 700.0)), _R)
 
 
 view("labx", "SELECT * FROM lab", "lab")
@@ -147,12 +158,33 @@ def gl9(spark, sf):
     return split(spark, sf).select(*PXK, "label")
 
 
-view(
-    "sources",
-    """SELECT image_id, label, count(*) n_px, sum(omega) omega, sum(lum*omega)/sum(omega) lum, sum(omega*lum*x)/sum(omega*lum) cx, sum(omega*lum*y)/sum(omega*lum) cy, min(lum) lum_min, max(lum) lum_max,
-         sum(dy*omega*lum) e_glare FROM labx GROUP BY image_id, label""",
-    "labx",
-)
+def _chain(sfx, keys, valid, lab):
+    """Views of the steps from labelled pixels to one row per source with its picture's values."""
+    k, t = ", ".join(keys), f"tot{sfx}"
+    if sfx:
+        view(t, f"SELECT {k}, sum(omega) omega, sum(dy*omega*lum) ev, sum(lum*omega)/sum(omega) lum_mean, max(lum) lum_max FROM {valid} GROUP BY {k}", valid)
+    view(
+        f"sources{sfx}",
+        f"""SELECT {k}, label, count(*) n_px, sum(omega) omega, sum(lum*omega)/sum(omega) lum, sum(omega*lum*x)/sum(omega*lum) cx, sum(omega*lum*y)/sum(omega*lum) cy, min(lum) lum_min, max(lum) lum_max,
+         sum(dy*omega*lum) e_glare FROM {lab} GROUP BY {k}, label""",
+        lab,
+    )
+    view(
+        f"placed{sfx}",
+        f"""SELECT s.*, p.dx, p.dy, p.dz, acos(greatest(-1e0,least(1e0,p.dy))) sigma, acos(greatest(-1e0,least(1e0,p.dy)))*180e0/3.1415927e0 theta, p.p pos
+       FROM (SELECT *, floor(round(cx,9))::INT px, (63-floor(round(63-cy,9)))::INT py FROM sources{sfx}) s JOIN (SELECT DISTINCT y, x, dx, dy, dz, p FROM posidx WHERE image_id=0) p ON p.y=s.py AND p.x=s.px""",
+        f"sources{sfx} posidx",
+    )
+    view(f"agg_s{sfx}", f"SELECT {k}, sum(e_glare) e_dir, sum(omega) os, sum(lum*omega) ls FROM placed{sfx} GROUP BY {k}", f"placed{sfx}")
+    view(
+        f"perimg{sfx}",
+        f"""SELECT s.*, t.ev, t.lum_mean, (t.ev-a.e_dir)/3.1415927e0 lb, a.e_dir, t.ev/3.1415927e0 la, 2e0*pi()*(1e0-cos(radians(least(6.552e0, CASE WHEN base>0 THEN 2.346e0*(pow(CASE WHEN base>0 THEN base END,2.02609e0*sigma)+0.238658e0) ELSE 2.346e0*0.238658e0 END)))) lim
+       FROM (SELECT *, cos(atan2(abs(dx),abs(dz)))*(sigma-0.230914e0)+sigma-0.284456e0 base FROM placed{sfx}) s JOIN {t} t USING ({k}) JOIN agg_s{sfx} a USING ({k})""",
+        f"placed{sfx} {t} agg_s{sfx}",
+    )
+
+
+_chain("", ["image_id"], "gv", "labx")
 
 
 def sources(spark, sf):
@@ -170,19 +202,8 @@ def gl11(spark, sf):
     return s.join(s.groupBy("image_id").agg(F.sum("e_glare").alias("e_dir")), "image_id")
 
 
-view(
-    "placed",
-    """SELECT s.*, p.dx, p.dy, p.dz, acos(greatest(-1e0,least(1e0,p.dy))) sigma, acos(greatest(-1e0,least(1e0,p.dy)))*180e0/3.1415927e0 theta, p.p pos
-       FROM (SELECT *, floor(round(cx,9))::INT px, (63-floor(round(63-cy,9)))::INT py FROM sources) s JOIN (SELECT DISTINCT y, x, dx, dy, dz, p FROM posidx WHERE image_id=0) p ON p.y=s.py AND p.x=s.px""",
-    "sources posidx",
-)
-
-
 def placed(spark, sf):
-    s = sources(spark, sf)
-    # centroids of one-pixel sources sit on the pixel; keep them there before truncation
-    s = s.withColumns({"cx": F.round("cx", 9), "cy": F.lit(63.0) - F.round(F.lit(63.0) - F.col("cy"), 9)})
-    return L.locate(s)
+    return L.locate(sources(spark, sf))
 
 
 @query("gl12_locate", "SELECT image_id, label, px, py, dx, dy, dz, sigma, pos FROM placed", "placed", "dx dy dz sigma pos")
@@ -190,12 +211,9 @@ def gl12(spark, sf):
     return placed(spark, sf).select("image_id", "label", "px", "py", "dx", "dy", "dz", "sigma", "pos")
 
 
-view("agg_s", "SELECT image_id, sum(e_glare) e_dir, sum(omega) os, sum(lum*omega) ls FROM placed GROUP BY image_id", "placed")
-
-
 @query(
     "gl13_background",
-    """SELECT image_id, (ev-e_dir)/3.1415927e0 cosine, (omega*lum_mean-ls)/(omega-os) mean, ev/3.1415927e0 total FROM tot JOIN agg_s USING (image_id)""",
+    """SELECT image_id, (ev-coalesce(e_dir,0e0))/3.1415927e0 cosine, CASE WHEN os IS NULL THEN lum_mean ELSE (omega*lum_mean-ls)/(omega-os) END mean, ev/3.1415927e0 total FROM tot LEFT JOIN agg_s USING (image_id)""",
     "tot agg_s",
     "cosine mean total",
 )
@@ -203,91 +221,71 @@ def gl13(spark, sf):
     s, t = placed(spark, sf), L.totals(X.geo(spark, sf))
     out = None
     for m in ("cosine", "mean", "total"):
-        r = L.glare_indices(s, t, background_mode=m).filter("n_sources > 0").select("image_id", F.col("lum_backg").alias(m))
+        r = L.glare_indices(s, t, background_mode=m).select("image_id", F.col("lum_backg").alias(m))
         out = r if out is None else out.join(r, "image_id")
     return out
 
 
-view(
-    "perimg",
-    """SELECT s.*, t.ev, t.lum_mean, (t.ev-a.e_dir)/3.1415927e0 lb, a.e_dir, t.ev/3.1415927e0 la, 2e0*pi()*(1e0-cos(radians(least(6.552e0, CASE WHEN base>0 THEN 2.346e0*(pow(CASE WHEN base>0 THEN base END,2.02609e0*sigma)+0.238658e0) ELSE 2.346e0*0.238658e0 END)))) lim
-       FROM (SELECT *, cos(atan2(abs(dx),abs(dz)))*(sigma-0.230914e0)+sigma-0.284456e0 base FROM placed) s JOIN tot t USING (image_id) JOIN agg_s a USING (image_id)""",
-    "placed tot agg_s",
-)
-
-
 def indices(spark, sf, **kw):
-    return L.glare_indices(placed(spark, sf), L.totals(X.geo(spark, sf)), **kw).filter("n_sources > 0")
+    return L.glare_indices(placed(spark, sf), L.totals(X.geo(spark, sf)), **kw)
 
 
+# The indices of pictures with sources, and their values where a picture has none
+_T = "(1e0/(1e0+0.3275911e0*abs(z)))"
+_ERF = f"(sign(z)*(1e0-(((((1.061405429e0*{_T}-1.453152027e0)*{_T})+1.421413741e0)*{_T}-0.284496736e0)*{_T}+0.254829592e0)*{_T}*exp(-z*z)))"
 _DG = "least(1e0, 5.87e-5*any_value(ev)+0.159e0+0.092e0*log10(1e0+sum(lum*lum/pow(pos,2e0)*omega)/pow(any_value(ev),1.87e0)))"
+_LOW = "CASE WHEN {0}<1000 THEN exp(0.024e0*{0}-4e0)/(1e0+exp(0.024e0*{0}-4e0)) ELSE 1e0 END*0.9e0"
+_U = "sum(pow(lum/pos,2e0)*omega)"
+_DGR = "pow(sum(0.5e0*lum*(20.4e0*omega+1.52e0*pow(omega,0.2e0)-0.075e0)/(pos*pow(lum_mean,0.44e0))), pow(count(*)::DOUBLE,-0.0914e0))"
+_VCP = f"list_transform([{_DGR}], lambda d: CASE WHEN d>750 THEN 0e0 WHEN d<20 THEN 100e0 ELSE 50e0*{_ERF.replace('z', '((6.374e0-1.3227e0*ln(d))/1.414213562373e0)')}+50e0 END)[1]"
+_NONE = "least(1e0, 5.87e-5*t.ev+0.159e0)"
+INDEX = {
+    "dgp": (_DG, _NONE), "dgp_low": (f"{_DG}*{_LOW.format('any_value(ev)')}", f"{_NONE}*{_LOW.format('t.ev')}"),
+    "dgi": ("10e0*log10(sum(0.478e0*pow(lum,1.6e0)*pow(omega/pos/pos,0.8e0)/(lb+0.07e0*sqrt(omega)*lum)))", "0e0"),
+    "dgi_mod": ("10e0*log10(sum(0.478e0*pow(lum,1.6e0)*pow(omega/pos/pos,0.8e0)/(pow(la,0.85e0)+0.07e0*sqrt(omega)*lum)))", "0e0"),
+    "ugr": (f"8e0*log10(0.25e0/any_value(lb)*{_U})", "0e0"), "ugr_exp": ("8e0*log10(any_value(la))+8e0*log10(sum(lum*omega/pos/pos)/any_value(lb))", "0e0"),
+    "ugp": (f"0.26e0*log10(0.25e0/any_value(lb)*{_U})", "0e0"), "ugp2": (f"1e0/pow(1e0+2e0/7e0*pow({_U}/any_value(lb),-0.2e0),10e0)", "0e0"),
+    "dgr": (_DGR, "0e0"), "vcp": (_VCP, "100e0"), "cgi": (f"8e0*log10(2e0*(1e0+any_value(e_dir)/500e0)/any_value(ev)*{_U})", "0e0"),
+    "lveil": ("5e0*sum(lum*cos(sigma+1e-11)*omega/(180e0/3.1415927e0*sigma+1e-11))", "0e0"), "lveil_cie": ("sum(10e0*e_glare/(theta*theta+1e-16))", "0e0"),
+    "dgm": ("least(1e0, 5.87e-5*any_value(ev)+0.159e0+0.092e0*log10(1e0+sum(lum*lum*omega*omega/(greatest(omega,lim,1e-16)*pos*pos))/pow(any_value(ev),1.87e0)))", _NONE),
+    "n_sources": ("count(*)", "0"), "e_v": ("any_value(ev)", "t.ev"),
+}
+
+
+def _index_sql(names, sfx="", keys=("image_id",)):
+    k = ", ".join(keys)
+    some = ", ".join(f"{INDEX[n][0]} {n}" for n in names.split())
+    return f"""SELECT {k}, {', '.join(f'coalesce(s.{n}, {INDEX[n][1]}) {n}' for n in names.split())} FROM tot{sfx} t LEFT JOIN (SELECT {k}, {some} FROM perimg{sfx} GROUP BY {k}) s USING ({k})"""
 
 
-@query(
-    "gl14_dgp",
-    f"SELECT image_id, {_DG} dgp, {_DG}*CASE WHEN any_value(ev)<1000 THEN exp(0.024e0*any_value(ev)-4e0)/(1e0+exp(0.024e0*any_value(ev)-4e0)) ELSE 1e0 END*0.9e0 dgp_low FROM perimg GROUP BY image_id",
-    "perimg",
-    "dgp dgp_low",
-)
+@query("gl14_dgp", _index_sql("dgp dgp_low"), "tot perimg", "dgp dgp_low")
 def gl14(spark, sf):
     a = indices(spark, sf).select("image_id", "dgp")
     b = indices(spark, sf, low_light=True, age_factor=0.9).select("image_id", F.col("dgp").alias("dgp_low"))
     return a.join(b, "image_id")
 
 
-@query(
-    "gl15_dgi",
-    """SELECT image_id, 10e0*log10(sum(0.478e0*pow(lum,1.6e0)*pow(omega/pos/pos,0.8e0)/(lb+0.07e0*sqrt(omega)*lum))) dgi,
-        10e0*log10(sum(0.478e0*pow(lum,1.6e0)*pow(omega/pos/pos,0.8e0)/(pow(la,0.85e0)+0.07e0*sqrt(omega)*lum))) dgi_mod FROM perimg GROUP BY image_id""",
-    "perimg",
-    "dgi dgi_mod",
-)
+@query("gl15_dgi", _index_sql("dgi dgi_mod"), "tot perimg", "dgi dgi_mod")
 def gl15(spark, sf):
     return indices(spark, sf).select("image_id", "dgi", "dgi_mod")
 
 
-@query(
-    "gl16_ugr",
-    """SELECT image_id, 8e0*log10(0.25e0/lb*u) ugr, 8e0*log10(la)+8e0*log10(ue/lb) ugr_exp, 0.26e0*log10(0.25e0/lb*u) ugp, 1e0/pow(1e0+2e0/7e0*pow(u/lb,-0.2e0),10e0) ugp2
-       FROM (SELECT image_id, any_value(lb) lb, any_value(la) la, sum(pow(lum/pos,2e0)*omega) u, sum(lum*omega/pos/pos) ue FROM perimg GROUP BY image_id)""",
-    "perimg",
-    "ugr ugr_exp ugp ugp2",
-)
+@query("gl16_ugr", _index_sql("ugr ugr_exp ugp ugp2"), "tot perimg", "ugr ugr_exp ugp ugp2")
 def gl16(spark, sf):
     return indices(spark, sf).select("image_id", "ugr", "ugr_exp", "ugp", "ugp2")
 
 
-_T = "(1e0/(1e0+0.3275911e0*abs(z)))"
-_ERF = f"(sign(z)*(1e0-(((((1.061405429e0*{_T}-1.453152027e0)*{_T})+1.421413741e0)*{_T}-0.284496736e0)*{_T}+0.254829592e0)*{_T}*exp(-z*z)))"
-
-
-@query(
-    "gl17_dgr_vcp",
-    f"""SELECT image_id, dgr, CASE WHEN dgr>750 THEN 0e0 WHEN dgr<20 THEN 100e0 ELSE 50e0*{_ERF}+50e0 END vcp FROM (SELECT *, (6.374e0-1.3227e0*ln(dgr))/1.414213562373e0 z FROM
-        (SELECT image_id, pow(sum(0.5e0*lum*(20.4e0*omega+1.52e0*pow(omega,0.2e0)-0.075e0)/(pos*pow(lum_mean,0.44e0))), pow(count(*)::DOUBLE,-0.0914e0)) dgr FROM perimg GROUP BY image_id))""",
-    "perimg",
-    "dgr vcp",
-)
+@query("gl17_dgr_vcp", _index_sql("dgr vcp"), "tot perimg", "dgr vcp")
 def gl17(spark, sf):
     return indices(spark, sf).select("image_id", "dgr", "vcp")
 
 
-@query(
-    "gl18_cgi",
-    "SELECT image_id, 8e0*log10(2e0*(1e0+any_value(e_dir)/500e0)/any_value(ev)*sum(pow(lum/pos,2e0)*omega)) cgi FROM perimg GROUP BY image_id",
-    "perimg",
-    "cgi",
-)
+@query("gl18_cgi", _index_sql("cgi"), "tot perimg", "cgi")
 def gl18(spark, sf):
     return indices(spark, sf).select("image_id", "cgi")
 
 
-@query(
-    "gl19_veil",
-    """SELECT image_id, 5e0*sum(lum*cos(sigma+1e-11)*omega/(180e0/3.1415927e0*sigma+1e-11)) lveil, sum(10e0*e_glare/(theta*theta+1e-16)) lveil_cie FROM perimg GROUP BY image_id""",
-    "perimg",
-    "lveil lveil_cie",
-)
+@query("gl19_veil", _index_sql("lveil lveil_cie"), "tot perimg", "lveil lveil_cie")
 def gl19(spark, sf):
     return indices(spark, sf).select("image_id", "lveil", "lveil_cie")
 
@@ -310,12 +308,7 @@ def gl20(spark, sf):
     return L.pgsv(t.join(m, "image_id")).select("image_id", "pgsv_con", "pgsv_sat", "pgsv")
 
 
-@query(
-    "gl21_dgm",
-    "SELECT image_id, least(1e0, 5.87e-5*any_value(ev)+0.159e0+0.092e0*log10(1e0+sum(lum*lum*omega*omega/(greatest(omega,lim,1e-16)*pos*pos))/pow(any_value(ev),1.87e0))) dgm FROM perimg GROUP BY image_id",
-    "perimg",
-    "dgm",
-)
+@query("gl21_dgm", _index_sql("dgm"), "tot perimg", "dgm")
 def gl21(spark, sf):
     return indices(spark, sf).select("image_id", "dgm")
 
@@ -361,7 +354,18 @@ def gl25(spark, sf):
     return L.renumber(sources(spark, sf)).select("image_id", "label", "source_id")
 
 
-@query("gl26_multi_picture", dbl="dgp dgi ugr e_v")
+view(
+    "scanned",
+    """SELECT g.* EXCLUDE (lum), 1::INT overlay_id, scan::INT scan, CASE WHEN y BETWEEN 20 AND 27 AND x BETWEEN 20 AND 27 THEN lum*5e0*factor ELSE lum END lum
+       FROM gv g, (SELECT unnest([0, 1]) scan, unnest([1e0, 2.5e0]) factor)""",
+    "gv",
+)
+view("srcpx_m", "SELECT image_id, overlay_id, scan, y, x, lum, omega, dx, dy, dz FROM scanned WHERE lum>2000e0", "scanned")
+_closure("lab_m", "srcpx_m", ["image_id", "overlay_id", "scan"], "cos(0.1e0)")
+_chain("_m", ["image_id", "overlay_id", "scan"], "scanned", "lab_m")
+
+
+@query("gl26_multi_picture", _index_sql("n_sources dgp dgi ugr e_v", "_m", ("image_id", "overlay_id", "scan")), "tot_m perimg_m", "dgp dgi ugr e_v")
 def gl26(spark, sf):
     """A bright rectangle of each picture overlaid at two scales."""
     g = X.geo(spark, sf)
@@ -375,18 +379,15 @@ def gl27(spark, sf):
     return g.select(*PXK, "p", (F.col("lum") / F.col("p")).alias("weighted"))
 
 
-@query(
-    "io10_summary_text",
-    f"""SELECT image_id, printf('dgp,dgi,ugr: %.4f %.4f %.4f', {_DG}, 10e0*log10(sum(0.478e0*pow(lum,1.6e0)*pow(omega/pos/pos,0.8e0)/(lb+0.07e0*sqrt(omega)*lum))), 8e0*log10(0.25e0/any_value(lb)*sum(pow(lum/pos,2e0)*omega))) line
-        FROM perimg GROUP BY image_id""",
-    "perimg",
-)
+@query("io10_summary_text", f"SELECT image_id, printf('dgp,dgi,ugr: %.4f %.4f %.4f', dgp, dgi, ugr) line FROM ({_index_sql('dgp dgi ugr')})", "tot perimg")
 def io10(spark, sf):
     return indices(spark, sf).select("image_id", TB.summary_line(("dgp", "dgi", "ugr"), 4).alias("line"))
 
 
-@query("glare_evaluate", dbl="dgp dgi ugr vcp cgi lveil dgm")
+_chain("_p", ["image_id"], "gv", "split")
+
+
+@query("glare_evaluate", _index_sql("n_sources dgp dgi ugr vcp cgi lveil dgm", "_p"), "tot_p perimg_p", "dgp dgi ugr vcp cgi lveil dgm")
 def glare_evaluate(spark, sf):
     """Whole chain with peaks split."""
     return L.evaluate(X.geo(spark, sf), split=8000.0).select("image_id", "n_sources", "dgp", "dgi", "ugr", "vcp", "cgi", "lveil", "dgm")
-

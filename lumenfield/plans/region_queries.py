@@ -296,14 +296,13 @@ def ag6b(spark, sf):
 
 @query(
     "ag7_angle_axis",
-    """SELECT image_id, y, lum_mean, degrees(acos(greatest(-1e0,least(1e0,dx*fx+dy*fy+dz*fz)))) axis_deg FROM (SELECT image_id, y, avg(lum) lum_mean FROM g WHERE y>=10 GROUP BY image_id, y)
-       JOIN (SELECT y, CASE WHEN valid THEN dx END dx, CASE WHEN valid THEN dy END dy, dz FROM geo WHERE x=20) USING (y), (SELECT dx fx, dy fy, dz fz FROM geo WHERE x=20 AND y=10)""",
+    """SELECT image_id, y, lum_mean, CASE WHEN valid THEN degrees(acos(greatest(-1e0,least(1e0,dx*fx+dy*fy+dz*fz)))) END axis_deg FROM (SELECT image_id, y, avg(lum) lum_mean FROM g GROUP BY image_id, y)
+       JOIN (SELECT y, valid, dx, dy, dz FROM geo WHERE x=20) USING (y), (SELECT dx fx, dy fy, dz fz FROM geo WHERE x=20 AND valid ORDER BY y LIMIT 1)""",
     "g",
     "lum_mean axis_deg:4",
 )
 def ag7(spark, sf):
-    lines = S.profile(X.geo(spark, sf).filter("y >= 10"), "y")
-    return S.angle_axis(lines, "y", 20, (64, 64)).select("image_id", "y", "lum_mean", "axis_deg")
+    return S.angle_axis(S.profile(X.geo(spark, sf), "y"), "y", 20, (64, 64)).select("image_id", "y", "lum_mean", "axis_deg")
 
 
 @query(
@@ -322,23 +321,31 @@ def ag8(spark, sf):
     """SELECT k, o, line, v, row_number() OVER q rank, sum(w) OVER q omega_cum, sum(v*w) OVER q/sum(w) OVER q running_mean FROM wide
        WINDOW q AS (PARTITION BY k ORDER BY v DESC, o, line, w ROWS UNBOUNDED PRECEDING)""",
     "wide",
-    "v omega_cum running_mean:6",
+    "v omega_cum running_mean:4",
 )
 def ag8b(spark, sf):
     df = X.wide(spark, sf).withColumnRenamed("w", "omega")
     return S.ranked(df, ["k"], "v", True, ("o", "line", "omega")).select("k", "o", "line", "v", "rank", "omega_cum", "running_mean")
 
 
-@query(
-    "ag9_luminance_distribution",
-    """SELECT DISTINCT image_id, i idx, i*1e0/(n-1) q, lum v FROM (SELECT image_id, lum, row_number() OVER (PARTITION BY image_id ORDER BY lum)-1 i, count(*) OVER (PARTITION BY image_id) n FROM gv) r
-       WHERE i IN (SELECT floor(range*1e0/64e0*(r.n-1)+0.5e0)::BIGINT FROM range(65))
-          OR i IN (SELECT floor(q*(r.n-1)+0.5e0)::BIGINT FROM (SELECT unnest([0.001e0,0.01e0,0.1e0,0.5e0,0.9e0,0.95e0,0.98e0,0.99e0,0.995e0,0.999e0,0.9995e0,0.9999e0]) q))""",
-    "gv",
-    "q v",
-)
+def _curve_sql(src, key, value):
+    """Sorted values at up to 4 097 evenly spaced ranks and the extra points."""
+    extra = ",".join(f"{q!r}e0" for q in S.EXTRA_POINTS)
+    return f"""WITH r AS (SELECT {key}, {value} v, row_number() OVER (PARTITION BY {key} ORDER BY {value})-1 idx, count(*) OVER (PARTITION BY {key}) n FROM {src}),
+       s AS (SELECT {key}, any_value(n) n, greatest(2, least(4097, any_value(n))) m FROM r GROUP BY {key}),
+       p AS (SELECT {key}, floor(range*1e0/((m-1)*1e0)*((n-1)*1e0)+0.5e0)::BIGINT idx FROM s, range(4097) WHERE range<m UNION SELECT {key}, floor(q*((n-1)*1e0)+0.5e0)::BIGINT FROM s, (SELECT unnest([{extra}]) q))
+       SELECT {key}, idx, idx*1e0/(n-1) q, v FROM r JOIN p USING ({key}, idx)"""
+
+
+@query("ag9_luminance_distribution", _curve_sql("gv", "image_id", "lum"), "gv", "q v")
 def ag9(spark, sf):
-    return S.luminance_distribution(X.geo_valid(spark, sf), points=65)
+    return S.luminance_distribution(X.geo_valid(spark, sf))
+
+
+@query("ag9_distribution_wide", _curve_sql("(SELECT k%3 k, v FROM wide)", "k", "v"), "wide", "q v")
+def ag9c(spark, sf):
+    """Groups of more values than points."""
+    return S.luminance_distribution(X.wide(spark, sf).withColumn("k", F.col("k") % 3), ["k"], "v")
 
 
 @query("ag9_approximate")

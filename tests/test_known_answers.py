@@ -237,7 +237,8 @@ def test_vignetting_fit(spark):
 # --- stencils ---
 
 
-def test_relax_equals_plain_sweeps(spark):
+@pytest.mark.parametrize(("sweeps", "per_round"), [(23, 8), (160, 20)])
+def test_relax_equals_plain_sweeps(spark, sweeps, per_round):
     p = frame(spark, 70, F.col("x") * 1.0 + F.pmod(F.xxhash64("y", "x"), F.lit(50)))
     hole = F.col("x").between(20, 45) & F.col("y").between(0, 25)
     a = np.zeros((70, 70))
@@ -245,8 +246,8 @@ def test_relax_equals_plain_sweeps(spark):
     a[pdf.y, pdf.x] = pdf.lum
     h = np.zeros((70, 70), bool)
     h[0:26, 20:46] = True
-    got = N.relax(p, ["lum"], hole, sweeps=23, per_round=8).toPandas()
-    for _ in range(23):
+    got = N.relax(p, ["lum"], hole, sweeps=sweeps, per_round=per_round).toPandas()
+    for _ in range(sweeps):
         s, w = np.zeros_like(a), np.zeros_like(a)
         for dy in (-1, 0, 1):
             for dx in (-1, 0, 1):
