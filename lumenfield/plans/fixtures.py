@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from lumenfield.functions.colour import luminance
 from lumenfield.operators.geometry import with_geometry
+from lumenfield.session import dealt
 
 SIZE = 64
 
@@ -21,7 +22,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def px(spark: SparkSession, sf_dir: str) -> DataFrame:
     """pixels(image_id, y, x, width, height, label, r, g, b)."""
-    src = table(spark, sf_dir, "embeddings").select(
+    src = dealt(table(spark, sf_dir, "embeddings")).select(
         F.floor(F.col("vec_id") / F.lit(64.0)).cast("bigint").alias("image_id"),
         (F.col("vec_id") % 64).cast("int").alias("y"),
         F.col("label").cast("int").alias("label"),

@@ -10,6 +10,7 @@ from lumenfield.operators import regions as RG
 from lumenfield.plans import fixtures as X
 from lumenfield.plans.registry import query
 from lumenfield.plans.views import view
+from lumenfield.session import dealt
 from lumenfield.sources import pictures as P
 from lumenfield.sources import tables as TB
 
@@ -60,7 +61,7 @@ def headers(spark, sf):
         t = t.replace(f"{_T}[1+{i}%6]", f"element_at(array('v','h','c','a','s','l'), cast(1+{i}%6 as int))")
         t = t.replace(f"['Equidistant','equisolid','vth','other'][1+{i}%4]", f"element_at(array('Equidistant','equisolid','vth','other'), cast(1+{i}%4 as int))")
         parts.append(t if w is None else f"CASE WHEN {w.replace('i%', i + '%')} THEN {t} END")
-    return X.table(spark, sf, "events").select(
+    return dealt(X.table(spark, sf, "events").select("event_id")).select(
         F.col("event_id").alias("capture_id"), F.expr(f"filter(array({', '.join(parts)}), l -> l is not null)").alias("header_lines")
     )
 

@@ -39,6 +39,12 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """Rows of a table with fewer files than the session has cores, dealt to all cores; for costly work on each row. Tables of many files stay as they are read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint of an iterative job's state in the shared folder."""
     sc = df.sparkSession.sparkContext
