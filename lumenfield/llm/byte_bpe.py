@@ -16,6 +16,7 @@ import itertools
 from collections.abc import Iterator
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -192,9 +193,9 @@ def _ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 
 class _Places(dict):
-    """Number of each piece of text, in the order of first sight."""
+    """Number of each piece of text, in the order of first sight. A string stands behind a space, a string in a tuple does not."""
 
-    def __missing__(self, piece: str) -> int:
+    def __missing__(self, piece: str | tuple[str]) -> int:
         self[piece] = n = len(self)
         return n
 
@@ -203,12 +204,13 @@ class Encoder:
     """Encodes blocks of texts; keeps the tokens of the pieces met so far, up to a fixed number of pieces.
 
     cut_at_spaces: no match of the pattern goes on from a non-space to a space, so a text may be cut before each space that follows a non-space
-    and such pieces, of which many repeat, be split by the pattern once. Texts with white space before a space are split as a whole.
+    and such pieces, of which many repeat, be split by the pattern once. Texts with white space before a space are split as a whole. By default
+    only the public pattern, which is known to behave so, is cut.
     """
 
-    def __init__(self, rank_file: str, pattern: str, *, cut_at_spaces: bool = True):
+    def __init__(self, rank_file: str, pattern: str, *, cut_at_spaces: bool | None = None):
         self.vocab = vocabulary(rank_file, pattern)
-        self.cut_at_spaces = cut_at_spaces
+        self.cut_at_spaces = pattern == public_tokenizers.PATTERN if cut_at_spaces is None else cut_at_spaces
         self.loose = regex.compile(r"\s |\A ")
         self._forget()
 
@@ -222,19 +224,19 @@ class Encoder:
         if self.cut_at_spaces and not self.loose.search(text):
             head, *rest = text.split(" ")
             out = np.empty(len(rest) + 1, np.int32)
-            out[0] = known("\0" + head)
+            out[0] = known((head,))
             out[1:] = np.fromiter(map(known, rest), np.int32, len(rest))
             return out
         found = self.vocab.pattern.findall(text)
-        return np.fromiter((known("\0" + w) for w in found), np.int32, len(found))
+        return np.fromiter((known((w,)) for w in found), np.int32, len(found))
 
     def _learn(self, old: int) -> None:
-        """Tokens of the pieces from number ``old`` on. A piece without the mark of a start stands behind a space."""
+        """Tokens of the pieces from number ``old`` on."""
         words_of: dict[bytes, int] = {}
         flat, counts = [], []
         split = self.vocab.pattern.findall
         for piece in itertools.islice(self.pieces, old, None):
-            found = split(piece[1:] if piece[:1] == "\0" else " " + piece)
+            found = split(piece[0] if isinstance(piece, tuple) else " " + piece)
             counts.append(len(found))
             flat += [words_of.setdefault(w.encode("utf-8", "surrogatepass"), len(words_of)) for w in found]
         ids, first = replay(self.vocab, list(words_of))

@@ -11,6 +11,7 @@ import zlib
 from collections import Counter
 
 import public_tokenizers
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -118,11 +119,11 @@ def test_language_does_not_depend_on_partitions(spark):
 # --- byte-level BPE
 
 
-def reference_encoder():
+def reference_encoder(pattern=PATTERN):
     import tiktoken
 
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(RANKS, "rb"))}  # noqa: SIM115
-    return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
 def test_bpe_same_ids_and_round_trip(spark, make):
@@ -139,6 +140,23 @@ def test_bpe_same_ids_and_round_trip(spark, make):
     assert {r.doc_id: r.text for r in byte_bpe.decode(coded, RANKS, PATTERN).collect()} == texts
 
 
+def test_bpe_pieces_of_any_signs():
+    rng = np.random.default_rng(11)
+    coder, library = byte_bpe.Encoder(RANKS, PATTERN), reference_encoder()
+    signs = ["\0", " ", "\t", "\n", "\x1f", "\x7f", "a", "b's", "'s", "'ll", "7", "é", "\u2028", "\u00a0", "\ufeff", "😀", "-", "\0x", " \0"]
+    texts = ["a \0b", "a \0", "a's \0x", "\0", " \0", "\0 \0 \0"] + ["".join(rng.choice(signs, rng.integers(0, 14)).tolist()) for _ in range(4000)]
+    for text, ids in zip(texts, coder.encode(texts), strict=True):
+        assert ids.tolist() == library.encode_ordinary(text), repr(text)
+        assert coder.decode(ids) == text.encode()
+
+
+def test_bpe_other_patterns_are_not_cut_at_spaces():
+    pattern = r"\S+ \S+|\s+|\S+"
+    texts = ["one two three", "a b", "x  y z"]
+    for text, ids in zip(texts, byte_bpe.Encoder(RANKS, pattern).encode(texts), strict=True):
+        assert ids.tolist() == reference_encoder(pattern).encode_ordinary(text)
+
+
 def test_bpe_edges(edges, nothing):
     got = byte_bpe.encode(edges, RANKS, PATTERN, keep_ids=False).collect()
     assert len(got) == len(EDGES) and all(r.exact for r in got)
