@@ -10,7 +10,8 @@ from lumenfield.operators import regions as RG
 from lumenfield.plans import fixtures as X
 from lumenfield.plans.registry import query
 from lumenfield.plans.views import view
-from lumenfield.session import dealt
+from lumenfield.session import dealt, work_folder
+from lumenfield.sources import files as FI
 from lumenfield.sources import pictures as P
 from lumenfield.sources import tables as TB
 
@@ -354,6 +355,43 @@ def io2(spark, sf):
     return d.select(F.get(part, F.lit(0)).cast("bigint").alias("image_id"), F.get(part, F.lit(1)).cast("int").alias("y"), "x", "width", "r", "g", "b")
 
 
+def archive(spark, rows):
+    """A new folder that holds the pictures (path, content) as single files."""
+    FI.register(spark)
+    folder = work_folder(spark)
+    rows.select(F.col("path").alias("name"), "content").write.format("named_files").mode("append").save(folder)
+    return folder
+
+
+@query(
+    "io1_expand_inputs",
+    """SELECT 'numbers' item, 'a/frame_' || lpad(y::VARCHAR, 3, '0') || '.hdr' AS name FROM px WHERE image_id=0 AND y<20 AND x=0
+       UNION ALL SELECT 'numbers from 1', 'b/f' || y || '.hdr' FROM px WHERE image_id=0 AND y BETWEEN 1 AND 30 AND x=0
+       UNION ALL SELECT 'folder', 'b/f' || y || '.hdr' FROM px WHERE image_id=0 AND y>0 AND y<>31 AND x=0
+       UNION ALL SELECT 'wildcard', 'a/frame_' || lpad(y::VARCHAR, 3, '0') || '.hdr' FROM px WHERE image_id=0 AND y%10=7 AND x=0
+       UNION ALL SELECT 'literal', 'c/[x] 100%.hdr'""",
+    "px",
+)
+def io1(spark, sf):
+    """Numbered frames with a gap, numbers from 1, a folder, a wildcard and a name that only looks like a pattern; by Spark's listing, and the same by the data source."""
+    rows = encoded_rows(spark, sf).where("path LIKE '0/%'").withColumn("y", F.split_part("path", F.lit("/"), F.lit(2)).cast("int"))
+    named = [
+        rows.select(F.format_string("a/frame_%03d.hdr", "y").alias("path"), "content", "y").where("y <> 20"),
+        rows.select(F.format_string("b/f%d.hdr", "y").alias("path"), "content", "y").where("y <> 0 AND y <> 31"),
+        rows.select(F.lit("c/[x] 100%.hdr").alias("path"), "content", "y").where("y = 0"),
+    ]
+    folder = archive(spark, named[0].unionByName(named[1]).unionByName(named[2]))
+    items = {"numbers": "a/frame_%03d.hdr", "numbers from 1": "b/f%d.hdr", "folder": "b", "wildcard": "a/frame_*7.hdr", "literal": "c/[x] 100%.hdr"}
+    name = lambda: F.array_join(F.slice(F.split("path", "/"), -2, 2), "/").alias("name")
+    out = None
+    for item, pattern in items.items():
+        listed = P.list_inputs(spark, [f"{folder}/{pattern}"]).select(F.lit(item).alias("item"), name())
+        read = spark.read.format("picture_headers").load(f"{folder}/{pattern}").where("problem IS NULL AND width = 64").select(F.lit(item).alias("item"), name())
+        both = listed.unionByName(read).groupBy("item", "name").agg(F.count("*").alias("n")).where("n = 2").drop("n")
+        out = both if out is None else out.unionByName(both)
+    return out
+
+
 @query(
     "io3_header_scan",
     """SELECT DISTINCT image_id || '/' || y AS path, CASE WHEN y=0 THEN 3003 ELSE 3 END::INT n_lines, CASE WHEN y<>1 THEN 64 ELSE -1 END::INT width, CASE WHEN y<>1 THEN 1 ELSE -1 END::INT height,
@@ -369,4 +407,49 @@ def io3(spark, sf):
     broken = F.encode(F.lit("#?RADIANCE\nEXPOSURE=1\nFORMAT=32-bit_rle_rgbe"), "ISO-8859-1")
     rows = rows.withColumn("content", F.when(y == "0", long).when(y == "1", broken).otherwise(F.col("content")))
     size = [F.coalesce(k, F.lit(-1)).alias(k) for k in ("width", "height")]
-    return P.header_scan(rows).select("path", F.size("header_lines").alias("n_lines"), *size, "problem")
+    folder = archive(spark, rows.where("path LIKE '0/%'"))
+    # one picture from files of which only the heads are read, the others from whole contents
+    name = F.array_join(F.slice(F.split("path", "/"), -2, 2), "/")
+    heads = P.header_scan(P.list_inputs(spark, [folder])).withColumn("path", name)
+    found = P.header_scan(rows.where("path NOT LIKE '0/%'")).unionByName(heads)
+    return found.select("path", F.size("header_lines").alias("n_lines"), *size, "problem")
+
+
+@query(
+    "io7_spectral_curves",
+    """SELECT 1 AS n, (p_partkey%400+380)::DOUBLE nm, p_size/7e0 v1, NULL::DOUBLE v2, NULL::DOUBLE v3 FROM part WHERE p_partkey%5<>0
+       UNION ALL SELECT 3, (p_partkey%400+380)::DOUBLE, p_size/7e0, p_size/11e0, -p_size/13e0 FROM part WHERE p_partkey%5<>0""",
+    "",
+    "v1 v2 v3",
+)
+def io7(spark, sf):
+    """Curves of one and of three values with comments, a heading and lines without numbers between them."""
+    k, v = F.col("p_partkey"), [F.col("p_size") / d for d in (7.0, 11.0, -13.0)]
+    out = None
+    for n in (1, 3):
+        nm = (k % 400 + 380).cast("string")
+        line = F.concat_ws(",", nm, *[x.cast("string") for x in v[:n]])
+        line = F.when(k % 5 == 0, F.when(k % 2 == 0, F.lit("# remark, 1, 2, 3")).otherwise(F.concat_ws(",", F.lit("nm"), *[F.lit(f"v{i + 1}") for i in range(n)]))).otherwise(line)
+        folder = work_folder(spark)
+        X.table(spark, sf, "part").select(line.alias("value")).write.text(folder)
+        c = TB.spectral_curves(spark, folder, n)
+        c = c.select(F.lit(n).alias("n"), "nm", *[F.col(f"v{i + 1}") if i < n else F.lit(None).cast("double").alias(f"v{i + 1}") for i in range(3)])
+        out = c if out is None else out.unionByName(c)
+    return out
+
+
+@query(
+    "io9_statistics_csv",
+    "SELECT s_suppkey, s_name || ', \"' || s_nationkey || '\"' AS name, s_acctbal::DOUBLE total, CASE WHEN s_suppkey%3>0 THEN s_acctbal/3e0 END mean FROM supplier",
+    "",
+    "total mean",
+)
+def io9(spark, sf):
+    """Written with a heading, quotes and empty cells, and read again."""
+    d = X.table(spark, sf, "supplier").select(
+        "s_suppkey", F.concat("s_name", F.lit(', "'), "s_nationkey", F.lit('"')).alias("name"), F.col("s_acctbal").cast("double").alias("total"),
+        F.when(F.col("s_suppkey") % 3 > 0, F.col("s_acctbal").cast("double") / 3.0).alias("mean"),
+    )
+    folder = work_folder(spark)
+    TB.write_csv(d, folder)
+    return spark.read.csv(folder, header=True, schema=d.schema, escape='"')

@@ -10,68 +10,97 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lumenfield.sources.files import frame_pattern, head_of, parse_head
+
 PIXEL_SCHEMA = "path string, width int, height int, y int, x int, r double, g double, b double"
 
 
-def glob_of(pattern: str) -> str:
-    """A frame pattern with one ``%d``-style conversion becomes a glob; other text is taken as it is."""
-    found = re.findall(r"%0?\d*d", pattern)
-    if len(found) != 1:
-        return pattern
-    width = re.fullmatch(r"%0(\d+)d", found[0])
-    return pattern.replace(found[0], "[0-9]" * int(width.group(1)) if width else "[0-9]*")
+def _hadoop(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def _listed(spark: SparkSession, pattern: str, suffix: str = "*") -> DataFrame:
+    df = spark.read.format("binaryFile").option("pathGlobFilter", suffix).option("recursiveFileLookup", "true").load(pattern)
+    return df.select("path", "length", "modificationTime")
+
+
+def _frames(files: DataFrame, name: str) -> DataFrame:
+    """Of the listed files those whose names are the pattern with a number, from 0, or 1 if there is no 0, up to the first gap."""
+    found = frame_pattern(name)
+    before, after = (re.escape(t.replace("%%", "%")) for t in (name[: found.start()], name[found.end() :]))
+    base = F.element_at(F.split("path", "/"), -1)
+    number = F.regexp_extract(base, f"^{before} *([-+]?[0-9]+) *{after}$", 1).try_cast("long")
+    # only names that the pattern itself would write: 7 is not %03d
+    same = F.format_string(name.replace("%u", "%d").replace("%i", "%d"), number) == base
+    rows = files.withColumn("_n", number).where(F.col("_n").isNotNull() & same)
+    ahead = rows.select((F.col("_n") - 1).alias("_n"))
+    start = rows.agg(F.when(F.count_if(F.col("_n") == 0) > 0, F.lit(0)).otherwise(F.lit(1)).alias("_start"), F.count_if(F.col("_n") == 1).alias("_one"))
+    ends = rows.join(ahead, "_n", "left_anti").crossJoin(start).where("_n >= _start AND (_start = 0 OR _one > 0)").agg(F.min("_start").alias("_start"), F.min("_n").alias("_last"))
+    return rows.crossJoin(ends).where("_n BETWEEN _start AND _last").select(*files.columns)
 
 
 def list_inputs(spark: SparkSession, inputs: Sequence[str], suffix: str = "*") -> DataFrame:
-    """Files behind literals, folders, wildcards and frame patterns: (path, length, modificationTime). An empty list raises."""
+    """Files behind literals, folders, wildcards and frame patterns, by the rules of ``files.expand``: (path, length, modificationTime), each file once.
+
+    The listing is Spark's own, so any store it reads will do. An input without files raises, and so does an empty list.
+    """
+    plain = lambda text: re.sub(r"([\\*?\[\]{}])", r"\\\1", text)
     out = None
     for item in inputs:
-        df = spark.read.format("binaryFile").option("pathGlobFilter", suffix).option("recursiveFileLookup", "true").load(glob_of(item))
-        df = df.select("path", "length", "modificationTime")
+        where, path = _hadoop(spark, item)
+        folder, _, name = item.rstrip("/").rpartition("/")
+        found, numbered = item, frame_pattern(name)
+        if where.exists(path):
+            found, numbered = plain(item), None  # its signs are no pattern
+        elif numbered:
+            around = (plain(t.replace("%%", "%")) for t in (name[: numbered.start()], name[numbered.end() :]))
+            found = (plain(folder) + "/" if folder or item.startswith("/") else "") + "*".join(around)
+        if not where.globStatus(_hadoop(spark, found)[1]):
+            raise ValueError(f"no input files in {item}")
+        df = _frames(_listed(spark, found, suffix), name) if numbered else _listed(spark, found, suffix)
+        if df.isEmpty():
+            raise ValueError(f"no input files in {item}")
         out = df if out is None else out.unionByName(df)
-    if out is None or out.isEmpty():
-        raise ValueError(f"no input files in {list(inputs)}")
+    if out is None:
+        raise ValueError("no input files")
     return out.dropDuplicates(["path"])
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.format("binaryFile").load(glob_of(path)).select("path", "content")
-
-
-_SIZE = re.compile(rb"[-+][XY]\s*\d+\s+[-+][XY]\s*\d+")
+    return spark.read.format("binaryFile").load(path).select("path", "content")
 
 
 def header_scan(files: DataFrame) -> DataFrame:
     """(path, header_lines, width, height, problem) without decoding pixels: everything up to the first blank line, however long.
 
-    A file without that line or without a size line behind it keeps its row: the size is NULL and ``problem`` says why.
+    Where ``files`` has no column ``content``, each file is opened on the executors and read up to that line only, so a picture costs its head, whatever its size;
+    with ``content``, for stores that only Spark reaches, whole files pass through. A file without that line or without a size line behind it keeps its row: the
+    size is NULL and ``problem`` says why.
     """
+    whole = "content" in files.columns
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lines, sizes, problems = [], [], []
-            for cell in batch.column(1):
-                content = memoryview(cell.as_buffer()) if cell.is_valid else memoryview(b"")
-                blank = re.search(rb"\n\n", content)
-                head = bytes(content[: blank.start()] if blank else content)
-                found = _SIZE.match(content, blank.end()) if blank else None
-                size = {m[1]: int(m[2]) for m in re.finditer(rb"([XY])\s*(\d+)", found.group())} if found else {}
-                lines.append(head.decode("ISO-8859-1").split("\n"))
-                sizes.append((size.get(b"X"), size.get(b"Y")))
-                problems.append(None if len(size) == 2 else "no size line" if blank else "no blank line after the header")
-            width, height = zip(*sizes, strict=True) if sizes else ((), ())
+            if whole:
+                rows = [parse_head(memoryview(cell.as_buffer()) if cell.is_valid else b"") for cell in batch.column(1)]
+            else:
+                rows = [head_of(path) for path in batch.column(0).to_pylist()]
+            lines, width, height, problem = zip(*rows, strict=True) if rows else ((), (), (), ())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(lines, pa.list_(pa.string())), pa.array(width, pa.int32()), pa.array(height, pa.int32()), pa.array(problems, pa.string())],
+                [batch.column(0), pa.array(lines, pa.list_(pa.string())), pa.array(width, pa.int32()), pa.array(height, pa.int32()), pa.array(problem, pa.string())],
                 names=["path", "header_lines", "width", "height", "problem"],
             )
 
-    return files.select("path", "content").mapInArrow(run, "path string, header_lines array<string>, width int, height int, problem string")
+    return files.select("path", *(["content"] if whole else [])).mapInArrow(run, "path string, header_lines array<string>, width int, height int, problem string")
 
 
 def _plane(data: memoryview, at: int, width: int) -> tuple[bytes, int]:
     """One channel of a run-length scanline: a code above 128 repeats the next byte code - 128 times, any other is followed by that many bytes."""
     pieces, filled = [], 0
     while filled < width:
+        if at >= len(data):
+            raise ValueError("picture data ends early")
         code = data[at]
         repeat = code > 128
         size = code - 128 if repeat else code
@@ -189,8 +218,8 @@ def _batch(path: str, lines: list) -> pa.RecordBatch:
 
 def read_pictures(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(images, pixels) of an archive."""
-    files = read_files(spark, path)
-    return header_scan(files), decode(files)
+    files = list_inputs(spark, [path])
+    return header_scan(files), decode(read_files(spark, path))
 
 
 def write_pixels(pixels: DataFrame, path: str) -> None:
