@@ -1,16 +1,20 @@
-"""Geometry operators: per-pixel geometry, key arithmetic, and gather joins (rotation, reprojection, resampling)."""
+"""Geometry operators: per-pixel geometry, key arithmetic, and gathers in tiles (rotation, reprojection, resampling)."""
 
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from lumenfield.functions import geometry as G
 from lumenfield.functions.numeric import c
+from lumenfield.session import cut_lineage
 
 PI = math.pi
 CHANNELS = ("r", "g", "b")
@@ -57,7 +61,10 @@ def flip_rotate(pixels: DataFrame, degrees: int = 0, flip: str = "") -> DataFram
     return pixels.withColumns({"x": x, "y": y, "width": w, "height": h})
 
 
-# --- gather joins ------------------------------------------------------------------------------------------------
+# --- gathers -------------------------------------------------------------------------------------------------------
+
+#: Side of a tile, and the most rows of a tile table that are sent to every executor (some 10 MB); beyond, Spark joins it like any other table.
+TILE, TABLE_ROWS = 64, 100_000
 
 
 def frame_grid(pixels: DataFrame) -> DataFrame:
@@ -67,58 +74,75 @@ def frame_grid(pixels: DataFrame) -> DataFrame:
     return rows.withColumn("x", F.explode(F.sequence(F.lit(0), F.col("width") - 1)))
 
 
-def taps(grid: DataFrame, sx: Column, sy: Column, valid: Column, clamped: bool) -> DataFrame:
-    """Bilinear taps (width, height, y, x, sy, sx, wt) for source coordinates in pixel units (centre at integers).
+def _tile(name: str) -> Column:
+    return F.floor(F.col(name) / TILE).cast("int")
 
-    One table per frame size, whatever the number of pictures: its rows are bounded by four frames.
-    ``clamped`` repeats border pixels; otherwise coordinates outside the frame give no taps.
-    """
-    g = grid.withColumns({"_sx": sx, "_sy": sy}).filter(valid)
-    right, bottom = F.col("width") - 1, F.col("height") - 1
-    if clamped:
-        g = g.withColumns({
-            "_sx": F.greatest(F.lit(0.0), F.least(right.cast("double"), F.col("_sx"))),
-            "_sy": F.greatest(F.lit(0.0), F.least(bottom.cast("double"), F.col("_sy"))),
-        })
-    else:
-        g = g.filter((F.col("_sx") >= 0) & (F.col("_sy") >= 0) & (F.col("_sx") <= right) & (F.col("_sy") <= bottom))
-    g = g.withColumns({"_x0": F.floor("_sx").cast("int"), "_y0": F.floor("_sy").cast("int")})
-    g = g.withColumns({"_tx": F.col("_sx") - F.col("_x0"), "_ty": F.col("_sy") - F.col("_y0")})
-    one = F.lit(1.0)
-    x1, y1 = F.least(F.col("_x0") + 1, right), F.least(F.col("_y0") + 1, bottom)
-    four = F.array(
-        F.struct(F.col("_y0").alias("sy"), F.col("_x0").alias("sx"), ((one - F.col("_tx")) * (one - F.col("_ty"))).alias("wt")),
-        F.struct(F.col("_y0").alias("sy"), x1.alias("sx"), (F.col("_tx") * (one - F.col("_ty"))).alias("wt")),
-        F.struct(y1.alias("sy"), F.col("_x0").alias("sx"), ((one - F.col("_tx")) * F.col("_ty")).alias("wt")),
-        F.struct(y1.alias("sy"), x1.alias("sx"), (F.col("_tx") * F.col("_ty")).alias("wt")),
-    )
-    return g.select("width", "height", "y", "x", F.inline(four)).filter("wt > 0")
 
+def _tile_sources(grid: DataFrame) -> DataFrame:
+    """(width, height, _sty, _stx, _boxes): for each source tile of a frame size the target tiles that read it, with the box of source pixels each one reads."""
+    edge = lambda v, last: F.greatest(F.lit(0), F.least(F.col(last) - 1, v)).cast("int")
+    boxes = grid.filter("_ok").groupBy("width", "height", _tile("y").alias("ty"), _tile("x").alias("tx")).agg(*[f(F.floor(v)).alias(f"{n}_{v}") for v in ("_sy", "_sx") for n, f in (("lo", F.min), ("hi", F.max))])
+    boxes = boxes.withColumns({"y0": edge(F.col("lo__sy"), "height"), "y1": edge(F.col("hi__sy") + 1, "height"), "x0": edge(F.col("lo__sx"), "width"), "x1": edge(F.col("hi__sx") + 1, "width")})
+    read = boxes.withColumn("_sty", F.explode(F.sequence(_tile("y0"), _tile("y1")))).withColumn("_stx", F.explode(F.sequence(_tile("x0"), _tile("x1"))))
+    return read.groupBy("width", "height", "_sty", "_stx").agg(F.collect_list(F.struct("ty", "tx", "y0", "y1", "x0", "x1")).alias("_boxes"))
 
-def gather(
-    pixels: DataFrame, tap_table: DataFrame, channels: Sequence[str] = CHANNELS, keys: Sequence[str] = ("image_id",),
-    out_size: tuple[str, str] | None = None,
-) -> DataFrame:
-    """Weighted sum of source pixels per target pixel.
 
-    The tap table repeats for every picture, so it is joined on (frame size, source pixel) – broadcast by Spark when its measured
-    size allows – and each target then needs one combine keyed by (picture, target pixel).
-    """
-    src = pixels.select(*keys, "width", "height", F.col("y").alias("sy"), F.col("x").alias("sx"), *channels)
-    joined = src.join(tap_table, ["width", "height", "sy", "sx"])
-    size = [F.col(s) for s in out_size] if out_size else [F.col("width"), F.col("height")]
-    joined = joined.withColumns({"_w": size[0], "_h": size[1]})
-    return joined.groupBy(*keys, "y", "x", F.col("_w").alias("width"), F.col("_h").alias("height")).agg(
-        *[F.sum(F.col("wt") * F.col(ch)).alias(ch) for ch in channels]
-    )
+def gather(pixels: DataFrame, place: Callable[[DataFrame], DataFrame], clamped: bool, channels: Sequence[str] = CHANNELS, keys: Sequence[str] = ("image_id",)) -> DataFrame:
+    """Every pixel's value at its source coordinates, bilinear; 0 where it has none.
 
+    ``place`` adds ``_sx, _sy`` (in pixel units, centres at whole numbers) and ``_ok`` to rows with width, height, y, x. Source pixels go, once, to the tiles of
+    target pixels that read them, next to which the target pixels themselves already are: one exchange, and no copies but those of tile borders.
+    Which tile reads which is a table per frame size, whatever the number of pictures. ``clamped`` repeats border pixels; otherwise coordinates outside the frame have no value.
+    """
+    keys, channels = list(keys), list(channels)
+    right, bottom = F.col("width") - 1, F.col("height") - 1
 
-def _on_full_grid(pixels: DataFrame, gathered: DataFrame, channels: Sequence[str], keys: Sequence[str]) -> DataFrame:
-    """Targets without any tap are 0, as in a picture written as a full raster."""
-    grid = pixels.select(*keys, "y", "x", "width", "height")
-    return grid.join(gathered.drop("width", "height"), [*keys, "y", "x"], "left").withColumns(
-        {ch: F.coalesce(ch, F.lit(0.0)) for ch in channels}
-    )
+    def placed(df: DataFrame) -> DataFrame:
+        df = place(df)
+        if clamped:
+            return df.withColumns({"_sx": F.greatest(F.lit(0.0), F.least(right.cast("double"), F.col("_sx"))), "_sy": F.greatest(F.lit(0.0), F.least(bottom.cast("double"), F.col("_sy")))})
+        return df.withColumn("_ok", F.col("_ok") & (F.col("_sx") >= 0) & (F.col("_sy") >= 0) & (F.col("_sx") <= right) & (F.col("_sy") <= bottom))
+
+    table = cut_lineage(_tile_sources(placed(frame_grid(pixels))))
+    if table.count() <= TABLE_ROWS:
+        table = F.broadcast(table)
+    rows = placed(pixels.select(*keys, "y", "x", "width", "height", *channels)).withColumns({"_sty": _tile("y"), "_stx": _tile("x")})
+    rows = rows.join(table, ["width", "height", "_sty", "_stx"], "left")
+    inside = F.filter(F.coalesce("_boxes", F.array().cast(table.schema["_boxes"].dataType)), lambda b: F.col("y").between(b["y0"], b["y1"]) & F.col("x").between(b["x0"], b["x1"]))
+    rows = rows.withColumn("_inside", inside)
+    own = lambda b: (b["ty"] == F.col("_sty")) & (b["tx"] == F.col("_stx"))
+    spot = lambda ty, tx, is_own, is_source: F.struct(ty.alias("_ty"), tx.alias("_tx"), is_own.alias("_own"), is_source.alias("_source"))
+    here = F.array(spot(F.col("_sty"), F.col("_stx"), F.lit(True), F.exists("_inside", own)))
+    there = F.transform(F.filter("_inside", lambda b: ~own(b)), lambda b: spot(b["ty"], b["tx"], F.lit(False), F.lit(True)))
+    dealt_rows = rows.select(*keys, "y", "x", "width", "height", "_sx", "_sy", "_ok", *channels, F.inline(F.concat(here, there)))
+
+    def run(key: tuple, t: pa.Table) -> pa.Table:
+        get = lambda name: t[name].to_numpy()
+        own_, source = get("_own"), get("_source")
+        mine = t.filter(pa.array(own_))
+        sx, sy = (np.nan_to_num(mine[n].to_numpy().astype(float)) for n in ("_sx", "_sy"))
+        ok = mine["_ok"].fill_null(False).to_numpy(zero_copy_only=False)
+        x0, y0 = np.floor(sx).astype(int), np.floor(sy).astype(int)
+        tx, ty = sx - x0, sy - y0
+        x1, y1 = np.minimum(x0 + 1, mine["width"].to_numpy() - 1), np.minimum(y0 + 1, mine["height"].to_numpy() - 1)
+        # the block that the tile reads; source pixels that are missing in it count 0
+        top, left = (int(y0[ok].min()), int(x0[ok].min())) if ok.any() else (0, 0)
+        shape = (int(y1[ok].max()) - top + 1, int(x1[ok].max()) - left + 1) if ok.any() else (1, 1)
+        y, x = get("y") - top, get("x") - left
+        source = source & (y >= 0) & (x >= 0) & (y < shape[0]) & (x < shape[1])
+        y, x = y[source], x[source]
+        cell = lambda v, start, size: np.clip(v - start, 0, size - 1)
+        ya, yb, xa, xb = cell(y0, top, shape[0]), cell(y1, top, shape[0]), cell(x0, left, shape[1]), cell(x1, left, shape[1])
+        out = mine.select([*keys, "y", "x", "width", "height"])
+        for ch in channels:
+            m = np.zeros(shape)
+            m[y, x] = get(ch)[source].astype(float)
+            v = m[ya, xa] * ((1 - tx) * (1 - ty)) + m[ya, xb] * (tx * (1 - ty)) + m[yb, xa] * ((1 - tx) * ty) + m[yb, xb] * (tx * ty)
+            out = out.append_column(ch, pa.array(np.where(ok, v, 0.0)))
+        return out
+
+    schema = T.StructType([*[pixels.schema[k] for k in (*keys, "y", "x", "width", "height")], *[T.StructField(ch, T.DoubleType()) for ch in channels]])
+    return dealt_rows.groupBy(*keys, "_ty", "_tx").applyInArrow(run, schema)
 
 
 def rotate(pixels: DataFrame, degrees: float, channels: Sequence[str] = CHANNELS, keys: Sequence[str] = ("image_id",)) -> DataFrame:
@@ -127,8 +151,7 @@ def rotate(pixels: DataFrame, degrees: float, channels: Sequence[str] = CHANNELS
     ca, sa = math.cos(a), math.sin(a)
     cx, cy = (c("width") - 1.0) * 0.5, (c("height") - 1.0) * 0.5
     ox, oy = c("x") - cx, c("y") - cy
-    t = taps(frame_grid(pixels), ox * ca - oy * sa + cx, ox * sa + oy * ca + cy, F.lit(True), clamped=False)
-    return _on_full_grid(pixels, gather(pixels, t, channels, keys), channels, keys)
+    return gather(pixels, lambda d: d.withColumns({"_sx": ox * ca - oy * sa + cx, "_sy": ox * sa + oy * ca + cy, "_ok": F.lit(True)}), False, channels, keys)
 
 
 def with_newton_inverse(df: DataFrame, coefficients: Sequence[float], target: str, name: str, steps: int = 4) -> DataFrame:
@@ -152,20 +175,20 @@ def reproject(
 ) -> DataFrame:
     """Any supported lens → equidistant: ``equisolid``, ``hemispherical``, ``calibrated`` (radial polynomial, inverted) or
     ``angle_polynomial``. Samples clamp to the border; targets outside the circle are 0. Pictures must be square."""
-    grid = frame_grid(pixels.filter(F.when(F.col("width") == F.col("height"), True).otherwise(F.raise_error(F.lit("square pictures only")).cast("boolean"))))
+    pixels = pixels.filter(F.when(F.col("width") == F.col("height"), True).otherwise(F.raise_error(F.lit("square pictures only")).cast("boolean")))
     w, h = c("width"), c("height")
-    if kind in ("equisolid", "hemispherical"):
-        dx, dy = (c("x") + 0.5) / w - 0.5, (c("y") + 0.5) / h - 0.5
-        radius = F.sqrt(dx * dx + dy * dy)
-        src = F.sin(radius * (PI / 2)) / math.sqrt(2.0) if kind == "equisolid" else F.sin(radius * PI) * 0.5
-        scale = F.when(radius > 1e-12, src / radius).otherwise(F.lit(1.0))
-        sx, sy = (dx * scale + 0.5) * w - 0.5, (dy * scale + 0.5) * h - 0.5
-        valid = radius <= 0.5
-    else:
+
+    def place(d: DataFrame) -> DataFrame:
+        if kind in ("equisolid", "hemispherical"):
+            dx, dy = (c("x") + 0.5) / w - 0.5, (c("y") + 0.5) / h - 0.5
+            radius = F.sqrt(dx * dx + dy * dy)
+            src = F.sin(radius * (PI / 2)) / math.sqrt(2.0) if kind == "equisolid" else F.sin(radius * PI) * 0.5
+            scale = F.when(radius > 1e-12, src / radius).otherwise(F.lit(1.0))
+            return d.withColumns({"_sx": (dx * scale + 0.5) * w - 0.5, "_sy": (dy * scale + 0.5) * h - 0.5, "_ok": radius <= 0.5})
         dx, dy = c("x") + 0.5 - w * 0.5, c("y") + 0.5 - h * 0.5
         radius = F.sqrt(dx * dx + dy * dy)
         if kind == "calibrated":
-            grid = with_newton_inverse(grid.withColumn("_t", radius / target_radius), coefficients, "_t", "_u")
+            d = with_newton_inverse(d.withColumn("_t", radius / target_radius), coefficients, "_t", "_u").drop("_t")
             u = F.col("_u")
             valid = radius <= target_radius
         elif kind == "angle_polynomial":
@@ -177,9 +200,9 @@ def reproject(
         else:
             raise ValueError(f"unknown lens {kind}")
         scale = F.when(radius > 1e-12, u * source_radius / radius).otherwise(F.lit(0.0))
-        sx, sy = w * 0.5 + dx * scale - 0.5, h * 0.5 + dy * scale - 0.5
-    t = taps(grid, sx, sy, valid, clamped=True)
-    return _on_full_grid(pixels, gather(pixels, t, channels, keys), channels, keys)
+        return d.withColumns({"_sx": w * 0.5 + dx * scale - 0.5, "_sy": h * 0.5 + dy * scale - 0.5, "_ok": valid})
+
+    return gather(pixels, place, True, channels, keys)
 
 
 def valid_half_angle(coefficients: Column, steps: int = 80) -> Column:
@@ -207,46 +230,79 @@ def stereo_split(pixels: DataFrame, left: tuple[int, int, int, int], right: tupl
     return reproject(eyes[0].unionByName(eyes[1]), "calibrated", keys=("image_id", "eye"), **lens)
 
 
-def _sinc(x: Column) -> Column:
-    return F.when(F.abs(x) < 1e-4, F.lit(1.0)).otherwise(F.sin(x * PI) / (x * PI))
-
-
 # kernel of a distance in filter steps, and its radius
 KERNELS = {
-    "tent": (lambda d: F.greatest(F.lit(0.0), F.lit(1.0) - F.abs(d)), 1.0),
-    "lanczos": (lambda d: F.when(F.abs(d) > 3.0, F.lit(0.0)).otherwise(_sinc(d) * _sinc(d / 3.0)), 3.0),
+    "tent": (lambda d: np.maximum(0.0, 1.0 - np.abs(d)), 1.0),
+    "lanczos": (lambda d: np.where(np.abs(d) > 3.0, 0.0, np.sinc(d) * np.sinc(d / 3.0)), 3.0),
 }
 
 
-def resample_taps(lengths: DataFrame, target: int, kind: str = "tent") -> DataFrame:
-    """(n, t, s, wt) for each axis length ``n``: weights of the source positions under the kernel about each target position.
+def axis_weights(n: int, target: int, first: int, last: int, kind: str) -> tuple[int, np.ndarray]:
+    """Source position of the first column, and the weights (target positions ``first`` to ``last``, source positions) of an axis of ``n`` brought to ``target``.
 
     The kernel is widened by n / target when shrinking, weights add up to 1, and positions beyond an end count for the end.
     """
     kernel, radius = KERNELS[kind]
-    d = lengths.select("n").distinct().withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(target - 1))))
-    d = d.withColumns({"stretch": F.greatest(F.lit(1.0), F.col("n") / target), "centre": (F.col("t") + 0.5) / target * F.col("n")})
-    d = d.withColumns({"first": F.floor(F.col("centre") - radius * F.col("stretch") + 0.5), "many": F.floor(2.0 * radius * F.col("stretch"))})
-    d = d.withColumn("at", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("many") - 1)))
-    d = d.withColumn("w", kernel((F.col("at") + 0.5 - F.col("centre")) / F.col("stretch"))).filter("w <> 0")
-    d = d.withColumn("s", F.greatest(F.lit(0), F.least(F.col("n") - 1, F.col("at"))).cast("int"))
-    merged = d.groupBy("n", "t", "s").agg(F.sum("w").alias("w"))
-    return merged.withColumn("wt", F.col("w") / F.sum("w").over(W.partitionBy("n", "t"))).drop("w")
+    stretch = max(1.0, n / target)
+    t = np.arange(first, last + 1)
+    centre = (t + 0.5) / target * n
+    at = np.floor(centre - radius * stretch + 0.5).astype(int)[:, None] + np.arange(int(np.floor(2.0 * radius * stretch)))
+    w = kernel((at + 0.5 - centre[:, None]) / stretch)
+    at = np.clip(at, 0, n - 1)
+    start = int(at.min())
+    out = np.zeros((len(t), int(at.max()) - start + 1))
+    np.add.at(out, (np.arange(len(t))[:, None], at - start), w)
+    return start, out / out.sum(axis=1, keepdims=True)
 
 
 def resample(pixels: DataFrame, target: tuple[int, int], kind: str = "tent", channels: Sequence[str] = CHANNELS, keys: Sequence[str] = ("image_id",)) -> DataFrame:
     """Separable resampling of frames of any sizes (their rows' ``width``, ``height``) to ``target`` (w, h), along x then y.
 
-    An axis table has (filter width × target length) rows for each distinct length; whether it is broadcast is left to its size.
+    Pixels that are missing count 0; a target pixel all of whose sources are missing is missing too.
+
+    A pixel goes to the target tiles whose kernels may reach it, which follow from its place and its frame's size: one exchange, and no table.
     """
-    out = pixels.select(*keys, "y", "x", "width", "height", *channels)
-    for axis, size, other, rest in (("x", "width", "y", "height"), ("y", "height", "x", "width")):
-        length = target[0] if axis == "x" else target[1]
-        table = resample_taps(pixels.select(F.col(size).alias("n")), length, kind)
-        table = table.select(F.col("n").alias(size), F.col("s").alias(axis), "t", "wt")
-        summed = out.join(table, [size, axis]).groupBy(*keys, other, rest, "t").agg(*[F.sum(F.col("wt") * F.col(ch)).alias(ch) for ch in channels])
-        out = summed.select(*keys, F.col("t").alias(axis), other, F.lit(length).alias(size), rest, *channels)
-    return out
+    keys, channels = list(keys), list(channels)
+    radius = KERNELS[kind][1]
+
+    def reach(axis: str, size: str, length: int) -> Column:
+        # target positions within the kernel's radius and one more; the ends stand for all beyond them
+        scale, wide = F.lit(float(length)) / F.col(size), F.greatest(F.lit(1.0), F.col(size) / float(length)) * radius + 1.0
+        lo = F.when(F.col(axis) == 0, F.lit(0.0)).otherwise((F.col(axis) + 0.5 - wide) * scale - 1.0)
+        hi = F.when(F.col(axis) == F.col(size) - 1, F.lit(length - 1.0)).otherwise((F.col(axis) + 0.5 + wide) * scale + 1.0)
+        inside = lambda v: F.greatest(F.lit(0.0), F.least(F.lit(length - 1.0), v))
+        # a border pixel is needed near its own end only
+        hi = F.when(F.col(axis) == 0, (wide + 0.5) * scale + 1.0).otherwise(hi)
+        lo = F.when(F.col(axis) == F.col(size) - 1, (F.col(size) - 0.5 - wide) * scale - 1.0).otherwise(lo)
+        return F.sequence(F.floor(inside(lo) / TILE).cast("int"), F.floor(inside(hi) / TILE).cast("int"))
+
+    rows = pixels.select(*keys, "y", "x", "width", "height", *channels)
+    rows = rows.withColumn("_ty", F.explode_outer(reach("y", "height", target[1]))).withColumn("_tx", F.explode_outer(reach("x", "width", target[0])))
+
+    def run(key: tuple, t: pa.Table) -> pa.Table:
+        ty, tx = key[len(keys)].as_py(), key[len(keys) + 1].as_py()
+        height, width = t["height"][0].as_py(), t["width"][0].as_py()
+        ends = [(k * TILE, min(k * TILE + TILE, length) - 1) for k, length in ((ty, target[1]), (tx, target[0]))]
+        y_start, wy = axis_weights(height, target[1], *ends[0], kind)
+        x_start, wx = axis_weights(width, target[0], *ends[1], kind)
+        y, x = t["y"].to_numpy() - y_start, t["x"].to_numpy() - x_start
+        near = (y >= 0) & (x >= 0) & (y < wy.shape[1]) & (x < wx.shape[1])
+        there = np.zeros((wy.shape[1], wx.shape[1]))
+        there[y[near], x[near]] = 1.0
+        found = np.flatnonzero(((wy != 0) @ there @ (wx != 0).T).ravel())
+        n = wy.shape[0] * wx.shape[0]
+        columns = {k: pa.array([key[i].as_py()] * n, t.schema.field(k).type) for i, k in enumerate(keys)}
+        columns["y"] = pa.array(np.repeat(np.arange(ends[0][0], ends[0][1] + 1, dtype=np.int32), wx.shape[0]))
+        columns["x"] = pa.array(np.tile(np.arange(ends[1][0], ends[1][1] + 1, dtype=np.int32), wy.shape[0]))
+        columns["width"], columns["height"] = (pa.array(np.full(n, v, np.int32)) for v in target)
+        for ch in channels:
+            m = np.zeros((wy.shape[1], wx.shape[1]))
+            m[y[near], x[near]] = t[ch].to_numpy()[near].astype(float)
+            columns[ch] = pa.array((wy @ (m @ wx.T)).ravel())
+        return pa.table(columns).take(pa.array(found))
+
+    schema = T.StructType([*[pixels.schema[k] for k in keys], *[T.StructField(n, T.IntegerType()) for n in ("y", "x", "width", "height")], *[T.StructField(ch, T.DoubleType()) for ch in channels]])
+    return rows.groupBy(*keys, "_ty", "_tx").applyInArrow(run, schema)
 
 
 # --- vignetting --------------------------------------------------------------------------------------------------
