@@ -172,9 +172,10 @@ def _join_labels(work: Workspace, labels: DataFrame | None, found: DataFrame, na
 
 
 def _rest(buckets: DataFrame, sigs: DataFrame, sets: DataFrame, labels: DataFrame | None, percent: int) -> DataFrame:
-    """(u, v): links between different components that share a bucket, one for each u, component and pair of blocks.
+    """(u, v): links between different components that share a bucket; of each pair of blocks only links that join what its earlier ones left apart.
 
     Members of mixed buckets meet in blocks; signatures say which pairs to try, most alike first, and the full sets decide, until one holds or all have failed.
+    A pair of blocks has fewer links than components, so links grow with the blocks' members, not with their pairs; which texts are connected stays the same.
     """
     open_ = _label(buckets, labels, "rep")
     per = open_.groupBy("band", "l_rep").agg(F.count("*").alias("n"))
@@ -198,15 +199,19 @@ def _rest(buckets: DataFrame, sigs: DataFrame, sets: DataFrame, labels: DataFram
             for one, two, band in zip(batch.column(0), batch.column(1), batch.column(2).to_pylist(), strict=True):
                 (ri, li, si, bi, xi), (rj, lj, sj, bj, xj) = parts(one), parts(two)
                 full = [np.frombuffer(x, np.uint64) for x in xj.to_pylist()]
+                # components of the two blocks and those they are joined to so far
+                kinds, where = np.unique(np.concatenate((li, lj)), return_inverse=True)
+                joined = np.arange(len(kinds))
+                wi, wj = where[: len(li)], where[len(li) :]
                 for i in np.flatnonzero(one.values.field("odd").to_numpy(zero_copy_only=False)).tolist():
                     est = _agreement(si[i], sj)
-                    hit = np.flatnonzero((est >= SIGNATURE_CUT) & (lj != li[i]))
+                    hit = np.flatnonzero((est >= SIGNATURE_CUT) & (joined[wj] != joined[wi[i]]))
                     # a pair that shares several buckets is tried in the one of its first common band
                     hit = hit[bi[i][(bi[i] == bj[hit]).argmax(1)] == band]
-                    mine, done = np.frombuffer(xi[i].as_py(), np.uint64), set()
+                    mine = np.frombuffer(xi[i].as_py(), np.uint64)
                     for j in hit[np.argsort(-est[hit], kind="stable")].tolist():
-                        if lj[j] not in done and _similar(mine, full[j], percent):
-                            done.add(lj[j])
+                        if joined[wj[j]] != joined[wi[i]] and _similar(mine, full[j], percent):
+                            joined[joined == joined[wj[j]]] = joined[wi[i]]
                             us.append(ri[i])
                             vs.append(rj[j])
             yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
