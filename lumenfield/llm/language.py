@@ -18,10 +18,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenfield.llm import words
-from lumenfield.llm.tables import picked, with_schema
+from lumenfield.llm.tables import picked, with_schema, with_texts
 
 DIM, N = 1024, 3
 GROUP = 128  # documents bundled together
+MOST_LETTERS = 4096  # whose vectors are kept, in 4 KB each
 _TOP = 0x110000
 _classes: dict[str, np.ndarray] = {}
 _vectors: dict[int, np.ndarray] = {}
@@ -41,6 +42,8 @@ def _letter_table() -> np.ndarray:
 
 def _letter_vectors(codes: np.ndarray) -> np.ndarray:
     """Vectors of letters; the code point decides them."""
+    if len(_vectors) > MOST_LETTERS:
+        _vectors.clear()
     for c in codes.tolist():
         if c not in _vectors:
             _vectors[c] = np.random.Generator(np.random.PCG64([DIM, c])).integers(0, 2, DIM).astype(np.float32) * 2 - 1
@@ -54,13 +57,13 @@ class Profiler:
 
     def __init__(self):
         self.grams: dict[int, int] = {}
-        self.table = np.zeros((0, DIM), np.float32)
+        self.table = np.empty((self.CACHE, DIM), np.float32)  # filled as n-grams are met
 
     def _gram_vectors(self, keys: np.ndarray) -> np.ndarray:
         new = [k for k in keys.tolist() if k not in self.grams]
         if new:
             if len(self.grams) + len(new) > self.CACHE:
-                self.grams, self.table, new = {}, np.zeros((0, DIM), np.float32), keys.tolist()
+                self.grams, new = {}, keys.tolist()
             k = np.array(new, np.int64)
             out = np.ones((len(k), DIM), np.float32)
             for place in range(N):
@@ -68,7 +71,7 @@ class Profiler:
                 out *= np.roll(_letter_vectors(letters), N - 1 - place, axis=1)[which]
             start = len(self.grams)
             self.grams.update((key, start + i) for i, key in enumerate(new))
-            self.table = np.concatenate((self.table, out))
+            self.table[start : start + len(new)] = out
         return self.table[[self.grams[x] for x in keys.tolist()]]
 
     def bundle(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -163,7 +166,7 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], id_col: str = "d
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         profiler = Profiler()
-        for part, texts in _groups(batches, 1):
+        for part, texts in _groups(with_texts(batches, text_col) if carry else batches, 1):
             vectors, letters = profiler.bundle(texts)
             norm = np.sqrt((vectors * vectors).sum(1))
             lang, score = ["und"] * len(texts), np.zeros(len(texts))
@@ -174,7 +177,7 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], id_col: str = "d
                 lang = [names[i] if n else "und" for i, n in zip(best.tolist(), letters.tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(lang, pa.string()), pa.array(score), pa.array(letters.astype(np.int64)), *part.columns[2:]], names=["doc_id", "lang_pred", "score", "n_letters", *(["row"] if carry else [])])
 
-    return picked(docs, id_col, text_col, carry=carry).mapInArrow(run, with_schema(docs, "doc_id long, lang_pred string, score double, n_letters long", carry=carry))
+    return picked(docs, id_col, text_col, carry=carry, once=True).mapInArrow(run, with_schema(docs, "doc_id long, lang_pred string, score double, n_letters long", carry=carry))
 
 
 def held_out(id_col: str = "doc_id"):

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenfield.llm import words
-from lumenfield.llm.tables import Workspace, picked, unit_draw, with_schema
+from lumenfield.llm.tables import Workspace, picked, unit_draw, with_schema, with_texts
 
 DOMAINS = ("good", "low", "toxic")
 BUCKETS, DENSE = 1 << 18, 7
@@ -115,7 +115,7 @@ def posteriors(docs: DataFrame, weights: np.ndarray, id_col: str = "doc_id", tex
     """doc_id, n_tokens, p (array, one per domain) of every row; carry: and the row. Texts without words keep the posteriors of an empty text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in with_texts(batches, text_col) if carry else batches:
             data, offsets = words.text_bytes(batch.column(1))
             for a, b in words.slices(offsets):
                 buckets, dense, n = shape_features(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
@@ -124,7 +124,7 @@ def posteriors(docs: DataFrame, weights: np.ndarray, id_col: str = "doc_id", tex
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * len(DOMAINS)), pa.array(p.reshape(-1)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(n.astype(np.int64)), lists, *(c.slice(a, b - a) for c in batch.columns[2:])], names=["doc_id", "n_tokens", "p", *(["row"] if carry else [])])
 
-    return picked(docs, id_col, text_col, carry=carry).mapInArrow(run, with_schema(docs, "doc_id long, n_tokens long, p array<double>", carry=carry))
+    return picked(docs, id_col, text_col, carry=carry, once=True).mapInArrow(run, with_schema(docs, "doc_id long, n_tokens long, p array<double>", carry=carry))
 
 
 class Plan:

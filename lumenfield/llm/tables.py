@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -46,7 +49,18 @@ def with_schema(docs: DataFrame, ddl: str, *, carry: bool | list[str]) -> T.Stru
     return out.add("row", (docs if carry is True else docs.select(*carry)).schema) if carry else out
 
 
-def picked(docs: DataFrame, id_col: str, text_col: str, *, carry: bool | list[str]) -> DataFrame:
-    """doc_id, text, and the row, or the named columns of it, where it is carried along; names of other columns never clash with these."""
+def picked(docs: DataFrame, id_col: str, text_col: str, *, carry: bool | list[str], once: bool = False) -> DataFrame:
+    """doc_id, text, and the row, or the named columns of it, where it is carried along; names of other columns never clash with these.
+
+    once: of a whole row that is carried along the text is not sent a second time; ``with_texts`` takes it from the row.
+    """
+    if once and carry is True:
+        return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.struct("*").alias("row"))
     columns = [F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")]
     return docs.select(*columns, *([F.struct(*(["*"] if carry is True else carry)).alias("row")] if carry else []))
+
+
+def with_texts(batches: Iterator[pa.RecordBatch], text_col: str) -> Iterator[pa.RecordBatch]:
+    """Batches of (doc_id, row) as (doc_id, text, row); nothing is copied where the text is a string."""
+    for b in batches:
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1).field(text_col).cast(pa.string()), b.column(1)], names=["doc_id", "text", "row"])
