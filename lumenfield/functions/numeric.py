@@ -84,3 +84,22 @@ def half_up(v: Num) -> Column:
     """Rounding half away from zero on the binary value, as ``round`` does in C."""
     v = c(v)
     return F.signum(v) * F.floor(F.abs(v) + F.lit(0.5))
+
+
+def segment(points: str, key: str, x: Num) -> Column:
+    """0-based number of the segment of a sorted array column of structs that holds ``x`` in [point, next point); the first and last segments reach on without end.
+
+    A binary search in the row: an as-of lookup without a join by range. NULL for a NULL or NaN ``x``; 0 for arrays of fewer than two points.
+    """
+    n, x = F.size(points), c(x)
+    at = lambda i: F.get(F.col(points), i)[key]
+    state = lambda lo, hi: F.struct(lo.alias("lo"), hi.alias("hi"))
+
+    def halve(s: Column, _: Column) -> Column:
+        mid = F.floor((s["lo"] + s["hi"]) / 2).cast("int")
+        upper = at(mid) <= x
+        return F.when(s["hi"] - s["lo"] > 1, state(F.when(upper, mid).otherwise(s["lo"]), F.when(upper, s["hi"]).otherwise(mid))).otherwise(s)
+
+    steps = F.sequence(F.lit(1), F.greatest(F.lit(1), F.ceil(F.log2(n + 1)).cast("int")))
+    found = F.aggregate(steps, state(F.lit(0), n), halve, lambda s: F.greatest(F.lit(0), F.least(s["lo"], n - 2)))
+    return F.when(~F.isnan(x), found)

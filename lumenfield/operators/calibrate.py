@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from lumenfield.functions import colour as C
-from lumenfield.functions.numeric import c, mat_inverse, mat_mul, mat_vec
+from lumenfield.functions.numeric import c, mat_inverse, mat_mul, mat_vec, segment
 from lumenfield.operators import ranking as R
 from lumenfield.operators.stats import scale_fit
 
@@ -253,9 +253,10 @@ def grid_dimensions(charts: DataFrame, width: str = "width", height: str = "heig
 
 
 def resample_curve(curve: DataFrame, grid: DataFrame, by: Sequence[str] = (), value: str = "v1") -> DataFrame:
-    """Monotone cubic (PCHIP) resampling of ``curve(by, nm, value)`` onto ``grid(nm)``; 0 outside the curve.
+    """Monotone cubic (PCHIP) resampling of ``curve(by, nm, value)`` onto ``grid(nm)``; grid points outside a curve are left out.
 
-    Slopes come from lag/lead windows; each knot interval is then joined to the grid points it holds.
+    Slopes come from lag/lead windows; each curve then is one row with its sorted knots, in which every grid point searches its interval. The grid, a list of
+    wavelengths, is one row too.
     """
     by = list(by)
     w = W.partitionBy(*by).orderBy("nm")
@@ -265,14 +266,16 @@ def resample_curve(curve: DataFrame, grid: DataFrame, by: Sequence[str] = (), va
     w1, w2 = F.col("_h") * 2.0 + F.col("_hp"), F.col("_h") + F.col("_hp") * 2.0
     mid = F.when(F.col("_d") * F.col("_dp") <= 0, F.lit(0.0)).otherwise((w1 + w2) / (w1 / F.nullif("_dp", F.lit(0.0)) + w2 / F.nullif("_d", F.lit(0.0))))
     slope = F.when(F.col("_x0").isNull(), F.col("_d")).when(F.col("_x1").isNull(), F.col("_dp")).otherwise(mid)
-    d = d.withColumn("_m", slope).withColumn("_m1", F.lead("_m").over(w)).filter("_x1 is not null")
-    last = F.row_number().over(W.partitionBy(*by).orderBy(F.desc("nm"))) == 1
-    d = d.withColumn("_end", last).select(*by, F.col("nm").alias("_a"), "_x1", "_h", F.col(value).alias("_v0"), "_y1", "_m", "_m1", "_end")
-    j = grid.select("nm").distinct().join(d, (F.col("nm") >= F.col("_a")) & ((F.col("nm") < F.col("_x1")) | (F.col("_end") & (F.col("nm") == F.col("_x1")))))
-    t = (F.col("nm") - F.col("_a")) / F.col("_h")
+    knots = d.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("nm", F.col(value).alias("v"), slope.alias("m")))).alias("_knots")).where(F.size("_knots") > 1)
+    points = grid.where("nm is not null").agg(F.array_sort(F.collect_set("nm")).alias("_grid"))
+    j = knots.crossJoin(F.broadcast(points)).withColumn("nm", F.explode("_grid")).where(F.col("nm").between(F.col("_knots")[0]["nm"], F.element_at("_knots", -1)["nm"]))
+    j = j.withColumn("_at", segment("_knots", "nm", "nm")).withColumns({"_p": F.get("_knots", F.col("_at")), "_q": F.get("_knots", F.col("_at") + 1)})
+    h = F.col("_q.nm") - F.col("_p.nm")
+    j = j.withColumns({"_h": h, "_t": (F.col("nm") - F.col("_p.nm")) / h})
+    t = F.col("_t")
     v = (
-        F.col("_v0") * (t * t * t * 2.0 - t * t * 3.0 + 1.0) + F.col("_m") * F.col("_h") * (t * t * t - t * t * 2.0 + t)
-        + F.col("_y1") * (t * t * 3.0 - t * t * t * 2.0) + F.col("_m1") * F.col("_h") * (t * t * t - t * t)
+        F.col("_p.v") * (t * t * t * 2.0 - t * t * 3.0 + 1.0) + F.col("_p.m") * F.col("_h") * (t * t * t - t * t * 2.0 + t)
+        + F.col("_q.v") * (t * t * 3.0 - t * t * t * 2.0) + F.col("_q.m") * F.col("_h") * (t * t * t - t * t)
     )
     return j.select(*by, "nm", v.alias(value))
 

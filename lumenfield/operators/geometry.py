@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from lumenfield.functions import geometry as G
-from lumenfield.functions.numeric import c
+from lumenfield.functions.numeric import c, segment
 from lumenfield.session import cut_lineage
 
 PI = math.pi
@@ -308,32 +308,23 @@ def resample(pixels: DataFrame, target: tuple[int, int], kind: str = "tent", cha
 # --- vignetting --------------------------------------------------------------------------------------------------
 
 
-def interval_table(table: DataFrame, key: str, values: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
-    """Breakpoints → intervals [lo, hi) with end values, the outer two open-ended so that they extrapolate."""
-    w = W.partitionBy(*by).orderBy(key)
-    n = table.withColumns({"_lo": F.col(key), "_hi": F.lead(key).over(w), "_rn": F.row_number().over(w)})
-    for v in values:
-        n = n.withColumn(f"{v}_hi", F.lead(v).over(w))
-    n = n.filter("_hi is not null")
-    last = F.row_number().over(W.partitionBy(*by).orderBy(F.desc(key))) == 1
-    return n.withColumns({
-        "_from": F.when(F.col("_rn") == 1, F.lit(float("-inf"))).otherwise(F.col("_lo")),
-        "_to": F.when(last, F.lit(float("inf"))).otherwise(F.col("_hi")),
-    }).drop("_rn", key)
+def vignetting_table(pixels: DataFrame, table: DataFrame, channels: Sequence[str] = CHANNELS, by: Sequence[str] = ()) -> DataFrame:
+    """Multiply by factors interpolated at the angle from the picture middle (180° over the width); beyond its ends the profile goes on in a straight line.
 
-
-def vignetting_table(pixels: DataFrame, table: DataFrame, channels: Sequence[str] = CHANNELS) -> DataFrame:
-    """Multiply by factors interpolated at the angle from the picture middle (180° over the width).
-
-    An as-of join: breakpoints become intervals and the lens profile (tens of rows) is range-joined.
+    ``table(by, angle, fr, fg, fb)``: one profile, or one for each value of the columns ``by``, such as the camera. Each profile becomes one row with its sorted
+    points, in which every pixel searches its segment. One point: its factors hold everywhere. Pixels without a profile or an angle keep their row, with NULL channels.
     """
-    iv = interval_table(table, "angle", ("fr", "fg", "fb"))
+    factors = ("fr", "fg", "fb")
+    profile = table.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("angle", *factors))).alias("_points"))
     dx, dy = c("x") + 0.5 - c("width") * 0.5, c("y") + 0.5 - c("width") * 0.5
     angle = F.degrees(F.acos(F.cos(F.sqrt(dx * dx + dy * dy) / c("width") * PI)))
-    j = pixels.withColumn("_angle", angle).join(iv, (F.col("_angle") >= F.col("_from")) & (F.col("_angle") < F.col("_to")))
-    t = (F.col("_angle") - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))
-    out = {ch: F.col(ch) * (F.col(f) * (F.lit(1.0) - t) + F.col(f + "_hi") * t) for ch, f in zip(channels, ("fr", "fg", "fb"))}
-    return j.withColumns(out).select(*pixels.columns)
+    # without keys the profile is one row
+    j = pixels.join(profile, list(by), "left") if by else pixels.crossJoin(F.broadcast(profile))
+    j = j.withColumn("_angle", angle).withColumn("_at", segment("_points", "angle", "_angle"))
+    j = j.withColumns({"_p": F.get("_points", F.col("_at")), "_q": F.coalesce(F.get("_points", F.col("_at") + 1), F.get("_points", F.col("_at")))})
+    t = F.coalesce((F.col("_angle") - F.col("_p.angle")) / F.nullif(F.col("_q.angle") - F.col("_p.angle"), F.lit(0.0)), F.lit(0.0))
+    j = j.withColumn("_t", t)
+    return j.withColumns({ch: F.col(ch) * (F.col(f"_p.{f}") * (F.lit(1.0) - F.col("_t")) + F.col(f"_q.{f}") * F.col("_t")) for ch, f in zip(channels, factors)}).select(*pixels.columns)
 
 
 def _vignetting_r2() -> Column:

@@ -252,7 +252,19 @@ def _curves(spark, sf, which):
     return d.select(which, F.col("n").cast("double").alias("nm"), (shape + 0.1).alias("v1"))
 
 
-@query("co10_spectral_integration", dbl="integral:4")
+@query(
+    "co10_spectral_integration",
+    """WITH c AS (SELECT p_partkey::INT curve, range::DOUBLE nm, exp(-pow((range-450-(p_partkey%11)*20)/60e0,2e0))+0.1e0 v FROM part, range(380,781,20)),
+       d AS (SELECT *, lead(nm) OVER w x1, lead(v) OVER w y1, lag(nm) OVER w x0, lag(v) OVER w y0 FROM c WINDOW w AS (PARTITION BY curve ORDER BY nm)),
+       e AS (SELECT *, x1-nm h, nm-x0 hp, (y1-v)/(x1-nm) dn, (v-y0)/(nm-x0) dp FROM d),
+       f AS (SELECT *, CASE WHEN x0 IS NULL THEN dn WHEN x1 IS NULL THEN dp WHEN dn*dp<=0 THEN 0e0 ELSE (3e0*h+3e0*hp)/((2e0*h+hp)/dp+(h+2e0*hp)/dn) END m FROM e),
+       k AS (SELECT *, lead(m) OVER (PARTITION BY curve ORDER BY nm) m1 FROM f),
+       s AS (SELECT curve, x, (x-nm)/h t, v, y1, m*h a, m1*h b FROM k, (SELECT range::DOUBLE x FROM range(380,781)) WHERE x1 IS NOT NULL AND x>=nm AND (x<x1 OR x=780 AND x1=780)),
+       r AS (SELECT curve, x, exp(-pow((x-555e0)/50e0,2e0))*(v*(2e0*t*t*t-3e0*t*t+1e0)+a*(t*t*t-2e0*t*t+t)+y1*(3e0*t*t-2e0*t*t*t)+b*(t*t*t-t*t)) p FROM s)
+       SELECT curve, 'y' receptor, sum(q) integral FROM (SELECT curve, (p+lag(p) OVER w)*0.5e0*(x-lag(x) OVER w) q FROM r WINDOW w AS (PARTITION BY curve ORDER BY x)) GROUP BY curve""",
+    "",
+    "integral",
+)
 def co10(spark, sf):
     """Emission curves resampled to 1 nm, integrated against one reference response."""
     grid = spark.range(380, 781).select(F.col("id").cast("double").alias("nm"))

@@ -711,6 +711,24 @@ def ge21(spark, sf):
     return _rgb(OG.vignetting_table(X.px(spark, sf), vign(spark)))
 
 
+@query(
+    "ge21_vignetting_by_camera",
+    """SELECT image_id, y, x, r*(fr+(fr2-fr)*t) r, g*(fg+(fg2-fg)*t) g, b*(fb+(fb2-fb)*t) b FROM (SELECT *, degrees(acos(cos(theta))) a FROM g) p LEFT JOIN
+        (SELECT s_suppkey%5 camera, angle*(1+s_suppkey%5) angle, lead(angle*(1+s_suppkey%5)) OVER w angle2, fr, lead(fr) OVER w fr2, fg, lead(fg) OVER w fg2, fb, lead(fb) OVER w fb2, row_number() OVER w rn,
+           count(*) OVER (PARTITION BY s_suppkey) n FROM supplier, vign WHERE s_suppkey BETWEEN 1 AND 3 WINDOW w AS (PARTITION BY s_suppkey ORDER BY angle)) v
+          ON v.camera=image_id%5 AND angle2 IS NOT NULL AND (p.a>=v.angle OR rn=1) AND (p.a<v.angle2 OR rn=n-1), LATERAL (SELECT (p.a-v.angle)/(v.angle2-v.angle) t) q""",
+    "g vign",
+    "r g b",
+)
+def ge21b(spark, sf):
+    """Profiles of three cameras; pictures of the other two have none."""
+    k = F.col("s_suppkey")
+    profiles = X.table(spark, sf, "supplier").where(k.between(1, 3)).select((k % 5).alias("camera"), F.explode(F.array(*[F.struct(*[F.lit(x).alias(n) for x, n in zip(p, ("angle", "fr", "fg", "fb"))]) for p in _VIGN])).alias("p"))
+    profiles = profiles.select("camera", (F.col("p.angle") * (1 + F.col("camera"))).alias("angle"), "p.fr", "p.fg", "p.fb")
+    px = X.px(spark, sf).withColumn("camera", F.col("image_id") % 5)
+    return _rgb(OG.vignetting_table(px, profiles, by=["camera"]))
+
+
 @query(
     "ge22_vignetting_polynomial",
     """SELECT image_id, y, x, r*f r, g*f g, b*f b FROM (SELECT *, 1e0/(1e0-0.8e0*q+0.4e0*q*q-0.1e0*q*q*q) f FROM (SELECT *, nx*nx+ny*ny q FROM g))""",
