@@ -67,14 +67,14 @@ def aperture_correction(sequences: DataFrame, keys: Sequence[str] = ("camera",),
 # --- chart cells ---
 
 
-def sample_cells(pixels: DataFrame, cells: DataFrame, scale: float = 1.0, keys: Sequence[str] = ("image_id",)) -> DataFrame:
-    """Mean RGB per chart cell.
+def sample_cells(pixels: DataFrame, cells: DataFrame, scale: float = 1.0, keys: Sequence[str] = ("image_id",), by: Sequence[str] = ()) -> DataFrame:
+    """Mean RGB per chart cell. ``cells(by, cell_id, x, y, w, h)`` hold for all pictures or for those whose columns ``by``, such as the camera, are equal.
 
-    Cells are expanded to the rows they cover, which turns the range join into an equi-join on the row plus a comparison.
+    Cells are expanded to the rows they cover, which turns the range join into an equi-join on ``by`` and row plus a comparison.
     """
-    rows = cells.withColumn("y", F.explode(F.sequence(F.col("y"), F.col("y") + F.col("h") - 1))).select("cell_id", "y", F.col("x").alias("_x"), F.col("w").alias("_w"))
-    hit = pixels.select(*keys, "y", "x", *C.RGB).join(rows, "y").filter((F.col("x") >= F.col("_x")) & (F.col("x") < F.col("_x") + F.col("_w")))
-    return hit.groupBy(*keys, "cell_id").agg(*[(F.avg(ch) * scale).alias(ch) for ch in C.RGB], F.count("*").alias("n_px"))
+    rows = cells.withColumn("y", F.explode(F.sequence(F.col("y"), F.col("y") + F.col("h") - 1))).select(*by, "cell_id", "y", F.col("x").alias("_x"), F.col("w").alias("_w"))
+    hit = pixels.select(*dict.fromkeys([*keys, *by, "y", "x", *C.RGB])).join(rows, [*by, "y"]).filter((F.col("x") >= F.col("_x")) & (F.col("x") < F.col("_x") + F.col("_w")))
+    return hit.groupBy(*dict.fromkeys([*keys, *by]), "cell_id").agg(*[(F.avg(ch) * scale).alias(ch) for ch in C.RGB], F.count("*").alias("n_px"))
 
 
 def luminance_fit(pairs: DataFrame, keys: Sequence[str] = ("image_id",)) -> DataFrame:
@@ -171,11 +171,13 @@ def dark_bands(profile: DataFrame, expected: int, keys: Sequence[str] = ("image_
     lo = lambda i: F.greatest(F.lit(0), i - F.col("r"))
     hi = lambda i: F.least(F.col("n").cast("int") - 1, i + F.col("r"))
     smooth = F.transform("s", lambda e: (F.get("cum", hi(e["i"]) + 1) - F.get("cum", lo(e["i"]))) / (hi(e["i"]) - lo(e["i"]) + 1))
-    line = line.withColumn("v", smooth).withColumn("sum", F.aggregate("v", F.array(F.lit(0.0)), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + x))))
-    rows = line.select(*keys, "n", "sum", F.posexplode("v").alias("i", "v"))
+    rows = line.select(*keys, "n", F.posexplode(smooth).alias("i", "v"))
+    # running sums by a window, then one array per line
+    sums = rows.withColumn("_s", F.sum("v").over(W.partitionBy(*keys).orderBy("i"))).groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("i", "_s"))).alias("s"))
+    sums = sums.select(*keys, F.concat(F.array(F.lit(0.0)), F.transform("s", lambda e: e["_s"])).alias("sum"))
     q = R.percentiles(rows, keys, "v", {"p05": ("lower", 0.05), "p35": ("lower", 0.35), "p50": ("lower", 0.5)}).drop("n")
     mixes = F.array(*[F.lit(k) for k in range(20)])
-    t = rows.drop("sum").join(q, keys).withColumn("mix", F.explode(mixes))
+    t = rows.join(q, keys).withColumn("mix", F.explode(mixes))
     t = t.filter(F.col("v") <= F.col("p05") + (F.col("p35") - F.col("p05")) * F.col("mix") * 0.05)
     grp = F.col("i") - F.row_number().over(W.partitionBy(*keys, "mix").orderBy("i"))
     runs = t.withColumn("_g", grp).groupBy(*keys, "mix", "_g").agg(
@@ -185,7 +187,7 @@ def dark_bands(profile: DataFrame, expected: int, keys: Sequence[str] = ("image_
     least = F.greatest(F.lit(2), F.floor(F.col("n") / 250))
     most = F.greatest(least + 1, F.floor(F.col("n") / max(3, expected)))
     runs = runs.withColumn("width", width).filter((width >= least) & (width <= most))
-    runs = runs.join(line.select(*keys, "sum"), keys)
+    runs = runs.join(sums, keys)
     reach = F.greatest(F.lit(3), F.col("width") * 2)
     lb, re = F.greatest(F.lit(0), F.col("begin") - reach), F.least(F.col("n").cast("int") - 1, F.col("end") + reach)
 

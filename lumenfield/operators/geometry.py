@@ -373,23 +373,30 @@ def fit_vignetting(pixels: DataFrame, step: int = 10, keys: Sequence[str] = ("im
 # --- polygons ----------------------------------------------------------------------------------------------------
 
 
-def polygon_mask(pixels: DataFrame, edges: DataFrame, keys: Sequence[str] = ("image_id",)) -> DataFrame:
-    """Pixels inside polygons by the even-odd rule.
-
-    ``edges(polygon, x0, y0, x1, y1)`` in pixel coordinates. An edge is expanded to the rows it crosses first, so the
-    join is an equi-join on the row plus one comparison, and crossings are counted with partial aggregation.
-    """
+def scanline_intervals(edges: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """(by, polygon, y, _from, _to): the x-intervals (from, to] that lie inside on each row a polygon crosses, by the even-odd rule. Intervals of one row do not overlap."""
     lo, hi = F.least("y0", "y1"), F.greatest("y0", "y1")
-    rows = (
+    cuts = (
         edges.filter("y0 <> y1")
         .withColumn("y", F.explode(F.sequence(F.ceil(lo).cast("int"), F.ceil(hi).cast("int"))))
         .filter((F.col("y0") > F.col("y")) != (F.col("y1") > F.col("y")))
-        .withColumn("cut", (F.col("x1") - F.col("x0")) * (F.col("y") - F.col("y0")) / (F.col("y1") - F.col("y0")) + F.col("x0"))
-        .select("polygon", "y", "cut")
+        .withColumn("_to", (F.col("x1") - F.col("x0")) * (F.col("y") - F.col("y0")) / (F.col("y1") - F.col("y0")) + F.col("x0"))
     )
-    hits = pixels.select(*keys, "y", "x").join(rows, "y").filter(F.col("x") <= F.col("cut"))
-    odd = hits.groupBy(*keys, "polygon", "y", "x").agg(F.count("*").alias("n")).filter("n % 2 = 1")
-    return odd.select(*keys, "polygon", "y", "x")
+    # one row of one polygon has a few cuts
+    row = W.partitionBy(*by, "polygon", "y")
+    line = row.orderBy("_to", "x0", "y0", "x1", "y1")
+    cuts = cuts.withColumns({"_from": F.coalesce(F.lag("_to").over(line), F.lit(float("-inf"))), "_left": F.count("*").over(row) - F.row_number().over(line) + 1})
+    return cuts.filter("_left % 2 = 1 AND _from < _to").select(*by, "polygon", "y", "_from", "_to")
+
+
+def polygon_mask(pixels: DataFrame, edges: DataFrame, keys: Sequence[str] = ("image_id",), by: Sequence[str] = ()) -> DataFrame:
+    """Pixels inside polygons by the even-odd rule: (keys, by, polygon, y, x).
+
+    ``edges(by, polygon, x0, y0, x1, y1)`` in pixel coordinates, for all pictures or for those whose columns ``by``, such as the picture or the camera, are equal.
+    Edges become disjoint intervals on the rows they cross, so pixels meet them by an equi-join on ``by`` and row with one comparison, and nothing is counted afterwards.
+    """
+    hits = pixels.select(*dict.fromkeys([*keys, *by, "y", "x"])).join(scanline_intervals(edges, by), [*by, "y"])
+    return hits.filter((F.col("x") > F.col("_from")) & (F.col("x") <= F.col("_to"))).select(*dict.fromkeys([*keys, *by]), "polygon", "y", "x")
 
 
 def nearest_resize(rows: DataFrame, source: tuple[int, int], target: tuple[int, int]) -> DataFrame:

@@ -95,6 +95,20 @@ def ca5(spark, sf):
     return cellrgb(spark, sf)
 
 
+@query(
+    "ca5_cells_by_camera",
+    """SELECT image_id, (image_id%3)::INT camera, cell_id, avg(r)*2e0 r, avg(g)*2e0 g, avg(b)*2e0 b, count(*) n_px FROM px JOIN (SELECT cells.*, s_suppkey%3 camera FROM cells, supplier WHERE s_suppkey IN (1, 2)) c
+         ON camera=image_id%3 AND px.x>=c.x+camera AND px.x<c.x+camera+c.w AND px.y>=c.y AND px.y<c.y+c.h-camera GROUP BY image_id, cell_id""",
+    "px cells",
+    "r g b",
+)
+def ca5b(spark, sf):
+    """Charts that stand elsewhere before each camera; the third has none."""
+    cameras = X.table(spark, sf, "supplier").where("s_suppkey IN (1, 2)").select((F.col("s_suppkey") % 3).cast("int").alias("camera"))
+    c = cells(spark).crossJoin(F.broadcast(cameras)).withColumns({"x": F.col("x") + F.col("camera"), "h": F.col("h") - F.col("camera")})
+    return K.sample_cells(X.px(spark, sf).withColumn("camera", (F.col("image_id") % 3).cast("int")), c, 2.0, by=["camera"])
+
+
 view(
     "pairs",
     """SELECT *, 0.5e0*r+0.3e0*g+0.15e0*b+0.01e0*(cell_id%3) ref_x, 0.27e0*r+0.67e0*g+0.06e0*b+0.02e0*(cell_id%4) ref_y, 0.02e0*r+0.12e0*g+0.85e0*b+0.01e0*(cell_id%5) ref_z FROM cellrgb""",

@@ -758,3 +758,18 @@ view("edges", "SELECT * FROM (VALUES " + ", ".join(f"('{n}',{a}e0,{b}e0,{q}e0,{d
 def ge24(spark, sf):
     e = spark.createDataFrame(_EDGES, "polygon string, x0 double, y0 double, x1 double, y1 double")
     return OG.polygon_mask(X.px(spark, sf), e)
+
+
+@query(
+    "ge24_polygons_by_camera",
+    """SELECT image_id, (image_id%3)::INT camera, polygon, y, x FROM px JOIN (SELECT *, s_suppkey%3 camera FROM edges, supplier WHERE s_suppkey IN (1, 2)) e
+         ON camera=image_id%3 AND (e.y0+2*camera>px.y)<>(e.y1+2*camera>px.y) AND px.x<=(x1-x0)*(px.y-(y0+2*camera))/(y1-y0)+x0
+       GROUP BY ALL HAVING count(*)%2=1""",
+    "px edges",
+)
+def ge24b(spark, sf):
+    """Polygons that lie lower from camera to camera; pictures of the third have none."""
+    cameras = X.table(spark, sf, "supplier").where("s_suppkey IN (1, 2)").select((F.col("s_suppkey") % 3).cast("int").alias("camera"))
+    e = spark.createDataFrame(_EDGES, "polygon string, x0 double, y0 double, x1 double, y1 double").crossJoin(F.broadcast(cameras))
+    e = e.withColumns({k: F.col(k) + 2 * F.col("camera") for k in ("y0", "y1")})
+    return OG.polygon_mask(X.px(spark, sf).withColumn("camera", (F.col("image_id") % 3).cast("int")), e, by=["camera"])
