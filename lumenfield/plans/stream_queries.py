@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from lumenfield.plans import fixtures as X
 from lumenfield.plans.registry import query
 from lumenfield.plans.views import view
+from lumenfield.session import work_folder
 from lumenfield.streaming import captures as ST
 
 view("ev", "SELECT CAST(user_id AS BIGINT) camera, event_type kind, ts, CAST(value AS DOUBLE) val, event_id FROM events")
@@ -34,10 +35,15 @@ def _text(k):
 _TS = "strftime({0}, '%Y-%m-%d %H:%M:%S') {0}"
 
 
+_SESSIONS = (
+    f"""SELECT camera, n_frames, {_TS.format('first')}, {_TS.format('last')}, v_min, v_max FROM (SELECT camera, grp, count(*) n_frames, min(ts) AS first, max(ts) AS last, min(val) v_min, max(val) v_max FROM
+        (SELECT *, sum(CASE WHEN prev IS NULL OR ts>prev+INTERVAL 45 MINUTE THEN 1 ELSE 0 END) OVER (PARTITION BY camera ORDER BY ts, event_id) grp FROM (SELECT *, lag(ts) OVER (PARTITION BY camera ORDER BY ts, event_id) prev FROM {{src}})) GROUP BY camera, grp)"""
+)
+
+
 @query(
     "st1_brackets",
-    f"""SELECT camera, n_frames, {_TS.format('first')}, {_TS.format('last')}, v_min, v_max FROM (SELECT camera, grp, count(*) n_frames, min(ts) AS first, max(ts) AS last, min(val) v_min, max(val) v_max FROM
-        (SELECT *, sum(CASE WHEN prev IS NULL OR ts>prev+INTERVAL 45 MINUTE THEN 1 ELSE 0 END) OVER (PARTITION BY camera ORDER BY ts, event_id) grp FROM (SELECT *, lag(ts) OVER (PARTITION BY camera ORDER BY ts, event_id) prev FROM ev)) GROUP BY camera, grp)""",
+    _SESSIONS.format(src="ev"),
     "ev",
     "v_min v_max",
 )
@@ -56,9 +62,14 @@ def st2(spark, sf):
     return ST.window_stats(frames(spark, sf), "1 hour").select("kind", _text("start"), "n", "v_min", "v_max", "v_mean")
 
 
+_SLIDING = (
+    f"""SELECT kind, {_TS.format('start')}, n, v_min, v_max, v_mean FROM (SELECT kind, time_bucket(INTERVAL 1 HOUR, ts)-INTERVAL 1 HOUR*k AS start, count(*) n, min(val) v_min, max(val) v_max, avg(val) v_mean FROM {{src}}, (SELECT unnest(range(3)) k) GROUP BY ALL)"""
+)
+
+
 @query(
     "st2_sliding_stats",
-    f"""SELECT kind, {_TS.format('start')}, n, v_min, v_max, v_mean FROM (SELECT kind, time_bucket(INTERVAL 1 HOUR, ts)-INTERVAL 1 HOUR*k AS start, count(*) n, min(val) v_min, max(val) v_max, avg(val) v_mean FROM ev, (SELECT unnest(range(3)) k) GROUP BY ALL)""",
+    _SLIDING.format(src="ev"),
     "ev",
     "v_min v_max v_mean:9",
 )
@@ -66,6 +77,48 @@ def st2b(spark, sf):
     return ST.window_stats(frames(spark, sf), "3 hours", "1 hour").select("kind", _text("start"), "n", "v_min", "v_max", "v_mean")
 
 
+# Frames arrive in four parts: up to three fifths of the time span, the rest, stragglers of the first part that are more than two days old by then, and one frame
+# long after, which closes all windows before it.
+view(
+    "arriving",
+    """SELECT ev.*, event_id%50=7 AND epoch_us(ts)<t1-2*86400000000 late FROM ev, (SELECT (2*epoch_us(min(ts))+3*epoch_us(max(ts)))//5 t1 FROM ev)""",
+    "ev",
+)
+view("intime", "SELECT * FROM arriving WHERE NOT late", "arriving")
+
+
+def arriving(spark, sf):
+    """Stream of the event table in that order, one file of each part at a time."""
+    e = X.table(spark, sf, "events")
+    us = F.unix_micros(F.col("ts").cast("timestamp"))
+    t1 = e.agg(F.floor((F.min(us) * 2 + F.max(us) * 3) / 5)).first()[0]
+    late = (F.col("event_id") % 50 == 7) & (us < t1 - 2 * 86_400_000_000)
+    last = e.orderBy(F.desc("ts"), "event_id").limit(1).withColumn("ts", (F.col("ts").cast("timestamp") + F.expr("INTERVAL 400 DAYS")).cast(e.schema["ts"].dataType))
+    folder = work_folder(spark)
+    for i, part in enumerate((e.where(~late & (us < t1)), e.where(~late & (us >= t1)), e.where(late), last)):
+        part.write.parquet(f"{folder}/part={i}")
+    return _frames(spark.readStream.schema(e.schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(folder))
+
+
+@query("st1_brackets_stream", _SESSIONS.format(src="intime"), "intime", "v_min v_max")
+def st1s(spark, sf):
+    """Session windows of the stream in append mode; late frames are left out."""
+    d, _ = ST.run_available(ST.brackets(arriving(spark, sf), "45 minutes", "1 hour"))
+    return d.select("camera", "n_frames", _text("first"), _text("last"), "v_min", "v_max")
+
+
+@query("st2_sliding_stream", _SLIDING.format(src="intime"), "intime", "v_min v_max v_mean:9")
+def st2s(spark, sf):
+    d, _ = ST.run_available(ST.window_stats(arriving(spark, sf), "3 hours", "1 hour", "1 hour"))
+    return d.select("kind", _text("start"), "n", "v_min", "v_max", "v_mean")
+
+
+@query("st3_late_frames", f"SELECT event_id, camera, kind, {_TS.format('ts')} FROM arriving WHERE late", "arriving")
+def st3s(spark, sf):
+    """Side table of the frames that the two queries above leave out."""
+    return ST.late_table(arriving(spark, sf), "1 hour").select("event_id", "camera", "kind", _text("ts"))
+
+
 @query("st3_watermarked_stream", "SELECT kind, count(*) n FROM ev GROUP BY kind", "ev")
 def st3(spark, sf):
     """A watermarked stream with observed metrics keeps every frame that is not late; one file holds no late ones."""

@@ -56,6 +56,27 @@ def late_rows(progress: Sequence) -> int:
     return total
 
 
+def late_table(frames: DataFrame, late: str, time: str = "ts") -> DataFrame:
+    """Frames of a stream that came after the watermark, as a table; they are those a stateful query over the same stream leaves out before it looks at windows.
+
+    The watermark is that of a query with the delay ``late``: the latest time of all earlier micro-batches less the delay. Times seen are kept per micro-batch, so a
+    repeated micro-batch finds the same watermark and overwrites its own rows.
+    """
+    spark = frames.sparkSession
+    folder = work_folder(spark)
+
+    def route(df: DataFrame, number: int) -> None:
+        seen = spark.read.schema("newest timestamp, batch bigint").parquet(f"{folder}/seen").where(F.col("batch") < number).agg(F.max("newest")).first()[0] if number else None
+        mark = F.lit(seen) - F.expr(f"INTERVAL {late}")
+        out = df.where(F.lit(False) if seen is None else F.col(time) < mark)
+        out.write.mode("overwrite").parquet(f"{folder}/late/batch={number}")
+        df.agg(F.max(time).alias("newest")).write.mode("overwrite").parquet(f"{folder}/seen/batch={number}")
+
+    q = frames.writeStream.option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).foreachBatch(route).start()
+    q.awaitTermination()
+    return spark.read.schema(frames.schema).option("recursiveFileLookup", "true").parquet(f"{folder}/late")
+
+
 def first_seen(frames: DataFrame, key: Sequence[str], late: str = "10 minutes", time: str = "ts") -> DataFrame:
     """Suppress repeated frames; state is kept only as long as the watermark asks for."""
     if frames.isStreaming:
