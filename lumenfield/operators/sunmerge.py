@@ -175,21 +175,45 @@ def blend(horizontal: DataFrame, vertical: DataFrame, masks: DataFrame, keys: Se
 # --- near the source ---
 
 
-def fill_near_source(pixels: DataFrame, band_px: float, keys: Sequence[str] = KEYS, channels: Sequence[str] = RGB, most: int = 300, tile: int = 32) -> DataFrame:
-    """k-nearest fill: targets (``near`` > 0.01) mix with the Gaussian-weighted mean of their nearest ring pixels.
+def _box(rows: DataFrame, by: Sequence[str], prefix: str) -> DataFrame:
+    return rows.groupBy(*by).agg(F.count("*").alias(f"{prefix}n"), *[f(d).alias(f"{prefix}{d}{i}") for d in D for i, f in enumerate((F.min, F.max))])
 
-    Targets are grouped by picture tile and ring pixels sent to the tiles that hold targets, so a task compares at most tile² targets
-    with one picture's ring, in dense blocks; no pair leaves the task.
+
+def _near_cells(tiles: DataFrame, cells: DataFrame, keys: Sequence[str], where: Sequence[str], most: int) -> DataFrame:
+    """(where, cell): of each tile the cells that may hold one of the k nearest seeds of any of its targets; k is a fifth of the picture's seeds, ``most`` at most.
+
+    Cells are taken from the nearest on, by the greatest distance they can have from the tile, until they hold k seeds: no target has its k-th seed
+    farther away than that, so every cell whose least distance is smaller, and no other, can matter.
+    """
+    met = tiles.join(cells, list(keys))
+    gap = lambda d: F.greatest(F.lit(0.0), F.col(f"t{d}0") - F.col(f"c{d}1"), F.col(f"c{d}0") - F.col(f"t{d}1"))
+    span = lambda d: F.greatest(F.col(f"t{d}1") - F.col(f"c{d}0"), F.col(f"c{d}1") - F.col(f"t{d}0"))
+    met = met.select(*where, "_cell", "cn", sum((gap(d) * gap(d) for d in D), F.lit(0.0)).alias("least"), sum((span(d) * span(d) for d in D), F.lit(0.0)).alias("greatest"))
+    tile = W.partitionBy(*where)
+    met = met.withColumns({"held": F.sum("cn").over(tile.orderBy("greatest", "_cell").rowsBetween(W.unboundedPreceding, W.currentRow)), "all": F.sum("cn").over(tile)})
+    k = F.least(F.lit(most), F.greatest(F.lit(1), F.floor(F.col("all") * 0.2)))
+    met = met.withColumn("reach", F.min(F.when(F.col("held") >= k, F.col("greatest"))).over(tile))
+    # a little farther, so that rounding never decides
+    return met.where(F.col("least") <= F.col("reach") * (1 + 1e-9) + 1e-15).select(*where, "_cell", k.cast("int").alias("_k"))
+
+
+def fill_near_source(pixels: DataFrame, band_px: float, keys: Sequence[str] = KEYS, channels: Sequence[str] = RGB, most: int = 300, tile: int = 32, cell: float = 0.02) -> DataFrame:
+    """k-nearest fill: targets (``near`` > 0.01) mix with the Gaussian-weighted mean of their nearest ring pixels; of equally near ones (12 digits) the first in rows and columns.
+
+    Targets are grouped by picture tile and ring pixels by direction cells of side ``cell``. Only the ring pixels of those cells that can hold a
+    nearest one are sent to a tile, so a task holds little more than the k nearest of its targets, however large the ring.
     """
     keys, channels = list(keys), list(channels)
     low = max(0.0, (band_px - 4.0) / (2.0 * max(1.0, band_px)))
     at = {"_ty": F.floor(F.col("y") / tile).cast("int"), "_tx": F.floor(F.col("x") / tile).cast("int")}
-    # the source region is a small part of a picture and read twice
+    # the source region is a small part of a picture and read several times
     ok = cut_lineage(pixels.filter(F.col("valid") & (F.col("near") > 0)))
     targets = ok.filter(F.col("near") > 0.01).withColumns(at)
     where = [*keys, "_ty", "_tx"]
-    ring = ok.filter((F.col("near") > low) & (F.col("near") < 0.5)).select(*keys, *D, *channels)
-    sent = ring.join(targets.select(*where).distinct(), keys)
+    number = F.struct(*[F.floor(F.col(d) / cell).cast("int").alias(d) for d in D])
+    ring = ok.filter((F.col("near") > low) & (F.col("near") < 0.5)).select(*keys, F.col("y").alias("_sy"), F.col("x").alias("_sx"), *D, *channels).withColumn("_cell", number)
+    wanted = _near_cells(_box(targets, where, "t"), _box(ring, [*keys, "_cell"], "c"), keys, where, most)
+    sent = ring.join(wanted, [*keys, "_cell"]).drop("_cell")
     # fresh column identities, as both sides stem from the same pixels
     sent = sent.select(*[F.col(k).alias(f"_s_{k}") for k in sent.columns])
     schema = T.StructType([*[pixels.schema[k] for k in keys], T.StructField("y", T.IntegerType()), T.StructField("x", T.IntegerType()), *[T.StructField(f"_f{ch}", T.DoubleType()) for ch in channels]])
@@ -197,23 +221,25 @@ def fill_near_source(pixels: DataFrame, band_px: float, keys: Sequence[str] = KE
     def fill(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
             return pd.DataFrame({f.name: [] for f in schema.fields})
+        right = right.sort_values(["_s__sy", "_s__sx"])
         seeds, vals = right[[f"_s_{d}" for d in D]].to_numpy(), right[[f"_s_{ch}" for ch in channels]].to_numpy()
-        k = min(most, max(1, int(len(seeds) * 0.2)))
+        k = int(right["_s__k"].iloc[0])
         out = np.empty((len(left), len(channels)))
         goal = left[list(D)].to_numpy()
-        for s in range(0, len(goal), 256):
-            d2 = np.maximum(0.0, ((goal[s : s + 256, None, :] - seeds[None, :, :]) ** 2).sum(axis=2))
-            near = np.argpartition(d2, k - 1, axis=1)[:, :k]
+        step = max(1, 2_000_000 // len(seeds))
+        for s in range(0, len(goal), step):
+            d2 = np.maximum(0.0, ((goal[s : s + step, None, :] - seeds[None, :, :]) ** 2).sum(axis=2))
+            near = np.argsort(np.round(d2, 12), axis=1, kind="stable")[:, :k]
             dk = np.take_along_axis(d2, near, axis=1)
             var = dk.mean(axis=1, keepdims=True)
             w = np.exp(-dk / (2.0 * np.where(var > 0, var, 1.0)))
-            out[s : s + 256] = (vals[near] * w[:, :, None]).sum(axis=1) / w.sum(axis=1, keepdims=True)
+            out[s : s + step] = (vals[near] * w[:, :, None]).sum(axis=1) / w.sum(axis=1, keepdims=True)
         res = left[[*keys, "y", "x"]].reset_index(drop=True)
         for i, ch in enumerate(channels):
             res[f"_f{ch}"] = out[:, i]
         return res
 
-    f = targets.groupBy(*where).cogroup(sent.groupBy(*[f"_s_{k}" for k in where])).applyInPandas(fill, schema)
+    f = targets.select(*where, "y", "x", *D).groupBy(*where).cogroup(sent.groupBy(*[f"_s_{k}" for k in where])).applyInPandas(fill, schema)
     d = pixels.join(f, [*keys, "y", "x"], "left")
     m = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("near")))
     out = {ch: F.when(F.col(f"_f{ch}").isNotNull(), F.col(ch) * (F.lit(1.0) - m) + F.col(f"_f{ch}") * m).otherwise(F.col(ch)) for ch in channels}

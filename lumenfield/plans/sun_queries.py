@@ -111,6 +111,29 @@ view(
 )
 
 
+view("nearpx", "SELECT *, greatest(0e0,least(1e0,1e0-dd/40e0)) near FROM sund", "sund")
+
+
+@query(
+    "su7_nearest_ring",
+    """WITH t AS (SELECT * FROM nearpx WHERE valid AND near>0.01e0), s AS (SELECT *, least(300, greatest(1, floor(0.2e0*count(*) OVER (PARTITION BY image_id)))) k FROM nearpx WHERE valid AND near>1e0/6e0 AND near<0.5e0),
+       d AS (SELECT t.image_id, t.y, t.x, s.y sy, s.x sx, s.r, s.g, s.b, k, (t.dx-s.dx)*(t.dx-s.dx)+(t.dy-s.dy)*(t.dy-s.dy)+(t.dz-s.dz)*(t.dz-s.dz) d2 FROM t JOIN s USING (image_id)),
+       n AS (SELECT *, avg(d2) OVER (PARTITION BY image_id, y, x) m FROM (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY image_id, y, x ORDER BY round(d2,12), sy, sx)<=k)),
+       f AS (SELECT image_id, y, x, sum(r*w)/sum(w) fr, sum(g*w)/sum(w) fg, sum(b*w)/sum(w) fb FROM (SELECT *, exp(-d2/(2e0*m)) w FROM n) GROUP BY ALL)
+       SELECT image_id, y, x, """
+    + ", ".join(f"CASE WHEN f{ch} IS NULL THEN {ch} ELSE {ch}*(1e0-near)+f{ch}*near END {ch}" for ch in "rgb")
+    + " FROM nearpx LEFT JOIN f USING (image_id, y, x)",
+    "nearpx",
+    "r g b",
+)
+def su7b(spark, sf):
+    """Nearness by a plain ramp about the brightest pixel; many of a target's ring pixels are equally near."""
+    g = X.geo(spark, sf).join(sun(spark, sf).select("image_id", "sx", "sy", "sz"), "image_id")
+    dd = F.degrees(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("dx") * F.col("sx") + F.col("dy") * F.col("sy") + F.col("dz") * F.col("sz")))))
+    g = g.withColumn("near", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.lit(1.0) - dd / 40.0)))
+    return M.fill_near_source(g, 6.0).select(*PXK, "r", "g", "b")
+
+
 @query(
     "su8_extrapolate",
     "SELECT image_id, y, x, "

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lumenfield.operators import geometry as OG
+from lumenfield.operators import sunmerge as M
 
 
 def frames(spark, sizes):
@@ -105,3 +106,24 @@ def test_one_exchange_of_pixels(spark):
     for df in (OG.rotate(p, 20, ("g",)), OG.reproject(p, "equisolid", ("g",)), OG.resample(p, (30, 30), "lanczos", ("g",))):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_few_ring_pixels_reach_a_tile(spark):
+    """A ring of some 100 000 pixels: a tile gets those of near cells only, and the nearest ones are among them."""
+    n = 600
+    p = OG.with_geometry(frames(spark, [(n, n)])).withColumns({"valid": F.lit(True), "r": F.col("g"), "b": F.col("g")})
+    far = F.sqrt(F.pow(F.col("x") - 300.0, 2) + F.pow(F.col("y") - 300.0, 2))
+    p = p.withColumn("near", F.when(far < 60, 0.9).when((far > 100) & (far < 220), 0.3).otherwise(0.0))
+    ring, goal = p.where("near = 0.3"), p.where("near = 0.9").withColumns({"_ty": F.floor(F.col("y") / 32).cast("int"), "_tx": F.floor(F.col("x") / 32).cast("int")})
+    cell = F.struct(*[F.floor(F.col(d) / 0.02).cast("int").alias(d) for d in M.D])
+    ring = ring.withColumn("_cell", cell)
+    where = ["image_id", "_ty", "_tx"]
+    cells = M._near_cells(M._box(goal, where, "t"), M._box(ring, ["image_id", "_cell"], "c"), ["image_id"], where, 300)
+    sent = ring.join(cells, ["image_id", "_cell"]).groupBy(*where).count().toPandas()
+    assert len(sent) >= 16 and ring.count() > 100_000 and sent["count"].max() < 0.2 * ring.count()
+    seeds = ring.select("y", "x", *M.D).toPandas()
+    got = {(r._ty, r._tx): r.c for r in cells.groupBy("_ty", "_tx").agg(F.collect_set("_cell").alias("c")).collect()}
+    for r in goal.orderBy(F.xxhash64("y", "x")).limit(20).collect():
+        d2 = ((seeds[["dx", "dy", "dz"]].to_numpy() - np.array([r.dx, r.dy, r.dz])) ** 2).sum(axis=1)
+        for i in np.argsort(d2)[:300]:
+            assert tuple(np.floor(seeds.loc[i, ["dx", "dy", "dz"]].to_numpy(float) / 0.02).astype(int)) in {tuple(c) for c in got[r._ty, r._tx]}
