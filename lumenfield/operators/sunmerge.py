@@ -69,6 +69,36 @@ def estimate_shift(ref: DataFrame, moved: DataFrame, margin: int = 4, value: str
     return best.select(*keys, "m.dx", "m.dy", "m.corr", inside.alias("inside"))
 
 
+def estimate_far_shift(ref: DataFrame, moved: DataFrame, reach: int = 64, levels: int = 3, value: str = "lum", keys: Sequence[str] = KEYS) -> DataFrame:
+    """Shift as by ``estimate_shift`` for far shifts of pictures with some smooth structure: (keys, dx, dy, corr, inside), searched from coarse to fine.
+
+    Log values are averaged over blocks of 2^levels pixels. Only there all shifts up to ``reach`` are tried; each finer level, of half the block, tries the 5 × 5 shifts about
+    the best so far, the last one 3 × 3. So a pixel is copied nine times, whatever the reach. Pictures of pure noise have no coarse structure to
+    follow: for them only ``estimate_shift`` is right. ``inside`` is false where the best shift lies on the edge of the search.
+    """
+    keys = list(keys)
+
+    def blocks(df: DataFrame, size: int, name: str) -> DataFrame:
+        logs = df.select(*keys, F.floor(F.col("y") / size).cast("int").alias("y"), F.floor(F.col("x") / size).cast("int").alias("x"), F.log(F.greatest(F.col(value), F.lit(1e-6))).alias("_v"))
+        return logs.withColumnRenamed("_v", name) if size == 1 else logs.groupBy(*keys, "y", "x").agg(F.avg("_v").alias(name))
+
+    low = ref.filter(F.col("y") >= F.floor(F.col("height") / 2))
+    best = None
+    for level in range(levels, -1, -1):
+        size = 1 << level
+        around = -(-reach // size) if best is None else 2 if level else 1
+        shifts = F.array(*[F.struct(F.lit(dy).alias("_dy"), F.lit(dx).alias("_dx")) for dy in range(-around, around + 1) for dx in range(-around, around + 1)])
+        b = blocks(moved, size, "_b")
+        # shifts of the level before count twice in blocks of half the size
+        b = b.withColumns({"_oy": F.lit(0), "_ox": F.lit(0)}) if best is None else b.join(best.select(*keys, (F.col("m.dy") * 2).alias("_oy"), (F.col("m.dx") * 2).alias("_ox")), keys)
+        b = b.select(*keys, "y", "x", "_b", "_oy", "_ox", F.inline(shifts))
+        b = b.select(*keys, (F.col("_oy") + F.col("_dy")).alias("dy"), (F.col("_ox") + F.col("_dx")).alias("dx"), "y", "x", "_b").withColumns({"y": F.col("y") - F.col("dy"), "x": F.col("x") - F.col("dx")})
+        s = b.join(blocks(low, size, "_a"), [*keys, "y", "x"]).groupBy(*keys, "dy", "dx").agg(F.corr("_a", "_b").alias("corr"))
+        best = s.groupBy(*keys).agg(F.max_by(F.struct("dx", "dy", "corr"), F.struct("corr", (-F.abs("dy") - F.abs("dx")).alias("near"))).alias("m"))
+    inside = (F.abs("m.dx") < reach) & (F.abs("m.dy") < reach)
+    return best.select(*keys, "m.dx", "m.dy", "m.corr", inside.alias("inside"))
+
+
 # --- sun position ---
 
 

@@ -380,6 +380,16 @@ def test_shift_is_found(spark):
     assert not M.estimate_shift(p, q, margin=3).first()["inside"]
 
 
+def test_far_shift_is_found_from_coarse_to_fine(spark):
+    spots = lambda x, y: sum((F.exp(-(F.pow(x - a, 2) + F.pow(y - b, 2)) / w) * h for a, b, w, h in ((60, 150, 300.0, 5.0), (130, 120, 900.0, 3.0), (100, 170, 120.0, 8.0), (30, 110, 500.0, 4.0))), F.lit(1.0))
+    x, y = F.col("x").cast("double"), F.col("y").cast("double")
+    p = frame(spark, 200, F.lit(1.0)).withColumn("lum", spots(x, y))
+    q = p.withColumn("lum", spots(x - 40.0, y + 23.0) * 1.3)
+    r = M.estimate_far_shift(p, q).first()
+    assert (r["dx"], r["dy"]) == (40, -23) and r["corr"] == pytest.approx(1.0, abs=1e-6) and r["inside"]
+    assert not M.estimate_far_shift(p, q, reach=32, levels=2).first()["inside"]
+
+
 def test_source_energy_is_kept(spark):
     p = frame(spark, 128, F.lit(0.0)).withColumns({ch: F.lit(0.0) for ch in "rgb"})
     n = math.sqrt(0.3**2 + 0.8**2 + 0.4**2)
