@@ -18,6 +18,7 @@ from pyspark.sql import Window as W
 from lumenfield.functions.numeric import Num, c, half_up, mat_vec
 from lumenfield.operators import ranking as R
 from lumenfield.operators.stencil import column_window, core, row_window, tiles
+from lumenfield.session import cut_lineage
 
 PX = ("bracket_id", "y", "x")
 RGGB = 0x94949494
@@ -312,26 +313,35 @@ def channel_samples(frame_px: DataFrame, black: float, white: float, saturation:
 # --- mosaic ---
 
 
-def repair_bad_pixels(frame_px: DataFrame, bad: DataFrame, pattern: int = RGGB) -> DataFrame:
-    """Replace listed pixels ``bad(y, x)`` by the middle of their same-colour good neighbours in 5 × 5, widened to 9 × 9 below three.
+#: Most rows of a bad-pixel table that are sent to every executor (some 10 MB); longer ones Spark joins like any other table.
+BAD_ROWS = 200_000
 
-    Each bad pixel is sent to its at most 80 neighbours, an equi-join; lists per target are that small too.
+
+def repair_bad_pixels(frame_px: DataFrame, bad: DataFrame, pattern: int = RGGB, by: Sequence[str] = ()) -> DataFrame:
+    """Replace listed pixels ``bad(by, y, x)`` by the middle of their same-colour good neighbours in 5 × 5, widened to 9 × 9 below three.
+
+    The list holds for all frames or for those whose columns ``by``, such as the camera, are equal. Only listed pixels and their at most 80 neighbours leave their
+    place; all others pass as they are read, without an exchange.
     """
-    bad = bad.select("y", "x").distinct()
+    by = list(by)
+    at = [*by, "y", "x"]
+    bad = cut_lineage(bad.select(*at).distinct())
+    listed = bad.count()
+    sent = lambda df, rows: F.broadcast(df) if rows <= BAD_ROWS else df
     around = [F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy in range(-4, 5) for dx in range(-4, 5) if (dy, dx) != (0, 0)]
-    near = bad.select(F.col("y").alias("ty"), F.col("x").alias("tx"), F.inline(F.array(*around)))
-    near = near.select("ty", "tx", (F.col("ty") + F.col("dy")).alias("y"), (F.col("tx") + F.col("dx")).alias("x"),
-                       F.greatest(F.abs("dy"), F.abs("dx")).alias("d"))
+    near = bad.select(*by, F.col("y").alias("ty"), F.col("x").alias("tx"), F.inline(F.array(*around)))
+    near = near.select(*by, "ty", "tx", (F.col("ty") + F.col("dy")).alias("y"), (F.col("tx") + F.col("dx")).alias("x"), F.greatest(F.abs("dy"), F.abs("dx")).alias("d"))
     near = near.filter((F.col("y") >= 0) & (F.col("x") >= 0) & (cfa_colour("y", "x", pattern) == cfa_colour("ty", "tx", pattern)))
-    near = near.join(bad, ["y", "x"], "left_anti")
-    s = frame_px.select("bracket_id", "frame_id", "y", "x", "dn").join(near, ["y", "x"])
+    near = near.join(bad, at, "left_anti")
+    s = frame_px.select("bracket_id", "frame_id", *at, "dn").join(sent(near, listed * 24), at)
     s = s.groupBy("bracket_id", "frame_id", F.col("ty").alias("y"), F.col("tx").alias("x")).agg(
         F.sort_array(F.collect_list(F.when(F.col("d") <= 2, F.col("dn")))).alias("_a"), F.sort_array(F.collect_list("dn")).alias("_b")
     )
     pick = F.when(F.size("_a") >= 3, F.col("_a")).otherwise(F.col("_b"))
     s = s.withColumn("_p", pick).withColumn("_fix", F.get("_p", F.floor(F.size("_p") / 2).cast("int"))).drop("_a", "_b", "_p")
-    out = frame_px.join(s, ["bracket_id", "frame_id", "y", "x"], "left")
-    return out.withColumn("dn", F.coalesce("_fix", "dn")).select(*frame_px.columns)
+    good, faulty = (frame_px.join(sent(bad, listed), at, how) for how in ("left_anti", "left_semi"))
+    mended = faulty.join(s, ["bracket_id", "frame_id", "y", "x"], "left").withColumn("dn", F.coalesce("_fix", "dn"))
+    return good.select(*frame_px.columns).unionByName(mended.select(*frame_px.columns))
 
 
 def interpolate_colours(merged: DataFrame, pattern: int = RGGB) -> DataFrame:

@@ -288,6 +288,25 @@ def br19(spark, sf):
     return B.repair_bad_pixels(frame_px(spark, sf), bad).select("bracket_id", "frame_id", "y", "x", "dn")
 
 
+@query(
+    "br19_bad_pixels_by_camera",
+    """SELECT * FROM (WITH cb AS (SELECT s_suppkey%3 camera, y+s_suppkey%3 y, x FROM bad, supplier WHERE s_suppkey IN (1, 2)), f AS (SELECT *, bracket_id%3 camera FROM frame_px)
+       SELECT bracket_id, frame_id, y, x, coalesce(fix, dn) dn FROM frame_px LEFT JOIN (
+        SELECT bracket_id, frame_id, ty y, tx x, CASE WHEN count(*) FILTER (d<=2)>=3 THEN (list(dn ORDER BY dn) FILTER (d<=2))[count(*) FILTER (d<=2)//2+1] ELSE list(dn ORDER BY dn)[count(*)//2+1] END fix
+        FROM (SELECT f.bracket_id, f.frame_id, t.y ty, t.x tx, f.dn, greatest(abs(f.y-t.y),abs(f.x-t.x)) d
+              FROM cb t JOIN f ON f.camera=t.camera AND f.y BETWEEN t.y-4 AND t.y+4 AND f.x BETWEEN t.x-4 AND t.x+4
+              WHERE f.k=CASE WHEN t.y%2=0 AND t.x%2=0 THEN 0 WHEN t.y%2=1 AND t.x%2=1 THEN 2 ELSE 1 END AND (f.camera, f.y, f.x) NOT IN (SELECT (camera, y, x) FROM cb)) GROUP BY ALL) USING (bracket_id, frame_id, y, x))""",
+    "frame_px bad",
+)
+def br19b(spark, sf):
+    """Bad pixels that lie elsewhere in each camera; the third has none."""
+    px = X.px(spark, sf)
+    bad = px.filter(((F.col("y") * 64 + F.col("x")) % 97 == 5) | (F.col("y").between(18, 22) & F.col("x").between(18, 22))).select("y", "x")
+    cameras = X.table(spark, sf, "supplier").where("s_suppkey IN (1, 2)").select((F.col("s_suppkey") % 3).alias("camera"))
+    bad = bad.crossJoin(F.broadcast(cameras)).select("camera", (F.col("y") + F.col("camera")).cast("int").alias("y"), "x")
+    return B.repair_bad_pixels(frame_px(spark, sf).withColumn("camera", F.col("bracket_id") % 3), bad, by=["camera"]).select("bracket_id", "frame_id", "y", "x", "dn")
+
+
 @query(
     "br20_cfa_shift",
     "SELECT image_id, y, x, (CASE WHEN (y+1)%2=0 AND x%2=0 THEN 0 WHEN (y+1)%2=1 AND x%2=1 THEN 2 ELSE 1 END)::INT colour FROM px",
