@@ -620,7 +620,17 @@ def ge17(spark, sf):
     return _rgb(OG.reproject(X.px(spark, sf), "angle_polynomial", coefficients=ANGLE_POLY, source_radius=31.0, target_radius=32.0))
 
 
-@query("ge18_valid_half_angle")
+_RAD = "((-0.005e0*{0}+k1)*{0}+k0)*{0}"
+
+
+@query(
+    "ge18_valid_half_angle",
+    f"""SELECT * FROM (WITH RECURSIVE b AS (SELECT p_partkey lens_id, 0.5e0+p_size/100e0 k0, 0.01e0*(p_size%7) k1, 0e0 lo, pi()/2e0 hi, 0 i FROM part
+         UNION ALL SELECT lens_id, k0, k1, CASE WHEN {_RAD.format('((lo+hi)*0.5e0)')}<1e0 THEN (lo+hi)*0.5e0 ELSE lo END, CASE WHEN {_RAD.format('((lo+hi)*0.5e0)')}<1e0 THEN hi ELSE (lo+hi)*0.5e0 END, i+1 FROM b WHERE i<80)
+       SELECT lens_id, CASE WHEN {_RAD.format('(pi()/2e0)')}<=1e0 THEN pi()/2e0 ELSE (lo+hi)*0.5e0 END half_angle FROM b WHERE i=80)""",
+    "",
+    "half_angle:9",
+)
 def ge18(spark, sf):
     """Lens polynomials taken from the part table: one bisection per row."""
     p = X.table(spark, sf, "part").select(
@@ -739,7 +749,20 @@ def ge22(spark, sf):
     return _rgb(OG.vignetting_polynomial(X.px(spark, sf), -0.8, 0.4, -0.1))
 
 
-@query("ge23_fit_vignetting", dbl="a:3 b:3 c:3")
+@query(
+    "ge23_fit_vignetting",
+    """SELECT * FROM (WITH s AS (SELECT image_id, nx*nx+ny*ny q, 0.212671e0*r+0.715160e0*g+0.072169e0*b v FROM g WHERE x%10=0 AND y%10=0),
+       c AS (SELECT *, q-avg(q) OVER w x1, q*q-avg(q*q) OVER w x2, q*q*q-avg(q*q*q) OVER w x3, avg(q) OVER w m1, avg(q*q) OVER w m2, avg(q*q*q) OVER w m3, avg(v) OVER w m, v-avg(v) OVER w y FROM s WINDOW w AS (PARTITION BY image_id)),
+       d AS (SELECT *, sum(x1*x2) OVER w/sum(x1*x1) OVER w p12, sum(x1*x3) OVER w/sum(x1*x1) OVER w p13, sum(x1*y) OVER w/sum(x1*x1) OVER w p1 FROM c WINDOW w AS (PARTITION BY image_id)),
+       e AS (SELECT *, x2-p12*x1 z2, x3-p13*x1 z3 FROM d),
+       f AS (SELECT *, sum(z2*z3) OVER w/sum(z2*z2) OVER w p23, sum(z2*y) OVER w/sum(z2*z2) OVER w p2 FROM e WINDOW w AS (PARTITION BY image_id)),
+       h AS (SELECT image_id, any_value(p1) p1, any_value(p12) p12, any_value(p13) p13, any_value(p2) p2, any_value(p23) p23, any_value(m) m, any_value(m1) m1, any_value(m2) m2, any_value(m3) m3,
+             sum((z3-p23*z2)*y)/sum((z3-p23*z2)*(z3-p23*z2)) b3 FROM f GROUP BY image_id),
+       i AS (SELECT *, p2-b3*p23 b2 FROM h), j AS (SELECT *, p1-b2*p12-b3*p13 b1 FROM i), k AS (SELECT *, m-b1*m1-b2*m2-b3*m3 b0 FROM j)
+       SELECT image_id, b1/b0 a, b2/b0 b, b3/b0 c FROM k)""",
+    "g",
+    "a:3 b:3 c:3",
+)
 def ge23(spark, sf):
     return OG.fit_vignetting(X.px(spark, sf))
 
