@@ -416,7 +416,27 @@ def vv8b(spark, sf):
     return VV.report_json(VV.paired_report(volumes(spark, sf), outside(spark, sf)))
 
 
-@query("vv9_window_distance", dbl="distance_m")
+_VV9 = "pn>=256 AND pr BETWEEN 0.1e0 AND 20e0 THEN {} WHEN bn>=256 THEN {} WHEN inn>=256 THEN {} WHEN n_all>=256 THEN {} END"
+
+
+@query(
+    "vv9_window_distance",
+    f"""SELECT * FROM (WITH d AS (SELECT image_id, x, y, dy, dm depth_m, dm-1e0 ref_m, image_id%4 i, (x+y)%3=0 m FROM vol WHERE valid),
+       e AS (SELECT *, i<>3 AND m inside, i=0 AND m outside, i=1 AND x BETWEEN 10 AND 20 near_window, greatest(1e-4,least(1e0,dy)) cs FROM d),
+       f AS (SELECT *, depth_m*depth_m-ref_m*ref_m*greatest(0e0,1e0-cs*cs) disc, depth_m*cs axial FROM e),
+       ok AS (SELECT *, axial v FROM f WHERE axial BETWEEN 0.1e0 AND 20e0),
+       cut AS (SELECT image_id, quantile_cont(v,0.4) c, count(*) n_all FROM ok GROUP BY image_id),
+       u AS (SELECT image_id, 'paired' w, sqrt(disc)-ref_m*cs v FROM f WHERE depth_m>0 AND ref_m>0 AND inside AND outside AND disc>=0 UNION ALL SELECT image_id, 'boundary', v FROM ok WHERE near_window
+         UNION ALL SELECT image_id, 'indoor', v FROM ok WHERE inside AND NOT outside UNION ALL SELECT image_id, 'near', v FROM ok JOIN cut USING (image_id) WHERE v<=c),
+       q AS (SELECT image_id, w, count(*) n, quantile_cont(v,0.1) lo, quantile_cont(v,0.9) hi FROM u GROUP BY ALL),
+       t AS (SELECT image_id, w, any_value(n) n, median(v) FILTER (v BETWEEN lo AND hi) r FROM u JOIN q USING (image_id, w) GROUP BY ALL),
+       p AS (SELECT image_id, max(n) FILTER (w='paired') pn, max(r) FILTER (w='paired') pr, max(n) FILTER (w='boundary') bn, max(r) FILTER (w='boundary') br, max(n) FILTER (w='indoor') inn, max(r) FILTER (w='indoor') inr,
+             max(r) FILTER (w='near') nr FROM t GROUP BY image_id)
+       SELECT image_id, CASE WHEN {_VV9.format("'paired'", "'boundary'", "'indoor'", "'near'")} AS method, CASE WHEN {_VV9.format('pr', 'br', 'inr', 'nr')} distance_m
+       FROM (SELECT DISTINCT image_id FROM d) LEFT JOIN p USING (image_id) LEFT JOIN cut USING (image_id))""",
+    "vol",
+    "distance_m",
+)
 def vv9(spark, sf):
     """Pictures take different fallbacks: paired masks only for every fourth."""
     d = depth(spark, sf).filter("valid")
