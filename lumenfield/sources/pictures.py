@@ -20,9 +20,9 @@ def _hadoop(spark: SparkSession, path: str):
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
 
 
-def _listed(spark: SparkSession, pattern: str, suffix: str = "*") -> DataFrame:
+def _listed(spark: SparkSession, pattern: str, suffix: str, columns: Sequence[str]) -> DataFrame:
     df = spark.read.format("binaryFile").option("pathGlobFilter", suffix).option("recursiveFileLookup", "true").load(pattern)
-    return df.select("path", "length", "modificationTime")
+    return df.select(*columns)
 
 
 def _frames(files: DataFrame, name: str) -> DataFrame:
@@ -40,11 +40,7 @@ def _frames(files: DataFrame, name: str) -> DataFrame:
     return rows.crossJoin(ends).where("_n BETWEEN _start AND _last").select(*files.columns)
 
 
-def list_inputs(spark: SparkSession, inputs: Sequence[str], suffix: str = "*") -> DataFrame:
-    """Files behind literals, folders, wildcards and frame patterns, by the rules of ``files.expand``: (path, length, modificationTime), each file once.
-
-    The listing is Spark's own, so any store it reads will do. An input without files raises, and so does an empty list.
-    """
+def _inputs(spark: SparkSession, inputs: Sequence[str], suffix: str, columns: Sequence[str]) -> DataFrame:
     plain = lambda text: re.sub(r"([\\*?\[\]{}])", r"\\\1", text)
     out = None
     for item in inputs:
@@ -58,17 +54,27 @@ def list_inputs(spark: SparkSession, inputs: Sequence[str], suffix: str = "*") -
             found = (plain(folder) + "/" if folder or item.startswith("/") else "") + "*".join(around)
         if not where.globStatus(_hadoop(spark, found)[1]):
             raise ValueError(f"no input files in {item}")
-        df = _frames(_listed(spark, found, suffix), name) if numbered else _listed(spark, found, suffix)
+        df = _listed(spark, found, suffix, columns)
+        df = _frames(df, name) if numbered else df
         if df.isEmpty():
             raise ValueError(f"no input files in {item}")
         out = df if out is None else out.unionByName(df)
     if out is None:
         raise ValueError("no input files")
-    return out.dropDuplicates(["path"])
+    return out
+
+
+def list_inputs(spark: SparkSession, inputs: Sequence[str], suffix: str = "*") -> DataFrame:
+    """Files behind literals, folders, wildcards and frame patterns, by the rules of ``files.expand``: (path, length, modificationTime), each file once.
+
+    The listing is Spark's own, so any store it reads will do. An input without files raises, and so does an empty list.
+    """
+    return _inputs(spark, inputs, suffix, ("path", "length", "modificationTime")).dropDuplicates(["path"])
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.format("binaryFile").load(path).select("path", "content")
+    """(path, content) of the files behind one input."""
+    return _inputs(spark, [path], "*", ("path", "content"))
 
 
 def header_scan(files: DataFrame) -> DataFrame:
