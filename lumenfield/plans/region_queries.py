@@ -80,9 +80,9 @@ def rg5(spark, sf):
 
 @query(
     "rg6_band",
-    f"""SELECT image_id, {_SUMMARY} FROM gv JOIN (SELECT image_id, x, dx mx, dy my, dz mz FROM gv WHERE y=32) USING (image_id, x)
+    f"""SELECT image_id, {_SUMMARY} FROM gv JOIN (SELECT x, dx mx, dy my, dz mz FROM geo WHERE y=32) USING (x)
         WHERE dx*mx+dy*my+dz*mz>=cos(0.3e0) OR y=32 GROUP BY image_id""",
-    "gv",
+    "gv geo",
     _SD,
 )
 def rg6(spark, sf):
