@@ -88,35 +88,44 @@ view("intime", "SELECT * FROM arriving WHERE NOT late", "arriving")
 
 
 def arriving(spark, sf):
-    """Stream of the event table in that order, one file of each part at a time."""
+    """(stream, arrivals): the event table as a stream, and the steps that let its parts arrive in that order. A part may have any number of files: all of them arrive at once."""
     e = X.table(spark, sf, "events")
     us = F.unix_micros(F.col("ts").cast("timestamp"))
     t1 = e.agg(F.floor((F.min(us) * 2 + F.max(us) * 3) / 5)).first()[0]
     late = (F.col("event_id") % 50 == 7) & (us < t1 - 2 * 86_400_000_000)
     last = e.orderBy(F.desc("ts"), "event_id").limit(1).withColumn("ts", (F.col("ts").cast("timestamp") + F.expr("INTERVAL 400 DAYS")).cast(e.schema["ts"].dataType))
     folder = work_folder(spark)
-    for i, part in enumerate((e.where(~late & (us < t1)), e.where(~late & (us >= t1)), e.where(late), last)):
-        part.write.parquet(f"{folder}/part={i}")
-    return _frames(spark.readStream.schema(e.schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(folder))
+    e.where(~late & (us < t1)).write.parquet(f"{folder}/part=0")
+
+    def arrivals():
+        yield
+        for i, part in enumerate((e.where(~late & (us >= t1)), e.where(late), last), 1):
+            part.write.parquet(f"{folder}/part={i}")
+            yield
+
+    return _frames(spark.readStream.schema(e.schema).option("recursiveFileLookup", "true").parquet(folder)), arrivals()
 
 
 @query("st1_brackets_stream", _SESSIONS.format(src="intime"), "intime", "v_min v_max")
 def st1s(spark, sf):
     """Session windows of the stream in append mode; late frames are left out."""
-    d, _ = ST.run_available(ST.brackets(arriving(spark, sf), "45 minutes", "1 hour"))
+    frames_, arrivals = arriving(spark, sf)
+    d, _ = ST.run_available(ST.brackets(frames_, "45 minutes", "1 hour"), arrivals=arrivals)
     return d.select("camera", "n_frames", _text("first"), _text("last"), "v_min", "v_max")
 
 
 @query("st2_sliding_stream", _SLIDING.format(src="intime"), "intime", "v_min v_max v_mean:9")
 def st2s(spark, sf):
-    d, _ = ST.run_available(ST.window_stats(arriving(spark, sf), "3 hours", "1 hour", "1 hour"))
+    frames_, arrivals = arriving(spark, sf)
+    d, _ = ST.run_available(ST.window_stats(frames_, "3 hours", "1 hour", "1 hour"), arrivals=arrivals)
     return d.select("kind", _text("start"), "n", "v_min", "v_max", "v_mean")
 
 
 @query("st3_late_frames", f"SELECT event_id, camera, kind, {_TS.format('ts')} FROM arriving WHERE late", "arriving")
 def st3s(spark, sf):
     """Side table of the frames that the two queries above leave out."""
-    return ST.late_table(arriving(spark, sf), "1 hour").select("event_id", "camera", "kind", _text("ts"))
+    frames_, arrivals = arriving(spark, sf)
+    return ST.late_table(frames_, "1 hour", arrivals=arrivals).select("event_id", "camera", "kind", _text("ts"))
 
 
 @query("st3_watermarked_stream", "SELECT kind, count(*) n FROM ev GROUP BY kind", "ev")

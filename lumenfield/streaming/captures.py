@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -56,11 +56,11 @@ def late_rows(progress: Sequence) -> int:
     return total
 
 
-def late_table(frames: DataFrame, late: str, time: str = "ts") -> DataFrame:
+def late_table(frames: DataFrame, late: str, time: str = "ts", arrivals: Iterable = (None,)) -> DataFrame:
     """Frames of a stream that came after the watermark, as a table; they are those a stateful query over the same stream leaves out before it looks at windows.
 
     The watermark is that of a query with the delay ``late``: the latest time of all earlier micro-batches less the delay. Times seen are kept per micro-batch, so a
-    repeated micro-batch finds the same watermark and overwrites its own rows.
+    repeated micro-batch finds the same watermark and overwrites its own rows. ``arrivals`` as in ``run_available``.
     """
     spark = frames.sparkSession
     folder = work_folder(spark)
@@ -72,8 +72,9 @@ def late_table(frames: DataFrame, late: str, time: str = "ts") -> DataFrame:
         out.write.mode("overwrite").parquet(f"{folder}/late/batch={number}")
         df.agg(F.max(time).alias("newest")).write.mode("overwrite").parquet(f"{folder}/seen/batch={number}")
 
-    q = frames.writeStream.option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).foreachBatch(route).start()
-    q.awaitTermination()
+    w = frames.writeStream.option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).foreachBatch(route)
+    for _ in arrivals:
+        w.start().awaitTermination()
     return spark.read.schema(frames.schema).option("recursiveFileLookup", "true").parquet(f"{folder}/late")
 
 
@@ -117,16 +118,19 @@ def running_chain(sequences: DataFrame) -> DataFrame:
     return sequences.groupBy("camera").applyInPandasWithState(step, CHAIN_OUT, CHAIN_STATE, "update", GroupStateTimeout.NoTimeout)
 
 
-def run_available(stream: DataFrame, mode: str = "append"):
+def run_available(stream: DataFrame, mode: str = "append", arrivals: Iterable = (None,)):
     """Process what is there now into a Parquet table and return (table, query). Only append results can go to files;
-    update-mode results are written per micro-batch."""
+    update-mode results are written per micro-batch. ``arrivals``: every step of it lets more rows arrive, and the query
+    goes on, from its saved state, after each."""
     spark = stream.sparkSession
     folder = work_folder(spark)
     w = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True)
     if mode == "append":
-        q = w.format("parquet").option("path", f"{folder}/out").start()
+        w = w.format("parquet").option("path", f"{folder}/out")
     else:
         # a re-run of a micro-batch after a failure overwrites its own folder
-        q = w.foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(f"{folder}/out/batch={n}")).start()
-    q.awaitTermination()
+        w = w.foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(f"{folder}/out/batch={n}"))
+    for _ in arrivals:
+        q = w.start()
+        q.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{folder}/out"), q
