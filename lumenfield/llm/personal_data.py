@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenfield.llm import words
-from lumenfield.llm.tables import picked, with_schema
+from lumenfield.llm.tables import ARROW_BYTES, picked, with_schema
 
 KINDS = ("email", "ip", "card", "phone")
 MAX_TOKENS, MAX_CHARS = 20, 48
@@ -335,6 +335,6 @@ def find(docs: DataFrame, weights: np.ndarray, id_col: str = "doc_id", text_col:
                     names=["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "masked", *(["row"] if carry else [])],
                 )
 
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(32 << 20))
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
     ddl = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, masked string"
     return picked(docs, id_col, text_col, carry=carry).mapInArrow(run, with_schema(docs, ddl, carry=carry))

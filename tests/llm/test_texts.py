@@ -368,3 +368,11 @@ def test_scores_edges(edges, nothing):
     assert {(r.n_tokens, r.held_out) for r in got if r.doc_id is None} == {(6, True)}
     assert pitman_yor.score(nothing, F.lit(True)).count() == 0
     assert json.dumps(sorted(r.n_tokens for r in got)) == json.dumps([1, 1, 1, 2, 2, 6, 6, 6, 6, 60001])
+
+
+def test_personal_data_batches_are_no_larger_than_those_of_other_steps(spark):
+    from lumenfield.llm import personal_data, tables
+
+    docs = spark.createDataFrame([(1, "call +31 20 123 4567")], "doc_id long, text string")
+    personal_data.find(docs, personal_data.train([]), keep_text=True)
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) <= int(tables.ARROW_BYTES)
