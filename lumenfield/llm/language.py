@@ -18,11 +18,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenfield.llm import words
-from lumenfield.llm.tables import picked, with_schema, with_texts
+from lumenfield.llm.tables import TEXT_BYTES, end_batches, picked, with_schema, with_texts
 
 DIM, N = 1024, 3
 GROUP = 128  # documents bundled together
-MOST_LETTERS = 4096  # whose vectors are kept, in 4 KB each
+MOST_LETTERS = 4096  # whose vectors are kept, in 1 KB each
 _TOP = 0x110000
 _classes: dict[str, np.ndarray] = {}
 _vectors: dict[int, np.ndarray] = {}
@@ -46,7 +46,7 @@ def _letter_vectors(codes: np.ndarray) -> np.ndarray:
         _vectors.clear()
     for c in codes.tolist():
         if c not in _vectors:
-            _vectors[c] = np.random.Generator(np.random.PCG64([DIM, c])).integers(0, 2, DIM).astype(np.float32) * 2 - 1
+            _vectors[c] = np.random.Generator(np.random.PCG64([DIM, c])).integers(0, 2, DIM).astype(np.int8) * 2 - 1
     return np.stack([_vectors[c] for c in codes.tolist()])
 
 
@@ -54,10 +54,11 @@ class Profiler:
     """Vectors of documents; keeps the vectors of the n-grams met so far, up to a fixed number."""
 
     CACHE = 24_000
+    PART = 4096  # n-grams whose vectors are widened at a time
 
     def __init__(self):
         self.grams: dict[int, int] = {}
-        self.table = np.empty((self.CACHE, DIM), np.float32)  # filled as n-grams are met
+        self.table = np.empty((self.CACHE, DIM), np.int8)  # filled as n-grams are met
 
     def _gram_vectors(self, keys: np.ndarray) -> np.ndarray:
         new = [k for k in keys.tolist() if k not in self.grams]
@@ -65,7 +66,7 @@ class Profiler:
             if len(self.grams) + len(new) > self.CACHE:
                 self.grams, new = {}, keys.tolist()
             k = np.array(new, np.int64)
-            out = np.ones((len(k), DIM), np.float32)
+            out = np.ones((len(k), DIM), np.int8)
             for place in range(N):
                 letters, which = np.unique((k >> (21 * (N - 1 - place))) & 0x1FFFFF, return_inverse=True)
                 out *= np.roll(_letter_vectors(letters), N - 1 - place, axis=1)[which]
@@ -115,9 +116,9 @@ class Profiler:
         out = np.zeros((len(texts), DIM))
         # sums stay whole numbers: below 2**24 in single precision
         kind = np.float32 if len(packed) < 1 << 24 else np.float64
-        for a in range(0, len(keys), self.CACHE):
-            part = keys[a : a + self.CACHE]
-            inside = (which >= a) & (which < a + len(part)) if len(keys) > self.CACHE else slice(None)
+        for a in range(0, len(keys), self.PART):
+            part = keys[a : a + self.PART]
+            inside = (which >= a) & (which < a + len(part)) if len(keys) > self.PART else slice(None)
             cells = who[inside].astype(np.int64) * len(part) + (which[inside] - a)
             counts = np.bincount(cells, minlength=len(texts) * len(part)).reshape(len(texts), len(part)).astype(kind)
             out += counts @ self._gram_vectors(part).astype(kind, copy=False)
@@ -150,6 +151,7 @@ def learn(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") -
             yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), flat], names=["lang", "v"])
 
     rows = labelled.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where("text is not null and lang is not null")
+    end_batches(labelled.sparkSession, TEXT_BYTES)
     totals = rows.mapInArrow(run, "lang string, v array<long>").select("lang", F.posexplode("v").alias("at", "x")).groupBy("lang", "at").agg(F.sum("x").alias("x"))
     found = totals.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("at", "x"))).alias("v")).collect()
     return {r.lang: np.array([x.x for x in r.v], np.float64) for r in sorted(found, key=lambda r: r.lang)}
@@ -177,6 +179,7 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], id_col: str = "d
                 lang = [names[i] if n else "und" for i, n in zip(best.tolist(), letters.tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(lang, pa.string()), pa.array(score), pa.array(letters.astype(np.int64)), *part.columns[2:]], names=["doc_id", "lang_pred", "score", "n_letters", *(["row"] if carry else [])])
 
+    end_batches(docs.sparkSession, TEXT_BYTES)
     return picked(docs, id_col, text_col, carry=carry, once=True).mapInArrow(run, with_schema(docs, "doc_id long, lang_pred string, score double, n_letters long", carry=carry))
 
 

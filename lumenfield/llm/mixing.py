@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenfield.llm import words
-from lumenfield.llm.tables import Workspace, picked, unit_draw, with_schema, with_texts
+from lumenfield.llm.tables import TEXT_BYTES, Workspace, picked, unit_draw, with_schema, with_texts
 
 DOMAINS = ("good", "low", "toxic")
 BUCKETS, DENSE = 1 << 18, 7
@@ -198,7 +198,7 @@ def mix(
     back as often as given, rows with a null id share one draw. An empty ``docs`` gives an empty result; without labels all posteriors are equal. Other columns are not looked at.
     """
     model = learn(docs, labels, id_col, text_col)
-    table = Workspace(docs.sparkSession).save(posteriors(docs, model, id_col, text_col), "posteriors")
+    table = Workspace(docs.sparkSession, TEXT_BYTES).save(posteriors(docs, model, id_col, text_col), "posteriors")
     plan, _ = fit_rates(table, weights, budget, max_rate)
     if carry:
         table = posteriors(docs, model, id_col, text_col, carry=True)

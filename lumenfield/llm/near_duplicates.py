@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from lumenfield.llm import words
 from lumenfield.llm.components import components
-from lumenfield.llm.tables import Workspace
+from lumenfield.llm.tables import TEXT_BYTES, Workspace
 
 HASHES, ROWS = 128, 4
 BANDS = HASHES // ROWS
@@ -228,7 +228,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     result. Other columns of ``docs`` are not looked at, whatever their names.
     """
     spark = docs.sparkSession
-    work = Workspace(spark)
+    work = Workspace(spark, TEXT_BYTES)
     base = work.save(signatures(docs, id_col, text_col, k), "signatures")
     classes = work.save(
         base.where("set_key is not null and id is not null").groupBy("set_key").agg(F.min_by(F.struct("sig", "bands"), "id").alias("s"), F.min("id").alias("rep")).select("set_key", "rep", "s.sig", "s.bands"),

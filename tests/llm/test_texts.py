@@ -376,3 +376,27 @@ def test_personal_data_batches_are_no_larger_than_those_of_other_steps(spark):
     docs = spark.createDataFrame([(1, "call +31 20 123 4567")], "doc_id long, text string")
     personal_data.find(docs, personal_data.train([]), keep_text=True)
     assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) <= int(tables.ARROW_BYTES)
+
+
+def test_texts_go_to_python_in_small_batches_whatever_was_set_before(spark):
+    from lumenfield.llm import language, near_duplicates, tables
+
+    size = "spark.sql.execution.arrow.maxBytesPerBatch"
+    docs = spark.createDataFrame([(1, "een twee drie vier vijf zes", "nl")], "doc_id long, text string, lang string")
+    for step in (lambda: language.learn(docs), lambda: language.predict(docs, {}), lambda: near_duplicates.near_duplicates(docs)):
+        spark.conf.set(size, str(64 << 20))
+        step()
+        assert spark.conf.get(size) == tables.TEXT_BYTES
+
+
+def test_language_vectors_take_a_byte_each_and_are_widened_in_parts(monkeypatch):
+    from lumenfield.llm.language import Profiler
+
+    rng = np.random.default_rng(5)
+    texts = ["".join(chr(c) for c in rng.integers(0x4E00, 0x4E00 + 900, 300)) for _ in range(9)]
+    whole, count = Profiler().bundle(texts)
+    monkeypatch.setattr(Profiler, "PART", 64)
+    small = Profiler()
+    assert small.table.nbytes <= small.CACHE * 1024
+    parts, again = small.bundle(texts)
+    assert (parts == whole).all() and (again == count).all() and len(small.grams) > 64
