@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from lumenfield.functions import colour as C
@@ -254,13 +257,8 @@ def grid_dimensions(charts: DataFrame, width: str = "width", height: str = "heig
 # --- spectra ---
 
 
-def resample_curve(curve: DataFrame, grid: DataFrame, by: Sequence[str] = (), value: str = "v1") -> DataFrame:
-    """Monotone cubic (PCHIP) resampling of ``curve(by, nm, value)`` onto ``grid(nm)``; grid points outside a curve are left out.
-
-    Slopes come from lag/lead windows; each curve then is one row with its sorted knots, in which every grid point searches its interval. The grid, a list of
-    wavelengths, is one row too.
-    """
-    by = list(by)
+def _knots(curve: DataFrame, by: list[str], value: str) -> DataFrame:
+    """One row per curve of two knots at least: ``_knots``, its sorted (nm, v, m) with the slopes of monotone cubics from lag/lead windows."""
     w = W.partitionBy(*by).orderBy("nm")
     d = curve.withColumns({"_x1": F.lead("nm").over(w), "_y1": F.lead(value).over(w), "_x0": F.lag("nm").over(w), "_y0": F.lag(value).over(w)})
     d = d.withColumns({"_h": F.col("_x1") - F.col("nm"), "_hp": F.col("nm") - F.col("_x0")})
@@ -268,7 +266,16 @@ def resample_curve(curve: DataFrame, grid: DataFrame, by: Sequence[str] = (), va
     w1, w2 = F.col("_h") * 2.0 + F.col("_hp"), F.col("_h") + F.col("_hp") * 2.0
     mid = F.when(F.col("_d") * F.col("_dp") <= 0, F.lit(0.0)).otherwise((w1 + w2) / (w1 / F.nullif("_dp", F.lit(0.0)) + w2 / F.nullif("_d", F.lit(0.0))))
     slope = F.when(F.col("_x0").isNull(), F.col("_d")).when(F.col("_x1").isNull(), F.col("_dp")).otherwise(mid)
-    knots = d.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("nm", F.col(value).alias("v"), slope.alias("m")))).alias("_knots")).where(F.size("_knots") > 1)
+    return d.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("nm", F.col(value).alias("v"), slope.alias("m")))).alias("_knots")).where(F.size("_knots") > 1)
+
+
+def resample_curve(curve: DataFrame, grid: DataFrame, by: Sequence[str] = (), value: str = "v1") -> DataFrame:
+    """Monotone cubic (PCHIP) resampling of ``curve(by, nm, value)`` onto ``grid(nm)``; grid points outside a curve are left out.
+
+    Each curve is one row with its sorted knots, in which every grid point searches its interval. The grid, a list of wavelengths, is one row too.
+    """
+    by = list(by)
+    knots = _knots(curve, by, value)
     points = grid.where("nm is not null").agg(F.array_sort(F.collect_set("nm")).alias("_grid"))
     j = knots.crossJoin(F.broadcast(points)).withColumn("nm", F.explode("_grid")).where(F.col("nm").between(F.col("_knots")[0]["nm"], F.element_at("_knots", -1)["nm"]))
     j = j.withColumn("_at", segment("_knots", "nm", "nm")).withColumns({"_p": F.get("_knots", F.col("_at")), "_q": F.get("_knots", F.col("_at") + 1)})
@@ -292,6 +299,51 @@ def spectral_integral(emission: DataFrame, response: DataFrame, by: Sequence[str
     return p.withColumn("_t", part).groupBy(e, r).agg(F.sum("_t").alias("integral"))
 
 
+def curve_integral(curve: DataFrame, response: DataFrame, by: Sequence[str]) -> DataFrame:
+    """``spectral_integral`` of curves resampled onto the wavelengths of each response, ``by`` = (curve key, response key).
+
+    A curve meets a response as two rows of arrays, and the points between exist inside that step only: nothing of the size curves × wavelengths is sorted or sent.
+    Responses are few reference tables and go to all tasks. A null value leaves out the pieces next to it.
+    """
+    e, r = by
+    tables = response.where("nm is not null").groupBy(r).agg(F.array_sort(F.collect_list(F.struct("nm", F.col("v1").alias("v")))).alias("_table"))
+    met = _knots(curve, [e], "v1").crossJoin(F.broadcast(tables)).select(e, r, "_knots", "_table")
+
+    def columns(batch: pa.RecordBatch, at: int, names: Sequence[str]) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+        lists = batch.column(at)
+        flat = lists.flatten()
+        cells = [flat.field(n) for n in names]
+        ends = np.concatenate(([0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))))
+        null = np.logical_or.reduce([c_.is_null().to_numpy(zero_copy_only=False) for c_ in cells])
+        return ends, [c_.to_numpy(zero_copy_only=False).astype(float) for c_ in cells], null
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ke, (kx, kv, km), kn = columns(b, 2, ("nm", "v", "m"))
+            te, (tx, tv), tn = columns(b, 3, ("nm", "v"))
+            keep, out = [], []
+            for i in range(b.num_rows):
+                x, v, m, none = (a[ke[i] : ke[i + 1]] for a in (kx, kv, km, kn))
+                g, f, gone = (a[te[i] : te[i + 1]] for a in (tx, tv, tn))
+                lo, hi = np.searchsorted(g, x[0]), np.searchsorted(g, x[-1], "right")
+                if lo >= hi:
+                    continue
+                g, f, gone = g[lo:hi], f[lo:hi], gone[lo:hi]
+                p = np.minimum(np.searchsorted(x, g, "right") - 1, len(x) - 2)
+                h = x[p + 1] - x[p]
+                t = (g - x[p]) / h
+                t2, t3 = t * t, t * t * t
+                y = f * (v[p] * (t3 * 2.0 - t2 * 3.0 + 1.0) + m[p] * h * (t3 - t2 * 2.0 + t) + v[p + 1] * (t2 * 3.0 - t3 * 2.0) + m[p + 1] * h * (t3 - t2))
+                there = ~(gone | none[p] | none[p + 1])
+                pieces = ((y[1:] + y[:-1]) * 0.5 * (g[1:] - g[:-1]))[there[1:] & there[:-1]]
+                keep.append(i)
+                out.append(float(pieces.sum()) if len(pieces) else None)
+            at = pa.array(keep, pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(out, pa.float64())], names=[e, r, "integral"])
+
+    return met.mapInArrow(run, T.StructType([curve.schema[e], response.schema[r], T.StructField("integral", T.DoubleType())]))
+
+
 def receptor_response(pixels: DataFrame, matrix: Sequence[float], names: Sequence[str] = ("l", "m", "s", "rod"), xyz: Sequence[str] = ("cx", "cy", "cz")) -> DataFrame:
     """Linear receptor signals of XYZ from a 4 × 3 matrix (row-major), never negative."""
     out = [F.greatest(F.lit(0.0), v) for v in mat_vec(matrix, list(xyz))]

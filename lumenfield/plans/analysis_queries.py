@@ -282,9 +282,8 @@ def _curves(spark, sf, which):
 def co10(spark, sf):
     """Emission curves resampled to 1 nm, integrated against one reference response."""
     grid = spark.range(380, 781).select(F.col("id").cast("double").alias("nm"))
-    em = K.resample_curve(_curves(spark, sf, "curve"), grid, ["curve"])
     resp = grid.select(F.lit("y").alias("receptor"), "nm", F.exp(-F.pow((F.col("nm") - 555.0) / 50.0, F.lit(2.0))).alias("v1"))
-    return K.spectral_integral(em, resp, ("curve", "receptor"))
+    return K.curve_integral(_curves(spark, sf, "curve"), resp, ("curve", "receptor"))
 
 
 _LMS = (0.15514, 0.54312, -0.03286, -0.15514, 0.45684, 0.03286, 0.0, 0.0, 0.00801, -0.1, 0.6, 0.5)
