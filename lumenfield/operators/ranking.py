@@ -4,6 +4,7 @@ Groups of at most ``ROWS`` rows are sorted whole, by one exchange. Larger ones,
 pass of mergeable quantile sketches gives each group its split points, totals by range give every range its offset, and the sorting runs by (group,
 range). A value that fills several ranges has a range for itself; its rows are all equal, so they are counted where only counts matter, and cut further by their
 tie columns where every row has a rank. Sketches differ from run to run and results do not, as long as all uses see the same points: these are saved once.
+The same count says into how many partitions rows are dealt, so that a task's memory does not grow with the table.
 """
 
 from __future__ import annotations
@@ -15,24 +16,30 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 from pyspark.sql.types import NumericType
 
-from lumenfield.session import cut_lineage
+from lumenfield.session import cut_lineage, parts_for
 
 #: Rows of one group that a task may sort; ranges of larger groups aim at half of it.
 ROWS = 1 << 18
 #: Most ranges of a group, and the size of its sketch (a rank error of about 0.1 %).
 RANGES, SKETCH = 1024, 4096
+#: Most rows of a table of ranges that is sent to every executor; longer ones Spark joins like any other table.
+SENT = 100_000
 
 
-def split_points(df: DataFrame, keys: Sequence[str], value: str, rows: int, tie: str | None = None) -> DataFrame | None:
-    """(keys, _points, _tie0, _tie1, _cuts) of the groups with more than ``rows`` rows; None when there are none.
+def split_points(df: DataFrame, keys: Sequence[str], value: str, rows: int, tie: str | None = None) -> tuple[DataFrame | None, int]:
+    """(keys, _points, _tie0, _tie1, _cuts) of the groups with more than ``rows`` rows, None when there are none; and the partitions all rows need.
 
     ``_points`` are sorted; ``_cuts`` is the number of parts that rows of one value are cut into, evenly over the range of the column ``tie``.
     """
     keys = list(keys)
-    large = df.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > rows)
-    large = cut_lineage(large)
-    if large.isEmpty():
-        return None
+    sizes = cut_lineage(df.groupBy(*keys).agg(F.count("*").alias("_n")))
+    every, many = sizes.agg(F.coalesce(F.sum("_n"), F.lit(0)), F.count_if(F.col("_n") > rows)).first()
+    parts = parts_for(df.sparkSession, every)
+    if not many:
+        return None, parts
+    # saved tables have no size that Spark knows: without the hint it would deal all rows by group
+    sent = lambda t, most: F.broadcast(t) if many <= most else t
+    large = sent(sizes.where(F.col("_n") > rows), SENT)
     # null keys are groups too
     same = [df[k].eqNullSafe(large[k]) for k in keys]
     members = df.join(large, same, "left_semi") if keys else df
@@ -43,7 +50,8 @@ def split_points(df: DataFrame, keys: Sequence[str], value: str, rows: int, tie:
     finest = F.kll_sketch_get_quantile_double("_s", F.lit([i / RANGES for i in range(1, RANGES)]))
     points = F.array_sort(F.array_distinct(F.filter(finest, lambda p, i: (i + 1) % step == 0)))
     points = F.when(F.col("_v") > 0, points).otherwise(F.array().cast("array<double>"))
-    return cut_lineage(s.select(*keys, points.alias("_points"), "_tie0", "_tie1", (F.lit(RANGES) / step).cast("int").alias("_cuts")))
+    points = cut_lineage(s.select(*keys, points.alias("_points"), "_tie0", "_tie1", (F.lit(RANGES) / step).cast("int").alias("_cuts")))
+    return sent(points, SENT // RANGES * 10), parts
 
 
 def _range(value: Column) -> Column:
@@ -77,16 +85,26 @@ def value_ranks(df: DataFrame, keys: Sequence[str], value: str, wanted: Sequence
     """
     keys = list(keys)
     df = df.filter(F.col(value).isNotNull()).select(*keys, value)
-    points = split_points(df, keys, value, rows or ROWS)
+    points, parts = split_points(df, keys, value, rows or ROWS)
     if points is None:
         by = [F.col(k) for k in keys]
-        counts = (df.repartition(*by) if by else df.repartition(1)).groupBy(*keys, value).agg(F.count("*").alias("cnt"))
+        counts = df.repartition(parts if by else 1, *by).groupBy(*keys, value).agg(F.count("*").alias("cnt"))
         w = W.partitionBy(*keys)
         lo = F.sum("cnt").over(w.orderBy(value).rowsBetween(W.unboundedPreceding, -1))
         return counts.select(*keys, value, "cnt", F.coalesce(lo, F.lit(0)).alias("lo"), F.sum("cnt").over(w).alias("n"))
-    counts = _ranged(df.groupBy(*keys, value).agg(F.count("*").alias("cnt")), keys, value, points).select(*keys, value, "cnt", "_b")
-    w = W.partitionBy(*keys).orderBy("_b")
-    totals = counts.groupBy(*keys, "_b").agg(F.sum("cnt").alias("_c")).withColumns({
+    # rows of one value meet in one task, but those of a split point, of which there may be any number, in one task for each that reads them
+    by = [F.col(k) for k in keys]
+    heavy = points.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.explode("_points").alias("_h"))
+    heavy = F.broadcast(heavy) if heavy.count() <= SENT else heavy
+    at = F.col(value).cast("double")
+    met = df.join(heavy, [at == heavy["_h"], *[df[k].eqNullSafe(heavy[f"_k{i}"]) for i, k in enumerate(keys)]], "left")
+    met = met.select(*keys, value, F.when(F.col("_h").isNotNull() | F.isnan(at), F.spark_partition_id()).otherwise(F.lit(0)).alias("_s"))
+    counts = met.repartition(parts, *by, F.col(value), F.col("_s")).groupBy(*keys, value, "_s").agg(F.count("*").alias("cnt"))
+    rows_in = _ranged(counts, keys, value, points).select(*keys, value, "cnt", "_b")
+    # ranges of one value are odd; longs that are one double have a row each
+    one = F.col("_b") % 2 == 1
+    w = W.partitionBy(*keys).orderBy("_b", "_h")
+    totals = rows_in.groupBy(*keys, "_b", F.when(one, F.col(value)).alias("_h")).agg(F.sum("cnt").alias("_c")).withColumns({
         "_off": F.coalesce(F.sum("_c").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)), "n": F.sum("_c").over(W.partitionBy(*keys)),
     })
     if wanted is not None:
@@ -95,10 +113,20 @@ def value_ranks(df: DataFrame, keys: Sequence[str], value: str, wanted: Sequence
             inside = inside | ((k >= F.col("_off")) & (k < F.col("_off") + F.col("_c")))
         # the group's first range stays, so that the group does even if it has none of the ranks
         totals = totals.where(inside | (F.col("_off") == 0))
-    totals = totals.select(*[F.col(k).alias(f"_t{i}") for i, k in enumerate(keys)], F.col("_b").alias("_tb"), "_off", "n")
-    joined = counts.join(totals, [*[counts[k].eqNullSafe(totals[f"_t{i}"]) for i, k in enumerate(keys)], counts["_b"] == totals["_tb"]])
+    totals = cut_lineage(totals)
+    single = totals.where(one).select(*keys, F.col("_h").alias(value), F.col("_c").alias("cnt"), F.col("_off").alias("lo"), "n")
+    offsets = totals.where(~one).select(*[F.col(k).alias(f"_t{i}") for i, k in enumerate(keys)], F.col("_b").alias("_tb"), "_off", "n")
+    joined = _with_offsets(rows_in.where(~one), offsets, {**{k: f"_t{i}" for i, k in enumerate(keys)}, "_b": "_tb"})
+    counts = joined.repartition(parts, *by, F.col("_b"))
     inner = W.partitionBy(*keys, "_b").orderBy(value).rowsBetween(W.unboundedPreceding, -1)
-    return joined.withColumn("lo", F.col("_off") + F.coalesce(F.sum("cnt").over(inner), F.lit(0))).select(*keys, value, "cnt", "lo", "n")
+    counts = counts.withColumn("lo", F.col("_off") + F.coalesce(F.sum("cnt").over(inner), F.lit(0)))
+    return counts.select(*keys, value, "cnt", "lo", "n").unionByName(single)
+
+
+def _with_offsets(rows: DataFrame, offsets: DataFrame, same: dict[str, str]) -> DataFrame:
+    """Rows with the saved values of their range; nulls match, and rows of a range that is not listed are left out before any exchange."""
+    small = offsets.count() <= SENT
+    return rows.join(F.broadcast(offsets) if small else offsets, [rows[k].eqNullSafe(offsets[t]) for k, t in same.items()]).drop(*same.values())
 
 
 def at_rank(value: str, k: Column, lo: str = "lo", cnt: str = "cnt") -> Column:
@@ -155,16 +183,21 @@ def percentiles(df: DataFrame, keys: Sequence[str], value: str, wanted: dict[str
 
 def ranges(df: DataFrame, keys: Sequence[str], value: str, tie: str | None, rows: int) -> DataFrame | None:
     """Adds ``_b`` and ``_c``, which number the ranges of each group by falling value and, in ranges of one value, rising tie; None when no group has more than ``rows`` rows."""
+    return _ranges(df, keys, value, tie, rows)[0]
+
+
+def _ranges(df: DataFrame, keys: Sequence[str], value: str, tie: str | None, rows: int) -> tuple[DataFrame | None, int]:
+    """``ranges``, and the partitions that all rows need."""
     tie = tie if tie and isinstance(df.schema[tie].dataType, NumericType) else None
-    points = split_points(df, keys, value, rows, tie)
+    points, parts = split_points(df, keys, value, rows, tie)
     if points is None:
-        return None
+        return None, parts
     span = F.col("_tie1") - F.col("_tie0") + 1.0
     cut = F.floor((F.col(tie).cast("double") - F.col("_tie0")) / span * F.col("_cuts")).cast("int") if tie else F.lit(0)
     # ranges of one value are odd; nulls, which stand last, are alike too. Rows without a tie value come first, as in the order
     one, none = F.col("_b") % 2 == 1, F.col(value).isNull()
     out = _ranged(df, keys, value, points).withColumn("_c", F.when(F.col("_points").isNotNull() & (one | none), F.coalesce(cut, F.lit(-1))).otherwise(F.lit(0)))
-    return out.withColumn("_b", F.when(none, F.lit(1)).otherwise(-F.col("_b"))).drop("_points", "_tie0", "_tie1", "_cuts")
+    return out.withColumn("_b", F.when(none, F.lit(1)).otherwise(-F.col("_b"))).drop("_points", "_tie0", "_tie1", "_cuts"), parts
 
 
 def ranked(
@@ -184,16 +217,17 @@ def ranked(
     at = df.withColumns({f"_r_{k}": e for k, e in running.items()}).withColumn("_one", F.lit(1).cast("bigint"))
     sums = ["_one", *[f"_r_{k}" for k in running]]
     order = [F.desc(value), *[F.asc(t) for t in ties]]
-    split = ranges(at, keys, value, ties[0] if ties else None, rows or ROWS)
+    split, parts = _ranges(at, keys, value, ties[0] if ties else None, rows or ROWS)
     if split is None:
+        at = at.repartition(parts, *[F.col(k) for k in keys]) if keys else at
         inner = W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
         cols = {s: F.sum(s).over(inner) for s in sums}
         return at.select(*df.columns, cols["_one"].alias("rank"), *[cols[f"_r_{k}"].alias(k) for k in running])
     w = W.partitionBy(*keys).orderBy("_b", "_c").rowsBetween(W.unboundedPreceding, -1)
     totals = split.groupBy(*keys, "_b", "_c").agg(*[F.sum(s).alias(s) for s in sums])
     same = {k: f"_t{i}" for i, k in enumerate([*keys, "_b", "_c"])}
-    totals = totals.select(*[F.col(k).alias(t) for k, t in same.items()], *[F.coalesce(F.sum(s).over(w), F.lit(0)).alias(f"_o{s}") for s in sums])
+    totals = cut_lineage(totals.select(*[F.col(k).alias(t) for k, t in same.items()], *[F.coalesce(F.sum(s).over(w), F.lit(0)).alias(f"_o{s}") for s in sums]))
     inner = W.partitionBy(*keys, "_b", "_c").orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
-    out = split.join(totals, [split[k].eqNullSafe(totals[t]) for k, t in same.items()])
+    out = _with_offsets(split, totals, same).repartition(parts, *[F.col(k) for k in [*keys, "_b", "_c"]])
     cols = {s: F.col(f"_o{s}") + F.sum(s).over(inner) for s in sums}
-    return out.select(*[split[c] for c in df.columns], cols["_one"].alias("rank"), *[cols[f"_r_{k}"].alias(k) for k in running])
+    return out.select(*df.columns, cols["_one"].alias("rank"), *[cols[f"_r_{k}"].alias(k) for k in running])

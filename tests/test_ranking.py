@@ -93,3 +93,12 @@ def test_nothing_and_no_keys(spark):
     df = spark.range(5000).selectExpr("id AS y", "cast(id % 700 AS double) AS v")
     assert R.percentiles(df, [], "v", {"a": ("median", 0.5)}).first().a == 342.0
     assert R.value_ranks(df, [], "v", rows=1000).agg(F.max("lo"), F.max("n")).first() == (4993, 5000)
+
+
+@pytest.mark.parametrize("rows", [None, 1000])
+def test_rows_of_a_task_do_not_grow_with_the_table(spark, monkeypatch, rows):
+    monkeypatch.setattr("lumenfield.session.PART_ROWS", 5000)
+    df = spark.range(100_000, numPartitions=8).select((F.col("id") % 50).alias("k"), (F.col("id") * 7919 % 100_003).cast("double").alias("v"))
+    for out in (R.value_ranks(df, ["k"], "v", rows=rows), R.ranked(df, ["k"], "v", {}, ("v",), rows=rows)):
+        sizes = [r[0] for r in out.groupBy(F.spark_partition_id()).agg(F.count("*")).select("count(1)").collect()]
+        assert sum(sizes) == 100_000 and max(sizes) <= 20_000
