@@ -2,7 +2,7 @@
 
 Pixels are copied into the square tiles whose halo they touch and shuffled once by (picture, tile). Row windows and column windows
 then run inside that partitioning, so a separable filter costs one exchange and no partition holds more than
-(tile + 2·halo)² pixels of a picture.
+(tile + 2·halo)² pixels of a picture. Rows are counted before they are dealt, so that a partition's rows do not grow with the archive.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 
-from lumenfield.session import cut_lineage
+from lumenfield.session import cut_lineage, parts_for
 
 TILE = 64
 KEYS = ("image_id",)
@@ -65,7 +65,8 @@ def tiles(df: DataFrame, halo: tuple[int, int], keys: Sequence[str] = KEYS, edge
 
     # the lists are never empty; the outer form saves Spark from building them once more to test that
     d = d.withColumn("_ty", F.explode_outer(reach("_py", "height"))).withColumn("_tx", F.explode_outer(reach("_px", "width")))
-    return d.withColumn("_tile", F.lit(tile)).repartition(*[F.col(k) for k in keys], F.col("_ty"), F.col("_tx"))
+    parts = parts_for(df.sparkSession, df.count())
+    return d.withColumn("_tile", F.lit(tile)).repartition(parts, *[F.col(k) for k in keys], F.col("_ty"), F.col("_tx"))
 
 
 def core(df: DataFrame) -> DataFrame:
