@@ -12,8 +12,11 @@ from lumenfield.functions.numeric import Num, c, dot
 from lumenfield.operators import ranking as R
 from lumenfield.operators.geometry import frame_grid
 from lumenfield.operators.regions import iou
+from lumenfield.session import cut_lineage, parts_for
 
 PX = ("image_id", "y", "x")
+#: Most taps that are sent to every executor; longer tables Spark joins like any other.
+SENT = 100_000
 # The five faces as (forward, right, down) axes, each (right, forward, up) of the picture.
 FACES = (
     ((0, 1, 0), (1, 0, 0), (0, 0, -1)), ((-1, 0, 0), (0, 1, 0), (0, 0, -1)), ((1, 0, 0), (0, -1, 0), (0, 0, -1)),
@@ -74,13 +77,19 @@ def stitch_faces(faces: DataFrame, targets: DataFrame, face_size: int, fov: floa
     # the tap helper works on one frame size: a tile is a frame of its own
     size = t.select(F.lit(face_size).alias("width"), F.lit(face_size).alias("height"), F.struct("y", "x", "width", "height", "face").alias("y"), F.struct("den", "blend").alias("x"), "tx", "ty")
     tap = taps(size, F.col("tx"), F.col("ty"), F.lit(True), clamped=True)
-    tap = tap.select("y.*", F.col("x.den").alias("den"), F.col("x.blend").alias("blend"), "sy", "sx", "wt")
+    tap = cut_lineage(tap.select("y.*", F.col("x.den").alias("den"), F.col("x.blend").alias("blend"), "sy", "sx", "wt"))
     # each picture reads the taps of its own target size
     src = faces.join(targets.select(*keys, "width", "height").distinct(), keys)
     src = src.select(*keys, "width", "height", "face", F.col("y").alias("sy"), F.col("x").alias("sx"), "depth_m")
-    j = src.join(tap, ["width", "height", "face", "sy", "sx"]).groupBy(*keys, "y", "x", "face", "den", "blend").agg(F.sum(F.col("wt") * F.col("depth_m")).alias("z"))
+    on, parts = ["width", "height", "face", "sy", "sx"], parts_for(faces.sparkSession, faces.count())
+    if tap.count() <= SENT:
+        j = src.repartition(parts, *keys, "face").join(F.broadcast(tap), on)
+    else:
+        # four taps a target
+        j = src.join(tap, on).repartition(4 * parts, *keys, "y", "x")
+    j = j.groupBy(*keys, "y", "x", "face", "den", "blend").agg(F.sum(F.col("wt") * F.col("depth_m")).alias("z"))
     j = j.withColumn("radial", F.col("z") / F.col("den")).filter("radial > 0")
-    s = j.groupBy(*keys, "y", "x").agg(F.sum(F.col("radial") * F.col("blend")).alias("_s"), F.sum("blend").alias("_w"))
+    s = j.repartition(parts, *keys, "y", "x").groupBy(*keys, "y", "x").agg(F.sum(F.col("radial") * F.col("blend")).alias("_s"), F.sum("blend").alias("_w"))
     best = s.groupBy(*keys).agg(F.max("_w").alias("_best"))
     return s.join(best, keys).select(*keys, "y", "x", (F.col("_s") / F.col("_w")).alias("depth_m"), (F.col("_w") / F.greatest("_best", F.lit(1e-9))).alias("coverage"))
 

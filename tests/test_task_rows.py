@@ -1,8 +1,10 @@
 """Rows of one task stay near the set number, whatever the size of the archive."""
 
+import pytest
 from pyspark.sql import functions as F
 
-from lumenfield.operators import stencil
+from lumenfield.operators import stencil, volume
+from lumenfield.plans import QUERIES
 
 
 def most_rows(df):
@@ -15,3 +17,14 @@ def test_tiles(spark, monkeypatch):
         F.floor(F.col("id") / 4096).alias("image_id"), (F.floor(F.col("id") / 64) % 64).cast("int").alias("y"), (F.col("id") % 64).cast("int").alias("x"), F.lit(64).alias("width"), F.lit(64).alias("height"),
     )
     assert most_rows(stencil.tiles(px, (2, 2))) <= 6 * 4096
+
+
+@pytest.mark.parametrize("sent", [0, 100_000])
+def test_stitched_faces(spark, monkeypatch, sent):
+    """Sent or joined, the taps give the same picture: depths between those of the tiles, the best pixel covered whole."""
+    monkeypatch.setattr(volume, "SENT", sent)
+    got = QUERIES["vv1_stitch_faces"](spark, "/root/testdata/sf0.001").orderBy("image_id", "y", "x")
+    n, pixels, best, total = got.agg(F.count("*"), F.count_distinct("image_id", "y", "x"), F.max("coverage"), F.sum("depth_m")).first()
+    monkeypatch.setattr("lumenfield.session.PART_ROWS", 1000)
+    again = QUERIES["vv1_stitch_faces"](spark, "/root/testdata/sf0.001").agg(F.count("*"), F.sum("depth_m")).first()
+    assert n == pixels == again[0] > 0 and best == 1.0 and again[1] == pytest.approx(total, rel=1e-9)
