@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lumenfield.llm import byte_bpe, language, mixing, near_duplicates, personal_data
 from lumenfield.llm.queries import MIXTURE
-from lumenfield.llm.tables import Workspace, table
+from lumenfield.llm.tables import TEXT_BYTES, Workspace, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -71,7 +71,7 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    work = Workspace(spark)
+    work = Workspace(spark, TEXT_BYTES)
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = work.save(stage(spark, docs, sf_dir), name)

@@ -22,10 +22,11 @@ import regex
 from pyspark.sql import DataFrame
 
 from lumenfield.llm import words
-from lumenfield.llm.tables import picked, with_schema
+from lumenfield.llm.tables import TEXT_BYTES, end_batches, giving_back, picked, with_schema
 
-BLOCK, FLUSH = 4 << 20, 2 << 20
-MAX_CACHED = 250_000
+BLOCK, FLUSH = 2 << 20, 1 << 20
+MAX_CACHED = 100_000
+PART = 1 << 18  # pairs looked up at a time
 
 
 class Vocabulary:
@@ -80,9 +81,11 @@ class Vocabulary:
 
     def joined(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Rank of the token that a pair joins into, -1 where there is none or an end is -1."""
-        keys = a * self.width + b
+        if len(a) > PART:
+            return np.concatenate([self.joined(a[c : c + PART], b[c : c + PART]) for c in range(0, len(a), PART)])
+        keys = a.astype(np.int64) * self.width + b
         place = self._place(keys)
-        out = np.full(len(keys), -1, np.int64)
+        out = np.full(len(keys), -1, np.int32)
         open_ = np.flatnonzero((a >= 0) & (b >= 0))
         for _ in range(self.probes):
             found = self.slots[place[open_]]
@@ -113,16 +116,18 @@ def replay(vocab: Vocabulary, distinct: list[bytes]) -> tuple[np.ndarray, np.nda
     ends = np.cumsum(lengths)
     n = int(ends[-1]) if len(ends) else 0
     starts = ends - lengths
-    tok = np.full(n + 1, -1, np.int64)
+    # places of a block fit 32 bits, but for those of a single longer text
+    whole = np.int32 if n < 1 << 31 else np.int64
+    tok = np.full(n + 1, -1, np.int32)
     tok[:n] = vocab.single[np.frombuffer(b"".join(distinct), np.uint8)]
-    after = np.arange(1, n + 2)
-    before = np.arange(-1, n)
+    after = np.arange(1, n + 2, dtype=whole)
+    before = np.arange(-1, n, dtype=whole)
     nonempty = lengths > 0
     after[ends[nonempty] - 1] = n  # place n stands for "no token"
     before[starts[nonempty]] = n
     after[n] = before[n] = n
     mark = np.zeros(n + 1, bool)
-    rank = np.full(n + 1, -1, np.int64)
+    rank = np.full(n + 1, -1, np.int32)
     rank[:n] = vocab.joined(tok[:n], tok[after[:n]])
 
     # inverted index: places by rank of the pair that starts there
@@ -293,8 +298,9 @@ def encode(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id"
                         names=["doc_id", "tokens", "n_tokens", "ids_sha256", "decoded", "decoded_sha256", "exact", *(["row"] if carry else [])],
                     )
 
+    end_batches(docs.sparkSession, TEXT_BYTES)
     ddl = "doc_id long, tokens array<int>, n_tokens long, ids_sha256 string, decoded binary, decoded_sha256 string, exact boolean"
-    return picked(docs, id_col, text_col, carry=carry).mapInArrow(run, with_schema(docs, ddl, carry=carry))
+    return picked(docs, id_col, text_col, carry=carry).mapInArrow(giving_back(run), with_schema(docs, ddl, carry=carry))
 
 
 def decode(encoded: DataFrame, rank_file: str, pattern: str, tokens_col: str = "tokens") -> DataFrame:

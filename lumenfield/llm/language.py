@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenfield.llm import words
-from lumenfield.llm.tables import TEXT_BYTES, end_batches, picked, with_schema, with_texts
+from lumenfield.llm.tables import TEXT_BYTES, end_batches, giving_back, picked, with_schema, with_texts
 
 DIM, N = 1024, 3
 GROUP = 128  # documents bundled together
@@ -152,7 +152,7 @@ def learn(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") -
 
     rows = labelled.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where("text is not null and lang is not null")
     end_batches(labelled.sparkSession, TEXT_BYTES)
-    totals = rows.mapInArrow(run, "lang string, v array<long>").select("lang", F.posexplode("v").alias("at", "x")).groupBy("lang", "at").agg(F.sum("x").alias("x"))
+    totals = rows.mapInArrow(giving_back(run), "lang string, v array<long>").select("lang", F.posexplode("v").alias("at", "x")).groupBy("lang", "at").agg(F.sum("x").alias("x"))
     found = totals.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("at", "x"))).alias("v")).collect()
     return {r.lang: np.array([x.x for x in r.v], np.float64) for r in sorted(found, key=lambda r: r.lang)}
 
@@ -180,7 +180,7 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], id_col: str = "d
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(lang, pa.string()), pa.array(score), pa.array(letters.astype(np.int64)), *part.columns[2:]], names=["doc_id", "lang_pred", "score", "n_letters", *(["row"] if carry else [])])
 
     end_batches(docs.sparkSession, TEXT_BYTES)
-    return picked(docs, id_col, text_col, carry=carry, once=True).mapInArrow(run, with_schema(docs, "doc_id long, lang_pred string, score double, n_letters long", carry=carry))
+    return picked(docs, id_col, text_col, carry=carry, once=True).mapInArrow(giving_back(run), with_schema(docs, "doc_id long, lang_pred string, score double, n_letters long", carry=carry))
 
 
 def held_out(id_col: str = "doc_id"):

@@ -18,12 +18,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenfield.llm import words
-from lumenfield.llm.tables import TEXT_BYTES, Workspace, picked, unit_draw, with_schema, with_texts
+from lumenfield.llm.tables import TEXT_BYTES, Workspace, giving_back, picked, unit_draw, with_schema, with_texts
 
 DOMAINS = ("good", "low", "toxic")
 BUCKETS, DENSE = 1 << 18, 7
 SAMPLE, EPOCHS, SIGNIFICANT = 6000, 60, 40.0
 PULL, STEPS, TOLERANCE = 0.002, 40, 1e-5
+POSTERIORS = "doc_id long, n_tokens long, p array<double>"
+RATES = "doc_id long, n_tokens long, p_good double, p_low double, p_toxic double, rate double"
 
 
 def shape_features(data: np.ndarray, offsets: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
@@ -111,10 +113,11 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return fit_classifier([r.text for r in rows], np.array([r.domain for r in rows], np.int64))
 
 
-def posteriors(docs: DataFrame, weights: np.ndarray, id_col: str = "doc_id", text_col: str = "text", *, carry: bool = False) -> DataFrame:
-    """doc_id, n_tokens, p (array, one per domain) of every row; carry: and the row. Texts without words keep the posteriors of an empty text."""
+def posteriors(docs: DataFrame, weights: np.ndarray, id_col: str = "doc_id", text_col: str = "text", *, plan: Plan | None = None, carry: bool = False) -> DataFrame:
+    """doc_id, n_tokens, p (array, one per domain) of every row; carry: and the row; plan: p_good, p_low, p_toxic and the plan's rate in place of p, by the same
+    Python worker. Texts without words keep the posteriors of an empty text."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in with_texts(batches, text_col) if carry else batches:
             data, offsets = words.text_bytes(batch.column(1))
             for a, b in words.slices(offsets):
@@ -124,7 +127,8 @@ def posteriors(docs: DataFrame, weights: np.ndarray, id_col: str = "doc_id", tex
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * len(DOMAINS)), pa.array(p.reshape(-1)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(n.astype(np.int64)), lists, *(c.slice(a, b - a) for c in batch.columns[2:])], names=["doc_id", "n_tokens", "p", *(["row"] if carry else [])])
 
-    return picked(docs, id_col, text_col, carry=carry, once=True).mapInArrow(run, with_schema(docs, "doc_id long, n_tokens long, p array<double>", carry=carry))
+    run, columns = (each, POSTERIORS) if plan is None else (lambda batches: _rated(each(batches), plan), RATES)
+    return picked(docs, id_col, text_col, carry=carry, once=True).mapInArrow(giving_back(run), with_schema(docs, columns, carry=carry))
 
 
 class Plan:
@@ -147,6 +151,14 @@ def _p(column: pa.ListArray) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
+def _rated(batches: Iterator[pa.RecordBatch], plan: Plan) -> Iterator[pa.RecordBatch]:
+    """Posteriors as a column each, and the rate, of batches (doc_id, n_tokens, p, …)."""
+    for b in batches:
+        p = _p(b.column(2))
+        cells = [b.column(0), b.column(1), *(pa.array(np.ascontiguousarray(p[:, d])) for d in range(len(DOMAINS))), pa.array(np.round(plan.rates(p), 9))]
+        yield pa.RecordBatch.from_arrays([*cells, *b.columns[3:]], names=["doc_id", "n_tokens", *(f"p_{d}" for d in DOMAINS), "rate", *b.schema.names[3:]])
+
+
 def fit_rates(table: DataFrame, weights: dict[str, float], budget: float | None = None, max_rate: float = np.inf) -> tuple[Plan, dict[str, float]]:
     """Plan whose rates bring the domains' expected tokens to ``weights`` of ``budget`` tokens, and the expected tokens it reaches.
 
@@ -200,14 +212,5 @@ def mix(
     model = learn(docs, labels, id_col, text_col)
     table = Workspace(docs.sparkSession, TEXT_BYTES).save(posteriors(docs, model, id_col, text_col), "posteriors")
     plan, _ = fit_rates(table, weights, budget, max_rate)
-    if carry:
-        table = posteriors(docs, model, id_col, text_col, carry=True)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            p = _p(b.column(2))
-            cells = [b.column(0), b.column(1), *(pa.array(np.ascontiguousarray(p[:, d])) for d in range(len(DOMAINS))), pa.array(np.round(plan.rates(p), 9))]
-            yield pa.RecordBatch.from_arrays([*cells, *b.columns[3:]], names=["doc_id", "n_tokens", *(f"p_{d}" for d in DOMAINS), "rate", *(["row"] if carry else [])])
-
-    rated = table.mapInArrow(run, with_schema(docs, "doc_id long, n_tokens long, p_good double, p_low double, p_toxic double, rate double", carry=carry))
+    rated = posteriors(docs, model, id_col, text_col, plan=plan, carry=True) if carry else table.mapInArrow(lambda batches: _rated(batches, plan), RATES)
     return rated.withColumn("copies", F.floor(F.col("rate") + unit_draw(F.lit("mix"), F.col("doc_id"))).cast("int"))

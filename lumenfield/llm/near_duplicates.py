@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from lumenfield.llm import words
 from lumenfield.llm.components import components
-from lumenfield.llm.tables import TEXT_BYTES, Workspace
+from lumenfield.llm.tables import TEXT_BYTES, Workspace, giving_back
 
 HASHES, ROWS = 128, 4
 BANDS = HASHES // ROWS
@@ -93,7 +93,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame
                 )
 
     picked = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return picked.mapInArrow(run, "id long, n_shingles long, set_key binary, sig binary, bands array<long>")
+    return picked.mapInArrow(giving_back(run), "id long, n_shingles long, set_key binary, sig binary, bands array<long>")
 
 
 def _agreement(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -118,7 +118,7 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at)], names=["u", "v"])
 
     one, two = (sets.select(F.col("rep").alias(c), F.col("shingles").alias(f"set_{c}")) for c in "uv")
-    return pairs.join(one, "u").join(two, "v").select("u", "v", "set_u", "set_v").mapInArrow(run, "u long, v long")
+    return pairs.join(one, "u").join(two, "v").select("u", "v", "set_u", "set_v").mapInArrow(giving_back(run), "u long, v long")
 
 
 def _set_table(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
@@ -146,7 +146,7 @@ def _set_table(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, k
     texts = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).cast("string").alias("text"))
     # wanted grows with the documents: never broadcast
     met = texts.join(wanted.select("rep", "set_key").hint("merge"), "rep").select("rep", "set_key", "text")
-    return met.mapInArrow(run, "rep long, set_key binary, shingles binary")
+    return met.mapInArrow(giving_back(run), "rep long, set_key binary, shingles binary")
 
 
 def _label(ids: DataFrame, labels: DataFrame | None, *cols: str) -> DataFrame:
@@ -216,7 +216,7 @@ def _rest(buckets: DataFrame, sigs: DataFrame, sets: DataFrame, labels: DataFram
                             vs.append(rj[j])
             yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
 
-    return crossed.mapInArrow(run, "u long, v long")
+    return crossed.mapInArrow(giving_back(run), "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 75) -> DataFrame:

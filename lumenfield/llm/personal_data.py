@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenfield.llm import words
-from lumenfield.llm.tables import TEXT_BYTES, end_batches, picked, with_schema
+from lumenfield.llm.tables import TEXT_BYTES, end_batches, giving_back, picked, with_schema
 
 KINDS = ("email", "ip", "card", "phone")
 MAX_TOKENS, MAX_CHARS = 20, 48
@@ -337,4 +337,4 @@ def find(docs: DataFrame, weights: np.ndarray, id_col: str = "doc_id", text_col:
 
     end_batches(docs.sparkSession, TEXT_BYTES)
     ddl = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, masked string"
-    return picked(docs, id_col, text_col, carry=carry).mapInArrow(run, with_schema(docs, ddl, carry=carry))
+    return picked(docs, id_col, text_col, carry=carry).mapInArrow(giving_back(run), with_schema(docs, ddl, carry=carry))

@@ -400,3 +400,18 @@ def test_language_vectors_take_a_byte_each_and_are_widened_in_parts(monkeypatch)
     assert small.table.nbytes <= small.CACHE * 1024
     parts, again = small.bundle(texts)
     assert (parts == whole).all() and (again == count).all() and len(small.grams) > 64
+
+
+def test_tokens_get_small_batches_and_rates_need_one_python_worker(spark):
+    from lumenfield.llm import tables
+
+    size = "spark.sql.execution.arrow.maxBytesPerBatch"
+    docs = spark.createDataFrame([(i, f"een twee {i} drie vier") for i in range(9)], "doc_id long, text string")
+    spark.conf.set(size, str(64 << 20))
+    byte_bpe.encode(docs, RANKS, PATTERN)
+    assert spark.conf.get(size) == tables.TEXT_BYTES
+    labels = spark.createDataFrame([(1, 1, 0), (2, 0, 0)], "doc_id long, quality int, toxic int")
+    whole = mixing.mix(docs, labels, {"good": 0.6, "low": 0.4}, carry=True)
+    assert whole._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    cols = ("doc_id", "n_tokens", "p_good", "p_low", "p_toxic", "rate", "copies")
+    assert rows(whole, *cols) == rows(mixing.mix(docs, labels, {"good": 0.6, "low": 0.4}), *cols)
