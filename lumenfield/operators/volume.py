@@ -177,10 +177,18 @@ def report_json(report: DataFrame) -> DataFrame:
     return report.select("image_id", F.to_json(F.struct(*report.columns)).alias("report"))
 
 
+def _of_picture(df: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows with the values of their picture. ``table`` is saved and has a row per picture: it is sent to the rows up to a count; else rows are dealt by a count, so that a task's do not grow with the archive."""
+    if table.count() <= R.SENT:
+        return df.join(F.broadcast(table), keys)
+    return df.repartition(parts_for(df.sparkSession, df.count()), *keys).join(table.hint("merge"), keys)
+
+
 def _trimmed(df: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
     """Median of what lies between the 10th and 90th percentile, with the number of candidates."""
     q = R.percentiles(df, keys, value, {"_lo": ("linear", 0.1), "_hi": ("linear", 0.9)})
-    t = df.join(q.select(*keys, "_lo", "_hi"), keys).filter((F.col(value) >= F.col("_lo")) & (F.col(value) <= F.col("_hi")))
+    q = cut_lineage(q)
+    t = _of_picture(df, q.select(*keys, "_lo", "_hi"), keys).filter((F.col(value) >= F.col("_lo")) & (F.col(value) <= F.col("_hi")))
     m = R.percentiles(t, keys, value, {name: ("median", 0.5)}).select(*keys, name)
     return q.select(*keys, F.col("n").alias(f"{name}_n")).join(m, keys)
 
@@ -196,12 +204,12 @@ def window_distance(pixels: DataFrame, keys: Sequence[str] = ("image_id",), enou
     d = pixels.withColumns({"_disc": F.col("depth_m") * F.col("depth_m") - F.col("ref_m") * F.col("ref_m") * F.greatest(F.lit(0.0), F.lit(1.0) - cos * cos), "_axial": F.col("depth_m") * cos})
     ray = d.filter("depth_m > 0 and ref_m > 0 and inside and outside and _disc >= 0").withColumn("_v", F.sqrt("_disc") - F.col("ref_m") * cos)
     ok = d.filter("_axial >= 0.1 and _axial <= 20.0").withColumn("_v", F.col("_axial"))
-    cut = R.percentiles(ok, keys, "_v", {"_cut": ("linear", 0.4)}).select(*keys, "_cut")
+    cut = cut_lineage(R.percentiles(ok, keys, "_v", {"_cut": ("linear", 0.4)}).select(*keys, "_cut"))
     steps = [
         ("paired", _trimmed(ray, keys, "_v", "paired")),
         ("boundary", _trimmed(ok.filter("near_window"), keys, "_v", "boundary")),
         ("indoor", _trimmed(ok.filter("inside and not outside"), keys, "_v", "indoor")),
-        ("near", _trimmed(ok.join(cut, keys).filter("_v <= _cut"), keys, "_v", "near")),
+        ("near", _trimmed(_of_picture(ok, cut, keys).filter("_v <= _cut"), keys, "_v", "near")),
     ]
     out = pixels.select(*keys).distinct()
     for _, s in steps:

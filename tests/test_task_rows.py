@@ -28,3 +28,23 @@ def test_stitched_faces(spark, monkeypatch, sent):
     monkeypatch.setattr("lumenfield.session.PART_ROWS", 1000)
     again = QUERIES["vv1_stitch_faces"](spark, "/root/testdata/sf0.001").agg(F.count("*"), F.sum("depth_m")).first()
     assert n == pixels == again[0] > 0 and best == 1.0 and again[1] == pytest.approx(total, rel=1e-9)
+
+
+def test_window_distance_rows_that_meet_their_picture_follow_a_count(spark, monkeypatch):
+    from lumenfield import session
+    from lumenfield.operators import ranking, volume
+
+    px = spark.range(3 * 400).selectExpr(
+        "id % 3 image_id", "cast(id div 60 as int) y", "cast(id % 60 as int) x", "0.2 + (id % 7) / 10D dy", "2D + (id * 37 % 101) / 20D depth_m", "1D + (id * 37 % 101) / 20D ref_m",
+        "id % 3 = 0 or id % 2 = 0 inside", "id % 3 = 0 outside", "id % 3 = 1 near_window")
+    usual = sorted(volume.window_distance(px).collect())
+    q = spark.createDataFrame([(i, 1.0) for i in range(3)], "image_id long, v double")
+    sent = volume._of_picture(px, q, ["image_id"])
+    assert "BroadcastHashJoin" in sent._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(ranking, "SENT", 0)
+    monkeypatch.setattr(session, "PART_ROWS", 10)
+    dealt = volume._of_picture(px, q, ["image_id"])
+    assert "REPARTITION_BY_NUM" in dealt._jdf.queryExecution().executedPlan().toString() and dealt.rdd.getNumPartitions() >= 120
+    assert sorted(dealt.collect()) == sorted(sent.collect())
+    monkeypatch.setattr(session, "PART_ROWS", 300)
+    assert sorted(volume.window_distance(px).collect()) == usual and len(usual) == 3
