@@ -18,10 +18,11 @@ def scores(df, **kw):
     return {r.doc_id: r for r in pitman_yor.score(df, F.col("doc_id") < 100, **kw).collect()}
 
 
-@pytest.mark.parametrize("bucket", [1 << 24, 2])
-def test_contexts_as_closed_form(make, monkeypatch, bucket):
+@pytest.mark.parametrize("bucket,frequent", [(1 << 24, []), (2, []), (2, [b" ", b"b", b"c"])])
+def test_contexts_as_closed_form(make, monkeypatch, bucket, frequent):
     """Every pair and every word has one customer, so all seating is certain: the discounted share of a seen pair and the back-off to the word restaurant."""
     monkeypatch.setattr(pitman_yor, "BUCKET", bucket)
+    monkeypatch.setattr(pitman_yor, "_frequent", lambda *args: frequent)
     asked = {101: "a", 102: "b", 103: "c", 104: "d", 105: "zz", 106: ""}
     texts = {201: "a b c d", 202: "b a", 203: "c d zz a", 204: "", 205: "zz c"}
     docs = make([(1, "a b c d"), *asked.items(), *texts.items()])
@@ -48,8 +49,9 @@ def pair_texts(n, seed=3):
     return [(i, " ".join(f"w{min(rng.randrange(30), rng.randrange(30))}" for _ in range(rng.randrange(1, 40)))) for i in range(n)]
 
 
-def test_buckets_agree_on_tables(spark, make, monkeypatch):
-    """Over all buckets, tables of pairs by their word are the customers of the word restaurant, and by their context the totals that come back."""
+@pytest.mark.parametrize("frequent", [[], [b" ", b"w0", b"w1", b"not there"]])
+def test_buckets_agree_on_tables(spark, make, frequent):
+    """Over all buckets, tables of pairs by their word are the customers of the word restaurant, and by their context the totals that come back. Frequent words take those of the sweep before."""
     docs = make(pair_texts(60))
     pairs = {}
     for _, text in pair_texts(60):
@@ -58,19 +60,25 @@ def test_buckets_agree_on_tables(spark, make, monkeypatch):
             pairs[p] = pairs.get(p, 0) + 1
     assert max(pairs.values()) > 3
     work, buckets = Workspace(spark), 5
-    blocks = pitman_yor._blocks(docs.repartition(3), "doc_id", "text", F.lit(True), buckets, contexts=True)
-    gathered = work.save(pitman_yor._grouped(blocks, pitman_yor._gather(buckets, contexts=True)), "gathered", by="kind")
-    model = pitman_yor.Model(work, gathered, contexts=True)
+    blocks = pitman_yor._blocks(docs.repartition(3), "doc_id", "text", F.lit(True), buckets, frequent, contexts=True)
+    gathered = work.save(pitman_yor._grouped(blocks, pitman_yor._gather(buckets, frequent, contexts=True)), "gathered", by="kind")
+    model = pitman_yor.Model(work, gathered, frequent, contexts=True)
     assert (model.train_tokens, model.customers) == (sum(pairs.values()), len(pairs))
     for i in (1, 2):
+        before = model.often_next
         model.sweep(i, keep=True)
         states = [dict(zip(pitman_yor._STATE, pitman_yor.unpack(r.data), strict=True)) for r in model.state.collect()]
         for s in states:
-            assert (s["customers"] == s["alone"] + np.bincount(s["pair_word"], s["pair_t"], minlength=len(s["c"]))).all()
+            own = (s["alone"] + np.bincount(s["pair_word"], s["pair_t"], minlength=len(s["c"]))[: len(s["c"])]).astype(int)
+            own[s["often_at"]] = before[s["often"]]
+            assert (s["customers"] == own).all()
             assert ((s["pair_t"] >= 1) & (s["pair_t"] <= s["pair_c"])).all() and (s["t"] <= s["customers"]).all()
-        assert len(states) > 1 and sum(s["pair_c"].sum() + s["alone"].sum() for s in states) == sum(pairs.values())
+        assert len(states) > 1 and sum(s["pair_c"].sum() + s["alone"].sum() + s["often_alone"].sum() for s in states) == sum(pairs.values())
         totals = sum(int(pitman_yor.unpack(r.data)[0].sum()) for r in model.kept[-1].collect())
-        assert totals == model.customers == sum(int(s["customers"].sum()) for s in states)
+        assert model.customers == sum(int(s["customers"].sum()) for s in states)
+        assert totals == model.customers + int((model.often_next - before).sum())
+        home = {frequent[k]: (int(s["customers"][a]), int(s["t"][a])) for s in states for a, k in zip(s["often_at"], s["often"], strict=True)}
+        assert home == {w: (int(n), int(t)) for w, n, t in zip(frequent, model.often, model.often_t, strict=True) if n}
 
 
 def test_shuffled_texts_score_lower(make):
@@ -88,6 +96,7 @@ def test_shuffled_texts_score_lower(make):
 
 def test_scores_do_not_follow_the_partitioning(make, monkeypatch):
     monkeypatch.setattr(pitman_yor, "BUCKET", 4000)
+    monkeypatch.setattr(pitman_yor, "SAMPLE_OF", 1)
     docs = make(pair_texts(150) + [(150, None), (151, "unheard of"), (152, "")])
     cols = ("doc_id", "n_tokens", "n_known", "base_score", "score", "spelled_score", "spelled_unknown")
     one, seven = ({tuple(r[c] for c in cols) for r in pitman_yor.score(docs.repartition(n, "doc_id"), F.col("doc_id") < 100, contexts=True).collect()} for n in (1, 7))
@@ -113,3 +122,9 @@ def test_packed_numbers_come_back():
     for a in ([], [0], [255, 256, 3], [-1, 2**62, 5], np.array([2**64 - 1, 7], np.uint64).view(np.int64)):
         one, two = pitman_yor.unpack(pitman_yor.pack(np.array(a, np.int64), np.arange(3)))
         assert one.tolist() == list(a) and two.tolist() == [0, 1, 2]
+
+
+def test_frequent_words_are_found(spark, make, monkeypatch):
+    monkeypatch.setattr(pitman_yor, "SAMPLE_OF", 1)
+    words = lambda n: pitman_yor._frequent(Workspace(spark), make([(i, "The cat\tand  the dog\x0band the x%d" % i) for i in range(50)] + [(60, None)]).select("text"), "text", n)
+    assert words(1) == [] and words(3) == [b"and", b"the"] and words(5) == [b" ", b"and", b"cat", b"dog", b"the"]
